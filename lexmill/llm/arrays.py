@@ -76,6 +76,11 @@ def _letters(which: int) -> np.ndarray:
     return mix(np.arange(256, dtype=U64) + U64(1000 * which + 1))
 
 
+def letters(data: np.ndarray, which: int = 0) -> np.ndarray:
+    """A 64-bit value for each byte."""
+    return _letters(which)[data]
+
+
 def prefix_sums(values: np.ndarray, which: int = 0) -> np.ndarray:
     """Prefix polynomial hashes of 64-bit values; ``span_hash`` reads any span off them."""
     up, _ = powers(which, len(values) + 1)
@@ -85,7 +90,7 @@ def prefix_sums(values: np.ndarray, which: int = 0) -> np.ndarray:
 
 
 def byte_sums(data: np.ndarray, which: int = 0) -> np.ndarray:
-    return prefix_sums(_letters(which)[data], which)
+    return prefix_sums(letters(data, which), which)
 
 
 def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
