@@ -147,3 +147,17 @@ def list_array(values: pa.Array, lengths: np.ndarray) -> pa.ListArray:
     offsets = np.zeros(len(lengths) + 1, np.int32)
     np.cumsum(lengths, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), values)
+
+
+def hashed_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, limit: int = SLICE_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word, and the index of each text's first word; made slice by slice to bound memory."""
+    hashes, first, at, n = [], [np.zeros(1, np.int64)], 0, len(offsets) - 1
+    while at < n:
+        to = min(n, max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1))
+        part, own = data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
+        part = lower_ascii(part) if lower else part
+        starts, ends, counts = word_spans(part, own)
+        hashes.append(word_hashes(part, starts, ends))
+        first.append(counts[1:] + first[-1][-1])
+        at = to
+    return np.concatenate(hashes) if hashes else np.zeros(0, U64), np.concatenate(first)

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
@@ -22,8 +22,8 @@ from .runtime import range_bounds, range_of, shuffle_partitions
 NO_ID = np.iinfo(np.int64).max
 
 
-def batched(docs: DataFrame, batch_bytes: int, ingests: int = 1) -> tuple[DataFrame, int]:
-    """Columns batch, doc_id, text, and the number of batches of an ingest.
+def batched(docs: DataFrame, batch_bytes: int, ingests: int = 1, **more: Column) -> tuple[DataFrame, int]:
+    """Columns batch, doc_id, text and ``more``, and the number of batches of an ingest.
 
     Batches hold about ``batch_bytes`` of text, or one longer text. With ``ingests`` over 1, documents are first cut
     into that many ranges of doc_id, and batch number div batches is the number of the range.
@@ -32,7 +32,7 @@ def batched(docs: DataFrame, batch_bytes: int, ingests: int = 1) -> tuple[DataFr
     count = max(1, -(-total // (batch_bytes * ingests)))
     ingest = range_of(F.col("doc_id"), range_bounds(docs, "doc_id", ingests))
     number = ingest * F.lit(count) + F.pmod(F.xxhash64("doc_id", "text"), F.lit(count))
-    return docs.select(number.cast("long").alias("batch"), "doc_id", "text"), count
+    return docs.select(number.cast("long").alias("batch"), "doc_id", "text", *(c.alias(n) for n, c in more.items())), count
 
 
 def bucket_count(docs: DataFrame) -> int:

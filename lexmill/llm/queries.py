@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, rules, sharding, substring, suffixes
+from . import bpe, fingerprints, lm, rules, sharding, substring, suffixes
 from .runtime import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -37,6 +37,10 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.log_scores(table(spark, sf_dir, "documents"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_pairs(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_sharding": op8_sharding,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_fingerprints": op10_fingerprints,
 }
 
