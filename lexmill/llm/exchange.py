@@ -104,4 +104,5 @@ def meet(texts: DataFrame, answers: DataFrame, function: Callable, schema: str)
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         return function(left, right)
 
+    answers = answers.select(*(F.col(c).alias(c) for c in answers.columns))  # texts may be an ancestor of the answers
     return texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(run, schema)

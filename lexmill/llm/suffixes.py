@@ -1,8 +1,9 @@
 """Removal of repeated byte strings by merged Burrows-Wheeler transforms.
 
-Only texts' parts that can repeat are sorted: windows of 50 bytes whose fingerprint (the least hash of their
-16-byte grams) another document has too. Runs of such windows, called contexts, go to a bucket by fingerprint, so
-equal windows meet in one bucket. A bucket cuts its distinct contexts into shards, makes each shard's suffix order
+Only texts' parts that can repeat are sorted. Exact copies of a text are represented by their least doc_id. In the
+rest, windows of 50 bytes count whose fingerprint (the least hash of their 16-byte grams) another document has
+too; runs of such windows, called contexts, meet in a bucket by fingerprint. A fingerprint with one distinct
+context is settled by the least id that has it. Of the others the bytes are sent as well: a bucket cuts its distinct contexts into shards, makes each shard's suffix order
 and transform, and merges the transforms by refining their interleave: after h rounds it is sorted by h symbols,
 and the places where a round tells neighbours apart bound the intervals of common prefixes of h. After 50 rounds
 the intervals are the repeated strings; no suffix is sorted again. Each interval's least doc_id goes back.
@@ -15,6 +16,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import arrays as A
 from . import exchange as X
@@ -30,8 +32,11 @@ SHARD_BYTES = 64 << 10
 COMMON = 48
 
 FLAGGED = "batch long, keys array<long>, common array<boolean>"
-SENT = "bucket int, batch long, keys array<long>, mark array<long>, one array<long>, two array<long>, size array<int>, first_id array<long>, last_id array<long>, bytes binary"
+SENT = "bucket int, batch long, keys array<long>, mark array<long>, one array<long>, two array<long>, size array<int>, first_id array<long>, last_id array<long>"
+SENT_BYTES = SENT + ", bytes binary"
 FOUND = "batch long, mark array<long>, single array<boolean>, one array<long>, two array<long>, start array<int>, stop array<int>, least_id array<long>"
+#: A reply that stops here asks for the bytes of all contexts of the fingerprint.
+SEND_BYTES = -1
 RESULT = "doc_id long, n_bytes long, n_removed long, kept binary, spans array<struct<start: int, stop: int>>"
 
 
@@ -73,38 +78,98 @@ def contexts(data: np.ndarray, offsets: np.ndarray, common: np.ndarray, wanted:
     return {"start": start, "count": count, "mark": marks[first], "one": one, "two": two, "owner": owner[start]}
 
 
-def send_contexts(texts: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
-    """The distinct contexts of a batch with a shared fingerprint, by bucket, with the least and greatest id."""
-    empty = {n: np.zeros(0, t) for n, t in (("mark", np.int64), ("one", np.int64), ("two", np.int64), ("size", np.int32), ("first_id", np.int64), ("last_id", np.int64))}
-    if not texts.num_rows or not answers.num_rows:
-        return X.packed(0, np.zeros(0, A.U64), empty, buckets).append_column("bytes", pa.array([], pa.binary()))
+def copies(texts: DataFrame) -> DataFrame:
+    """For each batch the hashes of its texts that another document has too, and the least id with that text."""
+    rows = texts.select("batch", "text_one", "text_two", F.coalesce("doc_id", F.lit(int(X.NO_ID))).alias("id"))
+    texts_of = ["text_one", "text_two"]
+    least = rows.groupBy(*texts_of).agg(F.min("id").alias("least"), F.max("id").alias("last")).where("least < last").drop("last")
+    own = rows.groupBy("batch", *texts_of).agg(F.max("id").alias("last"))
+    found = own.join(least, texts_of).where("least < last")
+    return found.groupBy("batch").agg(*(F.collect_list(c).alias(f"copy_{n}") for n, c in (("one", "text_one"), ("two", "text_two"), ("least", "least"))))
+
+
+def are_copies(texts: pa.Table, answers: pa.Table) -> np.ndarray:
+    """Which texts of a batch also stand in a document of smaller id."""
+    rows = answers.filter(answers.column("copy_one").is_valid())
+    _, one, two, least = X.unpacked(rows, ["copy_one", "copy_two", "copy_least"])
+    known = dict(zip(zip(one.tolist(), two.tolist()), least.tolist()))
+    keys = zip(texts.column("text_one").to_pylist(), texts.column("text_two").to_pylist())
+    return np.array([known.get(k, X.NO_ID) < i for k, i in zip(keys, X.ids_of(texts).tolist())], bool)
+
+
+def originals(texts: pa.Table, answers: pa.Table) -> pa.Table:
+    return texts.filter(pa.array(~are_copies(texts, answers)))
+
+
+def send_original_marks(texts: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
+    own = originals(texts, answers)
+    if not own.num_rows:
+        return X.packed(0, np.zeros(0, A.U64), {"many": np.zeros(0, bool)}, buckets)
+    return send_marks(own, buckets, byte_marks)
+
+
+def send_contexts(texts: pa.Table, answers: pa.Table, buckets: int, with_bytes: bool) -> pa.Table:
+    """The distinct contexts of a batch that are asked about, by bucket, with the least and greatest id."""
+    nothing = pa.array([], pa.binary())
+    texts = originals(texts, answers)
+    asked = answers.filter(answers.column("mark" if with_bytes else "keys").is_valid())
+    if with_bytes:
+        _, keys, stop = X.unpacked(asked, ["mark", "stop"])
+        keys, common = keys[stop == SEND_BYTES].view(A.U64), np.zeros(0, A.U64)
+    else:
+        _, keys, many = X.unpacked(asked, ["keys", "common"])
+        keys = keys.view(A.U64)
+        common = np.sort(keys[many.astype(bool)])
+    if not texts.num_rows or not len(keys):
+        kinds = {"mark": np.int64, "one": np.int64, "two": np.int64, "size": np.int32, "first_id": np.int64, "last_id": np.int64}
+        out = X.packed(0, np.zeros(0, A.U64), {n: np.zeros(0, t) for n, t in kinds.items()}, buckets)
+        return out.append_column("bytes", nothing) if with_bytes else out
     data, offsets = X.texts_of(texts)
     ids = X.ids_of(texts)
-    _, keys, many = X.unpacked(answers, ["keys", "common"])
-    keys = keys.view(A.U64)
-    common = np.sort(keys[many.astype(bool)])
     c = contexts(data, offsets, common, np.sort(keys))
-    single = member(c["mark"], common)[0]
-    key = np.where(single, c["one"], c["mark"])
+    key = np.where(member(c["mark"], common)[0], c["one"], c["mark"])
     of = ids[c["owner"]]
     order = np.lexsort((of, c["two"], c["one"], key))
     c = {n: v[order] for n, v in c.items()}
     key, of = key[order], of[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (key[1:] != key[:-1]) | (c["one"][1:] != c["one"][:-1]) | (c["two"][1:] != c["two"][:-1])
-    heads = np.flatnonzero(new)
+    heads = heads_of(key, c["one"], c["two"])
     tails = np.append(heads[1:], len(order)) - 1
     key = key[heads]
     size = c["count"][heads] + WINDOW - 1
     lists = {n: c[n][heads].view(np.int64) for n in ("mark", "one", "two")}
     lists |= {"size": size.astype(np.int32), "first_id": of[heads], "last_id": of[tails]}
     rows = X.packed(texts.column("batch")[0].as_py(), key, lists, buckets)
+    if not with_bytes:
+        return rows
     blob = data[A.spread(c["start"][heads], size)].tobytes()
     per_bucket = np.diff(np.flatnonzero(np.diff(X.deal(key, buckets), prepend=-1)), append=len(key))
     cut = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(per_bucket)])].tolist()
     return rows.append_column("bytes", pa.array([blob[a:b] for a, b in zip(cut, cut[1:])], pa.binary()))
 
 
+def heads_of(*columns: np.ndarray) -> np.ndarray:
+    """Where rows of sorted columns differ from the row before."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(new)
+
+
+def settle(table: pa.Table) -> pa.Table:
+    """Least ids for the contexts that are the only ones of their key; for those of other keys, a call for bytes."""
+    batch, key, mark, one, two, size, first_id, last_id = X.unpacked(table, ["keys", "mark", "one", "two", "size", "first_id", "last_id"])
+    order = np.lexsort((two, one, key))
+    heads = heads_of(key[order], one[order], two[order])
+    context = np.empty(len(order), np.int64)
+    context[order] = np.repeat(np.arange(len(heads)), np.diff(heads, append=len(order)))
+    least = np.minimum.reduceat(first_id[order], heads) if len(heads) else first_id
+    _, code, count = np.unique(key[order[heads]], return_inverse=True, return_counts=True)
+    mixed = (count[code] > 1)[context]
+    answer = np.flatnonzero(mixed | (least[context] < last_id))
+    lists = {"mark": mark[answer], "single": (key != mark)[answer], "one": one[answer], "two": two[answer], "start": np.zeros(len(answer), np.int32)}
+    stop = np.where(mixed, SEND_BYTES, size - WINDOW + 1)[answer].astype(np.int32)
+    return X.replied(batch[answer], lists | {"stop": stop, "least_id": least[context[answer]]})
+
+
 def suffix_order(symbols: np.ndarray) -> np.ndarray:
     """Order of the suffixes of texts that each end with symbol 0; equal suffixes stay in order of place.
 
@@ -202,35 +267,22 @@ def least_ids(table: pa.Table) -> pa.Table:
     text = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8)
     start = np.cumsum(size, dtype=np.int64) - size
     order = np.lexsort((two, one, key))
-    new = np.ones(len(order), bool)
-    k, x, y = key[order], one[order], two[order]
-    new[1:] = (k[1:] != k[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-    heads = np.flatnonzero(new)
-    if not len(heads):
-        return X.replied(batch, {n: np.zeros(0, t) for n, t in (("mark", np.int64), ("single", bool), ("one", np.int64), ("two", np.int64), ("start", np.int32), ("stop", np.int32), ("least_id", np.int64))})
+    heads = heads_of(key[order], one[order], two[order])
     context = np.empty(len(order), np.int64)
-    context[order] = np.cumsum(new) - 1
+    context[order] = np.repeat(np.arange(len(heads)), np.diff(heads, append=len(order)))
     own = order[heads]  # a sender of each distinct context
     least = np.minimum.reduceat(first_id[order], heads)
-    windows = size[own].astype(np.int64) - WINDOW + 1
+    sizes = size[own].astype(np.int64)
+    windows = sizes - WINDOW + 1
     base = np.cumsum(windows) - windows
-    window_least = np.repeat(least, windows)
-    # contexts that share their key with another one are ordered; the windows of the others are equal as wholes
-    _, code, count = np.unique(key[own], return_inverse=True, return_counts=True)
-    mixed = np.flatnonzero(count[code] > 1)
-    if len(mixed):
-        sizes = size[own[mixed]].astype(np.int64)
-        place, block = intervals(text[A.spread(start[own[mixed]], sizes)], sizes)
-        which = np.repeat(np.arange(len(mixed)), sizes)[place]
-        inner = place - (np.cumsum(sizes) - sizes)[which]
-        cuts = np.flatnonzero(np.diff(block, prepend=-1))
-        low = np.minimum.reduceat(least[mixed[which]], cuts)
-        window_least[base[mixed[which]] + inner] = np.repeat(low, np.diff(cuts, append=len(block)))
+    place, block = intervals(text[A.spread(start[own], sizes)], sizes)
+    which = np.repeat(np.arange(len(own)), sizes)[place]
+    inner = place - (np.cumsum(sizes) - sizes)[which]
+    cuts = heads_of(block)
+    window_least = np.empty(int(windows.sum()), np.int64)
+    window_least[base[which] + inner] = np.repeat(np.minimum.reduceat(least[which], cuts), np.diff(cuts, append=len(block)))
     # runs of windows with one least id
-    head = np.ones(len(window_least), bool)
-    head[1:] = window_least[1:] != window_least[:-1]
-    head[base] = True
-    run = np.flatnonzero(head)
+    run = heads_of(window_least, np.repeat(np.arange(len(own)), windows))
     run_context = np.searchsorted(base, run, "right") - 1
     run_start = run - base[run_context]
     run_stop = np.append(run[1:], len(window_least)) - base[run_context]
@@ -241,7 +293,7 @@ def least_ids(table: pa.Table) -> pa.Table:
     low = window_least[run[at]]
     use = low < last_id[entry]
     entry, at = entry[use], at[use]
-    lists = {"mark": mark[entry], "single": key[entry] != mark[entry], "one": one[entry], "two": two[entry]}
+    lists = {"mark": mark[entry], "single": np.zeros(len(entry), bool), "one": one[entry], "two": two[entry]}
     return X.replied(batch[entry], lists | {"start": run_start[at].astype(np.int32), "stop": run_stop[at].astype(np.int32), "least_id": low[use]})
 
 
@@ -251,14 +303,16 @@ def drop_repeats(texts: pa.Table, answers: pa.Table) -> pa.Table:
         return result_table(np.zeros(0, np.int64), [], [], [], [])
     data, offsets = X.texts_of(texts)
     ids = X.ids_of(texts)
-    gone = np.zeros(len(data), bool)
-    if answers.num_rows:
-        _, mark, single, one, two, start, stop, least = X.unpacked(answers, ["mark", "single", "one", "two", "start", "stop", "least_id"])
-        order = np.argsort(one.view(A.U64), kind="stable")
-        one, two = one.view(A.U64)[order], two.view(A.U64)[order]
-        start, stop, least = start[order], stop[order], least[order]
-        marks = np.sort(mark.view(A.U64))
-        c = contexts(data, offsets, np.sort(mark.view(A.U64)[single.astype(bool)]), marks)
+    copy = are_copies(texts, answers)
+    gone = np.repeat(copy & (np.diff(offsets) >= WINDOW), np.diff(offsets))
+    found = answers.filter(answers.column("mark").is_valid())
+    _, mark, single, one, two, start, stop, least = X.unpacked(found, ["mark", "single", "one", "two", "start", "stop", "least_id"])
+    use = np.flatnonzero(stop != SEND_BYTES)
+    if len(use):
+        order = use[np.argsort(one.view(A.U64)[use], kind="stable")]
+        mark, one, two = (x.view(A.U64)[order] for x in (mark, one, two))
+        single, start, stop, least = single.astype(bool)[order], start[order], stop[order], least[order]
+        c = contexts(data, offsets, np.sort(mark[single]), np.sort(mark))
         low, high = np.searchsorted(one, c["one"]), np.searchsorted(one, c["one"], "right")
         which = np.repeat(np.arange(len(low)), high - low)
         at = A.spread(low, high - low)
@@ -267,7 +321,7 @@ def drop_repeats(texts: pa.Table, answers: pa.Table) -> pa.Table:
         steps = np.zeros(len(data) + 1, np.int64)
         np.add.at(steps, c["start"][which] + start[at], 1)
         np.add.at(steps, c["start"][which] + stop[at] + WINDOW - 1, -1)
-        gone = np.cumsum(steps[:-1]) > 0
+        gone |= np.cumsum(steps[:-1]) > 0
     lost = np.diff(np.concatenate([[0], np.cumsum(gone)])[offsets])
     whole = data.tobytes()
     kept, spans = [], []
@@ -292,10 +346,14 @@ def drop_repeated_bytes(docs: DataFrame, ingests: int = INGESTS, common: int = C
     text is empty. Documents of one id, or both without an id, are never earlier than each other; a document
     without an id is later than all with one. Other columns are not carried; an empty table gives no rows.
     """
-    texts, batches = X.batched(docs, BATCH_BYTES, ingests)
+    texts, batches = X.batched(docs, BATCH_BYTES, ingests, text_one=F.xxhash64("text"), text_two=F.xxhash64(F.lit(1), "text"))
     buckets = X.bucket_count(docs)
-    sent = X.grouped(texts, "batch", partial(send_marks, buckets=buckets, marks_of=byte_marks), RUNS)
+    same = copies(texts)
+    sent = X.meet(texts, same, partial(send_original_marks, buckets=buckets), RUNS)
     flagged = X.grouped(sent, "bucket", partial(flag_marks, batches=batches, many=common), FLAGGED)
-    asked = X.meet(texts, flagged, partial(send_contexts, buckets=buckets), SENT)
-    found = X.grouped(asked, "bucket", least_ids, FOUND)
-    return X.meet(texts, found, drop_repeats, RESULT)
+    flagged = flagged.unionByName(same, allowMissingColumns=True)
+    asked = X.meet(texts, flagged, partial(send_contexts, buckets=buckets, with_bytes=False), SENT)
+    found = X.grouped(asked, "bucket", settle, FOUND)
+    answers = found.unionByName(same, allowMissingColumns=True)
+    asked = X.meet(texts, answers, partial(send_contexts, buckets=buckets, with_bytes=True), SENT_BYTES)
+    return X.meet(texts, answers.unionByName(X.grouped(asked, "bucket", least_ids, FOUND), allowMissingColumns=True), drop_repeats, RESULT)
