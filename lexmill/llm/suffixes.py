@@ -1,7 +1,7 @@
 """Removal of repeated byte strings by merged Burrows-Wheeler transforms.
 
 Only texts' parts that can repeat are sorted. Exact copies of a text are represented by their least doc_id. In the
-rest, windows of 50 bytes count whose fingerprint (the least hash of their 16-byte grams) another document has
+rest, windows of 50 bytes count whose fingerprint (the least hash of their 28-byte grams) another document has
 too; runs of such windows, called contexts, meet in a bucket by fingerprint. A fingerprint with one distinct
 context is settled by the least id that has it. Of the others the bytes are sent as well: a bucket cuts its distinct contexts into shards, makes each shard's suffix order
 and transform, and merges the transforms by refining their interleave: after h rounds it is sorted by h symbols,
@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 
 from . import arrays as A
 from . import exchange as X
-from .substring import INGESTS, RUNS, flag_shared, member, send_marks, window_marks
+from .substring import INGESTS, distinct_marks, flag_shared, member, window_marks
 
 WINDOW = 50
-GRAM = 16
+GRAM = 28
 #: Windows of a context at most.
 LONGEST = WINDOW - GRAM + 1
 BATCH_BYTES = 1 << 20
@@ -31,51 +31,64 @@ SHARD_BYTES = 64 << 10
 #: A fingerprint that so many batches have is common: its windows go to buckets by their own content, one by one.
 COMMON = 48
 
-FLAGGED = "batch long, keys array<long>, common array<boolean>"
-SENT = "bucket int, batch long, keys array<long>, mark array<long>, one array<long>, two array<long>, size array<int>, first_id array<long>, last_id array<long>"
+MARKS = "bucket int, batch long, keys array<int>, many array<boolean>"
+FLAGGED = "batch long, bucket int, keys array<int>, common array<boolean>"
+SENT = "bucket int, batch long, keys array<long>, mark array<long>, one array<long>, size array<int>, first_id array<long>, last_id array<long>"
 SENT_BYTES = SENT + ", bytes binary"
-FOUND = "batch long, mark array<long>, single array<boolean>, one array<long>, two array<long>, start array<int>, stop array<int>, least_id array<long>"
+FOUND = "batch long, mark array<long>, single array<boolean>, one array<long>, start array<int>, stop array<int>, least_id array<long>"
 #: A reply that stops here asks for the bytes of all contexts of the fingerprint.
 SEND_BYTES = -1
 RESULT = "doc_id long, n_bytes long, n_removed long, kept binary, spans array<struct<start: int, stop: int>>"
 
 
-def byte_marks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def byte_marks(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprints of all windows: their bucket and 32 bits more. As a bucket holds a bounded number of them, few
+    meet by chance, and those are told apart by their contexts."""
     marks, inside = window_marks(A.letters(data), offsets, WINDOW, GRAM)
-    return marks, inside, A.owners(offsets)
+    short = X.deal(marks, buckets).astype(A.U64) << A.U64(32) | marks & A.U64(0xFFFFFFFF)
+    return short, inside, A.owners(offsets)
 
 
 def flag_marks(table: pa.Table, batches: int, many: int) -> pa.Table:
     """Fingerprints that two documents have, and whether very many batches have them."""
-    found = flag_shared(table, batches)
-    batch, keys = X.unpacked(found, ["keys"])
+    wide = table.set_column(2, "keys", table.column("keys").cast(pa.list_(pa.int64())))
+    batch, keys = X.unpacked(flag_shared(wide, batches), ["keys"])
     _, code, count = np.unique(keys, return_inverse=True, return_counts=True)
-    return X.replied(batch, {"keys": keys, "common": count[code] >= many})
+    out = X.replied(batch, {"keys": keys.astype(np.int32), "common": count[code] >= many})
+    return out.add_column(1, "bucket", pa.array(np.full(out.num_rows, table.column("bucket")[0].as_py(), np.int32)))
 
 
-def contexts(data: np.ndarray, offsets: np.ndarray, common: np.ndarray, wanted: np.ndarray | None = None) -> dict[str, np.ndarray]:
+def flagged_marks(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Whole fingerprints from their buckets' 32 bits, and whether they are common."""
+    _, keys, common = X.unpacked(answers, ["keys", "common"])
+    sizes = answers.column("keys").combine_chunks().value_lengths().to_numpy() if answers.num_rows else np.zeros(0, np.int64)
+    bucket = np.repeat(answers.column("bucket").to_numpy(), sizes).astype(A.U64)
+    return bucket << A.U64(32) | keys.astype(np.uint32).astype(A.U64), common.astype(bool)
+
+
+def contexts(data: np.ndarray, offsets: np.ndarray, buckets: int, common: np.ndarray, wanted: np.ndarray) -> dict[str, np.ndarray]:
     """Runs of neighbouring windows with one fingerprint, at most LONGEST of them; those of common fingerprints singly.
 
-    wanted: keep runs of these fingerprints only. Both hashes of a context are over all its bytes.
+    wanted: keep runs of these fingerprints only. A context is known by its fingerprint and 64 bits of hash over all
+    its bytes.
     """
-    marks, inside, owner = byte_marks(data, offsets)
+    marks, inside, owner = byte_marks(data, offsets, buckets)
     at = np.flatnonzero(inside)
     marks = marks[at]
     head = np.ones(len(at), bool)
     head[1:] = (marks[1:] != marks[:-1]) | (at[1:] != at[:-1] + 1)
     heads = np.flatnonzero(head)
     size = np.diff(heads, append=len(at))
-    if wanted is not None:
-        use = member(marks[heads], wanted)[0]
-        heads, size = heads[use], size[use]
+    use = member(marks[heads], wanted)[0]
+    heads, size = heads[use], size[use]
     step = np.where(member(marks[heads], common)[0], 1, LONGEST)
     parts = -(-size // step)
     first = np.repeat(heads, parts) + A.spread(np.zeros(len(heads), np.int64), parts) * np.repeat(step, parts)
     count = np.minimum(np.repeat(step, parts), np.repeat(heads + size, parts) - first)
     start = at[first]
     end = start + count + WINDOW - 1
-    one, two = (A.span_hash(A.byte_sums(data, k), start, end, k) for k in (0, 1))
-    return {"start": start, "count": count, "mark": marks[first], "one": one, "two": two, "owner": owner[start]}
+    one = A.span_hash(A.byte_sums(data, 1), start, end, 1)
+    return {"start": start, "count": count, "mark": marks[first], "one": one, "owner": owner[start]}
 
 
 def copies(texts: DataFrame) -> DataFrame:
@@ -103,9 +116,15 @@ def originals(texts: pa.Table, answers: pa.Table) -> pa.Table:
 
 def send_original_marks(texts: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     own = originals(texts, answers)
-    if not own.num_rows:
-        return X.packed(0, np.zeros(0, A.U64), {"many": np.zeros(0, bool)}, buckets)
-    return send_marks(own, buckets, byte_marks)
+    keys, many = np.zeros(0, A.U64), np.zeros(0, bool)
+    if own.num_rows:
+        keys, many = distinct_marks(*byte_marks(*X.texts_of(own), buckets))
+    bucket = (keys >> A.U64(32)).astype(np.int32)
+    heads = np.flatnonzero(np.diff(bucket, prepend=-1))
+    sizes = np.diff(heads, append=len(keys))
+    batch = np.full(len(heads), texts.column("batch")[0].as_py() if texts.num_rows else 0, np.int64)
+    low = keys.astype(np.uint32).view(np.int32)
+    return pa.table({"bucket": pa.array(bucket[heads]), "batch": pa.array(batch), "keys": A.list_array(pa.array(low), sizes), "many": A.list_array(pa.array(many), sizes)})
 
 
 def send_contexts(texts: pa.Table, answers: pa.Table, buckets: int, with_bytes: bool) -> pa.Table:
@@ -117,26 +136,26 @@ def send_contexts(texts: pa.Table, answers: pa.Table, buckets: int, with_bytes:
         _, keys, stop = X.unpacked(asked, ["mark", "stop"])
         keys, common = keys[stop == SEND_BYTES].view(A.U64), np.zeros(0, A.U64)
     else:
-        _, keys, many = X.unpacked(asked, ["keys", "common"])
-        keys = keys.view(A.U64)
-        common = np.sort(keys[many.astype(bool)])
+        keys, many = flagged_marks(asked)
+        common = np.sort(keys[many])
     if not texts.num_rows or not len(keys):
-        kinds = {"mark": np.int64, "one": np.int64, "two": np.int64, "size": np.int32, "first_id": np.int64, "last_id": np.int64}
+        kinds = {"mark": np.int64, "one": np.int64, "size": np.int32, "first_id": np.int64, "last_id": np.int64}
         out = X.packed(0, np.zeros(0, A.U64), {n: np.zeros(0, t) for n, t in kinds.items()}, buckets)
         return out.append_column("bytes", nothing) if with_bytes else out
     data, offsets = X.texts_of(texts)
     ids = X.ids_of(texts)
-    c = contexts(data, offsets, common, np.sort(keys))
-    key = np.where(member(c["mark"], common)[0], c["one"], c["mark"])
+    c = contexts(data, offsets, buckets, common, np.sort(keys))
+    # mixed, so that keys spread over buckets evenly
+    key = A.mix(np.where(member(c["mark"], common)[0], c["one"], c["mark"]))
     of = ids[c["owner"]]
-    order = np.lexsort((of, c["two"], c["one"], key))
+    order = np.lexsort((of, c["one"], key))
     c = {n: v[order] for n, v in c.items()}
     key, of = key[order], of[order]
-    heads = heads_of(key, c["one"], c["two"])
+    heads = heads_of(key, c["one"])
     tails = np.append(heads[1:], len(order)) - 1
     key = key[heads]
     size = c["count"][heads] + WINDOW - 1
-    lists = {n: c[n][heads].view(np.int64) for n in ("mark", "one", "two")}
+    lists = {n: c[n][heads].view(np.int64) for n in ("mark", "one")}
     lists |= {"size": size.astype(np.int32), "first_id": of[heads], "last_id": of[tails]}
     rows = X.packed(texts.column("batch")[0].as_py(), key, lists, buckets)
     if not with_bytes:
@@ -156,16 +175,16 @@ def heads_of(*columns: np.ndarray) -> np.ndarray:
 
 def settle(table: pa.Table) -> pa.Table:
     """Least ids for the contexts that are the only ones of their key; for those of other keys, a call for bytes."""
-    batch, key, mark, one, two, size, first_id, last_id = X.unpacked(table, ["keys", "mark", "one", "two", "size", "first_id", "last_id"])
-    order = np.lexsort((two, one, key))
-    heads = heads_of(key[order], one[order], two[order])
+    batch, key, mark, one, size, first_id, last_id = X.unpacked(table, ["keys", "mark", "one", "size", "first_id", "last_id"])
+    order = np.lexsort((one, key))
+    heads = heads_of(key[order], one[order])
     context = np.empty(len(order), np.int64)
     context[order] = np.repeat(np.arange(len(heads)), np.diff(heads, append=len(order)))
     least = np.minimum.reduceat(first_id[order], heads) if len(heads) else first_id
     _, code, count = np.unique(key[order[heads]], return_inverse=True, return_counts=True)
     mixed = (count[code] > 1)[context]
     answer = np.flatnonzero(mixed | (least[context] < last_id))
-    lists = {"mark": mark[answer], "single": (key != mark)[answer], "one": one[answer], "two": two[answer], "start": np.zeros(len(answer), np.int32)}
+    lists = {"mark": mark[answer], "single": (key.view(A.U64) != A.mix(mark.view(A.U64)))[answer], "one": one[answer], "start": np.zeros(len(answer), np.int32)}
     stop = np.where(mixed, SEND_BYTES, size - WINDOW + 1)[answer].astype(np.int32)
     return X.replied(batch[answer], lists | {"stop": stop, "least_id": least[context[answer]]})
 
@@ -263,11 +282,11 @@ def intervals(text: np.ndarray, sizes: np.ndarray, depth: int = WINDOW) -> tuple
 
 def least_ids(table: pa.Table) -> pa.Table:
     """For every context a batch sent, the least id for each of its windows, where that is less than its greatest."""
-    batch, key, mark, one, two, size, first_id, last_id = X.unpacked(table, ["keys", "mark", "one", "two", "size", "first_id", "last_id"])
+    batch, key, mark, one, size, first_id, last_id = X.unpacked(table, ["keys", "mark", "one", "size", "first_id", "last_id"])
     text = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8)
     start = np.cumsum(size, dtype=np.int64) - size
-    order = np.lexsort((two, one, key))
-    heads = heads_of(key[order], one[order], two[order])
+    order = np.lexsort((one, key))
+    heads = heads_of(key[order], one[order])
     context = np.empty(len(order), np.int64)
     context[order] = np.repeat(np.arange(len(heads)), np.diff(heads, append=len(order)))
     own = order[heads]  # a sender of each distinct context
@@ -293,11 +312,11 @@ def least_ids(table: pa.Table) -> pa.Table:
     low = window_least[run[at]]
     use = low < last_id[entry]
     entry, at = entry[use], at[use]
-    lists = {"mark": mark[entry], "single": np.zeros(len(entry), bool), "one": one[entry], "two": two[entry]}
+    lists = {"mark": mark[entry], "single": np.zeros(len(entry), bool), "one": one[entry]}
     return X.replied(batch[entry], lists | {"start": run_start[at].astype(np.int32), "stop": run_stop[at].astype(np.int32), "least_id": low[use]})
 
 
-def drop_repeats(texts: pa.Table, answers: pa.Table) -> pa.Table:
+def drop_repeats(texts: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     """Result rows of a batch of texts."""
     if not texts.num_rows:
         return result_table(np.zeros(0, np.int64), [], [], [], [])
@@ -306,17 +325,17 @@ def drop_repeats(texts: pa.Table, answers: pa.Table) -> pa.Table:
     copy = are_copies(texts, answers)
     gone = np.repeat(copy & (np.diff(offsets) >= WINDOW), np.diff(offsets))
     found = answers.filter(answers.column("mark").is_valid())
-    _, mark, single, one, two, start, stop, least = X.unpacked(found, ["mark", "single", "one", "two", "start", "stop", "least_id"])
+    _, mark, single, one, start, stop, least = X.unpacked(found, ["mark", "single", "one", "start", "stop", "least_id"])
     use = np.flatnonzero(stop != SEND_BYTES)
     if len(use):
         order = use[np.argsort(one.view(A.U64)[use], kind="stable")]
-        mark, one, two = (x.view(A.U64)[order] for x in (mark, one, two))
+        mark, one = mark.view(A.U64)[order], one.view(A.U64)[order]
         single, start, stop, least = single.astype(bool)[order], start[order], stop[order], least[order]
-        c = contexts(data, offsets, np.sort(mark[single]), np.sort(mark))
+        c = contexts(data, offsets, buckets, np.sort(mark[single]), np.sort(mark))
         low, high = np.searchsorted(one, c["one"]), np.searchsorted(one, c["one"], "right")
         which = np.repeat(np.arange(len(low)), high - low)
         at = A.spread(low, high - low)
-        use = (two[at] == c["two"][which]) & (least[at] < ids[c["owner"][which]])
+        use = (mark[at] == c["mark"][which]) & (least[at] < ids[c["owner"][which]])
         which, at = which[use], at[use]
         steps = np.zeros(len(data) + 1, np.int64)
         np.add.at(steps, c["start"][which] + start[at], 1)
@@ -349,11 +368,11 @@ def drop_repeated_bytes(docs: DataFrame, ingests: int = INGESTS, common: int = C
     texts, batches = X.batched(docs, BATCH_BYTES, ingests, text_one=F.xxhash64("text"), text_two=F.xxhash64(F.lit(1), "text"))
     buckets = X.bucket_count(docs)
     same = copies(texts)
-    sent = X.meet(texts, same, partial(send_original_marks, buckets=buckets), RUNS)
+    sent = X.meet(texts, same, partial(send_original_marks, buckets=buckets), MARKS)
     flagged = X.grouped(sent, "bucket", partial(flag_marks, batches=batches, many=common), FLAGGED)
     flagged = flagged.unionByName(same, allowMissingColumns=True)
     asked = X.meet(texts, flagged, partial(send_contexts, buckets=buckets, with_bytes=False), SENT)
     found = X.grouped(asked, "bucket", settle, FOUND)
     answers = found.unionByName(same, allowMissingColumns=True)
     asked = X.meet(texts, answers, partial(send_contexts, buckets=buckets, with_bytes=True), SENT_BYTES)
-    return X.meet(texts, answers.unionByName(X.grouped(asked, "bucket", least_ids, FOUND), allowMissingColumns=True), drop_repeats, RESULT)
+    return X.meet(texts, answers.unionByName(X.grouped(asked, "bucket", least_ids, FOUND), allowMissingColumns=True), partial(drop_repeats, buckets=buckets), RESULT)
