@@ -129,7 +129,7 @@ def keep_sets(texts: pa.Table, answers: pa.Table, common) -> pa.Table:
         ends = np.cumsum(counts)
         parts.append([found[e - c : e] for c, e in zip(counts.tolist(), ends.tolist())])
     whole = tokens.view(np.int64)
-    sums = [np.concatenate([[0], np.cumsum(A.mix(tokens + A.U64(k)), dtype=np.uint64)]).astype(np.uint64) for k in (1, 2)]
+    sums = [np.concatenate([np.zeros(1, A.U64), np.cumsum(A.mix(tokens + A.U64(k)))]) for k in (1, 2)]
     one, two = (A.mix(s[first[1:]] - s[first[:-1]] + np.diff(first).astype(A.U64)).view(np.int64) for s in sums)
     lists, sets = [], []
     for i, own in enumerate(zip(*parts)):
