@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from . import arrays as A
 from . import exchange as X
+from .runtime import written
 from .substring import INGESTS, distinct_marks, flag_shared, member, window_marks
 
 WINDOW = 50
@@ -27,15 +28,15 @@ GRAM = 28
 #: Windows of a context at most.
 LONGEST = WINDOW - GRAM + 1
 BATCH_BYTES = 1 << 20
-SHARD_BYTES = 64 << 10
+SHARD_BYTES = 256 << 10
 #: A fingerprint that so many batches have is common: its windows go to buckets by their own content, one by one.
 COMMON = 48
 
 MARKS = "bucket int, batch long, keys array<int>, many array<boolean>"
 FLAGGED = "batch long, bucket int, keys array<int>, common array<boolean>"
-SENT = "bucket int, batch long, keys array<long>, mark array<long>, one array<long>, size array<int>, first_id array<long>, last_id array<long>"
+SENT = "bucket int, batch long, low array<int>, high array<int>, one array<long>, size array<tinyint>, first_id array<long>, several array<boolean>"
 SENT_BYTES = SENT + ", bytes binary"
-FOUND = "batch long, mark array<long>, single array<boolean>, one array<long>, start array<int>, stop array<int>, least_id array<long>"
+FOUND = "batch long, mark array<long>, single array<boolean>, one array<long>, start array<tinyint>, stop array<tinyint>, least_id array<long>"
 #: A reply that stops here asks for the bytes of all contexts of the fingerprint.
 SEND_BYTES = -1
 RESULT = "doc_id long, n_bytes long, n_removed long, kept binary, spans array<struct<start: int, stop: int>>"
@@ -128,8 +129,9 @@ def send_original_marks(texts: pa.Table, answers: pa.Table, buckets: int) -> pa.
 
 
 def send_contexts(texts: pa.Table, answers: pa.Table, buckets: int, with_bytes: bool) -> pa.Table:
-    """The distinct contexts of a batch that are asked about, by bucket, with the least and greatest id."""
-    nothing = pa.array([], pa.binary())
+    """The distinct contexts of a batch that are asked about, by bucket: the fingerprint, a hash, the least id and
+    whether other documents of the batch have it. The bucket is the fingerprint's; that of a single window of a common
+    fingerprint is its hash's, and ``high`` is then the fingerprint's bucket, negative and less one."""
     texts = originals(texts, answers)
     asked = answers.filter(answers.column("mark" if with_bytes else "keys").is_valid())
     if with_bytes:
@@ -138,32 +140,41 @@ def send_contexts(texts: pa.Table, answers: pa.Table, buckets: int, with_bytes:
     else:
         keys, many = flagged_marks(asked)
         common = np.sort(keys[many])
-    if not texts.num_rows or not len(keys):
-        kinds = {"mark": np.int64, "one": np.int64, "size": np.int32, "first_id": np.int64, "last_id": np.int64}
-        out = X.packed(0, np.zeros(0, A.U64), {n: np.zeros(0, t) for n, t in kinds.items()}, buckets)
-        return out.append_column("bytes", nothing) if with_bytes else out
     data, offsets = X.texts_of(texts)
     ids = X.ids_of(texts)
     c = contexts(data, offsets, buckets, common, np.sort(keys))
-    # mixed, so that keys spread over buckets evenly
-    key = A.mix(np.where(member(c["mark"], common)[0], c["one"], c["mark"]))
+    single = member(c["mark"], common)[0]
+    high = (c["mark"] >> A.U64(32)).astype(np.int32)
+    bucket = np.where(single, X.deal(c["one"], buckets), high)
+    high = np.where(single, -1 - high, high).astype(np.int32)
     of = ids[c["owner"]]
-    order = np.lexsort((of, c["one"], key))
+    order = np.lexsort((of, c["one"], c["mark"], high, bucket))
+    bucket, high, of = bucket[order], high[order], of[order]
     c = {n: v[order] for n, v in c.items()}
-    key, of = key[order], of[order]
-    heads = heads_of(key, c["one"])
-    tails = np.append(heads[1:], len(order)) - 1
-    key = key[heads]
+    heads = heads_of(bucket, high, c["mark"], c["one"])
+    tails = np.append(heads[1:], len(order)) - 1 if len(heads) else heads
     size = c["count"][heads] + WINDOW - 1
-    lists = {n: c[n][heads].view(np.int64) for n in ("mark", "one")}
-    lists |= {"size": size.astype(np.int32), "first_id": of[heads], "last_id": of[tails]}
-    rows = X.packed(texts.column("batch")[0].as_py(), key, lists, buckets)
+    lists = {
+        "low": c["mark"][heads].astype(np.uint32).view(np.int32), "high": high[heads], "one": c["one"][heads].view(np.int64),
+        "size": size.astype(np.int8), "first_id": of[heads], "several": of[heads] != of[tails],
+    }
+    rows = heads_of(bucket[heads])
+    sizes = np.diff(rows, append=len(heads))
+    batch = np.full(len(rows), texts.column("batch")[0].as_py() if texts.num_rows else 0, np.int64)
+    out = pa.table({"bucket": pa.array(bucket[heads][rows].astype(np.int32)), "batch": pa.array(batch)} | {n: A.list_array(pa.array(v), sizes) for n, v in lists.items()})
     if not with_bytes:
-        return rows
+        return out
     blob = data[A.spread(c["start"][heads], size)].tobytes()
-    per_bucket = np.diff(np.flatnonzero(np.diff(X.deal(key, buckets), prepend=-1)), append=len(key))
-    cut = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(per_bucket)])].tolist()
-    return rows.append_column("bytes", pa.array([blob[a:b] for a, b in zip(cut, cut[1:])], pa.binary()))
+    cut = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+    return out.append_column("bytes", pa.array([blob[a:b] for a, b in zip(cut, cut[1:])], pa.binary()))
+
+
+def sent_contexts(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """Batch, fingerprint, whether single, hash, size, least id and whether several, of what a bucket was sent."""
+    batch, low, high, one, size, first_id, several = X.unpacked(table, ["low", "high", "one", "size", "first_id", "several"])
+    single = high < 0
+    mark = np.where(single, -1 - high, high).astype(A.U64) << A.U64(32) | low.view(np.uint32).astype(A.U64)
+    return batch, mark.view(np.int64), single, one, size.astype(np.int64), first_id, several.astype(bool)
 
 
 def heads_of(*columns: np.ndarray) -> np.ndarray:
@@ -174,41 +185,45 @@ def heads_of(*columns: np.ndarray) -> np.ndarray:
 
 
 def settle(table: pa.Table) -> pa.Table:
-    """Least ids for the contexts that are the only ones of their key; for those of other keys, a call for bytes."""
-    batch, key, mark, one, size, first_id, last_id = X.unpacked(table, ["keys", "mark", "one", "size", "first_id", "last_id"])
-    order = np.lexsort((one, key))
-    heads = heads_of(key[order], one[order])
+    """Least ids for the contexts that are the only ones of their fingerprint; for the others, a call for bytes."""
+    batch, mark, single, one, size, first_id, several = sent_contexts(table)
+    order = np.lexsort((one, mark, single))
+    heads = heads_of(single[order], mark[order], one[order])
     context = np.empty(len(order), np.int64)
     context[order] = np.repeat(np.arange(len(heads)), np.diff(heads, append=len(order)))
-    least = np.minimum.reduceat(first_id[order], heads) if len(heads) else first_id
-    _, code, count = np.unique(key[order[heads]], return_inverse=True, return_counts=True)
-    mixed = (count[code] > 1)[context]
-    answer = np.flatnonzero(mixed | (least[context] < last_id))
-    lists = {"mark": mark[answer], "single": (key.view(A.U64) != A.mix(mark.view(A.U64)))[answer], "one": one[answer], "start": np.zeros(len(answer), np.int32)}
-    stop = np.where(mixed, SEND_BYTES, size - WINDOW + 1)[answer].astype(np.int32)
+    least = np.minimum.reduceat(first_id[order], heads)
+    own = order[heads]
+    _, code, count = np.unique(mark[own], return_inverse=True, return_counts=True)
+    mixed = ((count[code] > 1) & ~single[own])[context]
+    answer = np.flatnonzero(mixed | several | (least[context] < first_id))
+    lists = {"mark": mark[answer], "single": single[answer], "one": one[answer], "start": np.zeros(len(answer), np.int8)}
+    stop = np.where(mixed, SEND_BYTES, size - WINDOW + 1)[answer].astype(np.int8)
     return X.replied(batch[answer], lists | {"stop": stop, "least_id": least[context[answer]]})
 
 
 def suffix_order(symbols: np.ndarray) -> np.ndarray:
     """Order of the suffixes of texts that each end with symbol 0; equal suffixes stay in order of place.
 
-    Ranks by eight symbols, then twice as many a round. A suffix ends with its text's 0.
+    Ranks by seven symbols, then twice as many a round. A suffix ends with its text's 0.
     """
     n = len(symbols)
     ends = np.flatnonzero(symbols == 0)
     left = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)
-    rank, depth = symbols.astype(np.int64), 1
-    longest = int(left.max(initial=0)) + 1
-    while depth < longest:
+    key = np.zeros(n, np.int64)
+    for k in range(7):  # seven symbols of nine bits
+        key <<= 9
+        inside = np.flatnonzero(left >= k)
+        key[inside] |= symbols[inside + k]
+    depth, longest = 7, int(left.max(initial=0)) + 1
+    while True:
+        values, rank = np.unique(key, return_inverse=True)
+        if depth >= longest or len(values) == n:
+            return np.argsort(rank, kind="stable")
         after = np.zeros(n, np.int64)
         more = np.flatnonzero(left >= depth)
         after[more] = rank[more + depth] + 1
-        key = rank * (int(rank.max()) + 2) + after
-        values, rank = np.unique(key, return_inverse=True)
+        key = rank * (len(values) + 1) + after
         depth *= 2
-        if len(values) == n:
-            break
-    return np.argsort(rank, kind="stable")
 
 
 def transform(symbols: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -227,18 +242,16 @@ def merged(transforms: list[np.ndarray], ends: list[int], depth: int) -> tuple[n
     """
     sizes = np.array([len(t) for t in transforms])
     whole = np.concatenate(transforms)
-    base = np.cumsum(sizes) - sizes
     total_ends = int(sum(ends))
-    source = np.repeat(np.arange(len(sizes), dtype=np.uint16), ends)
-    rest = np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes - np.array(ends))
+    numbers = np.arange(len(sizes), dtype=np.uint8 if len(sizes) < 256 else np.uint32)
+    source, rest = np.repeat(numbers, ends), np.repeat(numbers, sizes - np.array(ends))
     source = np.concatenate([source, rest])
     fixed = source[:total_ends].copy()
     block = np.zeros(len(source), np.int64)  # all have the same prefix of no symbols
     for _ in range(depth):
         # the place of each entry within its own shard: the shards' suffixes are taken in their own order
         entry = np.empty(len(source), np.int64)
-        by_shard = np.argsort(source, kind="stable")
-        entry[by_shard] = np.arange(len(source)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(base, sizes)
+        entry[np.argsort(source, kind="stable")] = np.arange(len(source))
         symbol = whole[entry]
         moving = np.flatnonzero(symbol)
         order = moving[np.argsort(symbol[moving], kind="stable")]
@@ -281,17 +294,17 @@ def intervals(text: np.ndarray, sizes: np.ndarray, depth: int = WINDOW) -> tuple
 
 
 def least_ids(table: pa.Table) -> pa.Table:
-    """For every context a batch sent, the least id for each of its windows, where that is less than its greatest."""
-    batch, key, mark, one, size, first_id, last_id = X.unpacked(table, ["keys", "mark", "one", "size", "first_id", "last_id"])
+    """For every context a batch sent, the least id for each of its windows, where that matters."""
+    batch, mark, _, one, size, first_id, several = sent_contexts(table)
     text = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8)
-    start = np.cumsum(size, dtype=np.int64) - size
-    order = np.lexsort((one, key))
-    heads = heads_of(key[order], one[order])
+    start = np.cumsum(size) - size
+    order = np.lexsort((one, mark))
+    heads = heads_of(mark[order], one[order])
     context = np.empty(len(order), np.int64)
     context[order] = np.repeat(np.arange(len(heads)), np.diff(heads, append=len(order)))
     own = order[heads]  # a sender of each distinct context
     least = np.minimum.reduceat(first_id[order], heads)
-    sizes = size[own].astype(np.int64)
+    sizes = size[own]
     windows = sizes - WINDOW + 1
     base = np.cumsum(windows) - windows
     place, block = intervals(text[A.spread(start[own], sizes)], sizes)
@@ -310,10 +323,10 @@ def least_ids(table: pa.Table) -> pa.Table:
     entry = np.repeat(np.arange(len(batch)), runs[context])
     at = A.spread(first_run[context], runs[context])
     low = window_least[run[at]]
-    use = low < last_id[entry]
+    use = several[entry] | (low < first_id[entry])
     entry, at = entry[use], at[use]
     lists = {"mark": mark[entry], "single": np.zeros(len(entry), bool), "one": one[entry]}
-    return X.replied(batch[entry], lists | {"start": run_start[at].astype(np.int32), "stop": run_stop[at].astype(np.int32), "least_id": low[use]})
+    return X.replied(batch[entry], lists | {"start": run_start[at].astype(np.int8), "stop": run_stop[at].astype(np.int8), "least_id": low[use]})
 
 
 def drop_repeats(texts: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
@@ -338,8 +351,8 @@ def drop_repeats(texts: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
         use = (mark[at] == c["mark"][which]) & (least[at] < ids[c["owner"][which]])
         which, at = which[use], at[use]
         steps = np.zeros(len(data) + 1, np.int64)
-        np.add.at(steps, c["start"][which] + start[at], 1)
-        np.add.at(steps, c["start"][which] + stop[at] + WINDOW - 1, -1)
+        np.add.at(steps, c["start"][which] + start[at].astype(np.int64), 1)
+        np.add.at(steps, c["start"][which] + stop[at].astype(np.int64) + WINDOW - 1, -1)
         gone |= np.cumsum(steps[:-1]) > 0
     lost = np.diff(np.concatenate([[0], np.cumsum(gone)])[offsets])
     whole = data.tobytes()
@@ -367,7 +380,7 @@ def drop_repeated_bytes(docs: DataFrame, ingests: int = INGESTS, common: int = C
     """
     texts, batches = X.batched(docs, BATCH_BYTES, ingests, text_one=F.xxhash64("text"), text_two=F.xxhash64(F.lit(1), "text"))
     buckets = X.bucket_count(docs)
-    same = copies(texts)
+    same = written(copies(texts), "copies")
     sent = X.meet(texts, same, partial(send_original_marks, buckets=buckets), MARKS)
     flagged = X.grouped(sent, "bucket", partial(flag_marks, batches=batches, many=common), FLAGGED)
     flagged = flagged.unionByName(same, allowMissingColumns=True)
