@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, jaccard, lm, rules, sharding, substring, suffixes
+from . import bpe, fingerprints, jaccard, licenses, lm, packing, rules, sharding, substring, suffixes
 from .runtime import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -19,6 +19,23 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: a folder for each source, language and hundred of ids. Short documents that end with a line
+    on a licence are the licence files of their folder, of their language's or of their source's, by doc_id."""
+    docs = table(spark, sf_dir, "documents")
+    is_licence = F.col("text").rlike(r"(?is)^.{0,1500}\n[^\n]*licen[cs]ed? [^\n]*$")
+    hundred = F.expr("doc_id div 100").cast("string")
+    rank = F.when(F.coalesce(is_licence, F.lit(False)), F.col("doc_id") % 3).otherwise(2)
+    name = F.when(is_licence, F.concat(F.lit("LICENSE."), "doc_id")).otherwise(F.concat("doc_id", F.lit(".txt")))
+    path = F.concat_ws("/", "source", F.when(rank > 0, F.col("lang")), F.when(rank > 1, hundred), name)
+    found = licenses.scan(docs.select(path.alias("path"), "text"))
+    return found.withColumn("doc_id", F.regexp_extract("path", r"(\d+)[^/]*$", 1).cast("long"))
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), packing.words())
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -63,8 +80,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_license_scan": op2_license_scan,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op6_quality_rules": op6_quality_rules,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_sharding": op8_sharding,
