@@ -9,11 +9,13 @@ and a word goes if a window over it also starts in a document of smaller id.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import arrays as A
 from . import exchange as X
@@ -201,8 +203,9 @@ def covered(starts: np.ndarray, window: int, n: int) -> np.ndarray:
 
 def drop_repeats(texts: pa.Table, answers: pa.Table) -> pa.Table:
     """Result rows of a batch of texts."""
+    carried = {c: texts.column(c) for c in texts.column_names if c.startswith("_carry_")}
     if not texts.num_rows:
-        return result_table([], [], [], [], [])
+        return result_table([], [], [], [], [], carried)
     data, offsets = X.texts_of(texts)
     ids = X.ids_of(texts)
     starts, ends, first = A.word_spans(data, offsets)
@@ -230,26 +233,27 @@ def drop_repeats(texts: pa.Table, answers: pa.Table) -> pa.Table:
         removed.append(n)
         edge = np.flatnonzero(np.diff(np.concatenate([[False], gone[a:b], [False]]))).tolist() if n else []
         spans.append([{"start": x, "stop": y} for x, y in zip(edge[::2], edge[1::2])])
-    return result_table(texts.column("doc_id"), np.diff(first), removed, kept, spans)
+    return result_table(texts.column("doc_id"), np.diff(first), removed, kept, spans, carried)
 
 
-def result_table(doc_id, n_words, removed, kept, spans) -> pa.Table:
+def result_table(doc_id, n_words, removed, kept, spans, carried) -> pa.Table:
     kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
     columns = [(doc_id, pa.int64()), (n_words, pa.int64()), (removed, pa.int64()), (kept, pa.binary()), (spans, kind)]
     names = ["doc_id", "n_words", "n_removed", "kept", "spans"]
-    return pa.table({n: c if isinstance(c, pa.ChunkedArray) else pa.array(c, t) for n, (c, t) in zip(names, columns)})
+    return pa.table({n: c if isinstance(c, pa.ChunkedArray) else pa.array(c, t) for n, (c, t) in zip(names, columns)} | carried)
 
 
-def drop_repeated_passages(docs: DataFrame, ingests: int = INGESTS) -> DataFrame:
+def drop_repeated_passages(docs: DataFrame, ingests: int = INGESTS, carry: Sequence[str] = ()) -> DataFrame:
     """For each document: word counts, the kept words joined by spaces (UTF-8), and the removed spans of words.
 
     Words are runs of bytes other than ASCII white space. A null text has no words. Documents of one id, or both
-    without an id, are never earlier than each other; a document without an id is later than all with one. Other
-    columns are not carried. An empty table gives no rows.
+    without an id, are never earlier than each other; a document without an id is later than all with one. The
+    columns of ``carry`` come along as ``_carry_0``, ``_carry_1``, ...; others do not. An empty table gives no rows.
     """
-    texts, batches = X.batched(docs, BATCH_BYTES, ingests)
+    texts, batches = X.batched(docs, BATCH_BYTES, ingests, **{f"_carry_{i}": F.col(c) for i, c in enumerate(carry)})
     buckets = X.bucket_count(docs)
     flagged = shared_marks(texts, batches, word_marks)
     asked = X.meet(texts, flagged, partial(send_windows, buckets=buckets), ASKED)
     found = X.grouped(asked, "bucket", least_ids, FOUND)
-    return X.meet(texts, found, drop_repeats, RESULT)
+    carried = [f"_carry_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry)]
+    return X.meet(texts, found, drop_repeats, ", ".join([RESULT, *carried]))
