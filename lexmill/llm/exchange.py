@@ -67,6 +67,29 @@ def packed(batch: int, keys: np.ndarray, columns: dict[str, np.ndarray], buckets
     )
 
 
+def short(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Keys as their bucket and 32 bits more. A bucket holds a bounded number of keys, so few meet by chance."""
+    return deal(keys, buckets).astype(A.U64) << A.U64(32) | keys & A.U64(0xFFFFFFFF)
+
+
+def packed_short(batch: int, keys: np.ndarray, many: np.ndarray) -> pa.Table:
+    """One row for each bucket with the 32 bits of its sorted short keys, and a mark for each."""
+    bucket = (keys >> A.U64(32)).astype(np.int32)
+    heads = np.flatnonzero(np.diff(bucket, prepend=-1))
+    sizes = np.diff(heads, append=len(keys))
+    low = keys.astype(np.uint32).view(np.int32)
+    rows = {"bucket": pa.array(bucket[heads]), "batch": pa.array(np.full(len(heads), batch, np.int64))}
+    return pa.table(rows | {"keys": A.list_array(pa.array(low), sizes), "many": A.list_array(pa.array(many), sizes)})
+
+
+def read_short(answers: pa.Table, mark: str) -> tuple[np.ndarray, np.ndarray]:
+    """Short keys put together again from their rows' bucket, and their marks."""
+    _, low, marks = unpacked(answers, ["keys", mark])
+    sizes = answers.column("keys").combine_chunks().value_lengths().to_numpy() if answers.num_rows else np.zeros(0, np.int64)
+    bucket = np.repeat(answers.column("bucket").to_numpy(), sizes).astype(A.U64)
+    return bucket << A.U64(32) | low.astype(np.uint32).astype(A.U64), marks.astype(bool)
+
+
 def unpacked(table: pa.Table, names: Iterable[str]) -> tuple[np.ndarray, ...]:
     """The batch of each entry, and the entries' lists laid end to end."""
     flat = {}

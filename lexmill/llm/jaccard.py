@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 from . import arrays as A
 from . import exchange as X
 from .runtime import written
-from .substring import FLAGGED, RUNS, flag_shared, member
+from .substring import member
+from .suffixes import FLAGGED, MARKS, flag_marks
 
 SHINGLE = 5
 BATCH_BYTES = 2 << 20
@@ -32,11 +34,14 @@ ORDERS = 3
 COUNTERS = 1 << 20
 BLOCKS = 64
 
-SETS = "doc_id long, n_shingles long, set_one long, set_two long, prefixes array<array<long>>, shingles array<long>"
+#: Bits of the fixed-size filter of wanted ids.
+FILTER_BITS = 1 << 23
+
+SETS = "doc_id long, n_shingles long, set_one long, set_two long, prefixes array<array<long>>"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each text, sorted within the text, and where each text's begin.
+    """Distinct shingle hashes of each text, and where each text's begin.
 
     A shingle is five words; a text of one to four words has one shingle, all its words.
     """
@@ -53,10 +58,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
             values.append(A.gram_hashes(words, k)[first[few]] + A.U64(k))
             of.append(few)
     value, of = np.concatenate(values), np.concatenate(of)
-    order = np.lexsort((value, of))
-    value, of = value[order], of[order]
-    new = np.ones(len(value), bool)
-    new[1:] = (value[1:] != value[:-1]) | (of[1:] != of[:-1])
+    if len(values) > 1:
+        order = np.argsort(of, kind="stable")
+        value, of = value[order], of[order]
+    new = ~pd.Series(value ^ A.mix(of.astype(A.U64) + A.U64(1))).duplicated().to_numpy()
     value, of = value[new], of[new]
     return value, np.searchsorted(of, np.arange(n + 1))
 
@@ -91,13 +96,17 @@ def prefix_size(n: np.ndarray) -> np.ndarray:
     return np.where(n > 0, n - (4 * n + 4) // 5 + 1, 0)
 
 
-def prefixes(tokens: np.ndarray, first: np.ndarray, common: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of each set's prefix tokens under one order, and how many each set has."""
-    owner = A.owners(first)
-    keys = A.mix(tokens ^ A.U64(0x5851F42D4C957F2D * order & (2**64 - 1)))
-    rank = np.lexsort((keys, common[(tokens & A.U64(COUNTERS - 1)).astype(np.int64)], owner))
-    take = prefix_size(np.diff(first))
-    return rank[A.spread(first[:-1], take)], take
+def prefixes(tokens: np.ndarray, first: np.ndarray, common: np.ndarray, order: int) -> np.ndarray:
+    """Which tokens are in their set's prefix under one order: common ones last, else by hash."""
+    keys = A.mix(tokens ^ A.U64(0x5851F42D4C957F2D * order & (2**64 - 1))) >> A.U64(6)
+    keys |= common[(tokens & A.U64(COUNTERS - 1)).astype(np.int64)].astype(A.U64) << A.U64(58)
+    sizes = np.diff(first)
+    take = prefix_size(sizes)
+    last = np.zeros(len(sizes), A.U64)
+    for i, (a, b, k) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), take.tolist())):
+        if k:
+            last[i] = np.partition(keys[a:b], k - 1)[k - 1]
+    return keys <= np.repeat(last, sizes)
 
 
 def send_prefixes(texts: pa.Table, buckets: int, common) -> pa.Table:
@@ -105,51 +114,80 @@ def send_prefixes(texts: pa.Table, buckets: int, common) -> pa.Table:
     tokens, first = shingle_sets(*X.texts_of(texts))
     used = np.zeros(len(tokens), bool)
     for k in range(ORDERS):
-        used[prefixes(tokens, first, common.value, k)[0]] = True
-    keys, count = np.unique(tokens[used], return_counts=True)
-    return X.packed(texts.column("batch")[0].as_py(), keys, {"many": count > 1}, buckets)
+        used |= prefixes(tokens, first, common.value, k)
+    keys, count = np.unique(X.short(tokens[used], buckets), return_counts=True)
+    return X.packed_short(texts.column("batch")[0].as_py(), keys, count > 1)
 
 
-def keep_sets(texts: pa.Table, answers: pa.Table, common) -> pa.Table:
-    """Each document's set: its size and hashes, the shared tokens of each prefix, and the whole set if it has a
-    shared token in every prefix (otherwise it is similar to no other)."""
+def keep_sets(texts: pa.Table, answers: pa.Table, buckets: int, common) -> pa.Table:
+    """Each document's set: its size and hashes, and the shared tokens of each prefix if there are some in every one
+    (otherwise it is similar to no other)."""
     names = [c.split()[0] for c in SETS.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.int64())]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64()))]
     if not texts.num_rows:
         return pa.table([pa.array([], k) for k in kinds], names=names)
     tokens, first = shingle_sets(*X.texts_of(texts))
-    shared = np.sort(X.unpacked(answers, ["keys"])[1].view(A.U64))
-    hit = member(tokens, shared)[0]
+    keys = X.short(tokens, buckets)
+    hit = member(keys, np.sort(X.read_short(answers, "common")[0]))[0]
     parts = []
     for k in range(ORDERS):
-        at, take = prefixes(tokens, first, common.value, k)
-        bounds = np.concatenate([[0], np.cumsum(take)])
-        counts = np.diff(np.concatenate([[0], np.cumsum(hit[at])])[bounds])
-        found = tokens[at[hit[at]]].view(np.int64)
-        ends = np.cumsum(counts)
-        parts.append([found[e - c : e] for c, e in zip(counts.tolist(), ends.tolist())])
-    whole = tokens.view(np.int64)
+        found = prefixes(tokens, first, common.value, k) & hit
+        ends = np.concatenate([[0], np.cumsum(found)])[first].tolist()
+        own = keys[found].view(np.int64)
+        parts.append([own[a:b] for a, b in zip(ends, ends[1:])])
     sums = [np.concatenate([np.zeros(1, A.U64), np.cumsum(A.mix(tokens + A.U64(k)))]) for k in (1, 2)]
     one, two = (A.mix(s[first[1:]] - s[first[:-1]] + np.diff(first).astype(A.U64)).view(np.int64) for s in sums)
-    lists, sets = [], []
-    for i, own in enumerate(zip(*parts)):
-        candidate = all(len(p) for p in own)
-        lists.append([p.tolist() for p in own] if candidate else None)
-        sets.append(whole[first[i] : first[i + 1]] if candidate else None)
-    columns = [texts.column("doc_id"), np.diff(first), one, two, lists, sets]
+    lists = [[p.tolist() for p in own] if all(map(len, own)) else None for own in zip(*parts)]
+    columns = [texts.column("doc_id"), np.diff(first), one, two, lists]
     return pa.table([c if isinstance(c, pa.ChunkedArray) else pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
 
-def similar(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets have a similarity of 4/5 or more."""
-    sets = classes.select("class_id", "shingles")
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A fixed-size bit table of the ids' hashes, to leave out most rows of other ids before a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER_BITS, bool)
+        for batch in batches:
+            bits[bit_of(batch.column("id").to_numpy())] = True
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([np.packbits(bits).tobytes()])], ["k", "bits"])
+
+    def either(table: pa.Table) -> pa.Table:
+        total = np.bitwise_or.reduce([np.frombuffer(x.as_py(), np.uint8) for x in table.column("bits")])
+        return pa.table({"k": pa.array([0], pa.int32()), "bits": pa.array([total.tobytes()], pa.binary())})
+
+    rows = X.grouped(ids.toDF("id").mapInArrow(run, "k int, bits binary"), "k", either, "k int, bits binary").collect()
+    return np.unpackbits(np.frombuffer(rows[0]["bits"], np.uint8)) if rows else np.zeros(FILTER_BITS, np.uint8)
+
+
+def bit_of(ids: np.ndarray) -> np.ndarray:
+    return (A.mix(ids.astype(np.int64).view(A.U64)) & A.U64(FILTER_BITS - 1)).astype(np.int64)
+
+
+def sets_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """class_id and all shingles of the documents that pairs name (and of few others)."""
+    wanted = docs.sparkSession.sparkContext.broadcast(id_filter(pairs.select("a").union(pairs.select("b"))))  # FILTER_BITS bytes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(wanted.value[bit_of(batch.column("doc_id").to_numpy())].astype(bool)))
+            for part in A.slices([batch]):
+                tokens, first = shingle_sets(*A.utf8(part.column("text")))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), A.list_array(pa.array(tokens.view(np.int64)), np.diff(first))], ["class_id", "shingles"])
+
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, "class_id long, shingles array<long>")
+
+
+def similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of documents whose whole sets have a similarity of 4/5 or more."""
+    pairs = written(pairs, "pairs")
+    sets = written(sets_of(docs, pairs), "sets")
     both = pairs.join(sets.select(F.col("class_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("class_id").alias("b"), F.col("shingles").alias("y")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = x.values.to_numpy(), y.values.to_numpy()  # sorted as unsigned, without repeats
+                x, y = x.values.to_numpy(), y.values.to_numpy()  # without repeats
                 same = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
                 keep.append(100 * same >= 80 * (len(x) + len(y) - same))
             keep = pa.array(keep, pa.bool_())
@@ -197,15 +235,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     common = spark.sparkContext.broadcast(np.log2(token_counts(docs) + 1).astype(np.int8))  # COUNTERS bytes
     texts, batches = X.batched(docs, BATCH_BYTES)
-    sent = X.grouped(texts, "batch", partial(send_prefixes, buckets=X.bucket_count(docs), common=common), RUNS)
-    shared = X.grouped(sent, "bucket", partial(flag_shared, batches=batches), FLAGGED)
-    sets = written(X.meet(texts, shared, partial(keep_sets, common=common), SETS), "sets")
+    buckets = X.bucket_count(docs)
+    sent = X.grouped(texts, "batch", partial(send_prefixes, buckets=buckets, common=common), MARKS)
+    shared = X.grouped(sent, "bucket", partial(flag_marks, batches=batches, many=batches + 1), FLAGGED)
+    sets = written(X.meet(texts, shared, partial(keep_sets, buckets=buckets, common=common), SETS), "prefixes")
 
     keys = ["set_one", "set_two"]
     # equal sets are one class; its id is the least doc_id, unless all are null
     members = sets.where("n_shingles > 0").groupBy(*keys).agg(F.min("doc_id").alias("class_id"), F.min("n_shingles").alias("n"))
     found = sets.where("prefixes IS NOT NULL AND doc_id IS NOT NULL").join(members.where("class_id IS NOT NULL"), keys).where("doc_id = class_id")
-    classes = written(found.dropDuplicates(["class_id", *keys]).select("class_id", "n", "prefixes", "shingles"), "classes")
+    classes = written(found.dropDuplicates(["class_id", *keys]).select("class_id", "n", "prefixes"), "classes")
     slim = classes.select("class_id", "n", "prefixes")
     side = lambda s: slim.select(F.col("class_id").alias(s), F.col("n").alias(f"n_{s}"), F.col("prefixes").alias(f"p_{s}"))
     entries = slim.select("class_id", F.explode(F.get("prefixes", F.lit(0))).alias("token"))
@@ -213,7 +252,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     hubs = entries.groupBy("token").agg(F.min("class_id").alias("hub"), F.max("class_id").alias("last")).where("hub < last").drop("last")
     star = entries.join(hubs, "token").where("class_id <> hub").select(F.col("hub").alias("a"), F.col("class_id").alias("b")).distinct()
     pairs = candidates(star.join(side("a"), "a").join(side("b"), "b"))
-    links = written(similar(pairs, classes), "links")
+    links = written(similar(pairs, docs), "links")
 
     so_far = components(links, "first")
     placed = entries.join(so_far, F.col("class_id") == F.col("node"), "left").select("token", "class_id", F.coalesce("component", "class_id").alias("component"))
@@ -223,7 +262,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     outside = placed.where("component <> largest").select("token", F.col("class_id").alias("a"), F.col("component").alias("c"))
     across = outside.join(placed.select("token", F.col("class_id").alias("b"), "component"), "token").where("c <> component").select("a", "b").distinct()
     pairs = candidates(across.join(side("a"), "a").join(side("b"), "b")).join(pairs, ["a", "b"], "left_anti")
-    links = links.union(similar(pairs, classes))
+    links = links.union(similar(pairs, docs))
 
     final = components(links, "second")
     place = members.join(final, F.col("class_id") == F.col("node"), "left").select(*keys, F.coalesce("component", "class_id").alias("component_id"))

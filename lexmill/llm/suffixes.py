@@ -43,11 +43,9 @@ RESULT = "doc_id long, n_bytes long, n_removed long, kept binary, spans array<st
 
 
 def byte_marks(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Fingerprints of all windows: their bucket and 32 bits more. As a bucket holds a bounded number of them, few
-    meet by chance, and those are told apart by their contexts."""
+    """Fingerprints of all windows, in short; those that meet by chance are told apart by their contexts."""
     marks, inside = window_marks(A.letters(data), offsets, WINDOW, GRAM)
-    short = X.deal(marks, buckets).astype(A.U64) << A.U64(32) | marks & A.U64(0xFFFFFFFF)
-    return short, inside, A.owners(offsets)
+    return X.short(marks, buckets), inside, A.owners(offsets)
 
 
 def flag_marks(table: pa.Table, batches: int, many: int) -> pa.Table:
@@ -59,14 +57,6 @@ def flag_marks(table: pa.Table, batches: int, many: int) -> pa.Table:
     return out.add_column(1, "bucket", pa.array(np.full(out.num_rows, table.column("bucket")[0].as_py(), np.int32)))
 
 
-def flagged_marks(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Whole fingerprints from their buckets' 32 bits, and whether they are common."""
-    _, keys, common = X.unpacked(answers, ["keys", "common"])
-    sizes = answers.column("keys").combine_chunks().value_lengths().to_numpy() if answers.num_rows else np.zeros(0, np.int64)
-    bucket = np.repeat(answers.column("bucket").to_numpy(), sizes).astype(A.U64)
-    return bucket << A.U64(32) | keys.astype(np.uint32).astype(A.U64), common.astype(bool)
-
-
 def contexts(data: np.ndarray, offsets: np.ndarray, buckets: int, common: np.ndarray, wanted: np.ndarray) -> dict[str, np.ndarray]:
     """Runs of neighbouring windows with one fingerprint, at most LONGEST of them; those of common fingerprints singly.
 
@@ -120,12 +110,7 @@ def send_original_marks(texts: pa.Table, answers: pa.Table, buckets: int) -> pa.
     keys, many = np.zeros(0, A.U64), np.zeros(0, bool)
     if own.num_rows:
         keys, many = distinct_marks(*byte_marks(*X.texts_of(own), buckets))
-    bucket = (keys >> A.U64(32)).astype(np.int32)
-    heads = np.flatnonzero(np.diff(bucket, prepend=-1))
-    sizes = np.diff(heads, append=len(keys))
-    batch = np.full(len(heads), texts.column("batch")[0].as_py() if texts.num_rows else 0, np.int64)
-    low = keys.astype(np.uint32).view(np.int32)
-    return pa.table({"bucket": pa.array(bucket[heads]), "batch": pa.array(batch), "keys": A.list_array(pa.array(low), sizes), "many": A.list_array(pa.array(many), sizes)})
+    return X.packed_short(texts.column("batch")[0].as_py() if texts.num_rows else 0, keys, many)
 
 
 def send_contexts(texts: pa.Table, answers: pa.Table, buckets: int, with_bytes: bool) -> pa.Table:
@@ -138,7 +123,7 @@ def send_contexts(texts: pa.Table, answers: pa.Table, buckets: int, with_bytes:
         _, keys, stop = X.unpacked(asked, ["mark", "stop"])
         keys, common = keys[stop == SEND_BYTES].view(A.U64), np.zeros(0, A.U64)
     else:
-        keys, many = flagged_marks(asked)
+        keys, many = X.read_short(asked, "common")
         common = np.sort(keys[many])
     data, offsets = X.texts_of(texts)
     ids = X.ids_of(texts)
