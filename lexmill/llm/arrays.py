@@ -54,21 +54,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-@lru_cache(maxsize=4)
-def _powers(which: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    base = BASES[which] | 1
-    out = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        p = np.full(size, b, U64)
-        p[0] = 1
-        out.append(np.cumprod(p))
-    return out[0], out[1]
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of a base and of its inverse modulo 2**64."""
-    size = 1 << max(16, int(n).bit_length())
-    return _powers(which, size)
+    """At least n powers of a base and of its inverse modulo 2**64; a worker keeps one table of each base."""
+    if which not in _POWERS or len(_POWERS[which][0]) < n:
+        base, size = BASES[which] | 1, max(1 << 16, n + n // 8)
+        tables = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            table = np.full(size, b, U64)
+            table[0] = 1
+            tables.append(np.cumprod(table, out=table))
+        _POWERS[which] = tables[0], tables[1]
+    return _POWERS[which]
 
 
 @lru_cache(maxsize=2)

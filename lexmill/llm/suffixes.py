@@ -28,7 +28,9 @@ GRAM = 28
 #: Windows of a context at most.
 LONGEST = WINDOW - GRAM + 1
 BATCH_BYTES = 1 << 20
-SHARD_BYTES = 256 << 10
+SHARD_BYTES = 128 << 10
+#: Contexts of different fingerprints have no window in common, so a bucket merges about so many bytes at a time.
+MERGE_BYTES = 512 << 10
 #: A fingerprint that so many batches have is common: its windows go to buckets by their own content, one by one.
 COMMON = 48
 
@@ -232,10 +234,10 @@ def merged(transforms: list[np.ndarray], ends: list[int], depth: int) -> tuple[n
     source, rest = np.repeat(numbers, ends), np.repeat(numbers, sizes - np.array(ends))
     source = np.concatenate([source, rest])
     fixed = source[:total_ends].copy()
-    block = np.zeros(len(source), np.int64)  # all have the same prefix of no symbols
+    block = np.zeros(len(source), np.int32)  # all have the same prefix of no symbols
     for _ in range(depth):
         # the place of each entry within its own shard: the shards' suffixes are taken in their own order
-        entry = np.empty(len(source), np.int64)
+        entry = np.empty(len(source), np.int32)
         entry[np.argsort(source, kind="stable")] = np.arange(len(source))
         symbol = whole[entry]
         moving = np.flatnonzero(symbol)
@@ -244,7 +246,8 @@ def merged(transforms: list[np.ndarray], ends: list[int], depth: int) -> tuple[n
         new = np.ones(len(order), bool)
         new[1:] = (moved[1:] != moved[:-1]) | (from_block[1:] != from_block[:-1])
         source = np.concatenate([fixed, source[order]])
-        block = np.concatenate([np.arange(total_ends), total_ends - 1 + np.cumsum(new)])
+        block = np.concatenate([np.arange(total_ends, dtype=np.int32), total_ends - 1 + np.cumsum(new, dtype=np.int32)])
+        del entry, symbol, moving, order, moved, from_block
     return source, block
 
 
@@ -292,12 +295,17 @@ def least_ids(table: pa.Table) -> pa.Table:
     sizes = size[own]
     windows = sizes - WINDOW + 1
     base = np.cumsum(windows) - windows
-    place, block = intervals(text[A.spread(start[own], sizes)], sizes)
-    which = np.repeat(np.arange(len(own)), sizes)[place]
-    inner = place - (np.cumsum(sizes) - sizes)[which]
-    cuts = heads_of(block)
     window_least = np.empty(int(windows.sum()), np.int64)
-    window_least[base[which] + inner] = np.repeat(np.minimum.reduceat(least[which], cuts), np.diff(cuts, append=len(block)))
+    marks = heads_of(mark[own])
+    part = (np.cumsum(sizes) - sizes)[marks] // MERGE_BYTES
+    bounds = marks[heads_of(part)]
+    for a, b in zip(bounds, np.append(bounds[1:], len(own))):
+        inside = sizes[a:b]
+        place, block = intervals(text[A.spread(start[own[a:b]], inside)], inside)
+        which = np.repeat(np.arange(b - a), inside)[place]
+        inner = place - (np.cumsum(inside) - inside)[which]
+        cuts = heads_of(block)
+        window_least[base[a:b][which] + inner] = np.repeat(np.minimum.reduceat(least[a:b][which], cuts), np.diff(cuts, append=len(block)))
     # runs of windows with one least id
     run = heads_of(window_least, np.repeat(np.arange(len(own)), windows))
     run_context = np.searchsorted(base, run, "right") - 1
