@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import intake, merging, reports, search, segments  # noqa: F401
+from .catalog import ORACLE_SQL, QUERIES  # noqa: F401
+
 FLAGSHIP = "g4_parse_articles"

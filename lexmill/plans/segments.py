@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import article_number
+from ..functions.text import article_number, repair_numbers
 from ..operators import classify, graph, report, segment
 from ..operators.retrieve import cite_context
 from ..sources.tables import scratch, table, write_chunks
 from .catalog import plan
-from .fixtures import ARTICLES_SQL, NUMBERED_SQL, SQL_NUMERALS, clauses, cn, regulations
+from .fixtures import ARTICLES_SQL, NUMBERED_SQL, SQL_NUMERALS, clauses, cn, numbered, regulations
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,13 +31,11 @@ def g1(spark, sf_dir):
 @plan("g2_presplit_paras", f"WITH {NUMBERED_SQL} SELECT l_orderkey AS doc_id, i - 1 AS part, '第' || {SQL_NUMERALS}[i] || '条 part ' || l_partkey || CASE WHEN l_partkey % 5 = 0 THEN '引用第' || {SQL_NUMERALS}[i + 5] || '条' ELSE '' END AS para FROM m")
 def g2(spark, sf_dir):
     """All articles of an order in one paragraph, with citations of later articles inside."""
-    from .fixtures import numbered
-
     rows = numbered(spark, sf_dir)
     text = F.concat(F.lit("第"), cn(F.col("i")), F.lit("条 part "), F.col("l_partkey").cast("string"), F.when(F.col("l_partkey") % 5 == 0, F.concat(F.lit("引用第"), cn(F.col("i") + 5), F.lit("条"))).otherwise(""))
     paras = rows.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", text.alias("x")))), lambda s: s["x"]), "").alias("para"))
     found = segment.presplit_paras(paras.withColumn("pos", F.lit(0)), "doc_id", "pos", "para")
-    single = F.row_number().over(__import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("doc_id").orderBy("part")) - 1
+    single = F.row_number().over(Window.partitionBy("doc_id").orderBy("part")) - 1
     return found.select("doc_id", single.cast("long").alias("part"), "para")
 
 
@@ -171,6 +169,4 @@ def r7(spark, sf_dir):
 
 @plan("t15_repair_numbers", f"WITH {NUMBERED_SQL} SELECT l_orderkey AS doc_id, sum(length('weight ' || l_suppkey || ' and more') + length(c || '.' || i || ' part ' || l_partkey) + 2) + (SELECT sum(length(q.c || ' flag ' || q.l_returnflag) + 1) FROM (SELECT DISTINCT l_orderkey, c, l_returnflag FROM m) q WHERE q.l_orderkey = m.l_orderkey) - 1 AS n_chars FROM m GROUP BY 1")
 def t15(spark, sf_dir):
-    from ..functions.text import repair_numbers
-
     return clauses(spark, sf_dir, fragmented=True).select("doc_id", F.length(repair_numbers("text")).cast("long").alias("n_chars"))
