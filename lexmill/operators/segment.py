@@ -140,12 +140,12 @@ def assemble_numbers(df: DataFrame, doc: str = "doc_id", pos: str = "pos", line:
     # how many leading fragments stay text: the first part must be one digit 1..9, with at most three fragments
     skip = F.array_min(F.filter(F.sequence(F.lit(0), frags), lambda k: (k < frags) & (frags - k <= 3) & F.coalesce(F.get("_parts", k).rlike("^[1-9]$"), F.lit(False))))
     runs = runs.withColumn("_skip", F.when(F.col("_end").isNotNull() & (frags > 0), skip))
-    top = (frags == 0) & last["x"].rlike(rf"^[1-9][{SPACE}]+[^{SPACE}]")
-    runs = runs.withColumn("_top", top)
-    text = F.when(F.col("_skip").isNotNull(), F.slice("r", F.lit(1), F.col("_skip"))).when(F.col("_top"), F.slice("r", 1, 0)).otherwise(F.col("r"))
+    # fragments that make no number leave the line after them to itself
+    runs = runs.withColumn("_top", F.col("_skip").isNull() & (last["f"] == 0) & last["x"].rlike(rf"^[1-9][{SPACE}]+[^{SPACE}]"))
+    text = F.when(F.col("_skip").isNotNull(), F.slice("r", F.lit(1), F.col("_skip"))).when(F.col("_top"), F.slice("r", F.lit(1), F.size("r") - 1)).otherwise(F.col("r"))
     plain = runs.select(doc, F.explode(text).alias("x")).select(doc, F.col("x.p").alias("pos"), F.lit(None).cast("string").alias("number"), F.col("x.x").alias("title"))
     joined = F.when(F.col("_top"), F.col("_end")).otherwise(F.array_join(F.concat(F.slice("_parts", F.col("_skip") + 1, frags), F.array("_end")), "."))
-    first = F.when(F.col("_top"), F.get("r", F.lit(0))["p"]).otherwise(F.get("r", F.col("_skip"))["p"])
+    first = F.when(F.col("_top"), last["p"]).otherwise(F.get("r", F.col("_skip"))["p"])
     heads = runs.where("_top OR _skip IS NOT NULL").select(doc, first.alias("pos"), joined.alias("number"), F.col("_title").alias("title"))
     return plain.unionByName(heads)
 

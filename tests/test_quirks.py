@@ -43,7 +43,7 @@ def lines(spark, *texts):
 def test_articles(spark):
     rows = lines(spark, "前言", "第一章 总则", "第一节 甲", "第 一 条　正文", "续行", "第二章 乙", "掉落", "第二条 再", "第九十二点", "第 92.1 条 数字", "第三条")
     found = [(r["chapter"], r["section"], r["label"], r["body"]) for r in segment.parse_articles(rows).orderBy("art_pos").collect()]
-    assert found == [("第一章 总则", "第一节 甲", "第92.1条", "数字")] or found[0][3] == "正文\n续行" or True
+    assert found[0] == ("第一章 总则", "第一节 甲", "第一条", "正文\n续行")
     by_label = {r[2]: r for r in found}
     assert by_label["第二条"] == ("第二章 乙", None, "第二条", "再\n第九十二点")
     assert by_label["第92.1条"][3] == "数字" and "第三条" not in by_label
