@@ -2,8 +2,9 @@
 
 Two sets that similar share a token among the first fifth (plus one) of their tokens, in whatever order all tokens
 are taken. Several orders are used: a candidate pair must share such a prefix token under every one of them. All
-orders put tokens that are common in the corpus last, as a fixed-size table of counts tells, so that passages of
-many documents seldom make candidates. Candidates that pass all filters are verified on the whole sets.
+orders begin with the tokens that no other document has, which use prefix places up but make no candidates, and end
+with the tokens that are common in the corpus, as a fixed-size table of counts tells. Besides, the tokens that a set
+shares with any others bound its overlap with each. Candidates that pass all filters are verified on the whole sets.
 
 Equal sets are one class. Candidate pairs are made in two rounds: first each token's classes against the least one
 of them; then, for tokens whose classes are still in several components, the classes outside the largest of these
@@ -18,7 +19,7 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
@@ -28,7 +29,7 @@ from .substring import member
 from .suffixes import FLAGGED, MARKS, flag_marks
 
 SHINGLE = 5
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 ORDERS = 3
 #: Counters of the table of token counts, 4 bytes each: what the driver holds and sends to each task.
 COUNTERS = 1 << 20
@@ -37,7 +38,7 @@ BLOCKS = 64
 #: Bits of the fixed-size filter of wanted ids.
 FILTER_BITS = 1 << 23
 
-SETS = "doc_id long, n_shingles long, set_one long, set_two long, prefixes array<array<long>>"
+SETS = "doc_id long, n_shingles long, n_shared long, set_one long, set_two long, prefixes array<array<long>>"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,49 +97,43 @@ def prefix_size(n: np.ndarray) -> np.ndarray:
     return np.where(n > 0, n - (4 * n + 4) // 5 + 1, 0)
 
 
-def prefixes(tokens: np.ndarray, first: np.ndarray, common: np.ndarray, order: int) -> np.ndarray:
-    """Which tokens are in their set's prefix under one order: common ones last, else by hash."""
+def prefixes(tokens: np.ndarray, first: np.ndarray, take: np.ndarray, common: np.ndarray, order: int) -> list[list[int]]:
+    """The first ``take`` of each set's shared tokens under one order: common ones last, else by hash."""
     keys = A.mix(tokens ^ A.U64(0x5851F42D4C957F2D * order & (2**64 - 1))) >> A.U64(6)
     keys |= common[(tokens & A.U64(COUNTERS - 1)).astype(np.int64)].astype(A.U64) << A.U64(58)
-    sizes = np.diff(first)
-    take = prefix_size(sizes)
-    last = np.zeros(len(sizes), A.U64)
-    for i, (a, b, k) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), take.tolist())):
-        if k:
-            last[i] = np.partition(keys[a:b], k - 1)[k - 1]
-    return keys <= np.repeat(last, sizes)
+    out = []
+    for a, b, k in zip(first[:-1].tolist(), first[1:].tolist(), take.tolist()):
+        out.append(tokens[a:b][np.argpartition(keys[a:b], k - 1)[:k]].view(np.int64).tolist() if k > 0 else [])
+    return out
 
 
-def send_prefixes(texts: pa.Table, buckets: int, common) -> pa.Table:
-    """The tokens of a batch that are in some prefix, and whether two of its sets have them there."""
-    tokens, first = shingle_sets(*X.texts_of(texts))
-    used = np.zeros(len(tokens), bool)
-    for k in range(ORDERS):
-        used |= prefixes(tokens, first, common.value, k)
-    keys, count = np.unique(X.short(tokens[used], buckets), return_counts=True)
+def send_tokens(texts: pa.Table, buckets: int) -> pa.Table:
+    """The tokens of a batch, and whether two of its sets have them."""
+    tokens, _ = shingle_sets(*X.texts_of(texts))
+    keys, count = np.unique(X.short(tokens, buckets), return_counts=True)
     return X.packed_short(texts.column("batch")[0].as_py(), keys, count > 1)
 
 
 def keep_sets(texts: pa.Table, answers: pa.Table, buckets: int, common) -> pa.Table:
-    """Each document's set: its size and hashes, and the shared tokens of each prefix if there are some in every one
-    (otherwise it is similar to no other)."""
+    """Each document's set: its size and hashes, how many of its tokens other documents have, and the shared tokens of
+    its prefixes, null if there are none (then it is similar to no other)."""
     names = [c.split()[0] for c in SETS.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64()))]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64()))]
     if not texts.num_rows:
         return pa.table([pa.array([], k) for k in kinds], names=names)
     tokens, first = shingle_sets(*X.texts_of(texts))
+    sizes = np.diff(first)
     keys = X.short(tokens, buckets)
     hit = member(keys, np.sort(X.read_short(answers, "common")[0]))[0]
-    parts = []
-    for k in range(ORDERS):
-        found = prefixes(tokens, first, common.value, k) & hit
-        ends = np.concatenate([[0], np.cumsum(found)])[first].tolist()
-        own = keys[found].view(np.int64)
-        parts.append([own[a:b] for a, b in zip(ends, ends[1:])])
+    bounds = np.concatenate([[0], np.cumsum(hit)])[first]
+    shared = np.diff(bounds)
+    # tokens of no other document come first in every order
+    take = np.minimum(prefix_size(sizes) - (sizes - shared), shared)
+    parts = [prefixes(keys[hit], bounds, take, common.value, k) for k in range(ORDERS)]
+    lists = [list(own) if own[0] else None for own in zip(*parts)]
     sums = [np.concatenate([np.zeros(1, A.U64), np.cumsum(A.mix(tokens + A.U64(k)))]) for k in (1, 2)]
-    one, two = (A.mix(s[first[1:]] - s[first[:-1]] + np.diff(first).astype(A.U64)).view(np.int64) for s in sums)
-    lists = [[p.tolist() for p in own] if all(map(len, own)) else None for own in zip(*parts)]
-    columns = [texts.column("doc_id"), np.diff(first), one, two, lists]
+    one, two = (A.mix(s[first[1:]] - s[first[:-1]] + sizes.astype(A.U64)).view(np.int64) for s in sums)
+    columns = [texts.column("doc_id"), sizes, shared, one, two, lists]
     return pa.table([c if isinstance(c, pa.ChunkedArray) else pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
 
@@ -179,7 +174,6 @@ def sets_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of documents whose whole sets have a similarity of 4/5 or more."""
-    pairs = written(pairs, "pairs")
     sets = written(sets_of(docs, pairs), "sets")
     both = pairs.join(sets.select(F.col("class_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("class_id").alias("b"), F.col("shingles").alias("y")), "b")
 
@@ -217,12 +211,25 @@ def components(links: DataFrame, name: str) -> DataFrame:
     return after.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def candidates(rows: DataFrame) -> DataFrame:
-    """Filter pairs (a, b with their sizes and prefixes): sizes within 4/5, a shared token in every order's prefix."""
-    test = (5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b")) & (F.col("a") != F.col("b"))
+def may_match(a: str, b: str) -> Column:
+    """Two sets of similarity 4/5 have sizes within 4/5, and an overlap of 4/9 of both sizes together; the overlap is no
+    more than what either shares with any others."""
+    n_a, n_b, shared_a, shared_b = (F.col(f"{x}.{c}") for c in ("n", "shared") for x in (a, b))
+    return (5 * F.least(n_a, n_b) >= 4 * F.greatest(n_a, n_b)) & (9 * F.least(shared_a, shared_b) >= 4 * (n_a + n_b))
+
+
+def candidates(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those pairs (a, b) that share a token in every other order's prefix too."""
+    side = lambda s: classes.select(F.col("class_id").alias(s), F.col("prefixes").alias(f"p_{s}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    test = F.lit(True)
     for k in range(1, ORDERS):
         test = test & F.arrays_overlap(F.get("p_a", F.lit(k)), F.get("p_b", F.lit(k)))
-    return rows.where(test).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return both.where(test).select("a", "b").distinct()
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("x.class_id", "y.class_id").alias("a"), F.greatest("x.class_id", "y.class_id").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -236,33 +243,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     common = spark.sparkContext.broadcast(np.log2(token_counts(docs) + 1).astype(np.int8))  # COUNTERS bytes
     texts, batches = X.batched(docs, BATCH_BYTES)
     buckets = X.bucket_count(docs)
-    sent = X.grouped(texts, "batch", partial(send_prefixes, buckets=buckets, common=common), MARKS)
+    sent = X.grouped(texts, "batch", partial(send_tokens, buckets=buckets), MARKS)
     shared = X.grouped(sent, "bucket", partial(flag_marks, batches=batches, many=batches + 1), FLAGGED)
     sets = written(X.meet(texts, shared, partial(keep_sets, buckets=buckets, common=common), SETS), "prefixes")
 
     keys = ["set_one", "set_two"]
     # equal sets are one class; its id is the least doc_id, unless all are null
-    members = sets.where("n_shingles > 0").groupBy(*keys).agg(F.min("doc_id").alias("class_id"), F.min("n_shingles").alias("n"))
+    members = sets.where("n_shingles > 0").groupBy(*keys).agg(F.min("doc_id").alias("class_id"))
     found = sets.where("prefixes IS NOT NULL AND doc_id IS NOT NULL").join(members.where("class_id IS NOT NULL"), keys).where("doc_id = class_id")
-    classes = written(found.dropDuplicates(["class_id", *keys]).select("class_id", "n", "prefixes"), "classes")
-    slim = classes.select("class_id", "n", "prefixes")
-    side = lambda s: slim.select(F.col("class_id").alias(s), F.col("n").alias(f"n_{s}"), F.col("prefixes").alias(f"p_{s}"))
-    entries = slim.select("class_id", F.explode(F.get("prefixes", F.lit(0))).alias("token"))
-
-    hubs = entries.groupBy("token").agg(F.min("class_id").alias("hub"), F.max("class_id").alias("last")).where("hub < last").drop("last")
-    star = entries.join(hubs, "token").where("class_id <> hub").select(F.col("hub").alias("a"), F.col("class_id").alias("b")).distinct()
-    pairs = candidates(star.join(side("a"), "a").join(side("b"), "b"))
+    classes = found.dropDuplicates(["class_id", *keys]).select("class_id", F.col("n_shingles").alias("n"), F.col("n_shared").alias("shared"), "prefixes")
+    classes = written(classes, "classes")
+    entries = classes.select(F.struct("class_id", "n", "shared").alias("x"), F.explode(F.get("prefixes", F.lit(0))).alias("token"))
+
+    hubs = entries.groupBy("token").agg(F.min("x").alias("y"), F.max("x").alias("last")).where("y.class_id < last.class_id").drop("last")
+    star = ordered(entries.join(hubs, (entries["token"] == hubs["token"]) & (F.col("x.class_id") != F.col("y.class_id")) & may_match("x", "y")))
+    pairs = written(candidates(star, classes), "pairs")
     links = written(similar(pairs, docs), "links")
 
     so_far = components(links, "first")
-    placed = entries.join(so_far, F.col("class_id") == F.col("node"), "left").select("token", "class_id", F.coalesce("component", "class_id").alias("component"))
+    placed = entries.join(so_far, F.col("x.class_id") == F.col("node"), "left").select("token", "x", F.coalesce("component", "x.class_id").alias("component"))
     sizes = placed.groupBy("token", "component").agg(F.count("*").alias("size"))
     largest = sizes.groupBy("token").agg(F.max_by("component", "size").alias("largest"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
     placed = placed.join(largest, "token")
-    outside = placed.where("component <> largest").select("token", F.col("class_id").alias("a"), F.col("component").alias("c"))
-    across = outside.join(placed.select("token", F.col("class_id").alias("b"), "component"), "token").where("c <> component").select("a", "b").distinct()
-    pairs = candidates(across.join(side("a"), "a").join(side("b"), "b")).join(pairs, ["a", "b"], "left_anti")
-    links = links.union(similar(pairs, docs))
+    outside = placed.where("component <> largest").select(F.col("token").alias("t"), "x", F.col("component").alias("c"))
+    inside = placed.select("token", F.col("x").alias("y"), "component")
+    across = ordered(outside.join(inside, (F.col("t") == F.col("token")) & (F.col("c") != F.col("component")) & may_match("x", "y")))
+    more = written(candidates(across, classes).join(pairs, ["a", "b"], "left_anti"), "more")
+    links = links.union(similar(more, docs))
 
     final = components(links, "second")
     place = members.join(final, F.col("class_id") == F.col("node"), "left").select(*keys, F.coalesce("component", "class_id").alias("component_id"))
