@@ -1,13 +1,13 @@
 """Scores of texts under a smoothed two-word model, as one walk over a weighted automaton.
 
-The root state gives each token its add-one probability. A word seen often in training is a state of its own: its
-arcs are the frequent tokens seen after it, weighted by an interpolation of their relative count and the root's
-probability, and its failure arc leads to the root with the rest of the weight. Words and pairs are counted over
-all training documents; interpolation weights, one for each size of context count, are those that predict best the
-training pairs when each is left out in turn.
-
-With F the root's probability of all frequent tokens, a state u gives a frequent token w
-F * r * c(u, w) / c(u, frequent) + (1 - r) * root(w), and any other token root(w); so every state's sum is 1.
+The root state gives each token its add-one probability. Every word seen in training is a state of its own: its
+arcs are all tokens seen after it, weighted by an interpolation of their relative count and the root's probability,
+and its failure arc leads to the root with the rest of the weight. Words and pairs are counted over all training
+documents, none is dropped at any size; interpolation weights, one for each size of context count, are those that
+predict best the training pairs when each is left out in turn.
+
+With F the root's probability of all known tokens, a state u gives a known token w
+F * r * c(u, w) / c(u) + (1 - r) * root(w), and an unknown token root(w); so every state's sum is 1.
 """
 
 from __future__ import annotations
@@ -21,13 +21,8 @@ from pyspark.sql import functions as F
 
 from . import arrays as A
 from . import exchange as X
-from .substring import member
 
 BATCH_BYTES = 8 << 20
-#: A word is a state, and may label arcs, if it makes at least this share of the training tokens (rounded up to a
-#: power of two occurrences, two at least): alike at every size of corpus.
-SHARE = 2**16
-POWERS = 48
 FOLDS, HELD_OUT = 7, 2
 #: Interpolation weights that are tried, and sizes of context counts (powers of 4) that have one each.
 WEIGHTS = np.array([0.0, 0.003, 0.01, 0.03, 0.1, 0.2, 0.3, 0.45, 0.6, 0.75, 0.85, 0.95])
@@ -35,12 +30,11 @@ SIZES = 24
 
 END = A.U64(0x243F6A8885A308D3)
 BEGIN = A.U64(0x13198A2E03707344)
-ANY = A.U64(0xA4093822299F31D0)
 
-COUNTED = "bucket int, batch long, keys array<long>, count array<int>"
-WORDS = "batch long, keys array<long>, count array<long>, tokens long, types long, mass array<long>"
-PAIRED = "bucket int, batch long, keys array<long>, count array<int>, lift array<short>, size array<tinyint>"
-PAIRS = "batch long, keys array<long>, count array<long>, gain array<struct<at: int, gain: double>>"
+COUNTED = "bucket int, batch long, keys binary, count array<int>"
+WORDS = "bucket int, batch long, more array<long>, tokens long, types long"
+PAIRED = "bucket int, batch long, keys binary, count array<int>, kinds binary"
+PAIRS = "bucket int, batch long, more array<long>, gain array<struct<size: int, gains: array<double>>>"
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -87,10 +81,56 @@ def own_counts(texts: pa.Table, labels: np.ndarray, at: np.ndarray) -> tuple[np.
     return keys[order], count[order]
 
 
+def planes(values: np.ndarray) -> bytes:
+    """All lowest bytes, then all next ones, as many as the greatest value needs."""
+    width = (int(values.max()).bit_length() + 7) // 8 if len(values) else 0
+    return values.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def unplaned(data: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    if n and data:
+        out[:, : len(data) // n] = np.frombuffer(data, np.uint8).reshape(-1, n).T
+    return out.reshape(-1).view(A.U64)
+
+
+def slim_kinds(lift: np.ndarray, size: np.ndarray) -> bytes:
+    least, base = int(lift.min()), int(size.max()) + 1
+    return np.array([least, base], np.int64).tobytes() + planes((lift.astype(np.int64) - least).astype(A.U64) * A.U64(base) + size.astype(A.U64))
+
+
+def full_kinds(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    least, base = np.frombuffer(data[:16], np.int64)
+    lift, size = np.divmod(unplaned(data[16:], n).astype(np.int64), base)
+    return lift + least, size
+
+
+def slim(table: pa.Table) -> pa.Table:
+    """Packed rows with keys as gaps, and lift and size (if any) as one number, in no more bytes than they need."""
+    ends = np.cumsum(sizes_of(table))
+    spans = list(zip(np.append(0, ends[:-1]).tolist(), ends.tolist()))
+    flat = dict(zip(table.column_names[2:], X.unpacked(table, table.column_names[2:])[1:]))
+    keys = flat["keys"].view(A.U64)
+    out = {c: table.column(c) for c in ("bucket", "batch", "count")}
+    out["keys"] = pa.array([keys[i : i + 1].tobytes() + planes(np.diff(keys[i:j])) for i, j in spans], pa.binary())
+    if "lift" in flat:
+        out["kinds"] = pa.array([slim_kinds(flat["lift"][i:j], flat["size"][i:j]) for i, j in spans], pa.binary())
+    return pa.table({c: out[c] for c in ("bucket", "batch", "keys", "count", "kinds") if c in out})
+
+
+def sizes_of(table: pa.Table) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *(np.diff(c.offsets.to_numpy()) for c in table.column("count").chunks)]).astype(np.int64)
+
+
+def keys_of(table: pa.Table) -> np.ndarray:
+    rows = zip(table.column("keys").to_pylist(), sizes_of(table).tolist())
+    return np.concatenate([np.cumsum(np.append(np.frombuffer(data[:8], A.U64), unplaned(data[8:], n - 1))) for data, n in rows])
+
+
 def send_words(texts: pa.Table, buckets: int) -> pa.Table:
     labels, _, at = tokens(texts)
     keys, count = own_counts(texts, labels, at)
-    return X.packed(texts.column("batch")[0].as_py(), keys, {"count": count}, buckets)
+    return slim(X.packed(texts.column("batch")[0].as_py(), keys, {"count": count}, buckets))
 
 
 def summed(keys: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,11 +138,14 @@ def summed(keys: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return distinct, code, np.bincount(code, weights=count, minlength=len(distinct)).astype(np.int64)
 
 
-def differing(batch: np.ndarray, keys: np.ndarray, total: np.ndarray, own: np.ndarray) -> pa.Table:
-    """Totals for the batches that hold only a part of them; one row at least, for what a bucket has to tell."""
-    at = np.flatnonzero(total != own)
-    at = at if len(at) else np.arange(min(1, len(keys)))
-    return X.replied(batch[at], {"keys": keys[at], "count": total[at]})
+def others(table: pa.Table, more: np.ndarray) -> pa.Table:
+    """What the other batches count, entry by entry in the order asked, so that no keys are sent back."""
+    return pa.table({"bucket": table.column("bucket"), "batch": table.column("batch"), "more": A.list_array(pa.array(more), sizes_of(table))})
+
+
+def told(answers: pa.Table) -> np.ndarray:
+    """The answers to a batch, in the order of its sorted keys: buckets are ranges of keys."""
+    return X.unpacked(answers.sort_by("bucket"), ["more"])[1]
 
 
 def first_row(rows: int, value) -> list:
@@ -110,15 +153,13 @@ def first_row(rows: int, value) -> list:
 
 
 def count_words(table: pa.Table) -> pa.Table:
-    """Total counts for the batches that asked; a bucket's first row has its share of tokens and types, and the root's
-    weight of its types for each power of two that their count reaches."""
-    batch, keys, count = X.unpacked(table, ["keys", "count"])
-    distinct, code, total = summed(keys.view(A.U64), count)
-    out = differing(batch, keys, total[code], count)
+    """Other batches' counts for each that asked; a bucket's first row has its share of tokens and types."""
+    count = X.unpacked(table, ["count"])[1]
+    distinct, code, total = summed(keys_of(table), count)
+    out = others(table, total[code] - count)
     real = total[(distinct != BEGIN) & (total > 0)]
-    mass = np.bincount(np.log2(real).astype(np.int64), weights=real + 1, minlength=POWERS).astype(np.int64)
-    for name, value, kind in (("tokens", real.sum(), pa.int64()), ("types", len(real), pa.int64()), ("mass", mass, pa.list_(pa.int64()))):
-        out = out.append_column(name, pa.array(first_row(out.num_rows, value), kind))
+    for name, value in (("tokens", real.sum()), ("types", len(real))):
+        out = out.append_column(name, pa.array(first_row(out.num_rows, int(value)), pa.int64()))
     return out
 
 
@@ -126,14 +167,10 @@ class Counts:
     """Corpus counts of the tokens of a batch, and the corpus totals."""
 
     def __init__(self, answers: pa.Table, keys: np.ndarray, own: np.ndarray):
-        self.keys, self.count = keys, own.astype(np.int64)
-        _, told, count = X.unpacked(answers, ["keys", "count"])
-        self.count[np.searchsorted(keys, told.view(A.U64))] = count
-        self.tokens, self.types, mass = (answers.column(c)[0].as_py() for c in ("all_tokens", "all_types", "all_mass"))
+        self.keys, self.count = keys, own + told(answers)
+        self.tokens, self.types = (answers.column(c)[0].as_py() for c in ("all_tokens", "all_types"))
         self.room = self.tokens + self.types + 1
-        power = max(1, int(np.ceil(np.log2(max(self.tokens, 1) / SHARE))))
-        self.often = 1 << power
-        self.frequent = sum(mass[power:]) / self.room
+        self.known = (self.tokens + self.types) / self.room
 
     def of(self, values: np.ndarray) -> np.ndarray:
         return self.count[np.searchsorted(self.keys, values)]
@@ -144,47 +181,40 @@ def size_class(count: np.ndarray) -> np.ndarray:
 
 
 def send_pairs(texts: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
-    """Training counts of a batch's pairs of frequent words, and of each state's pairs together."""
+    """Training counts of a batch's pairs, 0 for those that only its held-out documents have. A pair of a word that
+    never trains does not occur in training, so it is not asked for."""
     none = {"count": np.zeros(0, np.int32), "lift": np.zeros(0, np.int16), "size": np.zeros(0, np.int8)}
     if not texts.num_rows:
-        return X.packed(0, np.zeros(0, A.U64), none, buckets)
+        return slim(X.packed(0, np.zeros(0, A.U64), none, buckets))
     labels, states, at = tokens(texts)
     counts = Counts(answers, *own_counts(texts, labels, at))
     label_count, state_count = counts.of(labels), counts.of(states)
-    use = np.flatnonzero((label_count >= counts.often) & (state_count >= counts.often))
-    weight = trains(texts, at)[use]
-    keys, place, count = counted(pair_keys(states[use], labels[use]), weight)
+    use = np.flatnonzero((label_count > 0) & (state_count > 0))
+    keys, place, count = counted(pair_keys(states[use], labels[use]), trains(texts, at)[use])
     own = use[place]
     # how often chance alone would make the pair, on a logarithmic scale: what a left-out count is held against
     chance = np.maximum(state_count[own] - 1, 1) * ((label_count[own] + 1) / counts.room)
     lift = np.clip(np.round(64 * np.log2(1 / chance)), -32768, 32767).astype(np.int16)
-    size = size_class(state_count[own])
-    whole, _, total = counted(pair_keys(states[use], np.full(len(use), ANY)), weight)
-    keys = np.concatenate([keys, whole])
-    order = np.argsort(keys)
-    lists = {
-        "count": np.concatenate([count, total])[order],
-        "lift": np.concatenate([lift, np.zeros(len(whole), np.int16)])[order],
-        "size": np.concatenate([size, np.full(len(whole), -1, np.int8)])[order],
-    }
-    return X.packed(texts.column("batch")[0].as_py(), keys[order], lists, buckets)
+    return slim(X.packed(texts.column("batch")[0].as_py(), keys, {"count": count, "lift": lift, "size": size_class(state_count[own])}, buckets))
 
 
 def count_pairs(table: pa.Table) -> pa.Table:
-    """Total counts, where they differ from what the batch knows; a bucket's first row has its share of what each
-    weight gains, for each size of context."""
-    batch, keys, count, lift, size = X.unpacked(table, ["keys", "count", "lift", "size"])
-    distinct, code, total = summed(keys.view(A.U64), count)
-    out = differing(batch, keys, total[code], count)
+    """Other batches' counts; a bucket's first row has its share of what each weight gains, for each size of context."""
+    count = X.unpacked(table, ["count"])[1]
+    distinct, code, total = summed(keys_of(table), count)
+    kinds = [full_kinds(data, n) for data, n in zip(table.column("kinds").to_pylist(), sizes_of(table).tolist())]
+    lift, size = (np.concatenate(c) for c in zip(*kinds))
+    out = others(table, total[code] - count)
     place = np.empty(len(distinct), np.int64)
     place[code] = np.arange(len(code))
     gain = np.zeros((SIZES, len(WEIGHTS)))
-    seen = np.flatnonzero((total > 0) & (size[place] >= 0))
+    seen = np.flatnonzero(total > 0)
     ratio = (total[seen] - 1) * 2.0 ** (lift[place[seen]] / 64)
     for k, w in enumerate(WEIGHTS):
         gain[:, k] = np.bincount(size[place[seen]], weights=total[seen] * np.log2(w * ratio + 1 - w), minlength=SIZES)
-    cells = [{"at": int(i), "gain": float(gain.flat[i])} for i in np.flatnonzero(gain)]
-    return out.append_column("gain", pa.array(first_row(out.num_rows, cells), pa.list_(pa.struct([("at", pa.int32()), ("gain", pa.float64())]))))
+    cells = [{"size": int(i), "gains": gain[i].tolist()} for i in np.flatnonzero(gain.any(1))]
+    kind = pa.list_(pa.struct([("size", pa.int32()), ("gains", pa.list_(pa.float64()))]))
+    return out.append_column("gain", pa.array(first_row(out.num_rows, cells), kind))
 
 
 def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
@@ -201,31 +231,18 @@ def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
     base = np.log10(root)
     out = base.copy()
 
-    use = np.flatnonzero((label_count >= counts.often) & (state_count >= counts.often))
-    weight = trains(texts, at)[use]
+    use = np.flatnonzero((label_count > 0) & (state_count > 0))
     pairs = answers.filter(pa.array(paired))
-    _, keys, total = X.unpacked(pairs, ["keys", "count"])
-    order = np.argsort(keys.view(A.U64))
-    keys, total = keys.view(A.U64)[order], total[order]
-
-    def totals(asked: np.ndarray) -> np.ndarray:
-        distinct, code = np.unique(asked, return_inverse=True)
-        own = np.bincount(code, weights=weight, minlength=len(distinct)).astype(np.int64)
-        hit, where = member(distinct, keys)
-        if len(keys):
-            own = np.where(hit, total[where], own)
-        return own[code]
-
     if len(use):
-        arc, leaving = totals(pair_keys(states[use], labels[use])), totals(pair_keys(states[use], np.full(len(use), ANY)))
+        keys, code = np.unique(pair_keys(states[use], labels[use]), return_inverse=True)
+        own = np.bincount(code, weights=trains(texts, at)[use], minlength=len(keys)).astype(np.int64)
+        arc = (own + told(pairs))[code]
         weights = np.zeros(SIZES)
-        known = pairs.column("weights")[0].as_py() if pairs.num_rows else None
-        for choice in known or []:
+        for choice in pairs.column("weights")[0].as_py() or []:
             weights[choice["size"]] = choice["weight"]
         r = weights[size_class(state_count[use])]
         # an arc's weight holds the root's share too; the failure arc's is log10(1 - r), to the root
-        share = np.where(leaving > 0, counts.frequent * arc / np.maximum(leaving, 1), root[use])
-        out[use] = np.log10(r * share + (1 - r) * root[use])
+        out[use] = np.log10(r * counts.known * arc / state_count[use] + (1 - r) * root[use])
     sums = lambda values: np.add.reduceat(values, at[:-1])  # noqa: E731  each text has a token at least: its end
     columns = [
         texts.column("doc_id"), texts.column("held_out"), np.diff(at), sums((label_count > 0).astype(np.int64)),
@@ -246,17 +263,15 @@ def log_scores(docs: DataFrame) -> DataFrame:
     sent = X.grouped(texts, "batch", partial(send_words, buckets=buckets), COUNTED)
     words = X.grouped(sent, "bucket", count_words, WORDS)
     # one row of totals
-    mass = F.array(*(F.coalesce(F.sum(F.get("mass", F.lit(i))), F.lit(0)) for i in range(POWERS)))
-    totals = words.agg(F.sum("tokens").alias("all_tokens"), F.sum("types").alias("all_types"), mass.alias("all_mass")).withColumn("one", F.lit(1))
-    words = words.select("batch", "keys", "count", F.lit(1).alias("one")).join(F.broadcast(totals), "one").drop("one")
+    totals = words.agg(F.sum("tokens").alias("all_tokens"), F.sum("types").alias("all_types")).withColumn("one", F.lit(1))
+    words = words.select("bucket", "batch", "more", F.lit(1).alias("one")).join(F.broadcast(totals), "one").drop("one")
     asked = X.meet(texts, words, partial(send_pairs, buckets=buckets), PAIRED)
     pairs = X.grouped(asked, "bucket", count_pairs, PAIRS)
     # one row of at most SIZES weights: for each size the weight of greatest gain, the smallest of equals
-    gains = pairs.select(F.inline("gain")).groupBy("at").agg(F.sum("gain").alias("gain"))
-    best = gains.groupBy(F.expr(f"at div {len(WEIGHTS)}").alias("size")).agg(F.max(F.struct("gain", (-(F.col("at") % len(WEIGHTS))).alias("k"))).alias("best"))
-    value = F.get(F.array(*(F.lit(float(w)) for w in WEIGHTS)), (-F.col("best.k")).cast("int"))
-    chosen = best.agg(F.array_sort(F.collect_list(F.struct("size", value.alias("weight")))).alias("list"))
+    gains = pairs.select(F.inline("gain")).groupBy("size").agg(F.array(*(F.sum(F.get("gains", F.lit(k))) for k in range(len(WEIGHTS)))).alias("gains"))
+    value = F.get(F.array(*(F.lit(float(w)) for w in WEIGHTS)), F.array_position("gains", F.array_max("gains")).cast("int") - 1)
+    chosen = gains.agg(F.array_sort(F.collect_list(F.struct("size", value.alias("weight")))).alias("list"))
     chosen = chosen.select(F.col("list").alias("weights"), F.lit(1).alias("one"))
-    pairs = pairs.select("batch", "keys", "count", F.lit(1).alias("one")).join(F.broadcast(chosen), "one").drop("one")
+    pairs = pairs.select("bucket", "batch", "more", F.lit(1).alias("one")).join(F.broadcast(chosen), "one").drop("one")
     both = words.withColumn("is_pair", F.lit(False)).unionByName(pairs.withColumn("is_pair", F.lit(True)), allowMissingColumns=True)
     return X.meet(texts, both, score, RESULT)

@@ -71,3 +71,45 @@ def test_empty_and_no_training(spark):
     row = lm.log_scores(spark.createDataFrame([(only, "a b")], "doc_id long, text string")).first()
     assert (row["n_known"], row["train_tokens"], row["base_score"], row["score"]) == (0, 0, 0.0, 0.0)
     assert np.isfinite(row["score"])
+
+
+def test_scores_against_brute_force(spark):
+    """Every pair of the training documents counts, those of words that occur once too."""
+    docs = corpus()
+    train, pairs, heads = Counter(), Counter(), Counter()
+    for i, t in docs:
+        if not is_held_out(i):
+            line = words(t)
+            train.update(line)
+            pairs.update(zip(["<begin>", *line], line))
+            heads.update(["<begin>", *line[:-1]])
+    n, v = sum(train.values()), len(train)
+    root = lambda w: (train[w] + 1) / (n + v + 1)
+    size = lambda u: int(math.log2(heads[u]) / 2)
+    gains = {}
+    for (u, w), c in pairs.items():
+        lift = round(64 * math.log2(1 / (max(heads[u] - 1, 1) * root(w)))) / 64
+        for r in lm.WEIGHTS:
+            key = size(u), float(r)
+            gains[key] = gains.get(key, 0) + c * math.log2(r * (c - 1) * 2**lift + 1 - r)
+    best = {s: max((g, -r) for (t, r), g in gains.items() if t == s)[1] for s, _ in gains}
+
+    def score(t):
+        line = words(t)
+        known = (n + v) / (n + v + 1)
+        r = lambda u: -best[size(u)]
+        return sum(math.log10(r(u) * known * pairs[u, w] / heads[u] + (1 - r(u)) * root(w) if heads[u] and train[w] else root(w)) for u, w in zip(["<begin>", *line], line))
+
+    rows = lm.log_scores(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(((r["doc_id"], round(r["score"], 6)) for r in rows), key=key) == sorted(((i, round(score(t), 6)) for i, t in docs), key=key)
+
+
+def test_pairs_are_not_forgotten_as_the_corpus_grows(spark):
+    rng = random.Random(5)
+    probe = next(i for i in range(10**6, 10**7) if is_held_out(i))
+    pairs = [(i, " ".join(f"left{(i + k) % 40} right{(i + k) % 40}" for k in range(20))) for i in range(20)]
+    filler = [(100 + i, " ".join(f"w{rng.randrange(20000)}" for _ in range(4000))) for i in range(300)]
+    rows = lm.log_scores(spark.createDataFrame([*pairs, *filler, (probe, "left5 right5 left6 right6")], "doc_id long, text string"))
+    row = rows.where(f"doc_id = {probe}").first()
+    assert row["train_tokens"] > 10**6 and row["score"] > row["base_score"] + 1
