@@ -113,3 +113,8 @@ def test_pairs_are_not_forgotten_as_the_corpus_grows(spark):
     rows = lm.log_scores(spark.createDataFrame([*pairs, *filler, (probe, "left5 right5 left6 right6")], "doc_id long, text string"))
     row = rows.where(f"doc_id = {probe}").first()
     assert row["train_tokens"] > 10**6 and row["score"] > row["base_score"] + 1
+
+
+def test_weights_tried():
+    """Steps of a twentieth, and finer ones near zero."""
+    assert np.allclose(lm.WEIGHTS, [0, 0.001, 0.003, 0.01, 0.03, *(k / 20 for k in range(1, 20))])
