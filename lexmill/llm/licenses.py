@@ -1,7 +1,9 @@
 """Licences of files: TF-IDF cosine of their lines to template statements, then inheritance along paths.
 
 Every line of every whole text is weighed against the templates. A word's weight is its count times the logarithm
-of its rarity among all lines of the corpus; words outside the templates' vocabulary weigh as the rarest. A file
+of its rarity among all lines of the corpus; words outside the templates' vocabulary weigh as the rarest. Headers and
+whole texts are blocks: runs of as many words, over any line breaks, are weighed against them where four words in a
+row agree. A file with a statement that is none of these has an unknown licence. A file
 without a statement of its own takes that of the licence file in the nearest directory above it.
 """
 
@@ -12,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +29,74 @@ TEMPLATES = {
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
     "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"],
 }
+for _name, _short, _long in (("BY", "BY", "Attribution"), ("BY-NC", "BY-NC", "Attribution-NonCommercial"), ("BY-SA", "BY-SA", "Attribution-ShareAlike"), ("BY-ND", "BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")):
+    for _version, _port in (("4.0", "International"), ("3.0", "Unported")):
+        TEMPLATES.setdefault(f"CC-{_name}-{_version}", []).extend([
+            f"Licensed under CC {_short} {_version}.", f"This work is licensed under a Creative Commons {_long} {_version} {_port} License.",
+            f"SPDX-License-Identifier: CC-{_name}-{_version}",
+        ])
+for _name, _said, _version in (("GPL-3.0", "General", 3), ("GPL-2.0", "General", 2), ("LGPL-3.0", "Lesser General", 3), ("LGPL-2.1", "Lesser General", "2.1"), ("AGPL-3.0", "Affero General", 3)):
+    TEMPLATES.setdefault(_name, []).extend([
+        f"This work is licensed under the GNU {_said} Public License, version {_version}.", f"Licensed under the {_name}.",
+        f"SPDX-License-Identifier: {_name}-only", f"SPDX-License-Identifier: {_name}-or-later",
+    ])
+for _name, _said in (("BSD-3-Clause", "BSD 3-Clause License"), ("BSD-2-Clause", "BSD 2-Clause License"), ("ISC", "ISC License"), ("Unlicense", "Unlicense"), ("CC0-1.0", "CC0 1.0 Universal"), ("EPL-2.0", "Eclipse Public License 2.0"), ("MPL-2.0", "Mozilla Public License 2.0"), ("MIT", "MIT License"), ("Apache-2.0", "Apache License 2.0")):
+    TEMPLATES.setdefault(_name, []).extend([f"Licensed under the {_said}.", f"SPDX-License-Identifier: {_name}"])
+
+_AS_IS = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO
+EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS
+INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR
+OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution. """
+_THIRD = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission. """
+_GNU = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} Public License as
+published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version. This program is
+distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS
+FOR A PARTICULAR PURPOSE. See the GNU {0} Public License for more details. You should have received a copy of the GNU {0} Public License
+along with this program. If not, see <https://www.gnu.org/licenses/>."""
+_TITLE = """GNU {0} PUBLIC LICENSE Version {1}, {2} Copyright (C) Free Software Foundation, Inc. Everyone is permitted to copy and
+distribute verbatim copies of this license document, but changing it is not allowed."""
+#: Standard headers, and whole texts or, of the longest licences, their beginnings. Fixed values.
+BLOCKS = {
+    "MIT": ["""Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy,
+modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED,
+INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL
+THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
+OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""],
+    "ISC": ["""Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR
+DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."""],
+    "BSD-2-Clause": [_BSD + _AS_IS],
+    "BSD-3-Clause": [_BSD + _THIRD + _AS_IS],
+    "Apache-2.0": ["""Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with
+the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or
+agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY
+KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"],
+    "MPL-2.0": ["""This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""],
+    "Unlicense": ["""This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,
+compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or
+non-commercial, and by any means."""],
+    "GPL-3.0": [_GNU.format("General", "3"), _TITLE.format("GENERAL", "3", "29 June 2007")],
+    "GPL-2.0": [_GNU.format("General", "2"), _TITLE.format("GENERAL", "2", "June 1991")],
+    "LGPL-3.0": [_GNU.format("Lesser General", "3"), _TITLE.format("LESSER GENERAL", "3", "29 June 2007")],
+    "LGPL-2.1": [_GNU.format("Lesser General", "2.1"), _TITLE.format("LESSER GENERAL", "2.1", "February 1999")],
+    "AGPL-3.0": [_GNU.format("Affero General", "3"), _TITLE.format("AFFERO GENERAL", "3", "19 November 2007")],
+}
+GRAM = 4
+#: What looks like a statement on a licence, known or not (RE2).
+STATEMENT = r"(?i)licen[sc]ed\s+under\s|spdx-license-identifier|(released|distributed|available|provided|subject)\s+(under|to)\s[^\n]{0,80}\blicen[sc]e\b"
+UNKNOWN = "unknown"
 LEAST_COSINE = 0.8
 #: Names of files that speak for their directory and all below it.
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|unlicense|notice)([.\-_].*)?$"
@@ -54,6 +125,14 @@ class Templates:
         self.vocabulary, code = np.unique(hashes, return_inverse=True)
         self.counts = np.zeros((len(self.names), len(self.vocabulary)))
         np.add.at(self.counts, (line, code), 1)
+        self.words = np.bincount(line, minlength=len(self.names))
+        # grams of single templates, and where they begin in them
+        at = np.arange(max(0, len(line) - GRAM + 1))
+        at = at[line[at] == line[at + GRAM - 1]]
+        grams = A.gram_hashes(hashes, GRAM)[at] if len(at) else np.zeros(0, A.U64)
+        order = np.argsort(grams, kind="stable")
+        begins = np.searchsorted(line, np.arange(len(self.names)))
+        self.grams, self.gram_of, self.gram_at = grams[order], line[at][order], (at - begins[line[at]])[order]
 
     def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
@@ -87,9 +166,9 @@ def line_counts(files: DataFrame, templates: Templates) -> tuple[int, np.ndarray
     return int(out[-1]), out[:-1]
 
 
-def best_lines(column: pa.Array, t: Templates) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best_lines(words_found: tuple, t: Templates) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each text the greatest cosine of a line with a template, that template, and the line; the first of equals."""
-    hashes, line, first = words_of_lines(column)
+    hashes, line, first = words_found
     hit, at = t.hits(hashes)
     n, size = len(first) - 1, len(t.vocabulary)
     score, template, where = np.zeros(n), np.full(n, -1), np.full(n, -1)
@@ -114,23 +193,62 @@ def best_lines(column: pa.Array, t: Templates) -> tuple[np.ndarray, np.ndarray,
     return score, template, where
 
 
+def best_blocks(words_found: tuple, t: Templates, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text the cosine, block and first line of the run of words that agrees with most of a block; 0 if none
+    has a cosine of ``least``."""
+    hashes, line, first = words_found
+    n = len(first) - 1
+    score, block, where, most = np.zeros(n), np.full(n, -1), np.full(n, -1), np.zeros(n)
+    grams = A.gram_hashes(hashes, GRAM)
+    low = np.searchsorted(t.grams, grams)
+    hit = np.flatnonzero(t.grams[np.minimum(low, len(t.grams) - 1)] == grams)
+    if not len(hit):
+        return score, block, where
+    low = low[hit]
+    many = np.searchsorted(t.grams, grams[hit], "right") - low
+    entry = A.spread(low, many)
+    start = np.repeat(hit, many) - t.gram_at[entry]
+    text = np.searchsorted(first, line[np.repeat(hit, many)], "right") - 1
+    bounds = np.searchsorted(line, first)  # each text's first word, and the end
+    for x, k, at in np.unique(np.stack([text, t.gram_of[entry], start], 1), axis=0).tolist():
+        i, j = max(at, bounds[x]), min(at + t.words[k], bounds[x + 1])
+        if j - i < GRAM:
+            continue
+        known, code = t.hits(hashes[i:j])
+        run = np.bincount(code[known], minlength=len(t.vocabulary)) * t.rarity
+        cosine = run @ t.vectors[k] / np.sqrt((run**2).sum() + (j - i - len(known)) * t.rarest**2)
+        if cosine >= least and cosine**2 * (j - i) > most[x]:
+            score[x], block[x], where[x], most[x] = cosine, k, line[i] - first[x], cosine**2 * (j - i)
+    return score, block, where
+
+
 def scan(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, least: float = LEAST_COSINE) -> DataFrame:
     """path, own_licence, cosine and line of the best statement, licence and licence_from for every file.
 
     files: path and text. ``licence`` is the file's own, else that of the nearest licence file (by name, with a
     statement of its own) in its directory or one above it, the least path of several in one directory;
+    A block counts before a line; a statement that is not recognised makes the licence ``unknown``.
     ``licence_from`` is the path of the file that states it. A null or empty text states nothing; a null path has
     no directories. Repeated paths keep their rows. Other columns are not carried; an empty table gives no rows.
     """
     files = files.select("path", "text")
-    t = Templates(templates)
-    t.weigh(*line_counts(files, t))
+    t, blocks = Templates(templates), Templates(BLOCKS)
+    every = Templates({"": [x for source in (templates, BLOCKS) for texts in source.values() for x in texts]})
+    total, having = line_counts(files, every)
+    for some in (t, blocks):
+        some.weigh(total, having[np.searchsorted(every.vocabulary, some.vocabulary)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in A.slices(batches):
-            score, template, where = best_lines(batch.column("text"), t)
+            found = words_of_lines(batch.column("text"))
+            score, template, where = best_lines(found, t)
             stated = score >= least
             names = [t.names[k] if s else None for k, s in zip(template.tolist(), stated.tolist())]
+            high, block, begin = best_blocks(found, blocks, least)
+            for x in np.flatnonzero(block >= 0):
+                score[x], where[x], stated[x], names[x] = high[x], begin[x], True, blocks.names[block[x]]
+            looks = pc.match_substring_regex(batch.column("text"), STATEMENT).to_pylist()
+            names = [UNKNOWN if name is None and look else name for name, look in zip(names, looks)]
             lines = pa.array([x if s else None for x, s in zip(where.tolist(), stated.tolist())], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(names, pa.string()), pa.array(np.round(score, 6)), lines], ["path", "own_licence", "cosine", "line"])
 

@@ -60,3 +60,19 @@ def test_root_licence_and_empty(spark):
     frame = spark.createDataFrame([("LICENSE", "Released under the MIT License."), ("x/y/z", "")], "path string, text string")
     assert {r["path"]: r["licence"] for r in licenses.scan(frame).collect()} == {"LICENSE": "MIT", "x/y/z": "MIT"}
     assert licenses.scan(frame.where("false")).count() == 0
+
+
+def test_blocks_other_licences_and_unknown_statements(spark):
+    mit = "Copyright (c) 2020 Somebody\n\n" + licenses.BLOCKS["MIT"][0]
+    files = [
+        ("LICENSE", "Released under the MIT License."), ("a/nc.txt", "words\nLicensed under CC BY-NC 4.0."), ("a/by.txt", "Licensed under CC BY 4.0."),
+        ("b/LICENSE", mit), ("b/x.py", "none"), ("c/gpl.py", "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n#\n# This program is distributed in the hope that it will be useful,\n# but WITHOUT ANY WARRANTY; without even the implied warranty of\n# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\n# GNU General Public License for more details.\ncode()"),
+        ("c/two.py", licenses.BLOCKS["BSD-2-Clause"][0]), ("c/three.py", licenses.BLOCKS["BSD-3-Clause"][0]),
+        ("d/LICENSE", "Licensed under the Ruritanian Data Terms of 1894."), ("d/e/y.py", "none"), ("f/z.py", "none"),
+    ]
+    rows = {r["path"]: (r["licence"], r["licence_from"]) for r in licenses.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert rows["a/nc.txt"] == ("CC-BY-NC-4.0", "a/nc.txt") and rows["a/by.txt"][0] == "CC-BY-4.0"
+    assert rows["b/LICENSE"] == ("MIT", "b/LICENSE") and rows["b/x.py"] == ("MIT", "b/LICENSE")
+    assert rows["c/gpl.py"] == ("GPL-3.0", "c/gpl.py")
+    assert rows["c/two.py"][0] == "BSD-2-Clause" and rows["c/three.py"][0] == "BSD-3-Clause"
+    assert rows["d/LICENSE"] == ("unknown", "d/LICENSE") and rows["d/e/y.py"] == ("unknown", "d/LICENSE") and rows["f/z.py"] == ("MIT", "LICENSE")
