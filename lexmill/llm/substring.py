@@ -55,6 +55,8 @@ def window_marks(values: np.ndarray, first: np.ndarray, window: int, gram: int)
 
 def distinct_marks(marks: np.ndarray, inside: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct fingerprints of a batch, and whether two of its texts have them."""
+    if not len(marks):
+        return np.zeros(0, A.U64), np.zeros(0, bool)
     new = inside.copy()
     new[1:] &= (marks[1:] != marks[:-1]) | (owner[1 : len(marks)] != owner[: len(marks) - 1]) | ~inside[:-1]
     at = np.flatnonzero(new)

@@ -68,3 +68,9 @@ def test_runs_find_keys_seen_twice():
 
 def test_empty_table(spark):
     assert substring.drop_repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_one_short_document(spark):
+    text = "one two three four five six seven eight nine ten"
+    row = substring.drop_repeated_passages(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (row["n_words"], row["n_removed"], bytes(row["kept"]).decode()) == (10, 0, text)

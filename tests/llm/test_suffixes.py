@@ -66,3 +66,8 @@ def test_against_brute_force(spark, common):
 
 def test_empty_table(spark):
     assert suffixes.drop_repeated_bytes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_one_short_document(spark):
+    row = suffixes.drop_repeated_bytes(spark.createDataFrame([(1, "ten bytes.")], "doc_id long, text string")).first()
+    assert (row["n_bytes"], row["n_removed"], bytes(row["kept"])) == (10, 0, b"ten bytes.")
