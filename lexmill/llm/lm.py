@@ -258,8 +258,7 @@ def log_scores(docs: DataFrame) -> DataFrame:
     as its end alone. All rows train or are held out by doc_id, repeated rows each time; without training documents
     every token is unknown. Other columns are not carried; an empty table gives no rows.
     """
-    texts, _ = X.batched(docs, BATCH_BYTES, held_out=held_out(F.col("doc_id")))
-    buckets = X.bucket_count(docs)
+    texts, _, buckets = X.batched(docs, BATCH_BYTES, held_out=held_out(F.col("doc_id")))
     sent = X.grouped(texts, "batch", partial(send_words, buckets=buckets), COUNTED)
     words = X.grouped(sent, "bucket", count_words, WORDS)
     # one row of totals

@@ -132,9 +132,8 @@ def flag_shared(table: pa.Table, batches: int) -> pa.Table:
     return X.replied(batch[hit], {"keys": keys[hit].view(np.int64)})
 
 
-def shared_marks(texts: DataFrame, batches: int, marks_of) -> DataFrame:
+def shared_marks(texts: DataFrame, batches: int, buckets: int, marks_of) -> DataFrame:
     """For each batch the fingerprints that another document has too."""
-    buckets = X.bucket_count(texts)
     sent = X.grouped(texts, "batch", partial(send_marks, buckets=buckets, marks_of=marks_of), RUNS)
     return X.grouped(sent, "bucket", partial(flag_shared, batches=batches), FLAGGED)
 
@@ -252,9 +251,8 @@ def drop_repeated_passages(docs: DataFrame, ingests: int = INGESTS, carry: Seque
     without an id, are never earlier than each other; a document without an id is later than all with one. The
     columns of ``carry`` come along as ``_carry_0``, ``_carry_1``, ...; others do not. An empty table gives no rows.
     """
-    texts, batches = X.batched(docs, BATCH_BYTES, ingests, **{f"_carry_{i}": F.col(c) for i, c in enumerate(carry)})
-    buckets = X.bucket_count(docs)
-    flagged = shared_marks(texts, batches, word_marks)
+    texts, batches, buckets = X.batched(docs, BATCH_BYTES, ingests, **{f"_carry_{i}": F.col(c) for i, c in enumerate(carry)})
+    flagged = shared_marks(texts, batches, buckets, word_marks)
     asked = X.meet(texts, flagged, partial(send_windows, buckets=buckets), ASKED)
     found = X.grouped(asked, "bucket", least_ids, FOUND)
     carried = [f"_carry_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry)]

@@ -371,8 +371,7 @@ def drop_repeated_bytes(docs: DataFrame, ingests: int = INGESTS, common: int = C
     text is empty. Documents of one id, or both without an id, are never earlier than each other; a document
     without an id is later than all with one. Other columns are not carried; an empty table gives no rows.
     """
-    texts, batches = X.batched(docs, BATCH_BYTES, ingests, text_one=F.xxhash64("text"), text_two=F.xxhash64(F.lit(1), "text"))
-    buckets = X.bucket_count(docs)
+    texts, batches, buckets = X.batched(docs, BATCH_BYTES, ingests, text_one=F.xxhash64("text"), text_two=F.xxhash64(F.lit(1), "text"))
     same = written(copies(texts), "copies")
     sent = X.meet(texts, same, partial(send_original_marks, buckets=buckets), MARKS)
     flagged = X.grouped(sent, "bucket", partial(flag_marks, batches=batches, many=common), FLAGGED)
