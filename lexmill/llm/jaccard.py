@@ -6,9 +6,11 @@ orders begin with the tokens that no other document has, which use prefix places
 with the tokens that are common in the corpus, as a fixed-size table of counts tells. Besides, the tokens that a set
 shares with any others bound its overlap with each. Candidates that pass all filters are verified on the whole sets.
 
-Equal sets are one class. Candidate pairs are made in two rounds: first each token's classes against the least one
-of them; then, for tokens whose classes are still in several components, the classes outside the largest of these
-against all others. Pairs inside a component need no verification, as components are what is asked for.
+Equal sets are one class. Each token's classes form a group, named by its least class, the hub; groups of one hub are
+one group. First all members are held against their hub. Then groups whose members are still in several components are
+compared whole: members outside the largest component against all others, in cells of bounded size. A cell applies the
+prefix filters of all orders, verifies what is left on the whole sets, and returns only links that join components, so
+no pair becomes a row.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,11 +37,13 @@ ORDERS = 3
 #: Counters of the table of token counts, 4 bytes each: what the driver holds and sends to each task.
 COUNTERS = 1 << 20
 BLOCKS = 64
+#: Shingles on each side of a cell, about.
+CELL_TOKENS = 1 << 18
 
 #: Bits of the fixed-size filter of wanted ids.
 FILTER_BITS = 1 << 23
 
-SETS = "doc_id long, n_shingles long, n_shared long, set_one long, set_two long, prefixes array<array<long>>"
+SETS = "doc_id long, text_key long, n_shingles long, n_shared long, set_one long, set_two long, prefixes array<array<long>>"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +123,7 @@ def keep_sets(texts: pa.Table, answers: pa.Table, buckets: int, common) -> pa.Ta
     """Each document's set: its size and hashes, how many of its tokens other documents have, and the shared tokens of
     its prefixes, null if there are none (then it is similar to no other)."""
     names = [c.split()[0] for c in SETS.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64()))]
+    kinds = [pa.int64()] * 6 + [pa.list_(pa.list_(pa.int64()))]
     if not texts.num_rows:
         return pa.table([pa.array([], k) for k in kinds], names=names)
     tokens, first = shingle_sets(*X.texts_of(texts))
@@ -131,9 +136,8 @@ def keep_sets(texts: pa.Table, answers: pa.Table, buckets: int, common) -> pa.Ta
     take = np.minimum(prefix_size(sizes) - (sizes - shared), shared)
     parts = [prefixes(keys[hit], bounds, take, common.value, k) for k in range(ORDERS)]
     lists = [list(own) if own[0] else None for own in zip(*parts)]
-    sums = [np.concatenate([np.zeros(1, A.U64), np.cumsum(A.mix(tokens + A.U64(k)))]) for k in (1, 2)]
-    one, two = (A.mix(s[first[1:]] - s[first[:-1]] + sizes.astype(A.U64)).view(np.int64) for s in sums)
-    columns = [texts.column("doc_id"), sizes, shared, one, two, lists]
+    one, two = set_hashes(tokens, first)
+    columns = [texts.column("doc_id"), texts.column("text_key"), sizes, shared, one, two, lists]
     return pa.table([c if isinstance(c, pa.ChunkedArray) else pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
 
@@ -158,23 +162,45 @@ def bit_of(ids: np.ndarray) -> np.ndarray:
     return (A.mix(ids.astype(np.int64).view(A.U64)) & A.U64(FILTER_BITS - 1)).astype(np.int64)
 
 
-def sets_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """class_id and all shingles of the documents that pairs name (and of few others)."""
-    wanted = docs.sparkSession.sparkContext.broadcast(id_filter(pairs.select("a").union(pairs.select("b"))))  # FILTER_BITS bytes
+def set_hashes(tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each set, whatever the order of its tokens."""
+    sizes = np.diff(first).astype(A.U64)
+    sums = [np.concatenate([np.zeros(1, A.U64), np.cumsum(A.mix(tokens + A.U64(k)))]) for k in (1, 2)]
+    one, two = (A.mix(s[first[1:]] - s[first[:-1]] + sizes).view(np.int64) for s in sums)
+    return one, two
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """class_id, set_one and all shingles of the classes that ``wanted`` names, each set once.
+
+    Rows of other ids are left out by a fixed-size bit table where the wanted ids leave most of it empty; the semi join
+    that follows is exact in any case.
+    """
+    wanted = wanted.distinct()
+    rows, bits = docs.select("doc_id", "text"), None
+    if wanted.count() <= FILTER_BITS // 8:
+        bits = docs.sparkSession.sparkContext.broadcast(id_filter(wanted))  # FILTER_BITS bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(wanted.value[bit_of(batch.column("doc_id").to_numpy())].astype(bool)))
+            if bits is not None:
+                own = batch.column("doc_id")
+                keep = bits.value[bit_of(own.fill_null(0).to_numpy())].astype(bool) | own.is_null().to_numpy(zero_copy_only=False)
+                batch = batch.filter(pa.array(keep))
             for part in A.slices([batch]):
                 tokens, first = shingle_sets(*A.utf8(part.column("text")))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), A.list_array(pa.array(tokens.view(np.int64)), np.diff(first))], ["class_id", "shingles"])
+                one, _ = set_hashes(tokens, first)
+                own = part.column("doc_id").to_pylist()
+                ids = pa.array([surrogate(int(h)) if i is None else i for i, h in zip(own, one.tolist())], pa.int64())
+                shingles = A.list_array(pa.array(tokens.view(np.int64)), np.diff(first))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(one), shingles], ["class_id", "set_one", "shingles"])
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, "class_id long, shingles array<long>")
+    found = rows.mapInArrow(run, "class_id long, set_one long, shingles array<long>")
+    return found.join(wanted, "class_id", "left_semi").groupBy("class_id", "set_one").agg(F.first("shingles").alias("shingles"))
 
 
-def similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of documents whose whole sets have a similarity of 4/5 or more."""
-    sets = written(sets_of(docs, pairs), "sets")
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose whole sets have a similarity of 4/5 or more."""
     both = pairs.join(sets.select(F.col("class_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("class_id").alias("b"), F.col("shingles").alias("y")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,10 +237,9 @@ def components(links: DataFrame, name: str) -> DataFrame:
     return after.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def may_match(a: str, b: str) -> Column:
+def may_match(n_a: Column, shared_a: Column, n_b: Column, shared_b: Column) -> Column:
     """Two sets of similarity 4/5 have sizes within 4/5, and an overlap of 4/9 of both sizes together; the overlap is no
     more than what either shares with any others."""
-    n_a, n_b, shared_a, shared_b = (F.col(f"{x}.{c}") for c in ("n", "shared") for x in (a, b))
     return (5 * F.least(n_a, n_b) >= 4 * F.greatest(n_a, n_b)) & (9 * F.least(shared_a, shared_b) >= 4 * (n_a + n_b))
 
 
@@ -228,53 +253,123 @@ def candidates(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.where(test).select("a", "b").distinct()
 
 
-def ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("x.class_id", "y.class_id").alias("a"), F.greatest("x.class_id", "y.class_id").alias("b")).distinct()
+class Lists:
+    """Values of many rows laid end to end, as codes."""
+
+    def __init__(self, column: pa.Array):
+        values, self.code = np.unique(column.flatten().to_numpy(), return_inverse=True)
+        self.code, self.first, self.mark = self.code.astype(np.int32), column.offsets.to_numpy().astype(np.int64), np.zeros(len(values), bool)
+        self.first = self.first - self.first[0]
+
+    def overlaps(self, row: int, others: np.ndarray) -> np.ndarray:
+        """How many values each of the other rows, none of them empty, has in common with one row."""
+        own = self.code[self.first[row] : self.first[row + 1]]
+        self.mark[own] = True
+        sizes = self.first[others + 1] - self.first[others]
+        hits = np.add.reduceat(self.mark[self.code[A.spread(self.first[others], sizes)]], np.cumsum(sizes) - sizes, dtype=np.int64)
+        self.mark[own] = False
+        return hits
+
+
+def join_cell(cell: pa.Table) -> pa.Table:
+    """Links (a, b) between members outside the largest component and all others of a cell, as few as join the same
+    components: a pair must pass the size and shared-token bounds and the prefix filter of every order, then its whole
+    sets are compared; members that are already connected are not."""
+    cell = cell.combine_chunks()
+    array = lambda name: cell.column(name).combine_chunks()
+    flat = lambda a: a.chunk(0) if isinstance(a, pa.ChunkedArray) else a
+    ids, n, shared = (flat(array(c)).to_numpy() for c in ("class_id", "n", "shared"))
+    _, label = np.unique(flat(array("component")).to_numpy(), return_inverse=True)
+    outside = flat(array("outside")).to_numpy(zero_copy_only=False).astype(bool)
+    prefixes, shingles = flat(array("prefixes")), Lists(flat(array("shingles")))
+    orders = [Lists(pa.compute.list_element(prefixes, k)) for k in range(ORDERS)]
+    inside = np.flatnonzero(~outside)
+    links = []
+    for i in np.flatnonzero(outside).tolist():
+        at = inside[label[inside] != label[i]]
+        size, most = n[at], np.minimum(shared[at], shared[i])
+        at = at[(5 * np.minimum(size, n[i]) >= 4 * np.maximum(size, n[i])) & (9 * most >= 4 * (size + n[i]))]
+        for order in orders:
+            at = at[order.overlaps(i, at) > 0] if len(at) else at
+        if not len(at):
+            continue
+        same = shingles.overlaps(i, at)
+        at = at[100 * same >= 80 * (n[at] + n[i] - same)]
+        _, heads = np.unique(label[at], return_index=True)
+        for j in at[heads].tolist():
+            links.append((ids[i], ids[j]))
+            label[label == label[j]] = label[i]
+    a, b = zip(*links) if links else ((), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def cells(members: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Links that join components within groups, from (hub, class_id, n, component) rows.
+
+    Members are dealt into blocks of about CELL_TOKENS shingles; a cell is a block of members outside the group's
+    largest component with a block of all members.
+    """
+    sizes = members.groupBy("hub", "component").agg(F.count("*").alias("size"), F.sum("n").alias("tokens"))
+    largest = sizes.groupBy("hub").agg(F.max_by(F.struct("component", "tokens"), F.struct("size", "component")).alias("top"), F.sum("tokens").alias("all"), F.count("*").alias("parts")).where("parts > 1")
+    blocks = lambda tokens: F.ceil(tokens / CELL_TOKENS).cast("int")
+    plan = largest.select("hub", F.col("top.component").alias("largest"), blocks(F.col("all")).alias("columns"), blocks(F.col("all") - F.col("top.tokens")).alias("rows"))
+    placed = members.join(plan, "hub")
+    dealt = lambda parts: F.pmod(F.xxhash64("class_id", "hub"), F.col(parts)).cast("int")
+    each = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    own = placed.where("component <> largest").select("hub", "class_id", "component", dealt("rows").alias("row"), each("columns").alias("column"), F.lit(True).alias("outside"))
+    others = placed.select("hub", "class_id", "component", dealt("columns").alias("column"), each("rows").alias("row"), F.lit(False).alias("outside"))
+    rows = own.unionByName(others).join(profiles, "class_id")
+    return rows.groupBy("hub", "row", "column").applyInArrow(join_cell, "a long, b long")
+
+
+def surrogate(hashed: int) -> int:
+    """Internal number of a class without any doc_id: its hash with the sign bit set."""
+    return hashed | -(1 << 63)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id (the least doc_id that links lead to) of every document.
+    """doc_id, n_shingles and component_id (the least doc_id that links lead to) of every document, and ``text_key``
+    (a hash of its text) and ``component`` (a number of its component, whether its documents have ids or not).
 
     A null or empty text, or one without words, has no shingles and no links; its component is its own id. Rows of
-    one doc_id count as one document: what links to one of them links to all. A document without an id keeps a null component if it has no link
-    to one with an id. Other columns are not carried; an empty table gives no rows.
+    one doc_id count as one document: what links to one of them links to all. A document without an id links like any
+    other; its component is the least id that links lead to, null if none of those documents has one. Other columns are
+    not carried; an empty table gives no rows.
     """
     spark = docs.sparkSession
     common = spark.sparkContext.broadcast(np.log2(token_counts(docs) + 1).astype(np.int8))  # COUNTERS bytes
-    texts, batches = X.batched(docs, BATCH_BYTES)
-    buckets = X.bucket_count(docs)
+    texts, batches, buckets = X.batched(docs, BATCH_BYTES, text_key=F.xxhash64("text"))
     sent = X.grouped(texts, "batch", partial(send_tokens, buckets=buckets), MARKS)
     shared = X.grouped(sent, "bucket", partial(flag_marks, batches=batches, many=batches + 1), FLAGGED)
     sets = written(X.meet(texts, shared, partial(keep_sets, buckets=buckets, common=common), SETS), "prefixes")
 
     keys = ["set_one", "set_two"]
-    # equal sets are one class; its id is the least doc_id, unless all are null
-    members = sets.where("n_shingles > 0").groupBy(*keys).agg(F.min("doc_id").alias("class_id"))
-    found = sets.where("prefixes IS NOT NULL AND doc_id IS NOT NULL").join(members.where("class_id IS NOT NULL"), keys).where("doc_id = class_id")
-    classes = found.dropDuplicates(["class_id", *keys]).select("class_id", F.col("n_shingles").alias("n"), F.col("n_shared").alias("shared"), "prefixes")
+    # equal sets are one class; its id is the least doc_id, or made of the set's hash where all are null
+    members = sets.where("n_shingles > 0").groupBy(*keys).agg(F.min("doc_id").alias("least_id"))
+    members = members.withColumn("class_id", F.coalesce("least_id", F.col("set_one").bitwiseOR(F.lit(-(2**63)))))
+    found = sets.where("prefixes IS NOT NULL").join(members, keys).where(F.col("doc_id").eqNullSafe(F.col("least_id")))
+    classes = found.dropDuplicates(["class_id", *keys]).select("class_id", "set_one", F.col("n_shingles").alias("n"), F.col("n_shared").alias("shared"), "prefixes")
     classes = written(classes, "classes")
-    entries = classes.select(F.struct("class_id", "n", "shared").alias("x"), F.explode(F.get("prefixes", F.lit(0))).alias("token"))
-
-    hubs = entries.groupBy("token").agg(F.min("x").alias("y"), F.max("x").alias("last")).where("y.class_id < last.class_id").drop("last")
-    star = ordered(entries.join(hubs, (entries["token"] == hubs["token"]) & (F.col("x.class_id") != F.col("y.class_id")) & may_match("x", "y")))
-    pairs = written(candidates(star, classes), "pairs")
-    links = written(similar(pairs, docs), "links")
 
+    entries = classes.select(F.struct("class_id", "n", "shared").alias("x"), F.explode(F.get("prefixes", F.lit(0))).alias("token"))
+    hubs = entries.groupBy("token").agg(F.min("x").alias("hub"), F.max("x").alias("last")).where("hub.class_id < last.class_id").drop("last")
+    groups = written(entries.join(hubs, "token").select("hub", "x").distinct(), "groups")
+    sets_wanted = groups.select(F.col("x.class_id").alias("class_id"))
+    whole = written(sets_of(docs, sets_wanted), "sets")
+
+    star = groups.where((F.col("x.class_id") != F.col("hub.class_id")) & may_match(*(F.col(f"{s}.{c}") for s in ("hub", "x") for c in ("n", "shared"))))
+    star = star.select(F.col("hub.class_id").alias("a"), F.col("x.class_id").alias("b")).distinct()
+    links = written(similar(candidates(star, classes), whole), "links")
     so_far = components(links, "first")
-    placed = entries.join(so_far, F.col("x.class_id") == F.col("node"), "left").select("token", "x", F.coalesce("component", "x.class_id").alias("component"))
-    sizes = placed.groupBy("token", "component").agg(F.count("*").alias("size"))
-    largest = sizes.groupBy("token").agg(F.max_by("component", "size").alias("largest"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    placed = placed.join(largest, "token")
-    outside = placed.where("component <> largest").select(F.col("token").alias("t"), "x", F.col("component").alias("c"))
-    inside = placed.select("token", F.col("x").alias("y"), "component")
-    across = ordered(outside.join(inside, (F.col("t") == F.col("token")) & (F.col("c") != F.col("component")) & may_match("x", "y")))
-    more = written(candidates(across, classes).join(pairs, ["a", "b"], "left_anti"), "more")
-    links = links.union(similar(more, docs))
-
-    final = components(links, "second")
-    place = members.join(final, F.col("class_id") == F.col("node"), "left").select(*keys, F.coalesce("component", "class_id").alias("component_id"))
-    out = sets.select("doc_id", "n_shingles", *keys)
-    return (
-        out.where("n_shingles > 0").join(place, keys).select("doc_id", "n_shingles", "component_id")
-        .unionByName(out.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    )
+    placed = groups.select(F.col("hub.class_id").alias("hub"), "x.class_id", "x.n").distinct()
+    placed = placed.join(so_far, F.col("class_id") == F.col("node"), "left").select("hub", "class_id", "n", F.coalesce("component", "class_id").alias("component"))
+    profiles = classes.join(whole, ["class_id", "set_one"]).select("class_id", "n", "shared", "prefixes", "shingles")
+    more = cells(placed, profiles)
+
+    final = written(components(links.union(more), "second"), "components")
+    least = members.join(final, F.col("class_id") == F.col("node"), "left").select(*keys, "least_id", F.coalesce("component", "class_id").alias("component"))
+    named = least.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    place = least.join(named, "component").select(*keys, "component_id", "component")
+    out = sets.select("doc_id", "n_shingles", "text_key", *keys)
+    alone = out.where("n_shingles = 0").withColumn("component_id", F.col("doc_id")).withColumn("component", F.lit(None).cast("long"))
+    return out.where("n_shingles > 0").join(place, keys).unionByName(alone).select("doc_id", "n_shingles", "component_id", "text_key", "component")

@@ -71,3 +71,54 @@ def test_null_and_repeated_ids(spark):
 
 def test_empty_table(spark):
     assert jaccard.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_one_large_group_of_unlike_near_copies(spark):
+    """Copies of a text that is not there itself, most of them less than 80 % alike: no pair may become a row."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    docs = []
+    for i in range(300):
+        words = list(base)
+        for at in rng.sample(range(0, 120, 4), rng.randint(1, 5)):
+            words[at] = f"x{rng.randrange(10**6)}"
+        docs.append((i, " ".join(words)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(frame).collect())
+    assert rows == brute(docs)
+
+
+def test_cells_do_not_depend_on_their_size(spark, monkeypatch):
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join(edited(rng, base, 0.05))) for i in range(120)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "CELL_TOKENS", 700)
+    rows = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(frame).collect())
+    assert rows == brute(docs)
+
+
+def test_near_copies_without_an_id(spark):
+    words = [f"w{i}" for i in range(200)]
+    near = [*words[:150], "other", *words[151:]]
+    far = [*words[:100], "more", *words[101:150], "other", *words[151:]]
+    docs = [(5, " ".join(words)), (None, " ".join(near)), (9, " ".join(far)), (None, "alone " * 20), (None, "b c d e f g"), (None, "b c d e f g h")]
+    rows = jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in rows) == [(-1, -1), (-1, -1), (-1, -1), (-1, 5), (5, 5), (9, 5)]
+
+
+def test_links_through_a_row_without_an_id(spark):
+    words = [f"w{i}" for i in range(100)]
+    step = lambda k: " ".join([*(f"v{i}" for i in range(6 * k)), *words[6 * k :]])
+    docs = [(7, step(0)), (None, step(1)), (8, step(2))]
+    found = brute([(1, step(0)), (2, step(1)), (3, step(2))])
+    assert [r[2] for r in found] == [1, 1, 1] and [r[2] for r in brute([(1, step(0)), (3, step(2))])] == [1, 3]
+    rows = jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in rows} == {7}
+
+
+def test_many_repeats_of_one_row(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    frame = spark.range(50_000).selectExpr("cast(3 as long) as doc_id", f"'{text}' as text").unionByName(spark.createDataFrame([(2, text)], "doc_id long, text string"))
+    rows = jaccard.near_duplicates(frame).groupBy("doc_id", "component_id").count().collect()
+    assert sorted(map(tuple, rows)) == [(2, 2, 1), (3, 2, 50_000)]
