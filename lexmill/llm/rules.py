@@ -205,9 +205,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> tuple[pd.D
         .limit(most)
     )
     rows = docs.select(F.col("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # at most `most` rows are broadcast
-    rows = with_counts(rows).where(~base_failed()).select("doc_id", "_quality", "counts.*")
-    found = rows.select("doc_id", "_quality", *(F.expr(e).cast("double").alias(f) for f, e in FEATURES.items())).toPandas()
-    found = found.drop_duplicates("doc_id").sort_values("doc_id", ignore_index=True)
+    rows = with_counts(rows).where(~base_failed()).select("doc_id", "_quality", F.xxhash64("text").alias("_hash"), "counts.*")
+    values = [F.expr(e).cast("double").alias(f) for f, e in FEATURES.items()]
+    # of an id's rows the one of least text hash, so at most ``most`` rows reach the driver, always the same
+    first = rows.groupBy("doc_id").agg(F.min(F.struct("_hash", "_quality", *values)).alias("row"))
+    found = first.select("doc_id", "row.*").toPandas().sort_values("doc_id", ignore_index=True)
     return found[list(FEATURES)], (found["_quality"] == 0).to_numpy()
 
 
@@ -215,7 +217,7 @@ def judged(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000) -> Dat
     """All columns of docs with ``_counts`` (struct), ``_base_failed``, ``_rule`` (number of the rule that rejects
     it) and ``_kept``. Quality 0 is what rules look for; at most ``sample_rows`` labelled documents are fitted.
 
-    Every row is judged, repeated ones alike; null and empty texts fail the fixed rules; without labels of both
+    Every row is judged, repeated ones alike; of labelled rows with one id, that of least text hash is fitted; null and empty texts fail the fixed rules; without labels of both
     kinds only the fixed rules act. Columns of docs that have one of these four names are replaced.
     """
     docs = docs.drop("_counts", "_base_failed", "_rule", "_kept")
