@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import written
+
 LENGTHS = (512, 1024, 2048, 4096)
 #: Tokens, and rows, of a group: what one task holds at a time.
 GROUP_TOKENS = 1 << 22
@@ -91,16 +93,17 @@ def pack(docs: DataFrame, size: Column, lengths: Sequence[int] = LENGTHS, cost:
 
     A document longer than the greatest permitted length is cut into pieces of that length and a rest. A size of
     null or 0 makes one empty piece. ``bin_id`` is group * 2**32 + number in the group. Repeated rows are packed
-    each. Other columns are not carried; an empty table gives no rows.
+    each, spread over the groups. Other columns are not carried; an empty table gives no rows.
     """
     most = max(lengths)
-    rows = docs.select("doc_id", F.coalesce(size, F.lit(0)).cast("long").alias("size"))
-    total = rows.agg(F.sum("size").alias("tokens"), F.count("*").alias("rows")).first()
-    groups = max(1, -(-(total["tokens"] or 0) // GROUP_TOKENS), -(-total["rows"] // GROUP_ROWS))
+    # slim rows, written down: sizes are counted once, and each row's number spreads repeated rows over the groups
+    rows = written(docs.select("doc_id", F.coalesce(size, F.lit(0)).cast("long").alias("size"), F.monotonically_increasing_id().alias("row")), "sizes")
+    total = rows.agg(F.sum("size").alias("tokens"), F.sum(F.greatest(F.lit(1), F.ceil(F.col("size") / most))).alias("pieces")).first()
+    groups = max(1, -(-(total["tokens"] or 0) // GROUP_TOKENS), -(-(total["pieces"] or 0) // GROUP_ROWS))
     last = F.greatest(F.lit(0), F.expr(f"(size - 1) div {most}"))
-    pieces = rows.select("doc_id", "size", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece"))
+    pieces = rows.select("doc_id", "size", "row", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece"))
     pieces = pieces.select(
-        F.pmod(F.xxhash64("doc_id", "piece", "size"), F.lit(groups)).alias("group"),
+        F.pmod(F.xxhash64("row", "piece"), F.lit(groups)).alias("group"),
         "doc_id",
         F.col("piece").cast("int"),
         (F.col("piece") * most).alias("start"),
