@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import has_any, strip
@@ -64,17 +64,28 @@ def decide_keep(df: DataFrame, level: str, name: str, has_article: str, rules: L
     return df.withColumn("_v", verdict).select(*df.columns, "_v.keep", "_v.reason")
 
 
-def parse_title(df: DataFrame, title: str) -> DataFrame:
-    """Add region, law_name and law_level from ``region：《name》``."""
-    raw = F.col(title)
-    region = F.regexp_extract(raw, "^([^：:]{2,12})[：:]", 1)
-    quoted = F.regexp_extract(raw, "《(.+?)》", 1)
-    name = F.when(quoted != "", quoted).otherwise(F.regexp_replace(F.regexp_replace(raw, "^[^：:]{2,12}[：:]", ""), "^[《》 ]+|[《》 ]+$", ""))
-    out = df.withColumn("region", region).withColumn("law_name", name)
-    level = (
-        F.when(F.col("law_name").contains("条例"), "地方性法规").when(F.col("law_name").rlike("办法|规定|规则|细则"), "地方政府规章/规范性文件")
-        .when(F.col("law_name").rlike("公告|通知|方案|预案|意见|通告|函"), "规范性文件").otherwise("地方规范性文件")
-    )
+#: Levels that words of a law's name tell, in order, and the level of all others. Fixed values.
+TITLE_LEVELS = [
+    ("地方性法规", ["条例"]),
+    ("地方政府规章/规范性文件", ["办法", "规定", "规则", "细则"]),
+    ("规范性文件", ["公告", "通知", "方案", "预案", "意见", "通告", "函"]),
+]
+OTHER_LEVEL = "地方规范性文件"
+
+
+def parse_title(df: DataFrame, title: str, levels: Sequence[tuple[str, Sequence[str]]] = TITLE_LEVELS, other: str = OTHER_LEVEL) -> DataFrame:
+    """Add region, law_name and law_level from ``region：《name》``: the region is what stands before the first colon, if
+    it has 2 to 12 characters; the name is the first quoted one, else what follows the region."""
+    parts = F.split(F.col(title), "[：:]", 2)
+    before = F.get(parts, F.lit(0))
+    has_region = (F.size(parts) == 2) & F.length(before).between(2, 12)
+    rest = F.btrim(F.when(has_region, F.get(parts, F.lit(1))).otherwise(F.col(title)), F.lit("《》 "))
+    quoted = F.regexp_substr(F.col(title), F.lit("《[^》]+》"))
+    out = df.withColumn("region", F.when(has_region, before).otherwise(F.when(F.col(title).isNotNull(), "")))
+    out = out.withColumn("law_name", F.coalesce(F.btrim(quoted, F.lit("《》")), rest))
+    level = F.lit(other)
+    for name, words in reversed(levels):
+        level = F.when(has_any("law_name", words), name).otherwise(level)
     return out.withColumn("law_level", level)
 
 
@@ -125,22 +136,31 @@ def decode_status(df: DataFrame, code: str, codes: DataFrame) -> DataFrame:
     return df.join(names, F.col(code) == F.col("_code"), "left").withColumn("status_text", F.coalesce("_text", code)).drop("_code", "_text")
 
 
+IN_FORCE = "现行有效"
+
+
 def current_only(df: DataFrame, status: str, effective: str, as_of: str) -> DataFrame:
-    """Add validity (现行有效, 已废止, 已修改, 未生效) and keep rows in force on the day."""
-    s = F.col(status)
-    validity = (
+    """Rows in force on the day, with their validity. Other states (已废止, 已修改, 未生效) go; ``validity`` tells them."""
+    return validity(df, status, effective, as_of).where(F.col("validity") == IN_FORCE)
+
+
+def validity(df: DataFrame, status: str, effective: str, as_of: str) -> DataFrame:
+    """Add validity from a free-form status and the day of effect; a null status counts as in force."""
+    s = F.coalesce(F.col(status), F.lit(""))
+    state = (
         F.when(s.contains("废止"), "已废止").when(s.contains("修改") | s.contains("取代"), "已修改")
-        .when(s.contains("未生效") | (F.col(effective) > F.lit(as_of).cast("timestamp")), "未生效").otherwise("现行有效")
+        .when(s.contains("未生效") | (F.col(effective) > F.lit(as_of).cast("timestamp")), "未生效").otherwise(IN_FORCE)
     )
-    return df.withColumn("validity", validity)
+    return df.withColumn("validity", state)
 
 
-def lookup_by_keyword(df: DataFrame, name: str, rules: DataFrame, value: str, default: str, key: Sequence[str]) -> DataFrame:
-    """Value of the first rule, in rule_order, whose keyword the name contains. rules: rule_order, keyword, value; a
-    small table made by hand, hence broadcast."""
-    hits = df.join(F.broadcast(rules), F.col(name).contains(F.col("keyword")))
-    first = hits.groupBy(*key).agg(F.min_by(value, "rule_order").alias("_value"))
-    return df.join(first, list(key), "left").withColumn(value, F.coalesce("_value", F.lit(default))).drop("_value")
+def lookup_by_keyword(df: DataFrame, name: str, rules: Sequence[tuple[str, str]], value: str, default: str) -> DataFrame:
+    """Add the value of the first (keyword, value) rule whose keyword the name contains, else the default, which null
+    names get too. One expression in the row: no join, and no key is needed."""
+    found = F.lit(default)
+    for keyword, result in reversed(rules):
+        found = F.when(F.col(name).contains(keyword), result).otherwise(found)
+    return df.withColumn(value, found)
 
 
 def coalesce_meta(df: DataFrame, fields: Mapping[str, Sequence[Column]]) -> DataFrame:
@@ -148,32 +168,49 @@ def coalesce_meta(df: DataFrame, fields: Mapping[str, Sequence[Column]]) -> Data
     return df.withColumns({name: F.coalesce(*(F.nullif(c.cast("string"), F.lit("")) for c in values)) for name, values in fields.items()})
 
 
-def clean_body(df: DataFrame, text: str, anchors: Sequence[str], footers: Sequence[str], noise: str) -> DataFrame:
+def clean_body(
+    df: DataFrame, text: str, anchors: Sequence[str], footers: Sequence[str], noise: str, title: str | None = None, starts: str | None = None, ends: str | None = None
+) -> DataFrame:
     """Add body: the text after the line of the first anchor present, up to the earliest footer, without noise lines and
-    without a non-blank line that equals the one kept before it; blank lines break a run."""
+    without a non-blank line that equals the one kept before it; blank lines break a run.
+
+    Where the first eight characters of the title, quoted names aside, come within 60 characters, what stands before
+    them goes. With ``starts`` and ``ends`` the lines of a paragraph are joined, as ``dewrapped`` does.
+    """
     after = F.col(text)
     for anchor in reversed(anchors):
         found = F.regexp_extract(text, f"(?s){anchor}[^\\n]*\\n(.*)$", 1)
         after = F.when(F.col(text).rlike(f"{anchor}[^\\n]*\\n"), found).otherwise(after)
     out = df.withColumn("_after", after)
-    ends = [F.when(F.locate(f, F.col("_after")) > 0, F.locate(f, F.col("_after"))) for f in footers]
-    cut = F.least(F.length("_after") + 1, *(F.coalesce(e, F.length("_after") + 1) for e in ends))
+    marks = [F.nullif(F.locate(f, F.col("_after")), F.lit(0)) for f in footers]
+    cut = F.least(F.length("_after") + 1, *marks)  # nulls do not count
     lines = F.filter(F.split(F.substring(F.col("_after"), F.lit(1), cut - 1), "\n"), lambda x: ~x.rlike(noise))
     out = out.withColumn("_lines", lines)
     same = lambda x, i: (strip(x) != "") & (i > 0) & F.coalesce(strip(x) == strip(F.get("_lines", i - 1)), F.lit(False))
-    body = F.filter("_lines", lambda x, i: ~same(x, i))
-    return out.withColumn("body", strip(F.array_join(body, "\n"))).drop("_after", "_lines")
-
-
-def dewrap(df: DataFrame, doc: str, pos: str, line: str, starts: str, ends: str) -> DataFrame:
-    """Lines of paragraphs: a line joins the one before unless it starts a paragraph or that one ends a sentence. Only
-    raw neighbours matter, so a window does."""
-    rows = df.withColumn(line, F.regexp_replace(line, r"\s+$", "")).where(strip(line) != "")
-    by = Window.partitionBy(doc).orderBy(pos)
-    opens = F.col(line).rlike(starts) | F.coalesce(F.lag(strip(line)).over(by).rlike(ends), F.lit(True))
-    rows = rows.withColumn("_block", F.sum(opens.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    out = rows.groupBy(doc, "_block").agg(F.min(pos).alias(pos), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), strip(line).alias("x")))), lambda s: s["x"]), "").alias(line))
-    return out.drop("_block")
+    out = out.withColumn("body", strip(F.array_join(F.filter("_lines", lambda x, i: ~same(x, i)), "\n")))
+    if title is not None:
+        probe = F.substring(F.regexp_replace(F.col(title), "《[^》]*》", ""), 1, 8)
+        at = F.coalesce(F.when(probe != "", F.position(probe, F.col("body"))), F.lit(0))
+        out = out.withColumn("body", F.when(at.between(2, 61), F.substring(F.col("body"), at, F.length("body"))).otherwise(F.col("body")))
+    if starts is not None:
+        out = out.withColumn("body", dewrapped(F.col("body"), starts, ends))
+    return out.drop("_after", "_lines")
+
+
+def dewrapped(text: Column, starts: str, ends: str) -> Column:
+    """The text with the lines of each paragraph joined: a line joins the one before unless it starts a paragraph or that
+    one ends a sentence; blank lines go. Only raw neighbours matter, so each line decides for itself, in its row."""
+    lines = F.filter(F.split(text, "\r\n|\r|\n"), lambda x: strip(x) != "")
+    ended = F.transform(lines, lambda x: strip(x).rlike(ends))
+    opens = lambda x, i: (i > 0) & (x["line"].rlike(starts) | F.get(ended, i - 1))
+    pairs = F.arrays_zip(lines.alias("line"))
+    return F.array_join(F.transform(pairs, lambda x, i: F.concat(F.when(opens(x, i), "\n").otherwise(""), strip(x["line"]))), "")
+
+
+def dewrap(df: DataFrame, doc: str, text: str, starts: str, ends: str) -> DataFrame:
+    """(doc, pos, line): the paragraphs of each text."""
+    rows = df.select(doc, F.posexplode(F.split(dewrapped(F.col(text), starts, ends), "\n")).alias("pos", "line"))
+    return rows.where("line <> ''")
 
 
 def drop_layout_noise(df: DataFrame, line: str, patterns: Sequence[str], title: str | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
 
 def priority_dedup(df: DataFrame, key: str, order: Sequence[Column | str]) -> tuple[DataFrame, DataFrame]:
     """First row of each key in the given order, and the others. An empty or null key never repeats another."""
@@ -31,8 +32,10 @@ def merge_keep_excluded(*parts: DataFrame, order: Sequence[str]) -> DataFrame:
 
 def sequence_number(df: DataFrame, order: Sequence[str], name: str = "seq") -> DataFrame:
     """Numbers 1..n in the given order: rows are sorted by range, counted by partition, and numbered from the sums
-    before them, so no task sees more than its range."""
+    before them, so no task sees more than its range. The sorted rows are written once, so that counts and numbers come
+    from the same partitions."""
     ordered = df.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    ordered = written(ordered, "sorted")
     counts = ordered.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # one row for each partition
@@ -42,27 +45,41 @@ def sequence_number(df: DataFrame, order: Sequence[str], name: str = "seq") -> D
 
 def prefix_match_dedup(new: DataFrame, existing: DataFrame, key: str, min_len: int = 5) -> DataFrame:
     """Rows of new whose key neither starts with an existing key of ``min_len`` or more, nor, being that long itself,
-    starts one. Both cases share the first ``min_len`` characters, which is what is joined on."""
-    block = F.substring(F.col(key), 1, min_len)
-    old = existing.select(F.col(key).alias("_old")).where(F.length("_old") >= min_len).distinct().withColumn("_block", F.substring("_old", 1, min_len))
-    rows = new.withColumn("_block", block)
-    hit = (rows["_block"] == old["_block"]) & (rows[key].startswith(old["_old"]) | old["_old"].startswith(rows[key]))
-    return rows.join(old, hit, "left_anti").drop("_block")
+    starts one. Each prefix that is long enough is looked up whole, so keys that only begin alike never meet."""
+    prefixes = lambda c: F.explode(F.transform(F.sequence(F.lit(min_len), F.length(c)), lambda n: F.substring(F.col(c), F.lit(1), n)))
+    keys, old = new.select(F.col(key).alias("_new")).distinct().where(F.length("_new") >= min_len), existing.select(F.col(key).alias("_old")).distinct().where(F.length("_old") >= min_len)
+    begin = keys.select("_new", prefixes("_new").alias("_old")).join(old, "_old", "left_semi").select("_new")
+    begun = keys.join(old.select(prefixes("_old").alias("_new")).distinct(), "_new", "left_semi")
+    return new.join(begin.unionByName(begun).distinct(), F.col(key) == F.col("_new"), "left_anti")
+
+
+def grams(c: Column | str, n: int) -> Column:
+    """Distinct grams of n characters; none of a shorter text."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.array_distinct(F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: i <= F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n))))
+
+
+def contained_in(short: DataFrame, long: DataFrame, min_len: int) -> DataFrame:
+    """(s, l): the texts of at least ``min_len`` characters that a longer or equal one contains. A short text is looked
+    up by that of its grams which the fewest long texts have, so a gram that most texts share is never a block."""
+    having = long.select("l", F.explode(grams("l", min_len)).alias("g"))
+    counts = having.groupBy("g").agg(F.count("*").alias("n"))
+    own = short.where(F.length("s") >= min_len).select("s", F.explode(grams("s", min_len)).alias("g"))
+    # a gram that no long text has rules its text out
+    rarest = own.join(counts, "g", "left").groupBy("s").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("r")).where("r.n > 0")
+    return rarest.select("s", F.col("r.g").alias("g")).join(having, "g").where(F.col("l").contains(F.col("s"))).select("s", "l")
 
 
 def containment_flag(df: DataFrame, names: DataFrame, key: str, min_len: int = 5) -> DataFrame:
-    """Add contained: the key equals a name, or one contains the other and the contained one is long enough. Names
-    are blocked by the grams of ``min_len`` characters that a containment must share."""
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - min_len + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(min_len))))
-    own = df.select(key).distinct().withColumn("_g", F.explode(grams(F.col(key))))
-    known = names.select(F.col(key).alias("_name")).where("_name <> ''").distinct()
-    # the shorter string's first gram stands in the longer one
-    first = known.withColumn("_g", F.substring("_name", 1, min_len))
-    inside = own.join(first, "_g").where(F.col(key).contains(F.col("_name")) & (F.length("_name") >= min_len) | (F.col(key) == F.col("_name")))
-    outer = known.withColumn("_g", F.explode(grams(F.col("_name")))).join(df.select(key).distinct().withColumn("_g", F.substring(F.col(key), 1, min_len)), "_g")
-    outer = outer.where(F.col("_name").contains(F.col(key)) & (F.length(key) >= min_len))
-    hits = inside.select(key).unionByName(outer.select(key)).distinct().withColumn("contained", F.lit(True))
-    return df.join(hits, key, "left").withColumn("contained", F.coalesce("contained", F.lit(False)))
+    """Add contained: the key equals a name, or one contains the other and the contained one is long enough. A null key
+    is contained in nothing."""
+    own = df.select(F.col(key).alias("_key")).where(F.col(key).isNotNull()).distinct()
+    known = names.select(F.col(key).alias("_name")).where(F.col(key) != "").distinct()
+    equal = own.join(known, F.col("_key") == F.col("_name"), "left_semi")
+    inside = contained_in(known.toDF("s"), own.toDF("l"), min_len).select(F.col("l").alias("_key"))
+    outer = contained_in(own.toDF("s"), known.toDF("l"), min_len).select(F.col("s").alias("_key"))
+    hits = equal.unionByName(inside).unionByName(outer).distinct().withColumn("contained", F.lit(True))
+    return df.join(hits, F.col(key) == F.col("_key"), "left").drop("_key").withColumn("contained", F.coalesce("contained", F.lit(False)))
 
 
 def upsert_by_source(store: DataFrame, new: DataFrame, source: str = "source") -> DataFrame:

@@ -42,24 +42,24 @@ def classify_lines(df: DataFrame, line: str = "line", numerals: str = NUMERALS)
 def presplit_paras(df: DataFrame, doc: str, pos: str, para: str, numerals: str = NUMERALS) -> DataFrame:
     """Cut a paragraph before those article labels whose numbers go up by one, the first seen starting the run.
 
-    Other labels are citations and stay inside. The fold yields a flag for each label only; pieces are then glued
-    by a running count, so long paragraphs cost linear time.
+    Other labels are citations and stay inside. The fold yields one character for each piece; pieces are then glued by a
+    running count.
     """
     pieces = F.split(F.col(para), f"(?=第[{numerals}]+条)")
     number = lambda p: article_number(F.regexp_extract(p, f"^第([{numerals}]+)条", 1))
     rows = df.withColumn("_pieces", pieces).withColumn("_numbers", F.transform("_pieces", number))
-    start = F.struct(F.lit(None).cast("int").alias("prev"), F.array().cast("array<boolean>").alias("cut"))
+    start = F.struct(F.lit(None).cast("int").alias("prev"), F.lit("").alias("cut"))
 
     def step(s: Column, n: Column) -> Column:
-        take = n.isNotNull() & (s["prev"].isNull() | (n == s["prev"] + 1))
-        return F.struct(F.when(take, n).otherwise(s["prev"]).alias("prev"), F.concat(s["cut"], F.array(F.coalesce(take, F.lit(False)))).alias("cut"))
+        take = F.coalesce(s["prev"].isNull() & n.isNotNull() | (n == s["prev"] + 1), F.lit(False))
+        return F.struct(F.when(take, n).otherwise(s["prev"]).alias("prev"), F.concat(s["cut"], F.when(take, "1").otherwise("0")).alias("cut"))
 
     labels = F.size(F.filter("_numbers", lambda n: n.isNotNull()))
     rows = rows.withColumn("_cut", F.when(labels > 1, F.aggregate("_numbers", start, step, lambda s: s["cut"])))
     whole = rows.where("_cut IS NULL").select(doc, pos, F.lit(0).alias("part"), para)
-    split = rows.where("_cut IS NOT NULL").select(doc, pos, F.posexplode(F.arrays_zip(F.col("_pieces").alias("piece"), F.col("_cut").alias("cut"))).alias("k", "x"))
+    split = rows.where("_cut IS NOT NULL").select(doc, pos, "_cut", F.posexplode("_pieces").alias("k", "piece"))
     at = Window.partitionBy(doc, pos).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    split = split.select(doc, pos, "k", "x.piece", F.sum(F.col("x.cut").cast("int")).over(at).alias("part"))
+    split = split.select(doc, pos, "k", "piece", F.sum(F.substring(F.col("_cut"), F.col("k") + 1, F.lit(1)).cast("int")).over(at).alias("part"))
     split = split.groupBy(doc, pos, "part").agg(F.array_sort(F.collect_list(F.struct("k", "piece"))).alias("p"))
     split = split.select(doc, pos, F.col("part").cast("int"), strip(F.array_join("p.piece", "")).alias(para)).where(f"{para} <> ''")
     return whole.unionByName(split)
@@ -102,10 +102,21 @@ def parse_articles(df: DataFrame, doc: str = "doc_id", pos: str = "pos", line: s
 
 
 def split_or_fulltext(docs: DataFrame, doc: str, text: str, numerals: str = NUMERALS) -> DataFrame:
-    """Articles of the texts that have labels; the other texts as one row without a label."""
-    has = F.col(text).rlike(f"第[{numerals}0-9]+条")
-    whole = docs.where(~has).select(doc, F.lit(0).alias("art_pos"), *(F.lit(None).cast("string").alias(c) for c in ("chapter", "section", "label")), F.col(text).alias("body"))
-    return whole.unionByName(parse_articles(text_lines(docs.where(has), doc, text), doc))
+    """Articles of the texts that have labels; the other texts, null ones too, as one row without a label.
+
+    A text whose labels all stand inside lines is cut before each of them, and its pieces keep their label.
+    """
+    one = f"第[{numerals}0-9]+条"
+    kind = (
+        F.when(F.col(text).rlike(rf"(?m)^[{SPACE}]*{article_label(numerals)}"), "lines")
+        .when(F.col(text).rlike(one), "inside").otherwise("none")
+    )
+    rows = docs.withColumn("_kind", kind)
+    bare = lambda at, label, body: [doc, at.alias("art_pos"), *(F.lit(None).cast("string").alias(c) for c in ("chapter", "section")), label.alias("label"), body.alias("body")]
+    whole = rows.where("_kind = 'none'").select(*bare(F.lit(0), F.lit(None).cast("string"), F.col(text)))
+    pieces = rows.where("_kind = 'inside'").select(doc, F.posexplode(F.split(F.col(text), f"(?={one})")).alias("k", "piece")).where(F.col("piece").rlike(f"^{one}"))
+    pieces = pieces.select(*bare(F.col("k"), F.regexp_extract("piece", f"^({one})", 1), strip("piece")))
+    return whole.unionByName(pieces).unionByName(parse_articles(text_lines(rows.where("_kind = 'lines'"), doc, text), doc))
 
 
 def build_chunks(articles: DataFrame, docs: DataFrame, doc: str, source: str) -> DataFrame:
@@ -183,18 +194,22 @@ def guarded_clauses(df: DataFrame, doc: str = "doc_id", pos: str = "pos", line:
     short = (F.length(rest) <= max_heading) & ~rest.contains("。")
     rows = df.select(doc, F.struct(F.col(pos).alias("p"), number.alias("n"), top.alias("t"), short.alias("s")).alias("x"))
     docs = rows.groupBy(doc).agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    start = F.struct(F.lit(0).alias("open"), F.array().cast("array<struct<p:int,kind:string,chapter:int>>").alias("out"))
+    start = F.struct(F.lit(0).alias("open"), F.lit("").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
         dotted = x["n"].contains(".")
-        chapter = (x["n"] != "") & ~dotted & (x["t"] == s["open"] + 1) & x["s"]
-        now = F.when(F.coalesce(chapter, F.lit(False)), x["t"]).otherwise(s["open"])
-        kind = F.when(chapter, "chapter").when(dotted & (x["t"] >= 1) & (x["t"] <= s["open"]), "clause").otherwise("text")
-        kind = F.when(now >= stop_chapter, "stopped").otherwise(kind)
-        return F.struct(now.alias("open"), F.concat(s["out"], F.array(F.struct(x["p"].cast("int").alias("p"), kind.alias("kind"), now.alias("chapter")))).alias("out"))
-
-    found = docs.select(doc, F.inline(F.aggregate("xs", start, step, lambda s: s["out"])))
-    return found.where("kind <> 'stopped'").withColumnRenamed("p", "pos")
+        chapter = F.coalesce((x["n"] != "") & ~dotted & (x["t"] == s["open"] + 1) & x["s"], F.lit(False))
+        now = F.when(chapter, x["t"]).otherwise(s["open"])
+        kind = F.when(now >= stop_chapter, "s").when(chapter, "c").when(dotted & (x["t"] >= 1) & (x["t"] <= s["open"]), "l").otherwise("t")
+        return F.struct(now.alias("open"), F.concat(s["out"], kind).alias("out"))
+
+    # one character a line; accepted chapters are 1, 2, 3, ..., so a running count numbers them
+    flags = docs.withColumn("_kinds", F.aggregate("xs", start, step, lambda s: s["out"]))
+    lines = flags.select(doc, "_kinds", F.posexplode("xs").alias("k", "x")).select(doc, "k", F.col("x.p").cast("int").alias("pos"), F.substring(F.col("_kinds"), F.col("k") + 1, F.lit(1)).alias("flag"))
+    upto = Window.partitionBy(doc).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    chapter = F.sum((F.col("flag") == "c").cast("int")).over(upto).cast("int")
+    names = F.create_map(*(F.lit(v) for pair in (("c", "chapter"), ("l", "clause"), ("t", "text")) for v in pair))
+    return lines.withColumn("chapter", chapter).where("flag <> 's'").select(doc, "pos", F.element_at(names, F.col("flag")).alias("kind"), "chapter")
 
 
 def parent_child_chunks(df: DataFrame, key: str, text: str, size: int = 200, overlap: int = 50) -> DataFrame:

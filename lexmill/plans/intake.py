@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import classify, merge, segment
+from ..operators import classify, merge
 from ..sources import html as H
 from ..sources.tables import explode_pages, read_csv_inventory, read_json_records, read_pages, scratch, table, write_inventory
 from .catalog import plan
-from .fixtures import FIELDS, HEADED_SQL, headed
+from .fixtures import FIELDS, HEADED_SQL, MARKED_SQL, headed, marked_up
+
+
+
+def paragraphs(found):
+    return found.select("doc_id", F.col("pos").cast("long").alias("pos"), F.md5("para").alias("para_md5"))
+
 
 KEYWORDS = ["the ", " der ", " les "]
 
@@ -97,19 +103,30 @@ def q11(spark, sf_dir):
     return merge.unique_name(table(spark, sf_dir, "part"), "p_type", ["p_partkey"]).select("p_partkey", "unique_name")
 
 
-@plan("t1_html_paragraphs")
+@plan("t1_html_paragraphs", f"WITH {MARKED_SQL} SELECT doc_id, unnest(range(0, len(ls))) AS pos, md5(unnest(ls)) AS para_md5 FROM l")
 def t1(spark, sf_dir):
+    return paragraphs(H.html_paragraphs(marked_up(spark, sf_dir), "doc_id", "html"))
+
+
+@plan("t1_paragraphs_of_pages")
+def t1_pages(spark, sf_dir):
     return H.html_paragraphs(table(spark, sf_dir, "pages"), "page_id", "html")
 
 
-@plan("t2_p_texts")
+@plan("t2_p_texts", f"WITH {MARKED_SQL} SELECT doc_id, unnest(range(0, len(ps))) AS pos, md5(unnest(ps)) AS para_md5 FROM l")
 def t2(spark, sf_dir):
-    return H.html_paragraphs(table(spark, sf_dir, "pages"), "page_id", "html", "p")
+    return paragraphs(H.html_paragraphs(marked_up(spark, sf_dir), "doc_id", "html", "p"))
+
 
+T3_SQL = f"""WITH {MARKED_SQL}, x AS (SELECT doc_id, list_filter(ps, lambda x: NOT regexp_matches(x, '^(?i)(share|subscribe|advert|de )') AND NOT contains(x, 'idiot')) AS xs FROM l WHERE len(ps) > 0)
+SELECT doc_id, count(*) AS n, md5(string_agg(para, chr(10) ORDER BY k)) AS body_md5 FROM (SELECT doc_id, xs[1] AS first, unnest(xs) AS para, unnest(range(0, len(xs))) AS k FROM x) WHERE k = 0 OR para <> first GROUP BY 1"""
 
-@plan("t3_article_body")
+
+@plan("t3_article_body", T3_SQL)
 def t3(spark, sf_dir):
-    return H.article_body(table(spark, sf_dir, "pages"), "page_id", "html", r"^(?i)(share|subscribe|advert)", "(?i)all rights reserved")
+    found = H.article_body(marked_up(spark, sf_dir), "doc_id", "html", "(?i)^(share|subscribe|advert|de )|^menu$|^© Here$", "idiot")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "para"))), lambda s: s["para"]), "\n")
+    return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.md5(body).alias("body_md5"))
 
 
 @plan("t4_strip_tags", f"SELECT page_id, md5(regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '^[{X.SPACE}]+|[{X.SPACE}]+$', '', 'g')) AS text_md5 FROM pages")
@@ -151,15 +168,31 @@ def t10(spark, sf_dir):
     return headed(spark, sf_dir).select("doc_id", X.title_from_filename("file").alias("t")).select("doc_id", "t.title", "t.record_id")
 
 
-#: Labels and marks around a body. Fixed values.
+#: Labels and marks around a body, marks of whole lines that are no text, and the signs that start or end a paragraph.
+#: Fixed values.
 ANCHORS = ["专题分类：", "法规类别：", "效力位阶："]
-FOOTERS = ["引用本篇的法规", "引用本篇", "法宝快讯"]
-NOISE_LINE = r"^\s*(?:[0-9]+/[0-9]+|【法宝引证码】.*|下载日期：.*)\s*$"
+FOOTERS = ["引用本篇的法规", "引用本篇", "©北大法宝", "*注：本文格式", "法宝快讯", "本篇引用的法规"]
+NOISE_LABELS = ["下载日期：", "【法宝引证码】", "扫描二维码", "原文链接："]
+NOISE_LINES = ["附件预览"]
+NUMERALS, UNITS = "一二三四五六七八九十", "条章节款项"
+SENTENCE_ENDS = "。；：！？；」）】.:!?"
+
+PAGE_NUMBER = "[0-9]+/[0-9]+"
+NOISE_LINE = "^[ \t]*(?:" + "|".join([PAGE_NUMBER, *(f"{label}.*" for label in NOISE_LABELS), *NOISE_LINES]) + ")[ \t]*$"
+PARAGRAPH_START = "|".join(
+    rf"^\s*{sign}"
+    for sign in (f"第[{NUMERALS}百零两0-9]+[{UNITS}]", f"[（(][{NUMERALS}0-9]+[）)]", f"[{NUMERALS}]+、", "[0-9]+[、.．]", "\u3000")
+)
+SENTENCE_END = f"[{SENTENCE_ENDS}]$"
 
 
-@plan("t11_clean_body", f"WITH {HEADED_SQL} SELECT doc_id, '第一条 ' || c_name || chr(10) || chr(10) || '末行' AS body FROM h")
+@plan("t11_clean_body", f"WITH {HEADED_SQL} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '' ELSE '人工智能' END || name || chr(10) || '第一条 ' || c_name || '末行' AS body FROM h")
 def t11(spark, sf_dir):
-    return classify.clean_body(headed(spark, sf_dir), "text", ANCHORS, FOOTERS, NOISE_LINE).select("doc_id", "body")
+    """With a left-over class word before the repeated title, which stays where the title is not known."""
+    rows = headed(spark, sf_dir).withColumn("known", F.when(F.col("doc_id") % 2 == 0, F.col("name")))
+    block = F.regexp_extract("text", "(?s)^(.*【法宝引证码】[^\n]*\n)", 1)
+    rows = rows.withColumn("text", F.concat(block, F.lit("人工智能\n"), "name", F.lit("\n"), F.substring(F.col("text"), F.length(block) + 1, F.length("text"))))
+    return classify.clean_body(rows, "text", ANCHORS, FOOTERS, NOISE_LINE, "known", PARAGRAPH_START, SENTENCE_END).select("doc_id", "body")
 
 
 T12_SQL = """
@@ -172,8 +205,7 @@ GROUP BY doc_id, b"""
 
 @plan("t12_dewrap", f"SELECT doc_id, md5(para) AS para_md5 FROM ({T12_SQL})")
 def t12(spark, sf_dir):
-    lines = segment.text_lines(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return classify.dewrap(lines, "doc_id", "pos", "line", "^[A-Z]", "[.!?]$").select("doc_id", F.md5("line").alias("para_md5"))
+    return classify.dewrap(table(spark, sf_dir, "documents"), "doc_id", "text", r"^\s*[A-Z]", "[.!?]$").select("doc_id", F.md5("line").alias("para_md5"))
 
 
 @plan("t13_strip_footer", f"SELECT doc_id, md5(regexp_replace(string_split_regex(text, 'Released under|Licensed under')[1], '[{X.SPACE}]+$', '')) AS text_md5 FROM documents")
@@ -286,13 +318,14 @@ def c9(spark, sf_dir):
 @plan("c10_current_only", "SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P' AND o_orderdate <= TIMESTAMP '1997-01-01'")
 def c10(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").withColumn("s", F.when(F.col("o_orderstatus") == "P", "已废止/被取代").otherwise("现行有效(2026版)"))
-    return classify.current_only(rows, "s", "o_orderdate", "1997-01-01").where("validity = '现行有效'").select("o_orderkey")
+    return classify.current_only(rows, "s", "o_orderdate", "1997-01-01").select("o_orderkey")
 
 
-@plan("c11_lookup_by_keyword", "SELECT p_partkey, CASE WHEN contains(p_type, 'BRASS') THEN 'x' WHEN contains(p_type, 'STANDARD') THEN 'y' ELSE 'none' END AS class FROM part")
+@plan("c11_lookup_by_keyword", "SELECT CASE WHEN p_partkey % 4 > 0 THEN p_partkey END AS p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'none' WHEN contains(p_type, 'BRASS') THEN 'x' WHEN contains(p_type, 'STANDARD') THEN 'y' ELSE 'none' END AS class FROM part")
 def c11(spark, sf_dir):
-    rules = spark.createDataFrame([(1, "BRASS", "x"), (2, "STANDARD", "y")], "rule_order int, keyword string, class string")
-    return classify.lookup_by_keyword(table(spark, sf_dir, "part"), "p_type", rules, "class", "none", ["p_partkey"]).select("p_partkey", "class")
+    """With null names and null keys."""
+    parts = table(spark, sf_dir, "part").select(F.when(F.col("p_partkey") % 4 > 0, F.col("p_partkey")).alias("p_partkey"), F.when(F.col("p_partkey") % 5 > 0, F.col("p_type")).alias("name"))
+    return classify.lookup_by_keyword(parts, "name", [("BRASS", "x"), ("STANDARD", "y")], "class", "none").select("p_partkey", "class")
 
 
 @plan("c12_coalesce_meta", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus ELSE o_orderpriority END AS level FROM orders")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..operators import graph, retrieve
 from ..operators.classify import current_only
 from ..sources.tables import scratch, table
-from ..streaming.ingest import page_chunks, stream_ingest
+from ..streaming.ingest import page_chunks, read_store, stream_ingest
 from .catalog import plan
+from .fixtures import MARKED_SQL, marked_up
 
 TOKENS = r"regexp_extract_all(lower(text), '[0-9a-zà-öø-ÿœß]+')"
 TOKEN_ROWS = f"SELECT doc_id, unnest({TOKENS}) AS term FROM documents"
@@ -32,8 +33,7 @@ def r2(spark, sf_dir):
 
 def sparse(spark, sf_dir, docs=None, k=10):
     docs = table(spark, sf_dir, "documents") if docs is None else docs
-    postings, stats = retrieve.bm25_index(docs, "doc_id", "text")
-    return retrieve.bm25_topk(postings, stats, table(spark, sf_dir, "benchmark"), "item_id", "text", "doc_id", k)
+    return retrieve.bm25_search(docs, table(spark, sf_dir, "benchmark"), "item_id", "text", "doc_id", "text", k)
 
 
 def bm25_sql(k=10, where="true"):
@@ -77,7 +77,7 @@ def r5(spark, sf_dir):
 @plan("r6_hybrid_search", f"WITH {DENSE}, {bm25_sql()}, {FUSED} SELECT * FROM (SELECT query, doc_id, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS rank FROM fused WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang <> 'fr')) WHERE rank <= 5")
 def r6(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("status", F.when(F.col("lang") == "fr", "已废止").otherwise("现行有效"))
-    valid = current_only(docs.withColumn("effective", F.to_timestamp(F.lit("2000-01-01"))), "status", "effective", "2024-01-01").where("validity = '现行有效'")
+    valid = current_only(docs.withColumn("effective", F.to_timestamp(F.lit("2000-01-01"))), "status", "effective", "2024-01-01")
     return retrieve.hybrid_search(dense(spark, sf_dir), sparse(spark, sf_dir), valid, "doc_id", 5).select("query", "doc_id", F.col("rank").cast("long").alias("rank"))
 
 
@@ -101,11 +101,21 @@ def k2(spark, sf_dir):
     return tags(spark, sf_dir)
 
 
-@plan("k3_shared_tag_edges", f"WITH {TAG_SQL} SELECT tag, doc_id AS member, hub FROM (SELECT *, min(doc_id) OVER (PARTITION BY tag) AS hub FROM t) WHERE doc_id <> hub")
+@plan("k3_shared_tag_edges", f"WITH {TAG_SQL} SELECT CAST(doc_id AS VARCHAR) AS src, 'tag:' || tag AS dst, 'tag' AS kind, count(*) OVER (PARTITION BY tag) AS n FROM t")
 def k3(spark, sf_dir):
     return graph.shared_tag_edges(tags(spark, sf_dir), "doc_id")
 
 
+@plan("k3_rows_sharing_a_tag", f"WITH {TAG_SQL} SELECT CAST(a.doc_id AS VARCHAR) AS src, CAST(b.doc_id AS VARCHAR) AS dst FROM t a JOIN t b ON a.tag = b.tag AND a.doc_id <> b.doc_id WHERE a.doc_id % 500 = 0 GROUP BY 1, 2")
+def k3_pairs(spark, sf_dir):
+    """What the tag nodes tie together: two steps from every seed, the stated query set being ids divisible by 500."""
+    out = graph.shared_tag_edges(tags(spark, sf_dir), "doc_id").select("src", "dst", F.lit(1.0).alias("weight"))
+    back = out.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+    seeds = out.select(F.col("src").alias("seed")).where("try_cast(seed AS long) % 500 = 0").distinct()
+    found = graph.expand_hops(seeds, out.unionByName(back), 2, 0.5 ** 0.5).where("hop = 2")
+    return found.where("node <> seed").select(F.col("seed").alias("src"), F.col("node").alias("dst"))
+
+
 @plan("k5_rarity_weight", f"WITH {TAG_SQL} SELECT tag, count(*) AS df, round(ln((SELECT count(*) FROM documents) / count(*)), 6) AS weight FROM t GROUP BY 1")
 def k5(spark, sf_dir):
     return graph.rarity_weight(tags(spark, sf_dir), table(spark, sf_dir, "documents").count())
@@ -133,15 +143,22 @@ def k6(spark, sf_dir):
     return graph.expand_hops(seeds, rows, 3, 0.5)
 
 
-@plan("i1_stream_ingest")
+I1_SQL = f"""WITH {MARKED_SQL} SELECT CASE WHEN doc_id % 2 = 0 THEN 'even.org' ELSE 'odd.org' END AS source, doc_id AS page_id, CASE WHEN doc_id % 3 = 0 THEN '第一条' END AS label,
+ md5(CASE WHEN doc_id % 3 = 0 THEN 'changed ' || doc_id ELSE array_to_string(ls, chr(10)) END) AS body_md5 FROM l"""
+
+
+@plan("i1_stream_ingest", I1_SQL)
 def i1(spark, sf_dir):
-    """The pages in two arrivals, each ingested once; the rows equal those of the batch job."""
-    pages = table(spark, sf_dir, "pages")
+    """Pages in two arrivals, of which the second brings every third one again, changed; each run takes the new files
+    only, and the store keeps one version of a page."""
+    host = F.when(F.col("doc_id") % 2 == 0, "even.org").otherwise("odd.org")
+    pages = marked_up(spark, sf_dir).select(F.col("doc_id").alias("page_id"), F.concat(F.lit("https://"), host, F.lit("/x")).alias("url"), "html")
+    again = F.concat(F.lit("<body><article><p>第一条 changed "), F.col("page_id").cast("string"), F.lit("</article></body>"))
     inbox, out, checkpoint = (scratch(spark, n) for n in ("inbox", "ingested", "progress"))
-    for part in (0, 1):
-        pages.where(F.col("page_id") % 2 == part).write.mode("append").parquet(inbox)
+    for arrival in (pages, pages.where("page_id % 3 = 0").withColumn("html", again)):
+        arrival.write.mode("append").parquet(inbox)
         stream_ingest(spark, inbox, out, checkpoint, "page_id long, url string, html string")
-    return spark.read.parquet(out).drop("batch")
+    return read_store(spark, out).select("source", "page_id", "label", F.md5("body").alias("body_md5"))
 
 
 @plan("i1_batch_ingest", r"SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS source FROM pages")

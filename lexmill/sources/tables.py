@@ -15,14 +15,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir), or a temporary one where none is set."""
+    """A new path in the folder that the cluster shares, as spark.checkpoint.dir names it. Where none is set, a local
+    session gets a temporary one; on a cluster that is an error, as executors could not see it."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         shared = tempfile.mkdtemp(prefix="lexmill-")
         spark.conf.set("spark.checkpoint.dir", shared)
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written to the shared folder and read back: computed once, whatever is lost later."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_pages(manifest: DataFrame, pages: DataFrame, key: str) -> DataFrame:
     """Manifest rows with their page; a missing page is flagged, not dropped."""
     found = pages.withColumn("_there", F.lit(True))

@@ -5,27 +5,59 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import squash_ws, strip_tags
+from ..operators.merge import distinct_by_key, upsert_by_source
+from ..operators.segment import split_or_fulltext
+from ..sources.html import page_paragraphs
+from ..sources.tables import written
+
+#: The store's folders; a batch rewrites those of its pages.
+SLOTS = 32
+CHUNKS = "source string, page_id long, art_pos int, chapter string, section string, label string, body string, chunk_id string, slot int"
 
 
 def page_chunks(pages: DataFrame) -> DataFrame:
-    """(source, page_id, pos, text): non-empty lines of visible text of each page, by host."""
-    bare = F.regexp_replace("html", r"(?is)<script.*?</script>|<style.*?</style>", "")
-    lines = F.split(F.regexp_replace(bare, r"(?i)</?(p|div|li|h[1-6]|br|article|nav|footer|title)[^>]*>", "\n"), "\n")
-    rows = pages.select(F.regexp_extract("url", r"^[a-z]+://([^/:?#]+)", 1).alias("source"), "page_id", F.posexplode(lines).alias("pos", "line"))
-    return rows.select("source", "page_id", "pos", squash_ws(strip_tags("line")).alias("text")).where("text IS NOT NULL")
+    """(source, page_id, art_pos, chapter, section, label, body, chunk_id) of each page: the articles of its paragraphs,
+    or its whole text where there are none. The source is the host."""
+    text = F.array_join(page_paragraphs(F.col("html")), "\n")
+    docs = pages.select("page_id", F.regexp_extract("url", r"^[a-z]+://([^/:?#]+)", 1).alias("source"), text.alias("text"))
+    chunks = split_or_fulltext(docs, "page_id", "text").join(docs.select("page_id", "source"), "page_id")
+    name = F.concat("source", F.lit("/"), F.col("page_id").cast("string"), F.lit("::"), F.coalesce("label", F.lit("全文")))
+    return chunks.select("source", "page_id", "art_pos", "chapter", "section", "label", "body", name.alias("chunk_id"))
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(CHUNKS).parquet(path)
 
 
 def stream_ingest(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, schema: str) -> None:
     """Process the files that have arrived since the last run, then stop.
 
-    A batch overwrites its own folder, so one that is repeated after a failure leaves the same rows; the checkpoint
-    keeps finished files from being read again.
+    The checkpoint keeps finished files from being read again. A batch replaces all chunks of its pages: the folders of
+    their slots are merged, written aside and put in place, so one that is repeated after a failure leaves the same
+    rows. Of several versions of a page in one batch that of the newest file counts.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        page_chunks(batch).write.mode("overwrite").parquet(f"{out_dir}/batch={number}")
+        slot = F.pmod(F.xxhash64("page_id"), F.lit(SLOTS)).cast("int").alias("slot")
+        pages = written(distinct_by_key(batch, "page_id", [F.col("arrived").desc(), F.xxhash64("html")]).drop("arrived"), "arrived")
+        slots = [r["slot"] for r in pages.select(slot).distinct().collect()]  # SLOTS at most
+        if not slots:
+            return
+        new = page_chunks(pages).select("*", slot)
+        if exists(spark, out_dir):
+            # all chunks of a page are replaced, those that its new version no longer has too
+            store = read_store(spark, out_dir).where(F.col("slot").isin(slots))
+            new = upsert_by_source(store, new, "page_id")
+        # read from the store and written aside first, as the store's folders are overwritten
+        merged = written(new, "merged")
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slot").parquet(out_dir)
 
     pages = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(in_dir)
+    pages = pages.select("*", F.col("_metadata.file_modification_time").alias("arrived"))
     query = pages.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)

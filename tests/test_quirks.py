@@ -82,3 +82,113 @@ def test_adjacent_lines(spark):
 def test_empty_string_counts_as_missing(spark):
     rows = spark.createDataFrame([("", "b"), (None, "c"), ("a", "d")], "x string, y string")
     assert [r["z"] for r in classify.coalesce_meta(rows, {"z": [F.col("x"), F.col("y")]}).collect()] == ["b", "c", "a"]
+
+
+def paragraphs(spark, html, mode="auto", containers=("article", "main")):
+    from lexmill.sources.html import page_paragraphs
+
+    return value(spark, page_paragraphs(F.lit(html).cast("string"), mode, containers))
+
+
+LONG = "word " * 60
+
+
+@pytest.mark.parametrize(
+    ("html", "mode", "found"),
+    [
+        ("<body><p>one<p>two<br>lines</p>loose<div>block</div><p> </p><p>three <b>bold</b></body>", "p", ["one", "two lines", "three bold"]),
+        ("<p>a<div>no</div>b<P CLASS='x'>c</P>", "p", ["a", "c"]),
+        ("<body><script>x='<p>no</p>'</script><style><p>no</style><noscript><p>no</p></noscript><!-- <p>no --><p>&lt;b&gt; &amp;amp; &#20013;&#x6587; &copy;</p>", "p", ["<b> &amp; 中文 ©"]),
+        (f"<body><nav>menu</nav><article><p>{LONG}<p>x</article><p>after</p></body>", "auto", [LONG.strip(), "x"]),
+        ("<body><nav>menu</nav><article><p>short</article><p>after</body>", "auto", ["menu", "short", "after"]),
+        (f"<body><main>{LONG}<span>more</span></main></body>", "auto", [LONG.strip(), "more"]),
+        (f"<body><article>{LONG}<br>end\nline", "lines", [LONG.strip(), "end", "line"]),
+        ("<p>unclosed <b>tag", "p", ["unclosed tag"]), ("", "auto", []), (None, "p", []), ("no tags at all", "auto", ["no tags at all"]),
+    ],
+)
+def test_pages(spark, html, mode, found):
+    assert paragraphs(spark, html, mode) == found
+
+
+def test_article_body(spark):
+    from lexmill.sources.html import article_body
+
+    pages = [(1, "<article>Title<p>Share this<p>第一条 a<p>Title<p>all rights reserved"), (2, "<article><h1>Title</h1><p>text<p>Title</p></article><p>out"), (3, None)]
+    found = article_body(spark.createDataFrame(pages, "id int, html string"), "id", "html", "(?i)^share", "(?i)all rights reserved")
+    assert [tuple(r)[::2] for r in found.orderBy("id", "pos").collect()] == [(1, "第一条 a"), (1, "Title"), (2, "Title"), (2, "text")]
+
+
+def test_bytes_in_other_encodings(spark):
+    from lexmill.sources.html import decode_pages
+
+    rows = [(1, "中文".encode()), (2, "中文".encode("gb18030")), (3, b"\xff\xfe\xff"), (4, None), (5, b"")]
+    found = decode_pages(spark.createDataFrame(rows, "id int, raw binary"), "raw").orderBy("id").collect()
+    assert [(r["text"], r["encoding"]) for r in found] == [("中文", "utf-8"), ("中文", "gb18030"), ("���", "lossy"), (None, None), ("", "utf-8")]
+
+
+def test_texts_without_lines_of_labels(spark):
+    rows = [(1, None), (2, "无"), (3, "通知如下：第一条 甲。第二条 乙。"), (4, "第一条 甲\n续"), (5, "")]
+    found = segment.split_or_fulltext(spark.createDataFrame(rows, "doc_id int, text string"), "doc_id", "text").orderBy("doc_id", "art_pos").collect()
+    assert [(r["doc_id"], r["label"], r["body"]) for r in found] == [(1, None, None), (2, None, "无"), (3, "第一条", "第一条 甲。"), (3, "第二条", "第二条 乙。"), (4, "第一条", "甲\n续"), (5, None, "")]
+
+
+def test_rows_in_force(spark):
+    rows = [(1, "现行有效(2026版)", "2000-01-01"), (2, "已废止/被取代", "2000-01-01"), (3, "已修改", "2000-01-01"), (4, "现行有效", "2030-01-01"), (5, None, None)]
+    frame = spark.createDataFrame(rows, "id int, s string, d string").withColumn("d", F.col("d").cast("timestamp"))
+    assert sorted(r["id"] for r in classify.current_only(frame, "s", "d", "2024-01-01").collect()) == [1, 5]
+    assert [r["validity"] for r in classify.validity(frame, "s", "d", "2024-01-01").orderBy("id").collect()] == ["现行有效", "已废止", "已修改", "未生效", "现行有效"]
+
+
+def test_title_cut_and_paragraphs(spark):
+    from lexmill.plans.intake import ANCHORS, FOOTERS, NOISE_LINE, PARAGRAPH_START, SENTENCE_END
+
+    text = "效力位阶：x\n人工智能\n某某市人工智能产业条例\n第一条 为了\n促进发展。\n（一）甲\n下载日期：1\n乙\n*注：本文格式 z"
+    rows = spark.createDataFrame([(1, text, "某某市人工智能产业条例《x》"), (2, text, None), (3, text, "没有这个"), (4, None, "x")], "id int, t string, title string")
+    found = classify.clean_body(rows, "t", ANCHORS, FOOTERS, NOISE_LINE, "title", PARAGRAPH_START, SENTENCE_END).orderBy("id").collect()
+    rest = "某某市人工智能产业条例\n第一条 为了促进发展。\n（一）甲乙"
+    assert [r["body"] for r in found] == [rest, "人工智能" + rest, "人工智能" + rest, None]
+
+
+def test_prefixes_and_containment_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    names = lambda n: [None, ""] + ["中华人民共和国" + "".join(rng.choice("甲乙丙") for _ in range(rng.randint(0, 7))) for _ in range(n)] + ["".join(rng.choice("甲乙") for _ in range(rng.randint(1, 7))) for _ in range(n)]
+    new, old = names(60), names(30)
+    left, right = (spark.createDataFrame([(x,) for x in xs], "k string") for xs in (new, old))
+    long = lambda x: len(x) >= 5
+    match = lambda a, b: a is not None and b and (long(b) and a.startswith(b) or long(a) and b.startswith(a))
+    kept = [a for a in new if not any(match(a, b) for b in old)]
+    assert sorted(r["k"] or "" for r in merge.prefix_match_dedup(left, right, "k").collect()) == sorted(a or "" for a in kept)
+    holds = lambda a, b: a is not None and b and (a == b or b in a and long(b) or a in b and long(a))
+    found = {(r["k"], r["contained"]) for r in merge.containment_flag(left, right, "k").collect()}
+    assert found == {(a, any(map(bool, (holds(a, b) for b in old)))) for a in new}
+
+
+def test_long_runs_of_labels(spark):
+    labels = "".join(f"第{n}条 x" for n in ["一", "三", "二", "九", "三", "四"])
+    rows = spark.createDataFrame([(1, 0, labels)], "doc_id int, pos int, para string")
+    assert [r["para"] for r in segment.presplit_paras(rows, "doc_id", "pos", "para").orderBy("part").collect()] == ["第一条 x第三条 x", "第二条 x第九条 x", "第三条 x", "第四条 x"]
+
+
+def test_vectors_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from lexmill.operators import retrieve
+
+    rng = np.random.default_rng(4)
+    vectors = rng.integers(-3, 4, (60, 5)).astype(float)
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(100, None), (101, [0.0] * 5), (102, vectors[3].tolist())]
+    frame = spark.createDataFrame(rows, "id long, v array<double>")
+    whole = {}
+    for i in range(0, 60, 7):
+        if vectors[i].any():
+            score = {j: round(float(np.dot(vectors[i], w) / np.linalg.norm(vectors[i]) / np.linalg.norm(w)), 6) for j, w in rows if j != i and w and any(w)}
+            whole[i] = sorted(score.items(), key=lambda x: (-x[1], x[0]))[:4]
+    for blocks in ((2048, 16384), (3, 10)):
+        monkeypatch.setattr(retrieve, "QUERY_BLOCK", blocks[0])
+        monkeypatch.setattr(retrieve, "VECTOR_BLOCK", blocks[1])
+        found = {}
+        for r in retrieve.dense_topk(frame, frame.where("id < 60 AND id % 7 = 0"), "id", "v", 4).orderBy("query", "rank").collect():
+            found.setdefault(r["query"], []).append((r["id"], r["score"]))
+        assert {q: [x for x, _ in v] for q, v in found.items()} == {q: [x for x, _ in v] for q, v in whole.items()}
