@@ -1,13 +1,16 @@
-"""Scores of texts under a smoothed two-word model, as one walk over a weighted automaton.
+"""Scores of texts under a smoothed three-word model, as one walk over a weighted backoff automaton.
 
-The root state gives each token its add-one probability. Every word seen in training is a state of its own: its
-arcs are all tokens seen after it, weighted by an interpolation of their relative count and the root's probability,
-and its failure arc leads to the root with the rest of the weight. Words and pairs are counted over all training
-documents, none is dropped at any size; interpolation weights, one for each size of context count, are those that
-predict best the training pairs when each is left out in turn.
+States are histories. The root gives each token its add-one probability. Every word seen in training is a state, and
+every pair of words that training has CONTEXT times at least. A state's arcs are the tokens seen after its history,
+weighted by an interpolation of their relative count with what the shorter history gives them; its failure arc leads to
+the state of the shorter history with the rest of the weight. After an arc the state is the longest history that is one.
+Words, pairs and triples are counted over all training documents, at any size; interpolation weights, one for each order
+and size of history counts, are those that predict best the training tokens when each is left out in turn.
 
-With F the root's probability of all known tokens, a state u gives a known token w
-F * r * c(u, w) / c(u) + (1 - r) * root(w), and an unknown token root(w); so every state's sum is 1.
+With a state h, its shorter history g and an arc to w: p(w) = r * c(h, w) / c(h) + (1 - r) * p(w after g); without an arc
+the walk pays 1 - r and goes on from g. So what every state gives all tokens, one unknown token among them, adds up to 1.
+
+The walk reads all texts of a batch side by side from left to right, long ones in pieces that begin two tokens early.
 """
 
 from __future__ import annotations
@@ -24,6 +27,10 @@ from . import exchange as X
 
 BATCH_BYTES = 8 << 20
 FOLDS, HELD_OUT = 7, 2
+#: Times that training must have a pair for it to be a state of its own; the same at every size of corpus.
+CONTEXT = 4
+#: Tokens of a piece of a text that is walked by itself.
+PIECE = 512
 #: Interpolation weights that are tried, and sizes of context counts (powers of 4) that have one each.
 WEIGHTS = np.concatenate([[0.0, 0.001, 0.003, 0.01, 0.03], np.arange(1, 20) / 20])
 SIZES = 24
@@ -33,8 +40,8 @@ BEGIN = A.U64(0x13198A2E03707344)
 
 COUNTED = "bucket int, batch long, keys binary, count array<int>"
 WORDS = "bucket int, batch long, more array<long>, tokens long, types long"
-PAIRED = "bucket int, batch long, keys binary, count array<int>, kinds binary"
-PAIRS = "bucket int, batch long, more array<long>, gain array<struct<size: int, gains: array<double>>>"
+ARCS_SENT = "bucket int, batch long, keys binary, count array<int>, kinds binary"
+ARCS = "bucket int, batch long, more array<long>, gain array<struct<size: int, gains: array<double>>>"
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -170,7 +177,6 @@ class Counts:
         self.keys, self.count = keys, own + told(answers)
         self.tokens, self.types = (answers.column(c)[0].as_py() for c in ("all_tokens", "all_types"))
         self.room = self.tokens + self.types + 1
-        self.known = (self.tokens + self.types) / self.room
 
     def of(self, values: np.ndarray) -> np.ndarray:
         return self.count[np.searchsorted(self.keys, values)]
@@ -180,25 +186,74 @@ def size_class(count: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(np.maximum(count, 1)) / 2, SIZES - 1).astype(np.int8)
 
 
-def send_pairs(texts: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
-    """Training counts of a batch's pairs, 0 for those that only its held-out documents have. A pair of a word that
-    never trains does not occur in training, so it is not asked for."""
+class Known:
+    """The tokens of a batch and what its answers tell of them, up to an order of history."""
+
+    def __init__(self, texts: pa.Table, answers: pa.Table, order: int):
+        self.labels, self.before, self.at = tokens(texts)
+        level = answers.column("level").to_numpy()
+        rows = lambda k: answers.filter(pa.array(level == k))
+        counts = Counts(rows(0), *own_counts(texts, self.labels, self.at))
+        self.words, self.word_count, self.tokens = counts.keys, counts.count, counts.tokens
+        self.train, n = trains(texts, self.at), len(self.labels)
+        self.label_count, self.context = counts.of(self.labels), counts.of(self.before)
+        self.root = (self.label_count + 1) / counts.room
+        if order < 2:
+            return
+        self.pairs = np.flatnonzero((self.label_count > 0) & (self.context > 0))
+        self.pair_arc, self.pair_count = self._arcs(self.pairs, pair_keys(self.before, self.labels), rows(1), n)
+        self.rest = 1 - weights_of(rows(1))[size_class(self.context)] * (self.context > 0)
+        self.after_word = (1 - self.rest) * self.pair_count / np.maximum(self.context, 1) + self.rest * self.root
+        # the history of two words is the pair that ends before the token; a text's first token has none
+        self.context2 = np.concatenate([np.zeros(1, np.int64), self.pair_count[:-1]])
+        self.context2[self.at[:-1]] = 0
+        self.context2[self.context2 < CONTEXT] = 0
+        self.history = np.concatenate([np.zeros(1, A.U64), pair_keys(self.before, self.labels)[:-1]])
+        self.triples = np.flatnonzero((self.context2 > 0) & (self.pair_count > 0))
+        if order < 3:
+            return
+        self.triple_arc, triple_count = self._arcs(self.triples, pair_keys(self.history, self.labels), rows(2), n)
+        self.rest2 = 1 - weights_of(rows(2))[size_class(self.context2)] * (self.context2 > 0)
+        self.after_pair = (1 - self.rest2) * triple_count / np.maximum(self.context2, 1) + self.rest2 * self.after_word
+
+    def _arcs(self, use: np.ndarray, keys: np.ndarray, answers: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each place the number of its arc, -1 without one, and its training count."""
+        arc, count = np.full(n, -1, np.int64), np.zeros(n, np.int64)
+        if len(use):
+            distinct, code = np.unique(keys[use], return_inverse=True)
+            total = np.bincount(code, weights=self.train[use], minlength=len(distinct)).astype(np.int64) + told(answers)
+            count[use] = total[code]
+            arc[use] = np.where(total[code] > 0, code, -1)
+        return arc, count
+
+
+def weights_of(answers: pa.Table) -> np.ndarray:
+    out = np.zeros(SIZES)
+    for choice in (answers.column("weights")[0].as_py() or []) if answers.num_rows else []:
+        out[choice["size"]] = choice["weight"]
+    return out
+
+
+def send_arcs(texts: pa.Table, answers: pa.Table, buckets: int, order: int) -> pa.Table:
+    """Training counts of a batch's pairs or triples, 0 for those that only its held-out documents have. What cannot
+    occur in training, as a part of it does not, is not asked for."""
     none = {"count": np.zeros(0, np.int32), "lift": np.zeros(0, np.int16), "size": np.zeros(0, np.int8)}
     if not texts.num_rows:
         return slim(X.packed(0, np.zeros(0, A.U64), none, buckets))
-    labels, states, at = tokens(texts)
-    counts = Counts(answers, *own_counts(texts, labels, at))
-    label_count, state_count = counts.of(labels), counts.of(states)
-    use = np.flatnonzero((label_count > 0) & (state_count > 0))
-    keys, place, count = counted(pair_keys(states[use], labels[use]), trains(texts, at)[use])
+    k = Known(texts, answers, order - 1)
+    if order == 2:
+        use, keys, context, shorter = np.flatnonzero((k.label_count > 0) & (k.context > 0)), pair_keys(k.before, k.labels), k.context, k.root
+    else:
+        use, keys, context, shorter = k.triples, pair_keys(k.history, k.labels), k.context2, k.after_word
+    keys, place, count = counted(keys[use], k.train[use])
     own = use[place]
-    # how often chance alone would make the pair, on a logarithmic scale: what a left-out count is held against
-    chance = np.maximum(state_count[own] - 1, 1) * ((label_count[own] + 1) / counts.room)
+    # how often the shorter history alone would make it, on a logarithmic scale: what a left-out count is held against
+    chance = np.maximum(context[own] - 1, 1) * shorter[own]
     lift = np.clip(np.round(64 * np.log2(1 / chance)), -32768, 32767).astype(np.int16)
-    return slim(X.packed(texts.column("batch")[0].as_py(), keys, {"count": count, "lift": lift, "size": size_class(state_count[own])}, buckets))
+    return slim(X.packed(texts.column("batch")[0].as_py(), keys, {"count": count, "lift": lift, "size": size_class(context[own])}, buckets))
 
 
-def count_pairs(table: pa.Table) -> pa.Table:
+def count_arcs(table: pa.Table) -> pa.Table:
     """Other batches' counts; a bucket's first row has its share of what each weight gains, for each size of context."""
     count = X.unpacked(table, ["count"])[1]
     distinct, code, total = summed(keys_of(table), count)
@@ -217,38 +272,85 @@ def count_pairs(table: pa.Table) -> pa.Table:
     return out.append_column("gain", pa.array(first_row(out.num_rows, cells), kind))
 
 
+class Automaton:
+    """The states and arcs that a batch's texts can reach.
+
+    States: 0 is the root, then the words, then the pairs by the number of their arc. Arcs are known by the place of the
+    token that is read, as an order of history has at most one arc for it.
+    """
+
+    def __init__(self, k: Known):
+        n_words = len(k.words)
+        word_state = np.where(k.word_count > 0, 1 + np.arange(n_words), 0)
+        of_word = word_state[np.searchsorted(k.words, k.labels)]
+        self.begin = int(word_state[np.searchsorted(k.words, BEGIN)])
+        first_pair = 1 + n_words
+        #: Where reading the token leads: to the pair that it ends, if that is a state, else to its word, else to the root.
+        self.next_root = of_word
+        self.next = np.where((k.pair_arc >= 0) & (k.pair_count >= CONTEXT), first_pair + k.pair_arc, of_word)
+        self.first_pair = first_pair
+        self.has = [k.pair_arc >= 0, k.triple_arc >= 0]
+        self.weight = [np.log10(k.root), np.log10(k.after_word), np.log10(k.after_pair)]
+        # failure arcs by state: where to, and the weight; the root has none
+        states = first_pair + int(k.pair_arc.max(initial=-1)) + 1
+        self.fail, self.fail_weight = np.zeros(states, np.int64), np.zeros(states)
+        own = word_state[np.searchsorted(k.words, k.before)]
+        self.fail_weight[own] = np.log10(k.rest)
+        self.fail_weight[0] = 0
+        pairs = np.flatnonzero(k.context2 > 0)
+        self.fail[first_pair + k.pair_arc[pairs - 1]] = own[pairs]
+        self.fail_weight[first_pair + k.pair_arc[pairs - 1]] = np.log10(k.rest2[pairs])
+
+    def step(self, state: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Read one token in each state: take its arc, or failure arcs until there is one. The new states and weights."""
+        weight = np.zeros(len(state))
+        pair, word = state >= self.first_pair, (state > 0) & (state < self.first_pair)
+        failing = pair & ~self.has[1][place]
+        weight[failing] = self.fail_weight[state[failing]]
+        state = np.where(failing, self.fail[state], state)
+        word |= failing
+        pair &= ~failing
+        failing = word & ~self.has[0][place]
+        weight[failing] += self.fail_weight[state[failing]]
+        word &= ~failing
+        weight += np.where(pair, self.weight[2][place], np.where(word, self.weight[1][place], self.weight[0][place]))
+        return np.where(pair | word, self.next[place], self.next_root[place]), weight
+
+
+def walk(automaton: Automaton, at: np.ndarray) -> np.ndarray:
+    """Log probability of each text: one pass from left to right that carries a state for each piece of text."""
+    sizes = np.diff(at)
+    parts = -(-sizes // PIECE)
+    text = np.repeat(np.arange(len(sizes)), parts)
+    start = at[text] + PIECE * A.spread(np.zeros(len(sizes), np.int64), parts)
+    stop = np.minimum(start + PIECE, at[text + 1])
+    early = np.minimum(start - at[text], 2)  # after two tokens the state is the same wherever the walk began
+    order = np.argsort(-(stop - start + early), kind="stable")
+    text, start, stop, early = text[order], start[order], stop[order], early[order]
+    place = start - early
+    left = stop - place
+    state = np.where(early > 0, 0, automaton.begin)
+    total = np.zeros(len(text))
+    for k in range(int(left.max(initial=0))):
+        active = int(np.searchsorted(-left, -k))  # pieces that have more than k tokens
+        state, weight = automaton.step(state[:active], place[:active] + k)
+        total[:active] += np.where(k >= early[:active], weight, 0)
+    return np.bincount(text, weights=total, minlength=len(sizes))
+
+
 def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
-    """Walk each text of a batch through the automaton, all of them side by side."""
+    """Result rows of a batch of texts."""
     names = [c.split()[0] for c in RESULT.split(", ")]
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     if not texts.num_rows:
         return pa.table([pa.array([], k) for k in kinds], names=names)
-    labels, states, at = tokens(texts)
-    paired = answers.column("is_pair").to_numpy().astype(bool)
-    counts = Counts(answers.filter(pa.array(~paired)), *own_counts(texts, labels, at))
-    label_count, state_count = counts.of(labels), counts.of(states)
-    root = (label_count + 1) / counts.room
-    base = np.log10(root)
-    out = base.copy()
-
-    use = np.flatnonzero((label_count > 0) & (state_count > 0))
-    pairs = answers.filter(pa.array(paired))
-    if len(use):
-        keys, code = np.unique(pair_keys(states[use], labels[use]), return_inverse=True)
-        own = np.bincount(code, weights=trains(texts, at)[use], minlength=len(keys)).astype(np.int64)
-        arc = (own + told(pairs))[code]
-        weights = np.zeros(SIZES)
-        for choice in pairs.column("weights")[0].as_py() or []:
-            weights[choice["size"]] = choice["weight"]
-        r = weights[size_class(state_count[use])]
-        # an arc's weight holds the root's share too; the failure arc's is log10(1 - r), to the root
-        out[use] = np.log10(r * counts.known * arc / state_count[use] + (1 - r) * root[use])
-    sums = lambda values: np.add.reduceat(values, at[:-1])  # noqa: E731  each text has a token at least: its end
+    k = Known(texts, answers, 3)
+    sums = lambda values: np.add.reduceat(values, k.at[:-1])  # noqa: E731  each text has a token at least: its end
     columns = [
-        texts.column("doc_id"), texts.column("held_out"), np.diff(at), sums((label_count > 0).astype(np.int64)),
-        np.full(len(at) - 1, counts.tokens), sums(base), sums(out),
+        texts.column("doc_id"), texts.column("held_out"), np.diff(k.at), sums((k.label_count > 0).astype(np.int64)),
+        np.full(len(k.at) - 1, k.tokens), sums(np.log10(k.root)), walk(Automaton(k), k.at),
     ]
-    return pa.table([c if isinstance(c, pa.ChunkedArray) else pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+    return pa.table([c if isinstance(c, pa.ChunkedArray) else pa.array(c, kind) for c, kind in zip(columns, kinds)], names=names)
 
 
 def log_scores(docs: DataFrame) -> DataFrame:
@@ -264,13 +366,18 @@ def log_scores(docs: DataFrame) -> DataFrame:
     # one row of totals
     totals = words.agg(F.sum("tokens").alias("all_tokens"), F.sum("types").alias("all_types")).withColumn("one", F.lit(1))
     words = words.select("bucket", "batch", "more", F.lit(1).alias("one")).join(F.broadcast(totals), "one").drop("one")
-    asked = X.meet(texts, words, partial(send_pairs, buckets=buckets), PAIRED)
-    pairs = X.grouped(asked, "bucket", count_pairs, PAIRS)
-    # one row of at most SIZES weights: for each size the weight of greatest gain, the smallest of equals
-    gains = pairs.select(F.inline("gain")).groupBy("size").agg(F.array(*(F.sum(F.get("gains", F.lit(k))) for k in range(len(WEIGHTS)))).alias("gains"))
+    answers = words.withColumn("level", F.lit(0))
+    for order in (2, 3):
+        asked = X.meet(texts, answers, partial(send_arcs, buckets=buckets, order=order), ARCS_SENT)
+        found = with_weights(X.grouped(asked, "bucket", count_arcs, ARCS))
+        answers = answers.unionByName(found.withColumn("level", F.lit(order - 1)), allowMissingColumns=True)
+    return X.meet(texts, answers, score, RESULT)
+
+
+def with_weights(arcs: DataFrame) -> DataFrame:
+    """Answers with the interpolation weights of their order: for each size of history count the weight of greatest
+    gain, the smallest of equals; one row of at most SIZES weights."""
+    gains = arcs.select(F.inline("gain")).groupBy("size").agg(F.array(*(F.sum(F.get("gains", F.lit(k))) for k in range(len(WEIGHTS)))).alias("gains"))
     value = F.get(F.array(*(F.lit(float(w)) for w in WEIGHTS)), F.array_position("gains", F.array_max("gains")).cast("int") - 1)
-    chosen = gains.agg(F.array_sort(F.collect_list(F.struct("size", value.alias("weight")))).alias("list"))
-    chosen = chosen.select(F.col("list").alias("weights"), F.lit(1).alias("one"))
-    pairs = pairs.select("bucket", "batch", "more", F.lit(1).alias("one")).join(F.broadcast(chosen), "one").drop("one")
-    both = words.withColumn("is_pair", F.lit(False)).unionByName(pairs.withColumn("is_pair", F.lit(True)), allowMissingColumns=True)
-    return X.meet(texts, both, score, RESULT)
+    chosen = gains.agg(F.array_sort(F.collect_list(F.struct("size", value.alias("weight")))).alias("weights")).withColumn("one", F.lit(1))
+    return arcs.select("bucket", "batch", "more", F.lit(1).alias("one")).join(F.broadcast(chosen), "one").drop("one")

@@ -73,36 +73,71 @@ def test_empty_and_no_training(spark):
     assert np.isfinite(row["score"])
 
 
-def test_scores_against_brute_force(spark):
-    """Every pair of the training documents counts, those of words that occur once too."""
-    docs = corpus()
-    train, pairs, heads = Counter(), Counter(), Counter()
-    for i, t in docs:
-        if not is_held_out(i):
-            line = words(t)
-            train.update(line)
-            pairs.update(zip(["<begin>", *line], line))
-            heads.update(["<begin>", *line[:-1]])
-    n, v = sum(train.values()), len(train)
-    root = lambda w: (train[w] + 1) / (n + v + 1)
-    size = lambda u: int(math.log2(heads[u]) / 2)
-    gains = {}
-    for (u, w), c in pairs.items():
-        lift = round(64 * math.log2(1 / (max(heads[u] - 1, 1) * root(w)))) / 64
-        for r in lm.WEIGHTS:
-            key = size(u), float(r)
-            gains[key] = gains.get(key, 0) + c * math.log2(r * (c - 1) * 2**lift + 1 - r)
-    best = {s: max((g, -r) for (t, r), g in gains.items() if t == s)[1] for s, _ in gains}
-
-    def score(t):
+class Brute:
+    """The model by its definition, from dictionaries."""
+
+    def __init__(self, docs):
+        self.train, self.pairs, self.heads, self.triples = Counter(), Counter(), Counter(), Counter()
+        for i, t in docs:
+            if not is_held_out(i):
+                line = words(t)
+                before = ["<begin>", *line]
+                self.train.update(line)
+                self.pairs.update(zip(before, line))
+                self.heads.update(before[:-1])
+                self.triples.update(zip(before, line, line[1:]))
+        self.n, self.v = sum(self.train.values()), len(self.train)
+        self.first = self.learn(((c, self.heads[u], self.root(w)) for (u, w), c in self.pairs.items()))
+        self.second = self.learn(((c, self.pairs[u, v], self.after_word(v, w)) for (u, v, w), c in self.triples.items() if self.pairs[u, v] >= lm.CONTEXT))
+
+    @staticmethod
+    def size(count):
+        return int(math.log2(count) / 2)
+
+    def learn(self, rows):
+        gains = {}
+        for c, context, shorter in rows:
+            lift = round(64 * math.log2(1 / (max(context - 1, 1) * shorter))) / 64
+            for r in lm.WEIGHTS:
+                key = self.size(context), float(r)
+                gains[key] = gains.get(key, 0) + c * math.log2(r * (c - 1) * 2**lift + 1 - r)
+        return {s: -max((g, -r) for (t, r), g in gains.items() if t == s)[1] for s, _ in gains}
+
+    def root(self, w):
+        return (self.train[w] + 1) / (self.n + self.v + 1)
+
+    def after_word(self, u, w):
+        if not self.heads[u]:
+            return self.root(w)
+        r = self.first[self.size(self.heads[u])]
+        return r * self.pairs[u, w] / self.heads[u] + (1 - r) * self.root(w)
+
+    def after_pair(self, u, v, w):
+        if self.pairs[u, v] < lm.CONTEXT:
+            return self.after_word(v, w)
+        r = self.second[self.size(self.pairs[u, v])]
+        return r * self.triples[u, v, w] / self.pairs[u, v] + (1 - r) * self.after_word(v, w)
+
+    def score(self, t):
         line = words(t)
-        known = (n + v) / (n + v + 1)
-        r = lambda u: -best[size(u)]
-        return sum(math.log10(r(u) * known * pairs[u, w] / heads[u] + (1 - r(u)) * root(w) if heads[u] and train[w] else root(w)) for u, w in zip(["<begin>", *line], line))
+        before = ["<begin>", *line]
+        return math.log10(self.after_word("<begin>", line[0])) + sum(math.log10(self.after_pair(*x)) for x in zip(before, line, line[1:]))
 
+
+def test_scores_against_brute_force(spark):
+    """Every pair of the training documents counts, those of words that occur once too, and a long text's pieces join."""
+    rng = random.Random(9)
+    docs = [*corpus(), (500, " ".join(f"w{rng.randrange(30)}" for _ in range(3 * lm.PIECE + 100))), (501, " ".join(["w1 w2 w3"] * 700))]
+    model = Brute(docs)
+    assert sum(c >= lm.CONTEXT for c in model.pairs.values()) > 50 and len(model.second) > 1
     rows = lm.log_scores(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     key = lambda r: (r[0] is None, r[0] or 0, r[1])
-    assert sorted(((r["doc_id"], round(r["score"], 6)) for r in rows), key=key) == sorted(((i, round(score(t), 6)) for i, t in docs), key=key)
+    assert sorted(((r["doc_id"], round(r["score"], 5)) for r in rows), key=key) == sorted(((i, round(model.score(t), 5)) for i, t in docs), key=key)
+    # what every state gives all tokens, one unknown token among them, adds up to 1
+    tokens = [*model.train, "neverseen"]
+    states = [(u, v) for (u, v), c in model.pairs.items() if c >= lm.CONTEXT and v != "<end>"]
+    assert all(abs(sum(model.after_pair(u, v, w) for w in tokens) - 1) < 1e-9 for u, v in states[:100])
+    assert all(abs(sum(model.after_word(u, w) for w in tokens) - 1) < 1e-9 for u in list(model.heads)[:100])
 
 
 def test_pairs_are_not_forgotten_as_the_corpus_grows(spark):
