@@ -1,8 +1,8 @@
 """Licences of files: TF-IDF cosine of their lines to template statements, then inheritance along paths.
 
-Every line of every whole text is weighed against the templates. A word's weight is its count times the logarithm
-of its rarity among all lines of the corpus; words outside the templates' vocabulary weigh as the rarest. Headers and
-whole texts are blocks: runs of as many words, over any line breaks, are weighed against them where four words in a
+Every line of every whole text is weighed against the templates, as sparse vectors. A word's weight is its count times
+the logarithm of its rarity among all lines of the corpus; words outside the templates' vocabulary weigh as the rarest.
+Statements, headers and whole texts are also blocks: runs of as many words, over any line breaks, are weighed against them where four words in a
 row agree. A file with a statement that is none of these has an unknown licence. A file
 without a statement of its own takes that of the licence file in the nearest directory above it.
 """
@@ -10,7 +10,7 @@ without a statement of its own takes that of the licence file in the nearest dir
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
+from .runtime import written
 
 #: Statements by which a file names its licence. Fixed values.
 TEMPLATES = {
@@ -94,6 +95,7 @@ non-commercial, and by any means."""],
     "AGPL-3.0": [_GNU.format("Affero General", "3"), _TITLE.format("AFFERO GENERAL", "3", "19 November 2007")],
 }
 GRAM = 4
+SALTS = 16
 #: What looks like a statement on a licence, known or not (RE2).
 STATEMENT = r"(?i)licen[sc]ed\s+under\s|spdx-license-identifier|(released|distributed|available|provided|subject)\s+(under|to)\s[^\n]{0,80}\blicen[sc]e\b"
 UNKNOWN = "unknown"
@@ -143,6 +145,10 @@ class Templates:
         self.rarest = np.log(1 + lines) + 1
         vectors = self.counts * self.rarity
         self.vectors = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        # by word: the templates that have it, and its weight in them
+        word, self.post_template = np.nonzero(self.vectors.T)
+        self.post_value = self.vectors[self.post_template, word]
+        self.post_first = np.searchsorted(word, np.arange(len(self.vocabulary) + 1))
         return self
 
 
@@ -176,20 +182,26 @@ def best_lines(words_found: tuple, t: Templates) -> tuple[np.ndarray, np.ndarray
     some, code = np.unique(line[hit], return_inverse=True)
     enough = np.bincount(code, minlength=len(some)) > 1
     some = some[enough]
-    if len(some):
-        kept = enough[code]
-        row = np.searchsorted(some, line[hit][kept])
-        vectors = np.zeros((len(some), size))
-        np.add.at(vectors, (row, at[hit][kept]), 1)
-        words = np.bincount(line, minlength=int(first[-1]))[some]
-        other = words - vectors.sum(1)
-        vectors *= t.rarity
-        norm = np.sqrt((vectors**2).sum(1) + other * t.rarest**2)
-        cosine = vectors @ t.vectors.T / norm[:, None]
-        text = np.searchsorted(first, some, "right") - 1
-        best = cosine.max(1)
-        for k in np.lexsort((some, -best))[::-1]:  # the best line of each text is written last
-            score[text[k]], template[text[k]], where[text[k]] = best[k], cosine[k].argmax(), some[k] - first[text[k]]
+    if not len(some):
+        return score, template, where
+    kept = enough[code]
+    # sparse vectors: (line, word) entries with their counts
+    cells, count = np.unique(np.searchsorted(some, line[hit][kept]) * size + at[hit][kept], return_counts=True)
+    row, word = np.divmod(cells, size)
+    value = count * t.rarity[word]
+    other = np.bincount(line, minlength=int(first[-1]))[some] - np.bincount(row, weights=count, minlength=len(some))
+    norm = np.sqrt(np.bincount(row, weights=value**2, minlength=len(some)) + other * t.rarest**2)
+    # each entry meets the templates that have its word
+    many = t.post_first[word + 1] - t.post_first[word]
+    entry = np.repeat(np.arange(len(word)), many)
+    post = A.spread(t.post_first[word], many)
+    width = len(t.names)
+    dots = np.bincount(row[entry] * width + t.post_template[post], weights=value[entry] * t.post_value[post], minlength=len(some) * width)
+    cosine = dots.reshape(len(some), width) / norm[:, None]
+    text, best = np.searchsorted(first, some, "right") - 1, cosine.max(1)
+    order = np.lexsort((some, -best, text))
+    order = order[np.flatnonzero(np.diff(text[order], prepend=-1))]  # the best line of each text
+    score[text[order]], template[text[order]], where[text[order]] = best[order], cosine[order].argmax(1), some[order] - first[text[order]]
     return score, template, where
 
 
@@ -211,28 +223,36 @@ def best_blocks(words_found: tuple, t: Templates, least: float) -> tuple[np.ndar
     text = np.searchsorted(first, line[np.repeat(hit, many)], "right") - 1
     bounds = np.searchsorted(line, first)  # each text's first word, and the end
     for x, k, at in np.unique(np.stack([text, t.gram_of[entry], start], 1), axis=0).tolist():
-        i, j = max(at, bounds[x]), min(at + t.words[k], bounds[x + 1])
-        if j - i < GRAM:
-            continue
-        known, code = t.hits(hashes[i:j])
-        run = np.bincount(code[known], minlength=len(t.vocabulary)) * t.rarity
-        cosine = run @ t.vectors[k] / np.sqrt((run**2).sum() + (j - i - len(known)) * t.rarest**2)
-        if cosine >= least and cosine**2 * (j - i) > most[x]:
-            score[x], block[x], where[x], most[x] = cosine, k, line[i] - first[x], cosine**2 * (j - i)
+        # as many words as the block has, or some more, for what was put in
+        for extra in {0, t.words[k] // 6}:
+            i, j = max(at, bounds[x]), min(at + t.words[k] + extra, bounds[x + 1])
+            if j - i < GRAM:
+                continue
+            known, code = t.hits(hashes[i:j])
+            run = np.bincount(code[known], minlength=len(t.vocabulary)) * t.rarity
+            cosine = run @ t.vectors[k] / np.sqrt((run**2).sum() + (j - i - len(known)) * t.rarest**2)
+            worth = cosine**4 * t.words[k]
+            if cosine >= least and worth > most[x]:
+                score[x], block[x], where[x], most[x] = cosine, k, line[i] - first[x], worth
     return score, block, where
 
 
-def scan(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, least: float = LEAST_COSINE) -> DataFrame:
+def scan(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, least: float = LEAST_COSINE, carry: Sequence[str] = ()) -> DataFrame:
     """path, own_licence, cosine and line of the best statement, licence and licence_from for every file.
 
     files: path and text. ``licence`` is the file's own, else that of the nearest licence file (by name, with a
     statement of its own) in its directory or one above it, the least path of several in one directory;
     A block counts before a line; a statement that is not recognised makes the licence ``unknown``.
     ``licence_from`` is the path of the file that states it. A null or empty text states nothing; a null path has
-    no directories. Repeated paths keep their rows. Other columns are not carried; an empty table gives no rows.
+    no directories. Repeated paths keep their rows. Of other columns those of ``carry`` come along; an empty table gives
+    no rows.
     """
-    files = files.select("path", "text")
-    t, blocks = Templates(templates), Templates(BLOCKS)
+    carried = [f"_carry_{i}" for i in range(len(carry))]
+    names_of = ["path", "own_licence", "cosine", "line", *carried]
+    files = files.select("path", "text", *(F.col(c).alias(x) for c, x in zip(carry, carried)))
+    # statements may be broken over lines too, so they are blocks as well
+    runs = {n: [*templates.get(n, []), *BLOCKS.get(n, [])] for n in dict.fromkeys([*templates, *BLOCKS])}
+    t, blocks = Templates(templates), Templates(runs)
     every = Templates({"": [x for source in (templates, BLOCKS) for texts in source.values() for x in texts]})
     total, having = line_counts(files, every)
     for some in (t, blocks):
@@ -250,9 +270,11 @@ def scan(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, least: f
             looks = pc.match_substring_regex(batch.column("text"), STATEMENT).to_pylist()
             names = [UNKNOWN if name is None and look else name for name, look in zip(names, looks)]
             lines = pa.array([x if s else None for x, s in zip(where.tolist(), stated.tolist())], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(names, pa.string()), pa.array(np.round(score, 6)), lines], ["path", "own_licence", "cosine", "line"])
+            rows = [batch.column("path"), pa.array(names, pa.string()), pa.array(np.round(score, 6)), lines, *(batch.column(x) for x in carried)]
+            yield pa.RecordBatch.from_arrays(rows, names_of)
 
-    found = files.mapInArrow(run, "path string, own_licence string, cosine double, line long")
+    kinds = "".join(f", {x} {files.schema[x].dataType.simpleString()}" for x in carried)
+    found = written(files.mapInArrow(run, "path string, own_licence string, cosine double, line long" + kinds), "licences")
     folder = F.regexp_replace("path", r"/?[^/]*$", "")
     found = found.withColumn("folder", folder)
     speakers = found.where(F.col("own_licence").isNotNull() & F.regexp_extract("path", r"([^/]*)$", 1).rlike(LICENCE_FILE))
@@ -267,8 +289,10 @@ def scan(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, least: f
         .groupBy("folder")
         .agg(F.max_by("speaker", F.struct("depth", F.length("up"))).alias("speaker"))
     )
-    return found.join(nearest, "folder", "left").select(
-        "path", "own_licence", "cosine", "line",
+    # a folder of any size is spread over its salts
+    salts = nearest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return found.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int")).join(salts, ["folder", "salt"], "left").select(
+        *(F.col(x).alias(c) for c, x in zip(carry, carried)), "path", "own_licence", "cosine", "line",
         F.coalesce("own_licence", "speaker.own_licence").alias("licence"),
         F.when(F.col("own_licence").isNotNull(), F.col("path")).otherwise(F.col("speaker.path")).alias("licence_from"),
     )

@@ -20,16 +20,16 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files: a folder for each source, language and hundred of ids. Short documents that end with a line
-    on a licence are the licence files of their folder, of their language's or of their source's, by doc_id."""
+    """Documents as files: a folder for each source, language and hundred of ids. Documents that end with a line on a
+    licence are the licence files of their folder, of their language's or of their source's, by doc_id."""
     docs = table(spark, sf_dir, "documents")
-    is_licence = F.col("text").rlike(r"(?is)^.{0,1500}\n[^\n]*licen[cs]ed? [^\n]*$")
+    is_licence = F.coalesce(F.substring_index("text", "\n", -1).rlike(r"(?i)\blicen[cs]ed? "), F.lit(False))
     hundred = F.expr("doc_id div 100").cast("string")
-    rank = F.when(F.coalesce(is_licence, F.lit(False)), F.col("doc_id") % 3).otherwise(2)
-    name = F.when(is_licence, F.concat(F.lit("LICENSE."), "doc_id")).otherwise(F.concat("doc_id", F.lit(".txt")))
+    rank = F.when(is_licence, F.coalesce(F.col("doc_id") % 3, F.lit(2))).otherwise(2)
+    own = F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))
+    name = F.when(is_licence, F.concat(F.lit("LICENSE."), own)).otherwise(F.concat(own, F.lit(".txt")))
     path = F.concat_ws("/", "source", F.when(rank > 0, F.col("lang")), F.when(rank > 1, hundred), name)
-    found = licenses.scan(docs.select(path.alias("path"), "text"))
-    return found.withColumn("doc_id", F.regexp_extract("path", r"(\d+)[^/]*$", 1).cast("long"))
+    return licenses.scan(docs.select("doc_id", path.alias("path"), "text"), carry=["doc_id"])
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

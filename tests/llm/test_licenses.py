@@ -76,3 +76,49 @@ def test_blocks_other_licences_and_unknown_statements(spark):
     assert rows["c/gpl.py"] == ("GPL-3.0", "c/gpl.py")
     assert rows["c/two.py"][0] == "BSD-2-Clause" and rows["c/three.py"][0] == "BSD-3-Clause"
     assert rows["d/LICENSE"] == ("unknown", "d/LICENSE") and rows["d/e/y.py"] == ("unknown", "d/LICENSE") and rows["f/z.py"] == ("MIT", "LICENSE")
+
+
+def test_wrapped_statements_and_whole_files(spark):
+    bsd = "Redistribution and use in source and\nbinary forms, with or without\nmodification, are permitted"
+    gpl = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\n                            Preamble\n\n" + "The licences for most works are designed otherwise. " * 200
+    files = [("a/LICENSE", bsd), ("a/x.py", "none"), ("b/COPYING", gpl), ("b/c/y.py", ""), ("d/m.txt", "Released under\nthe MIT\nLicense.")]
+    rows = {r["path"]: r["licence"] for r in licenses.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert rows == {"a/LICENSE": "BSD-3-Clause", "a/x.py": "BSD-3-Clause", "b/COPYING": "GPL-3.0", "b/c/y.py": "GPL-3.0", "d/m.txt": "MIT"}
+
+
+def nearest(path, speakers):
+    """The licence of the nearest directory above by walking up."""
+    folder = path.rsplit("/", 1)[0] if "/" in path else ""
+    while True:
+        own = sorted(p for p in speakers if (p.rsplit("/", 1)[0] if "/" in p else "") == folder)
+        if own:
+            return own[0]
+        if not folder:
+            return None
+        folder = folder.rsplit("/", 1)[0] if "/" in folder else ""
+
+
+def test_inheritance_against_walking_up(spark):
+    rng = random.Random(3)
+    statements = ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "Licensed under CC BY-NC 4.0.", "nothing"]
+    folder = lambda: "/".join(rng.choice("ab") for _ in range(rng.randint(0, 5)))
+    files = {}
+    for i in range(150):
+        name = rng.choice(["LICENSE", "COPYING.txt", "licence-2", f"f{i}.py", f"g{i}"])
+        path = f"{folder()}/{name}".lstrip("/")
+        files.setdefault(path, rng.choice(statements) if name[0] in "LCl" else "code here")
+    rows = licenses.scan(spark.createDataFrame([(p, t, i) for i, (p, t) in enumerate(files.items())], "path string, text string, line long"), carry=["line"]).collect()
+    speakers = {p: t for p, t in files.items() if t not in ("nothing", "code here")}
+    for r in rows:
+        want = r["path"] if r["path"] in speakers else nearest(r["path"], speakers)
+        assert r["licence_from"] == want
+
+
+def test_repeats_nulls_and_query_without_ids(spark, tmp_path):
+    from lexmill.llm import queries
+
+    rows = [(1, "x\nReleased under the MIT License.", "en", "src1"), (None, "y\nLicensed under CC BY 4.0.", "en", "src1"), (None, None, "en", "src2"), (5, "", None, None), (7, "text", "en", "src1"), (7, "text", "en", "src1")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.op2_license_scan(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] or -1) for r in found) == [-1, -1, 1, 5, 7, 7]
+    assert {r["own_licence"] for r in found if r["doc_id"] is None} == {"CC-BY-4.0", None}
