@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .runtime import range_bounds, range_of, shuffle_partitions, written
+from .runtime import shuffle_partitions, written
 
 #: Stands for a null doc_id: such a document is never an earlier one.
 NO_ID = np.iinfo(np.int64).max
@@ -25,20 +25,19 @@ BATCH_ROWS = 20_000
 BUCKET_BYTES = 8 << 20
 
 
-def batched(docs: DataFrame, batch_bytes: int, ingests: int = 1, **more: Column) -> tuple[DataFrame, int, int]:
-    """Columns batch, doc_id, text and ``more``; the number of batches of an ingest; and the number of buckets.
+def batched(docs: DataFrame, batch_bytes: int, **more: Column) -> tuple[DataFrame, int, int]:
+    """Columns batch, doc_id, text and ``more``; the number of batches; and the number of buckets.
 
-    Batches hold about ``batch_bytes`` of text, or one longer text. With ``ingests`` over 1, documents are first cut
-    into that many ranges of doc_id, and batch number div batches is the number of the range. A row that is repeated so
-    often that its copies would fill batches by themselves is spread over several; the spread is written down first, so
-    that each later read finds the same batches.
+    Batches hold about ``batch_bytes`` of text, or one longer text. A row that is repeated so often that its copies would
+    fill batches by themselves is spread over several; the spread is written down first, so that each later read finds
+    the same batches.
     """
     size = F.coalesce(F.octet_length("text"), F.lit(0))
     rows = docs.groupBy(F.xxhash64("doc_id", "text").alias("row")).agg(F.sum(size).alias("bytes"), F.count("*").alias("rows"))
     repeated = F.max(F.when(F.col("rows") > 1, F.col("bytes")))
     found = rows.agg(F.sum("bytes").alias("total"), repeated.alias("repeated"), F.max("rows").alias("rows")).first()
     total = found["total"] or 0
-    count = max(1, -(-total // (batch_bytes * ingests)))
+    count = max(1, -(-total // batch_bytes))
     parts = max(-(-(found["repeated"] or 0) // batch_bytes), -(-(found["rows"] or 0) // BATCH_ROWS))
     columns = [F.col("doc_id"), F.col("text"), *(c.alias(n) for n, c in more.items())]
     key = [F.col("doc_id"), F.col("text")]
@@ -46,9 +45,7 @@ def batched(docs: DataFrame, batch_bytes: int, ingests: int = 1, **more: Column)
         docs = written(docs.select(*columns, F.pmod(F.monotonically_increasing_id(), F.lit(parts)).alias("_spread")), "spread")
         columns, key = [F.col(c) for c in ("doc_id", "text", *more)], [*key, F.col("_spread")]
         count = max(count, parts)
-    ingest = range_of(F.col("doc_id"), range_bounds(docs, "doc_id", ingests))
-    number = ingest * F.lit(count) + F.pmod(F.xxhash64(*key), F.lit(count))
-    return docs.select(number.cast("long").alias("batch"), *columns), count, bucket_count(docs, total)
+    return docs.select(F.pmod(F.xxhash64(*key), F.lit(count)).alias("batch"), *columns), count, bucket_count(docs, total)
 
 
 def bucket_count(docs: DataFrame, total_bytes: int) -> int:
@@ -138,6 +135,15 @@ def grouped(rows: DataFrame, key: str, function: Callable, schema: str) -> DataF
     return rows.groupBy(key).applyInArrow(run, schema)
 
 
+def joined(rows: DataFrame, others: DataFrame, key: str, function: Callable, schema: str) -> DataFrame:
+    """function: all rows of a key on both sides (maybe none on one) to result rows."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        return function(left, right)
+
+    return rows.groupBy(key).cogroup(others.groupBy(key)).applyInArrow(run, schema)
+
+
 def meet(texts: DataFrame, answers: DataFrame, function: Callable, schema: str) -> DataFrame:
     """function: a batch of texts and its answers (maybe no rows) to result rows."""
 

@@ -340,7 +340,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     common = spark.sparkContext.broadcast(np.log2(token_counts(docs) + 1).astype(np.int8))  # COUNTERS bytes
     texts, batches, buckets = X.batched(docs, BATCH_BYTES, text_key=F.xxhash64("text"))
     sent = X.grouped(texts, "batch", partial(send_tokens, buckets=buckets), MARKS)
-    shared = X.grouped(sent, "bucket", partial(flag_marks, batches=batches, many=batches + 1), FLAGGED)
+    shared = X.grouped(sent, "bucket", partial(flag_marks, many=batches + 1), FLAGGED)
     sets = written(X.meet(texts, shared, partial(keep_sets, buckets=buckets, common=common), SETS), "prefixes")
 
     keys = ["set_one", "set_two"]

@@ -14,9 +14,8 @@ SHARDS = 8
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.drop_repeated_passages(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
-    )
+    digest = lambda df: df.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return substring.drop_repeated_passages(table(spark, sf_dir, "documents"), finish=digest)
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,37 +1,51 @@
 """Substring deduplication of 50-word passages, by a log-structured fingerprint index.
 
 Every window of 50 words has a fingerprint: the least hash of its 16-word grams, so that neighbouring windows
-mostly share one and equal windows always do. The index keeps fingerprints as sorted immutable runs, one run for
-each ingest of documents; a new ingest is merge-joined with the runs, becomes a run, and small runs are compacted.
-Windows whose fingerprint occurs in two documents are then verified by 128 bits of hash over all their 50 words,
-and a word goes if a window over it also starts in a document of smaller id.
+mostly share one and equal windows always do. The index is a folder of sorted immutable runs, one written by each ingest
+of documents. A run has, by bucket, the fingerprints that are new, each with the only document that has it or the mark
+that several have; and of fingerprints that several documents have, 96 bits of hash over all 50 words of each window,
+with the least doc_id. A new batch is merge-joined with the runs: its windows with a fingerprint that another document
+has too are held against the stored ones; where the index knows of one earlier document only, that document's windows
+are made from its text and stored as well. A word goes if a window over it also starts in a document of smaller id.
+Runs are merged when several have about the same size; in merging, newer entries of a fingerprint and lesser ids win.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import arrays as A
 from . import exchange as X
+from .runtime import exists, range_bounds, range_of, shared_dir
 
 WINDOW = 50
 GRAM = 16
 BATCH_BYTES = 2 << 20
-INGESTS = 4
-#: A run is merged into the one before it when that one is not this many times larger.
+INGESTS = 2
+#: A run is merged into the one before it when that one is not this many times larger, once there are so many runs.
 FANOUT = 4
-
-RUNS = "bucket int, batch long, keys array<long>, many array<boolean>"
-FLAGGED = "batch long, keys array<long>"
-ASKED = "bucket int, batch long, keys array<long>, check array<long>, first_id array<long>, last_id array<long>"
-FOUND = "batch long, keys array<long>, check array<long>, least_id array<long>"
+#: Stands for the owner of a fingerprint that several documents have.
+MANY = -1
+#: The batch of entries that nobody waits for.
+NOBODY = -1
+RESULT_ROW, MARKS_RUN, WINDOWS_RUN = 0, 1, 2
+
+SENT = "bucket int, batch long, keys array<long>, owners array<long>"
+MET = "kind int, bucket int, batch long, keys array<long>, owners array<long>"
+REPLY, CALL, RUN = 0, 1, 2
+ASKED = "bucket int, batch long, keys array<long>, check array<int>, first_id array<long>, more array<long>"
+FOUND = "kind int, bucket int, batch long, keys array<long>, check array<int>, least_id array<long>"
 RESULT = "doc_id long, n_words long, n_removed long, kept binary, spans array<struct<start: int, stop: int>>"
+STORED = "kind int, bucket int, keys array<long>, check array<int>, owners array<long>, least_id array<long>"
+MANIFEST = "version long, place int, path string, buckets int, entries long"
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -68,74 +82,76 @@ def distinct_marks(marks: np.ndarray, inside: np.ndarray, owner: np.ndarray) ->
     return keys[heads], many
 
 
-class Runs:
-    """The log-structured index of one bucket: sorted runs of distinct keys, each with a mark for keys seen twice."""
-
-    def __init__(self) -> None:
-        self.runs: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def ingest(self, keys: np.ndarray, twice: np.ndarray) -> None:
-        """Merge-join sorted distinct keys with every run, add them as a run, compact."""
-        twice = twice.copy()
-        for k, (old, marks) in enumerate(self.runs):
-            at = np.searchsorted(old, keys)
-            at[at == len(old)] = 0
-            hit = old[at] == keys
-            twice |= hit
-            marks = marks.copy()
-            marks[at[hit]] = True
-            self.runs[k] = (old, marks)
-        if len(keys):
-            self.runs.append((keys, twice))
-        while len(self.runs) > 1 and len(self.runs[-2][0]) < FANOUT * len(self.runs[-1][0]):
-            self.runs[-2:] = [self._merged(*self.runs[-2:])]
-
-    @staticmethod
-    def _merged(a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray]:
-        keys, marks = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
-        order = np.argsort(keys, kind="stable")
-        keys, marks = keys[order], marks[order]
-        heads = np.flatnonzero(np.diff(keys, prepend=keys[:1] + A.U64(1)) != 0)
-        return keys[heads], np.logical_or.reduceat(marks, heads)
-
-    def compacted(self) -> tuple[np.ndarray, np.ndarray]:
-        while len(self.runs) > 1:
-            self.runs[-2:] = [self._merged(*self.runs[-2:])]
-        return self.runs[0] if self.runs else (np.zeros(0, A.U64), np.zeros(0, bool))
-
-
-def send_marks(table: pa.Table, buckets: int, marks_of) -> pa.Table:
-    """Fingerprints of a batch of texts, by bucket."""
-    marks, inside, owner = marks_of(*X.texts_of(table))
-    keys, many = distinct_marks(marks, inside, owner)
-    return X.packed(table.column("batch")[0].as_py(), keys, {"many": many}, buckets)
-
-
-def flag_shared(table: pa.Table, batches: int) -> pa.Table:
-    """Of each batch's fingerprints, those that two documents have; ingests enter the bucket's index in order."""
+def flag_shared(table: pa.Table) -> pa.Table:
+    """Of each batch's fingerprints, those that two documents have."""
     batch, keys, many = X.unpacked(table, ["keys", "many"])
-    keys = keys.view(A.U64)
-    index, ingest = Runs(), batch // batches
-    for k in np.unique(ingest):
-        own = np.flatnonzero(ingest == k)
-        order = own[np.argsort(keys[own], kind="stable")]
-        sorted_keys = keys[order]
-        heads = np.flatnonzero(np.diff(sorted_keys, prepend=sorted_keys[:1] + A.U64(1)) != 0)
-        again = np.diff(heads, append=len(order)) > 1
-        index.ingest(sorted_keys[heads], again | np.logical_or.reduceat(many[order], heads))
-    known, twice = index.compacted()
-    shared = known[twice]
-    at = np.searchsorted(shared, keys)
-    hit = np.zeros(len(keys), bool)
-    if len(shared):
-        hit = shared[np.minimum(at, len(shared) - 1)] == keys
-    return X.replied(batch[hit], {"keys": keys[hit].view(np.int64)})
-
-
-def shared_marks(texts: DataFrame, batches: int, buckets: int, marks_of) -> DataFrame:
-    """For each batch the fingerprints that another document has too."""
-    sent = X.grouped(texts, "batch", partial(send_marks, buckets=buckets, marks_of=marks_of), RUNS)
-    return X.grouped(sent, "bucket", partial(flag_shared, batches=batches), FLAGGED)
+    _, code, count = np.unique(keys, return_inverse=True, return_counts=True)
+    hit = (count > 1)[code] | (np.bincount(code, weights=many) > 0)[code] if len(keys) else np.zeros(0, bool)
+    return X.replied(batch[hit], {"keys": keys[hit]})
+
+
+def send_marks(texts: pa.Table, buckets: int) -> pa.Table:
+    """Distinct fingerprints of a batch of texts, by bucket, each with the number of the only row that has it."""
+    marks, inside, owner = word_marks(*X.texts_of(texts))
+    at = np.flatnonzero(inside)
+    keys, of = marks[at], owner[at]
+    order = np.lexsort((of, keys))
+    keys, of = keys[order], of[order]
+    heads = np.flatnonzero(np.diff(keys, prepend=keys[:1] + A.U64(1)) != 0)
+    tails = np.append(heads[1:], len(keys)) - 1 if len(heads) else heads
+    rows = texts.column("row").to_numpy()
+    owners = np.where(of[heads] == of[tails], rows[of[heads]], MANY)
+    return X.packed(texts.column("batch")[0].as_py(), keys[heads], {"owners": owners}, buckets)
+
+
+def newest(keys: np.ndarray, age: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of entries with one key, the last by age; sorted by key."""
+    order = np.lexsort((age, keys))
+    keys = keys[order]
+    last = np.flatnonzero(np.append(keys[1:] != keys[:-1], np.ones(min(1, len(keys)), bool)))
+    return (keys[last], *(v[order][last] for v in values))
+
+
+def rows_of(kind: int, bucket: int, names: Sequence[str], batch: bool, **lists: pa.Array) -> pa.Table:
+    """One row of lists, or none if they are empty."""
+    n = min(1, len(next(iter(lists.values()))))
+    columns = {"kind": pa.array([kind] * n, pa.int32()), "bucket": pa.array([bucket] * n, pa.int32())}
+    if batch:
+        columns["batch"] = pa.array([NOBODY] * n, pa.int64())
+    return pa.table(columns | {c: A.list_array(v, np.array([len(v)] * n)) for c, v in lists.items()}).select(names)
+
+
+def join_marks(sent: pa.Table, runs: pa.Table) -> pa.Table:
+    """Merge-join a bucket's new fingerprints with its runs: replies to batches (fingerprints that another document has
+    too), calls to earlier documents that were the only ones, and the entries of the new run."""
+    names = [c.split()[0] for c in MET.split(", ")]
+    kind = pa.list_(pa.int64())
+    if not sent.num_rows:
+        return pa.table([pa.array([], t) for t in (pa.int32(), pa.int32(), pa.int64(), kind, kind)], names=names)
+    bucket = sent.column("bucket")[0].as_py()
+    batch, keys, owners = X.unpacked(sent, ["keys", "owners"])
+    old_keys, old_owners = newest(*aged(runs)) if runs.num_rows else (np.zeros(0, A.U64), np.zeros(0, np.int64))
+    distinct, place, code, count = np.unique(keys.view(A.U64), return_index=True, return_inverse=True, return_counts=True)
+    several = (count > 1) | (np.bincount(code, weights=owners == MANY) > 0)
+    known, at = member(distinct, old_keys)
+    before = old_owners[at] if len(old_keys) else np.zeros(len(distinct), np.int64)
+    single = known & (before != MANY)
+    hit = (several | known)[code]
+    replies = X.replied(batch[hit], {"keys": keys[hit]})
+    n = replies.num_rows
+    replies = replies.append_column("kind", pa.array(np.full(n, REPLY, np.int32))).append_column("bucket", pa.array(np.full(n, bucket, np.int32)))
+    replies = replies.append_column("owners", pa.nulls(n, kind)).select(names)
+    calls = rows_of(CALL, bucket, names, True, keys=pa.array(distinct[single].view(np.int64)), owners=pa.array(before[single]))
+    fresh = ~known | single
+    owner = np.where(known | several, MANY, owners[place])[fresh]
+    run = rows_of(RUN, bucket, names, True, keys=pa.array(distinct[fresh].view(np.int64)), owners=pa.array(owner))
+    return pa.concat_tables([replies, calls, run])
+
+
+def aged(runs: pa.Table) -> tuple:
+    """Keys, the age of each one's run, and owners of a bucket's runs."""
+    age, keys, owners = X.unpacked(runs.rename_columns(["batch" if c == "age" else c for c in runs.column_names]), ["keys", "owners"])
+    return keys.view(A.U64), age, owners
 
 
 def reply_lists(answers: pa.Table, names: list[str]) -> tuple[np.ndarray, ...]:
@@ -156,20 +172,24 @@ def member(values: np.ndarray, sorted_set: np.ndarray) -> tuple[np.ndarray, np.n
     return sorted_set[at] == values, at
 
 
-def send_windows(texts: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
-    """Both hashes of each window with a shared fingerprint, with the least and greatest id in the batch."""
-    if not texts.num_rows:
-        return X.packed(0, np.zeros(0, A.U64), {n: np.zeros(0, np.int64) for n in ("check", "first_id", "last_id")}, buckets)
+def window_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64 and 32 more bits of hash over the 50 words of the windows at some places."""
+    one = A.gram_hashes(words, WINDOW)[at]
+    two = A.gram_hashes(A.word_hashes(data, starts, ends, 1), WINDOW, 1)[at]
+    return one, (two >> A.U64(32)).astype(np.uint32).view(np.int32)
+
+
+def send_windows(texts: pa.Table, keys: np.ndarray, batch: int, buckets: int) -> pa.Table:
+    """Both hashes of each window with a wanted fingerprint, with the least id in the batch and by how much the greatest
+    one is greater."""
     data, offsets = X.texts_of(texts)
     ids = X.ids_of(texts)
     starts, ends, first = A.word_spans(data, offsets)
     words = A.word_hashes(data, starts, ends)
     marks, inside = window_marks(words, first, WINDOW, GRAM)
-    (shared,) = reply_lists(answers, ["keys"])
     at = np.flatnonzero(inside)
-    at = at[member(marks[at], np.sort(shared.view(A.U64)))[0]]
-    one = A.gram_hashes(words, WINDOW)[at]
-    two = A.gram_hashes(A.word_hashes(data, starts, ends, 1), WINDOW, 1)[at]
+    at = at[member(marks[at], np.sort(keys.view(A.U64)))[0]]
+    one, two = window_hashes(data, starts, ends, words, at)
     of = ids[A.owners(first)[at]]
     order = np.lexsort((of, two, one))
     one, two, of = one[order], two[order], of[order]
@@ -177,21 +197,60 @@ def send_windows(texts: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
     heads = np.flatnonzero(new)
     tails = np.append(heads[1:], len(order)) - 1 if len(heads) else heads
-    lists = {"check": two[heads].view(np.int64), "first_id": of[heads], "last_id": of[tails]}
-    return X.packed(texts.column("batch")[0].as_py(), one[heads], lists, buckets)
-
-
-def least_ids(table: pa.Table) -> pa.Table:
-    """For each window that a batch asked about, the least id of a document that holds it, where that matters."""
-    batch, keys, check, first_id, last_id = X.unpacked(table, ["keys", "check", "first_id", "last_id"])
-    order = np.lexsort((check, keys))
-    batch, keys, check, first_id, last_id = (x[order] for x in (batch, keys, check, first_id, last_id))
+    lists = {"check": two[heads], "first_id": of[heads], "more": of[tails] - of[heads]}
+    return X.packed(batch, one[heads], lists, buckets)
+
+
+def answer_windows(texts: pa.Table, replies: pa.Table, buckets: int) -> pa.Table:
+    """Windows of a batch that its replies ask for."""
+    (keys,) = reply_lists(replies, ["keys"])
+    return send_windows(texts, keys, texts.column("batch")[0].as_py() if texts.num_rows else NOBODY, buckets)
+
+
+def earlier_windows(history: DataFrame, calls: DataFrame, buckets: int) -> DataFrame:
+    """Windows of earlier documents, from (row, key) calls."""
+    wanted = calls.groupBy("row").agg(F.collect_list("key").alias("wanted"))  # no more than a document has
+    rows = history.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "row").select("doc_id", "text", "wanted")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in A.slices(batches):
+            part = pa.Table.from_batches([batch])
+            keys = batch.column("wanted").flatten().to_numpy()
+            yield from send_windows(part, keys, NOBODY, buckets).to_batches()
+
+    return rows.mapInArrow(run, ASKED)
+
+
+def least_ids(asked: pa.Table, runs: pa.Table) -> pa.Table:
+    """Hold the windows of a bucket against its runs: replies with the least id of a document that holds the window,
+    where that matters; and the entries of the new run: windows that are new, or have a lesser id now."""
+    names = [c.split()[0] for c in FOUND.split(", ")]
+    if not asked.num_rows:
+        return pa.table([pa.array([], t) for t in (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()))], names=names)
+    bucket = asked.column("bucket")[0].as_py()
+    batch, keys, check, first_id, more = X.unpacked(asked, ["keys", "check", "first_id", "more"])
+    last_id, stored = first_id + more, np.zeros(len(keys), bool)
+    if runs.num_rows:
+        known = X.unpacked(runs.rename_columns(["batch" if c == "age" else c for c in runs.column_names]), ["keys", "check", "least_id"])[1:]
+        n = len(known[0])
+        batch, stored = np.concatenate([batch, np.full(n, NOBODY)]), np.concatenate([stored, np.ones(n, bool)])
+        keys, check, first_id, last_id = (np.concatenate(x) for x in ((keys, known[0]), (check, known[1]), (first_id, known[2]), (last_id, known[2])))
+    order = np.lexsort((check, keys.view(A.U64)))
+    batch, keys, check, first_id, last_id, stored = (x[order] for x in (batch, keys, check, first_id, last_id, stored))
     new = np.ones(len(order), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (check[1:] != check[:-1])
     heads = np.flatnonzero(new)
-    least = np.repeat(np.minimum.reduceat(first_id, heads), np.diff(heads, append=len(order))) if len(heads) else first_id
-    matters = least < last_id
-    return X.replied(batch[matters], {"keys": keys[matters], "check": check[matters], "least_id": least[matters]})
+    sizes = np.diff(heads, append=len(order))
+    least = np.minimum.reduceat(first_id, heads)
+    before = np.minimum.reduceat(np.where(stored, first_id, X.NO_ID), heads)
+    fresh = ~np.logical_or.reduceat(stored, heads) | (least < before)
+    run = rows_of(RUN, bucket, names, True, keys=pa.array(keys[heads][fresh]), check=pa.array(check[heads][fresh]), least_id=pa.array(least[fresh]))
+    told = np.repeat(least, sizes)
+    matters = (told < last_id) & (batch != NOBODY)
+    replies = X.replied(batch[matters], {"keys": keys[matters], "check": check[matters], "least_id": told[matters]})
+    n = replies.num_rows
+    replies = replies.append_column("kind", pa.array(np.full(n, REPLY, np.int32))).append_column("bucket", pa.array(np.full(n, bucket, np.int32)))
+    return pa.concat_tables([replies.select(names), run])
 
 
 def covered(starts: np.ndarray, window: int, n: int) -> np.ndarray:
@@ -214,14 +273,14 @@ def drop_repeats(texts: pa.Table, answers: pa.Table) -> pa.Table:
     keys, check, least = reply_lists(answers, ["keys", "check", "least_id"])
     gone = np.zeros(len(starts), bool)
     if len(keys):
-        keys, check = keys.view(A.U64), check.view(A.U64)
-        order = np.argsort(keys, kind="stable")
-        keys, check, least = keys[order], check[order], least[order]
-        whole = A.gram_hashes(A.word_hashes(data, starts, ends), WINDOW)
+        order = np.argsort(keys.view(A.U64), kind="stable")
+        keys, check, least = keys.view(A.U64)[order], check[order], least[order]
+        words = A.word_hashes(data, starts, ends)
+        whole = A.gram_hashes(words, WINDOW)
         at = np.flatnonzero(owner[: len(whole)] == owner[WINDOW - 1 :])
         hit, where = member(whole[at], keys)
         at, where = at[hit], where[hit]
-        two = A.gram_hashes(A.word_hashes(data, starts, ends, 1), WINDOW, 1)[at]
+        _, two = window_hashes(data, starts, ends, words, at)
         at = at[(check[where] == two) & (least[where] < ids[owner[at]])]
         gone = covered(at, WINDOW, len(starts))
     kept, spans, removed = [], [], []
@@ -244,16 +303,150 @@ def result_table(doc_id, n_words, removed, kept, spans, carried) -> pa.Table:
     return pa.table({n: c if isinstance(c, pa.ChunkedArray) else pa.array(c, t) for n, (c, t) in zip(names, columns)} | carried)
 
 
-def drop_repeated_passages(docs: DataFrame, ingests: int = INGESTS, carry: Sequence[str] = ()) -> DataFrame:
-    """For each document: word counts, the kept words joined by spaces (UTF-8), and the removed spans of words.
+class Run(NamedTuple):
+    """A sorted immutable run: its folder, how many buckets it is dealt into, and how many fingerprints it has."""
+
+    path: str
+    buckets: int
+    entries: int
+
+
+def runs_of(spark: SparkSession, index: str) -> list[Run]:
+    """The index's runs, oldest first; as many as the logarithm of its size."""
+    if not exists(spark, f"{index}/manifest"):
+        return []
+    rows = spark.read.schema(MANIFEST).parquet(f"{index}/manifest")
+    latest = rows.join(F.broadcast(rows.agg(F.max("version").alias("version"))), "version")  # one row
+    return [Run(r["path"], r["buckets"], r["entries"]) for r in latest.orderBy("place").collect()]
+
+
+def publish(spark: SparkSession, index: str, runs: Sequence[Run]) -> None:
+    """Make these the index's runs. Until then an ingest that failed has changed nothing."""
+    version = 0
+    if exists(spark, f"{index}/manifest"):
+        version = spark.read.schema(MANIFEST).parquet(f"{index}/manifest").agg(F.max("version")).first()[0] + 1
+    rows = [(version, place, *run) for place, run in enumerate(runs)]
+    spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").parquet(f"{index}/manifest")
+
+
+def stored(spark: SparkSession, runs: Sequence[Run], kind: int, column: str, buckets: int) -> DataFrame | None:
+    """Rows of all runs, by bucket: age (higher is newer), keys, and what goes with them. Runs of fewer buckets are cut."""
+    parts = []
+    names = ["bucket", "age", "keys", *(["check"] if kind == WINDOWS_RUN else []), column]
+    for age, run in enumerate(runs):
+        rows = spark.read.schema(STORED).parquet(run.path).where(F.col("kind") == kind).withColumn("age", F.lit(age).cast("long")).select(names)
+        parts.append(rows if run.buckets == buckets else rows.mapInArrow(partial(cut_rows, names=names, buckets=buckets), rows.schema))
+    out = None
+    for part in parts:
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def cut_rows(batches: Iterator[pa.RecordBatch], names: Sequence[str], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows of sorted keys dealt into more buckets, which are narrower ranges of keys."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1)
+            lists = {c: row.column(c).flatten().to_numpy() for c in names[2:]}
+            out = X.packed(row.column("age")[0].as_py(), lists.pop("keys").view(A.U64), lists, buckets)
+            yield from out.rename_columns(["age" if c == "batch" else c for c in out.column_names]).select(names).to_batches()
+
+
+def merge_runs(table: pa.Table, kind: int) -> pa.Table:
+    """A bucket's runs as one: the newest entry of each fingerprint, the least id of each window."""
+    bucket = table.column("bucket")[0].as_py()
+    none = {"check": pa.list_(pa.int32()), "owners": pa.list_(pa.int64()), "least_id": pa.list_(pa.int64())}
+    if kind == MARKS_RUN:
+        keys, owners = newest(*aged(table))
+        out = rows_of(kind, bucket, ["kind", "bucket", "keys", "owners"], False, keys=pa.array(keys.view(np.int64)), owners=pa.array(owners))
+    else:
+        _, keys, check, least = X.unpacked(table.rename_columns(["batch" if c == "age" else c for c in table.column_names]), ["keys", "check", "least_id"])
+        order = np.lexsort((least, check, keys.view(A.U64)))
+        keys, check, least = keys[order], check[order], least[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (check[1:] != check[:-1])
+        out = rows_of(kind, bucket, ["kind", "bucket", "keys", "check", "least_id"], False, keys=pa.array(keys[new]), check=pa.array(check[new]), least_id=pa.array(least[new]))
+    for name, t in none.items():
+        if name not in out.column_names:
+            out = out.append_column(name, pa.nulls(out.num_rows, t))
+    return out.select([c.split()[0] for c in STORED.split(", ")])
+
+
+def compacted(spark: SparkSession, index: str, runs: list[Run]) -> list[Run]:
+    """The runs after the newest ones of about one size are merged, if there are FANOUT runs or more."""
+    if len(runs) < FANOUT:
+        return runs
+    keep = len(runs) - 1
+    while keep and runs[keep - 1].entries < FANOUT * sum(r.entries for r in runs[keep:]):
+        keep -= 1
+    if len(runs) - keep < 2:
+        return runs
+    merging = runs[keep:]
+    buckets = max(r.buckets for r in merging)
+    parts = [X.grouped(stored(spark, merging, kind, column, buckets), "bucket", partial(merge_runs, kind=kind), STORED) for kind, column in ((MARKS_RUN, "owners"), (WINDOWS_RUN, "least_id"))]
+    path = f"{index}/run-{uuid.uuid4().hex}"
+    parts[0].unionByName(parts[1]).write.parquet(path)
+    runs = [*runs[:keep], Run(path, buckets, entries_of(spark, path))]
+    publish(spark, index, runs)
+    return runs
+
+
+def entries_of(spark: SparkSession, path: str) -> int:
+    return spark.read.schema(STORED).parquet(path).where(F.col("kind") == MARKS_RUN).agg(F.sum(F.size("keys"))).first()[0] or 0
+
+
+def ingest(batch: DataFrame, index: str, history: DataFrame | None = None, carry: Sequence[str] = (), finish: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Deduplicate a batch of documents against an index and itself, and add it to the index.
+
+    index: a folder in shared storage; a new one is an empty index. history: the documents that were ingested before (or
+    any table that has them all), needed from the second ingest on; of these only documents that were the only ones to
+    have a fingerprint, and no longer are, are read. Returns, for each document of the batch: word counts, the kept words
+    joined by spaces (UTF-8), and the removed spans of words. A word goes if a window over it also starts in a document
+    of smaller id, in the batch or ingested before; earlier results are not taken back.
 
     Words are runs of bytes other than ASCII white space. A null text has no words. Documents of one id, or both
     without an id, are never earlier than each other; a document without an id is later than all with one. The
-    columns of ``carry`` come along as ``_carry_0``, ``_carry_1``, ...; others do not. An empty table gives no rows.
+    columns of ``carry`` come along as ``_carry_0``, ``_carry_1``, ...; others do not. ``finish`` says what of the result
+    is kept. Result and run are written together, and the run counts from then on; an ingest that fails changes nothing.
     """
-    texts, batches, buckets = X.batched(docs, BATCH_BYTES, ingests, **{f"_carry_{i}": F.col(c) for i, c in enumerate(carry)})
-    flagged = shared_marks(texts, batches, buckets, word_marks)
-    asked = X.meet(texts, flagged, partial(send_windows, buckets=buckets), ASKED)
-    found = X.grouped(asked, "bucket", least_ids, FOUND)
-    carried = [f"_carry_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry)]
-    return X.meet(texts, found, drop_repeats, ", ".join([RESULT, *carried]))
+    spark = batch.sparkSession
+    runs = compacted(spark, index, runs_of(spark, index))
+    texts, _, buckets = X.batched(batch, BATCH_BYTES, row=F.xxhash64("doc_id", "text"), **{f"_carry_{i}": F.col(c) for i, c in enumerate(carry)})
+    buckets = max([buckets, *(r.buckets for r in runs)])
+    empty = lambda names: spark.createDataFrame([], names)
+    old_marks = stored(spark, runs, MARKS_RUN, "owners", buckets) if runs else empty("bucket int, age long, keys array<long>, owners array<long>")
+    old_windows = stored(spark, runs, WINDOWS_RUN, "least_id", buckets) if runs else empty("bucket int, age long, keys array<long>, check array<int>, least_id array<long>")
+
+    sent = X.grouped(texts, "batch", partial(send_marks, buckets=buckets), SENT)
+    met = X.joined(sent, old_marks, "bucket", join_marks, MET)
+    asked = X.meet(texts, met.where(F.col("kind") == REPLY).select("batch", "keys"), partial(answer_windows, buckets=buckets), ASKED)
+    if runs and history is not None:
+        calls = met.where(F.col("kind") == CALL).select(F.inline(F.arrays_zip(F.col("owners").alias("row"), F.col("keys").alias("key"))))
+        asked = asked.unionByName(earlier_windows(history, calls, buckets))
+    found = X.joined(asked, old_windows, "bucket", least_ids, FOUND)
+    carried = [f"_carry_{i} {batch.schema[c].dataType.simpleString()}" for i, c in enumerate(carry)]
+    result = X.meet(texts, found.where(F.col("kind") == REPLY).select("batch", "keys", "check", "least_id"), drop_repeats, ", ".join([RESULT, *carried]))
+    result = finish(result) if finish else result
+
+    # one job writes result and run, so that each shuffle is made once
+    rows = result.select(F.lit(RESULT_ROW).alias("kind"), F.struct("*").alias("row"))
+    new_marks = met.where(F.col("kind") == RUN).select(F.lit(MARKS_RUN).alias("kind"), "bucket", "keys", "owners")
+    new_windows = found.where(F.col("kind") == RUN).select(F.lit(WINDOWS_RUN).alias("kind"), "bucket", "keys", "check", "least_id")
+    every = rows.unionByName(new_marks, allowMissingColumns=True).unionByName(new_windows, allowMissingColumns=True)
+    path = f"{index}/run-{uuid.uuid4().hex}"
+    every.write.parquet(path)
+    publish(spark, index, [*runs, Run(path, buckets, entries_of(spark, path))])
+    return spark.read.schema(every.schema).parquet(path).where(F.col("kind") == RESULT_ROW).select("row.*")
+
+
+def drop_repeated_passages(docs: DataFrame, ingests: int = INGESTS, carry: Sequence[str] = (), finish: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The results of ``ingest`` for a whole table, ingested into a new index in ranges of ascending doc_id, documents
+    without an id last. An empty table gives no rows."""
+    index = f"{shared_dir(docs.sparkSession)}/lexmill-passages-{uuid.uuid4().hex}"
+    bounds = range_bounds(docs, "doc_id", ingests)
+    number = F.when(F.col("doc_id").isNull(), len(bounds)).otherwise(range_of(F.col("doc_id"), bounds))
+    out = None
+    for k in range(len(bounds) + 1):
+        part = ingest(docs.where(number == k), index, docs.where(number < k), carry, finish)
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -1,7 +1,7 @@
 import random
 import re
 
-import numpy as np
+import pytest
 
 from lexmill.llm import substring
 
@@ -53,17 +53,43 @@ def test_against_brute_force(spark):
     assert all(r["n_removed"] == sum(s["stop"] - s["start"] for s in r["spans"]) for r in rows)
 
 
-def test_runs_find_keys_seen_twice():
-    rng = np.random.default_rng(3)
-    runs, seen = substring.Runs(), {}
-    for _ in range(30):
-        keys = np.unique(rng.integers(0, 4000, rng.integers(1, 200)).astype(np.uint64))
-        runs.ingest(keys, np.zeros(len(keys), bool))
-        for k in keys.tolist():
-            seen[k] = seen.get(k, 0) + 1
-        assert len(runs.runs) <= 8
-    keys, twice = runs.compacted()
-    assert keys.tolist() == sorted(seen) and twice.tolist() == [seen[k] > 1 for k in sorted(seen)]
+def found_rows(rows):
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    return sorted(((r["doc_id"], r["n_words"], r["n_removed"], bytes(r["kept"]).decode()) for r in rows), key=key)
+
+
+@pytest.mark.parametrize("batches", [1, 3, 7])
+def test_ingests_equal_one_call(spark, tmp_path, batches, monkeypatch):
+    """Batches of ascending ids, each ingested by a call of its own with the stored runs only, give what one call over
+    all gives; the earlier documents are only read for fingerprints that had one owner."""
+    monkeypatch.setattr(substring, "FANOUT", 3)
+    docs = sorted(corpus(), key=lambda d: (d[0] is None, d[0] or 0))
+    frame = spark.createDataFrame([(k, i, t) for k, (i, t) in enumerate(docs)], "k int, doc_id long, text string")
+    # equal ids may not be told apart by a cut
+    cut = lambda n: next(k for k in range(len(docs) * n // batches, len(docs) + 1) if k in (0, len(docs)) or docs[k][0] != docs[k - 1][0])
+    index, rows = f"{tmp_path}/index", []
+    for n in range(batches):
+        part = frame.where(f"k >= {cut(n)} AND k < {cut(n + 1)}")
+        rows += substring.ingest(part, index, frame.where(f"k < {cut(n)}")).collect()
+    assert found_rows(rows) == found_rows(substring.drop_repeated_passages(frame, ingests=1).collect())
+    runs = substring.runs_of(spark, index)
+    assert len(runs) <= 3 and (batches < 4 or len(runs) < batches)
+    for run in runs:  # sorted, each key once
+        for r in spark.read.schema(substring.STORED).parquet(run.path).where("kind > 0").collect():
+            keys = [k % 2**64 for k in r["keys"]]
+            assert keys == sorted(keys) and (r["kind"] == substring.WINDOWS_RUN or len(set(keys)) == len(keys))
+
+
+def test_runs_of_fewer_buckets(spark, tmp_path, monkeypatch):
+    """An index made with few buckets serves an ingest that needs more."""
+    docs = [d for d in corpus() if d[0] is not None and d[0] % 2 == 0]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    index = f"{tmp_path}/index"
+    first = substring.ingest(frame.where("doc_id < 150"), index).collect()
+    monkeypatch.setattr(substring.X, "bucket_count", lambda docs, total: 200)
+    second = substring.ingest(frame.where("doc_id >= 150"), index, frame.where("doc_id < 150")).collect()
+    assert [r.buckets for r in substring.runs_of(spark, index)] == [64, 200]
+    assert found_rows([*first, *second]) == found_rows(substring.drop_repeated_passages(frame, ingests=1).collect())
 
 
 def test_empty_table(spark):
