@@ -2,7 +2,9 @@
 
 With the prefix hashes of a text any span's hash is one subtraction and one product, so two spans are compared
 in constant time and the longest common extension is found by binary search. A fingerprint keeps the prefix
-hashes at up to 32 evenly spaced cuts, so the same search runs on fingerprints alone.
+hashes at cuts, so the same search runs on fingerprints alone. Up to 32 cuts are evenly spaced, for texts that agree in
+place; up to 32 more are chosen by content, at the runs of 16 code points of least hash, so they move along with the
+text when something is put in before them.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from .runtime import range_bounds, range_of, shuffle_partitions
 
 PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 1812433253)
-CUTS = 32
+CUTS, WINDOW = 32, 16
 
 
 @lru_cache(maxsize=4)
@@ -66,21 +68,66 @@ def common_extension(x: np.ndarray, i: int, y: np.ndarray, j: int, which: int =
     return low
 
 
+@lru_cache(maxsize=4)
+def _inverses(which: int, size: int) -> np.ndarray:
+    p, inverse, out = PRIMES[which], pow(BASES[which], -1, PRIMES[which]), np.ones(1, np.uint64)
+    while len(out) < size:
+        out = np.concatenate([out, out * np.uint64(pow(inverse, len(out), p)) % np.uint64(p)])
+    return out
+
+
+def window_hashes(x: np.ndarray) -> np.ndarray:
+    """A 32-bit hash of each run of WINDOW code points, the same wherever it stands, from prefix hashes."""
+    p, n = np.uint64(PRIMES[0]), len(x) - WINDOW
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    down = _inverses(0, 1 << max(12, int(n).bit_length()))[:n]
+    span = (x[WINDOW:] + p - x[:-WINDOW]) % p * down % p
+    span = (span + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    return span >> np.uint64(32)
+
+
+def cuts_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the CUTS least distinct window hashes, each where it stands first, in order; and the hashes."""
+    hashes = window_hashes(x)
+    at = np.arange(len(hashes))
+    if len(hashes) > 4 * CUTS:
+        at = np.flatnonzero(hashes <= np.partition(hashes, 4 * CUTS)[4 * CUTS])
+    least, first = np.unique(hashes[at], return_index=True)
+    places = at[first[:CUTS]]
+    order = np.argsort(places)
+    return places[order], least[:CUTS][order]
+
+
 def fingerprint(text: str | None) -> str:
-    """``length.stride.hash.cuts``: two hashes of the whole text, and the prefix hash after each stride of code points."""
+    """``length.stride.hash.even.cuts``: two hashes of the whole text; the prefix hash after each stride of code points; of
+    each cut by content the hash it was chosen by, the prefix hash before it, and its place."""
     points = code_points(text)
     n = len(points)
     stride = 1 << max(0, (max(n, 1) - 1).bit_length() - CUTS.bit_length() + 1)
     first, second = (prefix_hashes(points, k) for k in (0, 1))
-    cuts = "".join(f"{h:08x}" for h in first[stride::stride].tolist())
-    return f"{n:x}.{stride:x}.{int(first[n]):08x}{int(second[n]):08x}.{cuts}"
+    places, hashes = cuts_of(first)
+    cuts = "".join(f"{h:08x}{x:08x}{at:08x}" for h, x, at in zip(hashes.tolist(), first[places].tolist(), places.tolist()))
+    even = "".join(f"{h:08x}" for h in first[stride::stride].tolist())
+    return f"{n:x}.{stride:x}.{int(first[n]):08x}{int(second[n]):08x}.{even}.{cuts}"
+
+
+def read(text: str) -> tuple[int, list[tuple[int, int, int]], tuple[int, int]]:
+    """Length, (hash, prefix hash, place) of each cut, and prefix hash and place of the end."""
+    n, _, whole, _, cuts = text.split(".")
+    rows = [tuple(int(cuts[24 * k + i : 24 * k + i + 8], 16) for i in (0, 8, 16)) for k in range(len(cuts) // 24)]
+    return int(n, 16), rows, (int(whole[:8], 16), int(n, 16))
 
 
 def likeness(a: str, b: str) -> float:
-    """Share of the longer text that agrees at the same place in both, as far as the cuts can tell; 1 for equal texts."""
-    if a == b:
-        return 1.0
-    (na, sa, _, ca), (nb, sb, _, cb) = a.split("."), b.split(".")
+    """Share of the longer text that stands in the other one too, as far as the cuts can tell: at the same place, or
+    anywhere, whichever is more; 1 for equal texts."""
+    return 1.0 if a == b else max(in_place(a, b), anywhere(a, b))
+
+
+def in_place(a: str, b: str) -> float:
+    """Share of the longer text that agrees at the same place in both, by the evenly spaced cuts."""
+    (na, sa, _, ca, _), (nb, sb, _, cb, _) = a.split("."), b.split(".")
     stride = max(int(sa, 16), int(sb, 16))
 
     def cuts(s: str, own: str) -> list[int]:
@@ -103,6 +150,36 @@ def likeness(a: str, b: str) -> float:
     return min(1.0, same * stride / max(int(na, 16), int(nb, 16), 1))
 
 
+def anywhere(a: str, b: str) -> float:
+    """Share of the longer text that stands anywhere in the other: from each cut by content that both have, the longest
+    common extension over the following cuts is found by binary search."""
+    (n_a, cuts_a, end_a), (n_b, cuts_b, end_b) = read(a), read(b)
+    # a text with more windows has lesser ones: only those that either would have kept are compared
+    full = [max(h for h, _, _ in cuts) for cuts in (cuts_a, cuts_b) if len(cuts) == CUTS]
+    most = min(full, default=1 << 32)
+    keys_a, keys_b = ([None, *(h for h, _, _ in cuts if h <= most), None] for cuts in (cuts_a, cuts_b))
+    x, y = ([(0, 0), *(c[1:] for c in cuts if c[0] <= most), end] for cuts, end in ((cuts_a, end_a), (cuts_b, end_b)))
+    where = {h: k for k, h in enumerate(keys_b) if h is not None}
+    p, base = PRIMES[0], BASES[0]
+    same = i = 0
+    while i < len(x) - 1:
+        j = 0 if i == 0 else where.get(keys_a[i])
+        low = 0
+        if j is not None:
+            up_a, up_b = pow(base, x[i][1], p), pow(base, y[j][1], p)
+            high = min(len(x) - 1 - i, len(y) - 1 - j)
+            while low < high:
+                middle = (low + high + 1) // 2
+                (to_a, at_a), (to_b, at_b) = x[i + middle], y[j + middle]
+                if at_a - x[i][1] == at_b - y[j][1] and ((to_a - x[i][0]) * up_b - (to_b - y[j][0]) * up_a) % p == 0:
+                    low = middle
+                else:
+                    high = middle - 1
+            same += x[i + low][1] - x[i][1]
+        i += max(low, 1)
+    return min(1.0, same / max(n_a, n_b, 1))
+
+
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 

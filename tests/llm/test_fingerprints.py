@@ -50,3 +50,29 @@ def test_repeated_and_null_ids(spark):
     assert FP.edited_pairs(docs).count() == 8
     assert FP.edited_pairs(docs.where("doc_id = 1")).count() == 0
     assert FP.edited_pairs(docs.where("doc_id IS NULL")).count() == 1
+
+
+def test_shifted_and_moved_texts():
+    """What is put in or taken out costs the stretch between two cuts, wherever it is."""
+    rng = random.Random(8)
+    for n in (400, 3000, 20_000):
+        text = "".join(rng.choices("abcdefgh ", k=n))
+        own = FP.fingerprint(text)
+        for edited in ("x" + text, text[: n // 2] + "x" + text[n // 2 :], text[7:], text + "end", text[: n // 3] + text[n // 3 + 5 :]):
+            assert FP.likeness(own, FP.fingerprint(edited)) > 0.7
+        moved = text[n // 2 :] + text[: n // 2]
+        assert FP.likeness(own, FP.fingerprint(moved)) > 0.7
+        assert FP.likeness(own, FP.fingerprint("".join(rng.choices("abcdefgh ", k=n)))) < 0.05
+        assert len(own) < 1200
+    junk = FP.fingerprint("a" * 5000)
+    assert FP.likeness(junk, FP.fingerprint("a" * 5000)) == 1.0 and len(junk) < 400
+
+
+def test_clashing_names_ties_and_long_texts(spark):
+    rng = random.Random(3)
+    text = "".join(rng.choices("abé ", k=1_500_000))
+    rows = [(2, text, 1, 1, "x"), (1, "b" + text, 1, 1, "x"), (1, "b", 2, 2, "x"), (1, "b", 2, 2, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, bucket int, role int, fingerprint string")
+    found = {(r["doc_id"], r["n_chars"]): r for r in FP.edited_pairs(docs).collect()}
+    assert found[2, 1_500_000]["near_next"] > 0.9 or found[2, 1_500_000]["near_next"] < 0.01  # whichever row of id 1 comes next
+    assert len(found) == 3 and found[1, 1_500_001]["fingerprint"] == FP.fingerprint("b" + text)
