@@ -31,3 +31,21 @@ def test_one_key_holds_most_rows_nulls_and_repeats(spark):
 
 def test_empty(spark):
     assert shard_by_bytes(frame(spark, []), 8).count() == 0
+
+
+def test_shards_and_slots_against_running_sums(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = [(rng.choice([None, *range(-50, 400)]), rng.choice([1, 5, 5, 300]), f"n{i}") for i in range(700)]
+    docs = frame(spark, rows).withColumn("_range", F.lit(1)).withColumn("extra", F.lit("x"))
+    out = shard_by_bytes(docs.drop("_range"), 5).collect()
+    assert {r["extra"] for r in out} == {"x"}
+    order = sorted(docs.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["tie"]))
+    total, before, want, seen = sum(r["size"] for r in order), 0, {}, {}
+    for r in order:
+        shard = min(4, (2 * before + r["size"]) * 5 // (2 * total))
+        want[r["shard_name"]] = (shard, seen.setdefault(shard, 0))
+        seen[shard] += 1
+        before += r["size"]
+    assert {r["shard_name"]: (r["shard"], r["slot"]) for r in out} == want
