@@ -51,3 +51,12 @@ def test_digests(spark, reference):
 
 def test_empty_table(spark):
     assert bpe.digests(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_every_code_point_is_cut_as_the_pattern_does(spark, reference):
+    """All code points between letters, numbers and spaces, so that a class of another Unicode version would show."""
+    points = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    given = ["".join(f"a{c}1{c} {c}" for c in points[k : k + 20_000]) for k in range(0, len(points), 20_000)]
+    rows = bpe.encode(spark.createDataFrame(list(enumerate(given)), "doc_id long, text string"), PATH).collect()
+    for row in rows:
+        assert row["ids"] == reference.encode_ordinary(given[row["doc_id"]])
