@@ -5,7 +5,7 @@ every pair of words that training has CONTEXT times at least. A state's arcs are
 weighted by an interpolation of their relative count with what the shorter history gives them; its failure arc leads to
 the state of the shorter history with the rest of the weight. After an arc the state is the longest history that is one.
 Words, pairs and triples are counted over all training documents, at any size; interpolation weights, one for each order
-and size of history counts, are those that predict best the training tokens when each is left out in turn.
+and size of history counts, are the share of the training tokens that their history is followed by somewhere else too.
 
 With a state h, its shorter history g and an arc to w: p(w) = r * c(h, w) / c(h) + (1 - r) * p(w after g); without an arc
 the walk pays 1 - r and goes on from g. So what every state gives all tokens, one unknown token among them, adds up to 1.
@@ -31,17 +31,17 @@ FOLDS, HELD_OUT = 7, 2
 CONTEXT = 4
 #: Tokens of a piece of a text that is walked by itself.
 PIECE = 512
-#: Interpolation weights that are tried, and sizes of context counts (powers of 4) that have one each.
-WEIGHTS = np.concatenate([[0.0, 0.001, 0.003, 0.01, 0.03], np.arange(1, 20) / 20])
+#: Sizes of history counts (powers of 4) that have an interpolation weight each.
 SIZES = 24
+#: Bits by which pairs and triples of one bucket are told apart; a bucket has those of about X.BUCKET_BYTES of text.
+ARC_BITS = 40
 
 END = A.U64(0x243F6A8885A308D3)
 BEGIN = A.U64(0x13198A2E03707344)
 
-COUNTED = "bucket int, batch long, keys binary, count array<int>"
-WORDS = "bucket int, batch long, more array<long>, tokens long, types long"
-ARCS_SENT = "bucket int, batch long, keys binary, count array<int>, kinds binary"
-ARCS = "bucket int, batch long, more array<long>, gain array<struct<size: int, gains: array<double>>>"
+COUNTED = "bucket int, batch long, n int, keys binary, values binary"
+WORDS = "bucket int, batch long, n int, more binary, tokens long, types long"
+ARCS = "bucket int, batch long, n int, more binary, seen array<struct<size: int, again: long, all: long>>"
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -67,6 +67,15 @@ def pair_keys(states: np.ndarray, labels: np.ndarray) -> np.ndarray:
     return A.mix(A.mix(states) + labels * A.U64(0x9E3779B97F4A7C15))
 
 
+def spare_bits(buckets: int) -> int:
+    """Low bits that keys of arcs can do without."""
+    return max(0, 64 - ARC_BITS - int(buckets).bit_length())
+
+
+def cut_keys(keys: np.ndarray, spare: int) -> np.ndarray:
+    return keys >> A.U64(spare) << A.U64(spare)
+
+
 def counted(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct keys, a place of each, and the sum of its weights."""
     distinct, place, code = np.unique(keys, return_index=True, return_inverse=True)
@@ -101,43 +110,36 @@ def unplaned(data: bytes, n: int) -> np.ndarray:
     return out.reshape(-1).view(A.U64)
 
 
-def slim_kinds(lift: np.ndarray, size: np.ndarray) -> bytes:
-    least, base = int(lift.min()), int(size.max()) + 1
-    return np.array([least, base], np.int64).tobytes() + planes((lift.astype(np.int64) - least).astype(A.U64) * A.U64(base) + size.astype(A.U64))
-
-
-def full_kinds(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
-    least, base = np.frombuffer(data[:16], np.int64)
-    lift, size = np.divmod(unplaned(data[16:], n).astype(np.int64), base)
-    return lift + least, size
+def slim(table: pa.Table, spare: int = 0) -> pa.Table:
+    """Packed rows of (keys, values) with keys as gaps, and both in no more bytes than they need."""
+    _, keys, values = X.unpacked(table, ["keys", "values"])
+    keys, values = keys.view(A.U64), values.astype(A.U64)
+    sizes = np.concatenate([np.zeros(0, np.int64), *(np.diff(c.offsets.to_numpy()) for c in table.column("keys").chunks)]).astype(np.int64)
+    ends = np.cumsum(sizes)
+    spans = list(zip((ends - sizes).tolist(), ends.tolist()))
+    return pa.table(
+        {
+            "bucket": table.column("bucket"), "batch": table.column("batch"), "n": pa.array(sizes.astype(np.int32)),
+            "keys": pa.array([keys[i : i + 1].tobytes() + planes(np.diff(keys[i:j]) >> A.U64(spare)) for i, j in spans], pa.binary()),
+            "values": pa.array([planes(values[i:j]) for i, j in spans], pa.binary()),
+        }
+    )
 
 
-def slim(table: pa.Table) -> pa.Table:
-    """Packed rows with keys as gaps, and lift and size (if any) as one number, in no more bytes than they need."""
-    ends = np.cumsum(sizes_of(table))
-    spans = list(zip(np.append(0, ends[:-1]).tolist(), ends.tolist()))
-    flat = dict(zip(table.column_names[2:], X.unpacked(table, table.column_names[2:])[1:]))
-    keys = flat["keys"].view(A.U64)
-    out = {c: table.column(c) for c in ("bucket", "batch", "count")}
-    out["keys"] = pa.array([keys[i : i + 1].tobytes() + planes(np.diff(keys[i:j])) for i, j in spans], pa.binary())
-    if "lift" in flat:
-        out["kinds"] = pa.array([slim_kinds(flat["lift"][i:j], flat["size"][i:j]) for i, j in spans], pa.binary())
-    return pa.table({c: out[c] for c in ("bucket", "batch", "keys", "count", "kinds") if c in out})
+def keys_of(table: pa.Table, spare: int = 0) -> np.ndarray:
+    rows = zip(table.column("keys").to_pylist(), table.column("n").to_pylist())
+    return np.concatenate([np.cumsum(np.append(np.frombuffer(data[:8], A.U64), unplaned(data[8:], n - 1) << A.U64(spare))) for data, n in rows])
 
 
-def sizes_of(table: pa.Table) -> np.ndarray:
-    return np.concatenate([np.zeros(0, np.int64), *(np.diff(c.offsets.to_numpy()) for c in table.column("count").chunks)]).astype(np.int64)
-
-
-def keys_of(table: pa.Table) -> np.ndarray:
-    rows = zip(table.column("keys").to_pylist(), sizes_of(table).tolist())
-    return np.concatenate([np.cumsum(np.append(np.frombuffer(data[:8], A.U64), unplaned(data[8:], n - 1))) for data, n in rows])
+def values_of(table: pa.Table, column: str = "values") -> np.ndarray:
+    parts = [unplaned(data, n) for data, n in zip(table.column(column).to_pylist(), table.column("n").to_pylist())]
+    return np.concatenate([np.zeros(0, A.U64), *parts]).astype(np.int64)
 
 
 def send_words(texts: pa.Table, buckets: int) -> pa.Table:
     labels, _, at = tokens(texts)
     keys, count = own_counts(texts, labels, at)
-    return slim(X.packed(texts.column("batch")[0].as_py(), keys, {"count": count}, buckets))
+    return slim(X.packed(texts.column("batch")[0].as_py(), keys, {"values": count}, buckets))
 
 
 def summed(keys: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -147,12 +149,15 @@ def summed(keys: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def others(table: pa.Table, more: np.ndarray) -> pa.Table:
     """What the other batches count, entry by entry in the order asked, so that no keys are sent back."""
-    return pa.table({"bucket": table.column("bucket"), "batch": table.column("batch"), "more": A.list_array(pa.array(more), sizes_of(table))})
+    sizes = table.column("n").to_numpy().astype(np.int64)
+    ends = np.cumsum(sizes)
+    values = [planes(more[j - n : j].astype(A.U64)) for j, n in zip(ends.tolist(), sizes.tolist())]
+    return pa.table({"bucket": table.column("bucket"), "batch": table.column("batch"), "n": table.column("n"), "more": pa.array(values, pa.binary())})
 
 
 def told(answers: pa.Table) -> np.ndarray:
     """The answers to a batch, in the order of its sorted keys: buckets are ranges of keys."""
-    return X.unpacked(answers.sort_by("bucket"), ["more"])[1]
+    return values_of(answers.sort_by("bucket"), "more")
 
 
 def first_row(rows: int, value) -> list:
@@ -161,7 +166,7 @@ def first_row(rows: int, value) -> list:
 
 def count_words(table: pa.Table) -> pa.Table:
     """Other batches' counts for each that asked; a bucket's first row has its share of tokens and types."""
-    count = X.unpacked(table, ["count"])[1]
+    count = values_of(table)
     distinct, code, total = summed(keys_of(table), count)
     out = others(table, total[code] - count)
     real = total[(distinct != BEGIN) & (total > 0)]
@@ -189,7 +194,7 @@ def size_class(count: np.ndarray) -> np.ndarray:
 class Known:
     """The tokens of a batch and what its answers tell of them, up to an order of history."""
 
-    def __init__(self, texts: pa.Table, answers: pa.Table, order: int):
+    def __init__(self, texts: pa.Table, answers: pa.Table, order: int, spare: int):
         self.labels, self.before, self.at = tokens(texts)
         level = answers.column("level").to_numpy()
         rows = lambda k: answers.filter(pa.array(level == k))
@@ -201,7 +206,7 @@ class Known:
         if order < 2:
             return
         self.pairs = np.flatnonzero((self.label_count > 0) & (self.context > 0))
-        self.pair_arc, self.pair_count = self._arcs(self.pairs, pair_keys(self.before, self.labels), rows(1), n)
+        self.pair_arc, self.pair_count = self._arcs(self.pairs, cut_keys(pair_keys(self.before, self.labels), spare), rows(1), n)
         self.rest = 1 - weights_of(rows(1))[size_class(self.context)] * (self.context > 0)
         self.after_word = (1 - self.rest) * self.pair_count / np.maximum(self.context, 1) + self.rest * self.root
         # the history of two words is the pair that ends before the token; a text's first token has none
@@ -212,7 +217,7 @@ class Known:
         self.triples = np.flatnonzero((self.context2 > 0) & (self.pair_count > 0))
         if order < 3:
             return
-        self.triple_arc, triple_count = self._arcs(self.triples, pair_keys(self.history, self.labels), rows(2), n)
+        self.triple_arc, triple_count = self._arcs(self.triples, cut_keys(pair_keys(self.history, self.labels), spare), rows(2), n)
         self.rest2 = 1 - weights_of(rows(2))[size_class(self.context2)] * (self.context2 > 0)
         self.after_pair = (1 - self.rest2) * triple_count / np.maximum(self.context2, 1) + self.rest2 * self.after_word
 
@@ -237,39 +242,31 @@ def weights_of(answers: pa.Table) -> np.ndarray:
 def send_arcs(texts: pa.Table, answers: pa.Table, buckets: int, order: int) -> pa.Table:
     """Training counts of a batch's pairs or triples, 0 for those that only its held-out documents have. What cannot
     occur in training, as a part of it does not, is not asked for."""
-    none = {"count": np.zeros(0, np.int32), "lift": np.zeros(0, np.int16), "size": np.zeros(0, np.int8)}
     if not texts.num_rows:
-        return slim(X.packed(0, np.zeros(0, A.U64), none, buckets))
-    k = Known(texts, answers, order - 1)
+        return slim(X.packed(0, np.zeros(0, A.U64), {"values": np.zeros(0, np.int64)}, buckets))
+    spare = spare_bits(buckets)
+    k = Known(texts, answers, order - 1, spare)
     if order == 2:
-        use, keys, context, shorter = np.flatnonzero((k.label_count > 0) & (k.context > 0)), pair_keys(k.before, k.labels), k.context, k.root
+        use, keys, context = np.flatnonzero((k.label_count > 0) & (k.context > 0)), pair_keys(k.before, k.labels), k.context
     else:
-        use, keys, context, shorter = k.triples, pair_keys(k.history, k.labels), k.context2, k.after_word
-    keys, place, count = counted(keys[use], k.train[use])
-    own = use[place]
-    # how often the shorter history alone would make it, on a logarithmic scale: what a left-out count is held against
-    chance = np.maximum(context[own] - 1, 1) * shorter[own]
-    lift = np.clip(np.round(64 * np.log2(1 / chance)), -32768, 32767).astype(np.int16)
-    return slim(X.packed(texts.column("batch")[0].as_py(), keys, {"count": count, "lift": lift, "size": size_class(context[own])}, buckets))
-
-
-def count_arcs(table: pa.Table) -> pa.Table:
-    """Other batches' counts; a bucket's first row has its share of what each weight gains, for each size of context."""
-    count = X.unpacked(table, ["count"])[1]
-    distinct, code, total = summed(keys_of(table), count)
-    kinds = [full_kinds(data, n) for data, n in zip(table.column("kinds").to_pylist(), sizes_of(table).tolist())]
-    lift, size = (np.concatenate(c) for c in zip(*kinds))
+        use, keys, context = k.triples, pair_keys(k.history, k.labels), k.context2
+    keys, place, count = counted(cut_keys(keys[use], spare), k.train[use])
+    values = count.astype(np.int64) * 32 + size_class(context[use[place]])
+    return slim(X.packed(texts.column("batch")[0].as_py(), keys, {"values": values}, buckets), spare)
+
+
+def count_arcs(table: pa.Table, spare: int) -> pa.Table:
+    """Other batches' counts; a bucket's first row has, for each size of history, how many training tokens there are, and
+    how many whose arc another one has too."""
+    count, size = np.divmod(values_of(table), 32)
+    distinct, code, total = summed(keys_of(table, spare), count)
     out = others(table, total[code] - count)
     place = np.empty(len(distinct), np.int64)
     place[code] = np.arange(len(code))
-    gain = np.zeros((SIZES, len(WEIGHTS)))
-    seen = np.flatnonzero(total > 0)
-    ratio = (total[seen] - 1) * 2.0 ** (lift[place[seen]] / 64)
-    for k, w in enumerate(WEIGHTS):
-        gain[:, k] = np.bincount(size[place[seen]], weights=total[seen] * np.log2(w * ratio + 1 - w), minlength=SIZES)
-    cells = [{"size": int(i), "gains": gain[i].tolist()} for i in np.flatnonzero(gain.any(1))]
-    kind = pa.list_(pa.struct([("size", pa.int32()), ("gains", pa.list_(pa.float64()))]))
-    return out.append_column("gain", pa.array(first_row(out.num_rows, cells), kind))
+    every, again = (np.bincount(size[place], weights=w, minlength=SIZES).astype(np.int64) for w in (total, np.where(total > 1, total, 0)))
+    cells = [{"size": int(i), "again": int(again[i]), "all": int(every[i])} for i in np.flatnonzero(every)]
+    kind = pa.list_(pa.struct([("size", pa.int32()), ("again", pa.int64()), ("all", pa.int64())]))
+    return out.append_column("seen", pa.array(first_row(out.num_rows, cells), kind))
 
 
 class Automaton:
@@ -338,13 +335,13 @@ def walk(automaton: Automaton, at: np.ndarray) -> np.ndarray:
     return np.bincount(text, weights=total, minlength=len(sizes))
 
 
-def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
+def score(texts: pa.Table, answers: pa.Table, spare: int) -> pa.Table:
     """Result rows of a batch of texts."""
     names = [c.split()[0] for c in RESULT.split(", ")]
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     if not texts.num_rows:
         return pa.table([pa.array([], k) for k in kinds], names=names)
-    k = Known(texts, answers, 3)
+    k = Known(texts, answers, 3, spare)
     sums = lambda values: np.add.reduceat(values, k.at[:-1])  # noqa: E731  each text has a token at least: its end
     columns = [
         texts.column("doc_id"), texts.column("held_out"), np.diff(k.at), sums((k.label_count > 0).astype(np.int64)),
@@ -365,19 +362,17 @@ def log_scores(docs: DataFrame) -> DataFrame:
     words = X.grouped(sent, "bucket", count_words, WORDS)
     # one row of totals
     totals = words.agg(F.sum("tokens").alias("all_tokens"), F.sum("types").alias("all_types")).withColumn("one", F.lit(1))
-    words = words.select("bucket", "batch", "more", F.lit(1).alias("one")).join(F.broadcast(totals), "one").drop("one")
+    words = words.select("bucket", "batch", "n", "more", F.lit(1).alias("one")).join(F.broadcast(totals), "one").drop("one")
     answers = words.withColumn("level", F.lit(0))
     for order in (2, 3):
-        asked = X.meet(texts, answers, partial(send_arcs, buckets=buckets, order=order), ARCS_SENT)
-        found = with_weights(X.grouped(asked, "bucket", count_arcs, ARCS))
+        asked = X.meet(texts, answers, partial(send_arcs, buckets=buckets, order=order), COUNTED)
+        found = with_weights(X.grouped(asked, "bucket", partial(count_arcs, spare=spare_bits(buckets)), ARCS))
         answers = answers.unionByName(found.withColumn("level", F.lit(order - 1)), allowMissingColumns=True)
-    return X.meet(texts, answers, score, RESULT)
+    return X.meet(texts, answers, partial(score, spare=spare_bits(buckets)), RESULT)
 
 
 def with_weights(arcs: DataFrame) -> DataFrame:
-    """Answers with the interpolation weights of their order: for each size of history count the weight of greatest
-    gain, the smallest of equals; one row of at most SIZES weights."""
-    gains = arcs.select(F.inline("gain")).groupBy("size").agg(F.array(*(F.sum(F.get("gains", F.lit(k))) for k in range(len(WEIGHTS)))).alias("gains"))
-    value = F.get(F.array(*(F.lit(float(w)) for w in WEIGHTS)), F.array_position("gains", F.array_max("gains")).cast("int") - 1)
-    chosen = gains.agg(F.array_sort(F.collect_list(F.struct("size", value.alias("weight")))).alias("weights")).withColumn("one", F.lit(1))
-    return arcs.select("bucket", "batch", "more", F.lit(1).alias("one")).join(F.broadcast(chosen), "one").drop("one")
+    """Answers with the interpolation weights of their order, below 1: one row of at most SIZES weights."""
+    sums = arcs.select(F.inline("seen")).groupBy("size").agg((F.sum("again") / (F.sum("all") + 1)).alias("weight"))
+    chosen = sums.agg(F.array_sort(F.collect_list(F.struct("size", "weight"))).alias("weights")).withColumn("one", F.lit(1))
+    return arcs.select("bucket", "batch", "n", "more", F.lit(1).alias("one")).join(F.broadcast(chosen), "one").drop("one")

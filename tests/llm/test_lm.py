@@ -87,21 +87,19 @@ class Brute:
                 self.heads.update(before[:-1])
                 self.triples.update(zip(before, line, line[1:]))
         self.n, self.v = sum(self.train.values()), len(self.train)
-        self.first = self.learn(((c, self.heads[u], self.root(w)) for (u, w), c in self.pairs.items()))
-        self.second = self.learn(((c, self.pairs[u, v], self.after_word(v, w)) for (u, v, w), c in self.triples.items() if self.pairs[u, v] >= lm.CONTEXT))
+        self.first = self.learn((c, self.heads[u]) for (u, w), c in self.pairs.items())
+        self.second = self.learn((c, self.pairs[u, v]) for (u, v, w), c in self.triples.items() if self.pairs[u, v] >= lm.CONTEXT)
 
     @staticmethod
     def size(count):
         return int(math.log2(count) / 2)
 
     def learn(self, rows):
-        gains = {}
-        for c, context, shorter in rows:
-            lift = round(64 * math.log2(1 / (max(context - 1, 1) * shorter))) / 64
-            for r in lm.WEIGHTS:
-                key = self.size(context), float(r)
-                gains[key] = gains.get(key, 0) + c * math.log2(r * (c - 1) * 2**lift + 1 - r)
-        return {s: -max((g, -r) for (t, r), g in gains.items() if t == s)[1] for s, _ in gains}
+        again, every = Counter(), Counter()
+        for c, context in rows:
+            every[self.size(context)] += c
+            again[self.size(context)] += c if c > 1 else 0
+        return {s: again[s] / (every[s] + 1) for s in every}
 
     def root(self, w):
         return (self.train[w] + 1) / (self.n + self.v + 1)
@@ -148,8 +146,3 @@ def test_pairs_are_not_forgotten_as_the_corpus_grows(spark):
     rows = lm.log_scores(spark.createDataFrame([*pairs, *filler, (probe, "left5 right5 left6 right6")], "doc_id long, text string"))
     row = rows.where(f"doc_id = {probe}").first()
     assert row["train_tokens"] > 10**6 and row["score"] > row["base_score"] + 1
-
-
-def test_weights_tried():
-    """Steps of a twentieth, and finer ones near zero."""
-    assert np.allclose(lm.WEIGHTS, [0, 0.001, 0.003, 0.01, 0.03, *(k / 20 for k in range(1, 20))])
