@@ -5,8 +5,9 @@ rest, windows of 50 bytes count whose fingerprint (the least hash of their 28-by
 too; runs of such windows, called contexts, meet in a bucket by fingerprint. A fingerprint with one distinct
 context is settled by the least id that has it. Of the others the bytes are sent as well: a bucket cuts its distinct contexts into shards, makes each shard's suffix order
 and transform, and merges the transforms by refining their interleave: after h rounds it is sorted by h symbols,
-and the places where a round tells neighbours apart bound the intervals of common prefixes of h. After 50 rounds
-the intervals are the repeated strings; no suffix is sorted again. Each interval's least doc_id goes back.
+and the places where a round tells neighbours apart bound the intervals of common prefixes of h. A suffix that is
+alone in its interval stays alone and leaves. After 50 rounds the intervals are the repeated strings; no suffix is
+sorted again. Each interval's least doc_id goes back.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from . import arrays as A
 from . import exchange as X
 from .runtime import written
-from .substring import INGESTS, distinct_marks, flag_shared, member, window_marks
+from .substring import distinct_marks, flag_shared, member, window_marks
 
 WINDOW = 50
 GRAM = 28
@@ -37,10 +38,13 @@ COMMON = 48
 MARKS = "bucket int, batch long, keys array<int>, many array<boolean>"
 FLAGGED = "batch long, bucket int, keys array<int>, common array<boolean>"
 SENT = "bucket int, batch long, low array<int>, high array<int>, one array<long>, size array<tinyint>, first_id array<long>, several array<boolean>"
-SENT_BYTES = SENT + ", bytes binary"
+SENT_BYTES = SENT + ", full array<boolean>, bytes binary"
 FOUND = "batch long, mark array<long>, single array<boolean>, one array<long>, start array<tinyint>, stop array<tinyint>, least_id array<long>"
-#: A reply that stops here asks for the bytes of all contexts of the fingerprint.
-SEND_BYTES = -1
+#: Replies that stop here ask for a context again, of one of its senders with its bytes. The least id of such a reply
+#: is the number of the part of the bucket that the fingerprint belongs to.
+SEND_BYTES, SEND_HASH = -1, -2
+#: Bytes of contexts of a part, about.
+PART_BYTES = 1 << 20
 RESULT = "doc_id long, n_bytes long, n_removed long, kept binary, spans array<struct<start: int, stop: int>>"
 
 
@@ -50,10 +54,10 @@ def byte_marks(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.
     return X.short(marks, buckets), inside, A.owners(offsets)
 
 
-def flag_marks(table: pa.Table, batches: int, many: int) -> pa.Table:
+def flag_marks(table: pa.Table, many: int) -> pa.Table:
     """Fingerprints that two documents have, and whether very many batches have them."""
     wide = table.set_column(2, "keys", table.column("keys").cast(pa.list_(pa.int64())))
-    batch, keys = X.unpacked(flag_shared(wide, batches), ["keys"])
+    batch, keys = X.unpacked(flag_shared(wide), ["keys"])
     _, code, count = np.unique(keys, return_inverse=True, return_counts=True)
     out = X.replied(batch, {"keys": keys.astype(np.int32), "common": count[code] >= many})
     return out.add_column(1, "bucket", pa.array(np.full(out.num_rows, table.column("bucket")[0].as_py(), np.int32)))
@@ -122,8 +126,9 @@ def send_contexts(texts: pa.Table, answers: pa.Table, buckets: int, with_bytes:
     texts = originals(texts, answers)
     asked = answers.filter(answers.column("mark" if with_bytes else "keys").is_valid())
     if with_bytes:
-        _, keys, stop = X.unpacked(asked, ["mark", "stop"])
-        keys, common = keys[stop == SEND_BYTES].view(A.U64), np.zeros(0, A.U64)
+        _, keys, ones, codes, parts = X.unpacked(asked, ["mark", "one", "stop", "least_id"])
+        again = codes < 0
+        keys, ones, codes, parts, common = keys[again].view(A.U64), ones[again].view(A.U64), codes[again], parts[again], np.zeros(0, A.U64)
     else:
         keys, many = X.read_short(asked, "common")
         common = np.sort(keys[many])
@@ -134,6 +139,10 @@ def send_contexts(texts: pa.Table, answers: pa.Table, buckets: int, with_bytes:
     high = (c["mark"] >> A.U64(32)).astype(np.int32)
     bucket = np.where(single, X.deal(c["one"], buckets), high)
     high = np.where(single, -1 - high, high).astype(np.int32)
+    if with_bytes and len(bucket):
+        asking = np.argsort(ones, kind="stable")  # each of these contexts was sent before and has a reply
+        at = asking[np.searchsorted(ones[asking], c["one"])]
+        bucket, c["code"] = bucket + buckets * parts[at], codes[at]
     of = ids[c["owner"]]
     order = np.lexsort((of, c["one"], c["mark"], high, bucket))
     bucket, high, of = bucket[order], high[order], of[order]
@@ -148,11 +157,14 @@ def send_contexts(texts: pa.Table, answers: pa.Table, buckets: int, with_bytes:
     rows = heads_of(bucket[heads])
     sizes = np.diff(rows, append=len(heads))
     batch = np.full(len(rows), texts.column("batch")[0].as_py() if texts.num_rows else 0, np.int64)
+    if with_bytes:
+        lists["full"] = c["code"][heads] == SEND_BYTES if len(heads) else np.zeros(0, bool)
     out = pa.table({"bucket": pa.array(bucket[heads][rows].astype(np.int32)), "batch": pa.array(batch)} | {n: A.list_array(pa.array(v), sizes) for n, v in lists.items()})
     if not with_bytes:
         return out
-    blob = data[A.spread(c["start"][heads], size)].tobytes()
-    cut = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+    full = np.flatnonzero(lists["full"])
+    blob = data[A.spread(c["start"][heads][full], size[full])].tobytes()
+    cut = np.concatenate([[0], np.cumsum(np.where(lists["full"], size, 0))])[np.concatenate([[0], np.cumsum(sizes)])].tolist()
     return out.append_column("bytes", pa.array([blob[a:b] for a, b in zip(cut, cut[1:])], pa.binary()))
 
 
@@ -171,7 +183,7 @@ def heads_of(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def settle(table: pa.Table) -> pa.Table:
+def settle(table: pa.Table, part_bytes: int) -> pa.Table:
     """Least ids for the contexts that are the only ones of their fingerprint; for the others, a call for bytes."""
     batch, mark, single, one, size, first_id, several = sent_contexts(table)
     order = np.lexsort((one, mark, single))
@@ -181,11 +193,17 @@ def settle(table: pa.Table) -> pa.Table:
     least = np.minimum.reduceat(first_id[order], heads)
     own = order[heads]
     _, code, count = np.unique(mark[own], return_inverse=True, return_counts=True)
-    mixed = ((count[code] > 1) & ~single[own])[context]
+    many = (count[code] > 1) & ~single[own]
+    mixed = many[context]
+    # parts of the bucket: whole fingerprints, in order, of about as many bytes
+    weight = np.bincount(context, weights=size, minlength=len(own)) * many
+    before = (np.cumsum(np.bincount(code, weights=weight)) // part_bytes).astype(np.int64)
     answer = np.flatnonzero(mixed | several | (least[context] < first_id))
     lists = {"mark": mark[answer], "single": single[answer], "one": one[answer], "start": np.zeros(len(answer), np.int8)}
-    stop = np.where(mixed, SEND_BYTES, size - WINDOW + 1)[answer].astype(np.int8)
-    return X.replied(batch[answer], lists | {"stop": stop, "least_id": least[context[answer]]})
+    stop = np.where(mixed, SEND_HASH, size - WINDOW + 1)
+    stop[own[many]] = SEND_BYTES
+    told = np.where(mixed, before[code][context], least[context])
+    return X.replied(batch[answer], lists | {"stop": stop[answer].astype(np.int8), "least_id": told[answer]})
 
 
 def suffix_order(symbols: np.ndarray) -> np.ndarray:
@@ -220,41 +238,54 @@ def transform(symbols: np.ndarray, order: np.ndarray) -> np.ndarray:
     return before[order]
 
 
-def merged(transforms: list[np.ndarray], ends: list[int], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of the shards' suffix orders, and the number of the interval of each place.
+def longer(transform: np.ndarray, ends: int) -> np.ndarray:
+    """For each suffix in a shard's order the place of the suffix that is one symbol longer, if there is one."""
+    moving = np.flatnonzero(transform)
+    out = np.zeros(len(transform), np.int64)
+    out[moving[np.argsort(transform[moving], kind="stable")]] = ends + np.arange(len(moving))
+    return out
+
+
+def merged(transforms: list[np.ndarray], ends: list[int], depth: int, singles: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Interleave of the shards' suffix orders, as places in the orders laid end to end, and the number of the interval
+    of each.
 
     transforms: each shard's, whose first ``ends`` suffixes are the bare ends of texts. A round lets every suffix
     of the current interleave move the suffix that is one symbol longer to the next free place among those of that
-    symbol. Ends of texts come first and are intervals of their own.
+    symbol. Ends of texts come first and are intervals of their own. Without ``singles``, a suffix that is alone in its
+    interval leaves: what it would move is alone as well.
     """
     sizes = np.array([len(t) for t in transforms])
+    base = np.cumsum(sizes) - sizes
     whole = np.concatenate(transforms)
-    total_ends = int(sum(ends))
-    numbers = np.arange(len(sizes), dtype=np.uint8 if len(sizes) < 256 else np.uint32)
-    source, rest = np.repeat(numbers, ends), np.repeat(numbers, sizes - np.array(ends))
-    source = np.concatenate([source, rest])
-    fixed = source[:total_ends].copy()
-    block = np.zeros(len(source), np.int32)  # all have the same prefix of no symbols
+    step = np.concatenate([longer(t, e) + b for t, e, b in zip(transforms, ends, base)])
+    fixed = np.concatenate([b + np.arange(e) for b, e in zip(base, ends)])
+    rest = np.concatenate([b + np.arange(e, n) for b, e, n in zip(base, ends, sizes)])
+    place = np.concatenate([fixed, rest])
+    block = np.zeros(len(place), np.int32)  # all have the same prefix of no symbols
     for _ in range(depth):
-        # the place of each entry within its own shard: the shards' suffixes are taken in their own order
-        entry = np.empty(len(source), np.int32)
-        entry[np.argsort(source, kind="stable")] = np.arange(len(source))
-        symbol = whole[entry]
+        symbol = whole[place]
         moving = np.flatnonzero(symbol)
         order = moving[np.argsort(symbol[moving], kind="stable")]
         moved, from_block = symbol[order], block[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (moved[1:] != moved[:-1]) | (from_block[1:] != from_block[:-1])
-        source = np.concatenate([fixed, source[order]])
-        block = np.concatenate([np.arange(total_ends, dtype=np.int32), total_ends - 1 + np.cumsum(new, dtype=np.int32)])
-        del entry, symbol, moving, order, moved, from_block
-    return source, block
-
-
-def intervals(text: np.ndarray, sizes: np.ndarray, depth: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+        new = np.ones(len(order) + 1, bool)
+        new[1:-1] = (moved[1:] != moved[:-1]) | (from_block[1:] != from_block[:-1])
+        if singles:
+            place = np.concatenate([fixed, step[place[order]]])
+            block = np.concatenate([np.arange(len(fixed), dtype=np.int32), len(fixed) - 1 + np.cumsum(new[:-1], dtype=np.int32)])
+        else:
+            shared = np.flatnonzero(~(new[:-1] & new[1:]))
+            place, block = step[place[order[shared]]], np.cumsum(new[:-1], dtype=np.int32)[shared]
+            if not len(place):
+                break
+    return place, block
+
+
+def intervals(text: np.ndarray, sizes: np.ndarray, depth: int = WINDOW, singles: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Places in the contexts' bytes in merged suffix order, and their interval of common prefixes of ``depth``.
 
-    Only places from which ``depth`` bytes of the context are left are returned.
+    Only places from which ``depth`` bytes of the context are left are returned; without ``singles``, only those whose
+    interval has others.
     """
     starts = np.cumsum(sizes) - sizes
     shard = (starts + sizes - 1) // SHARD_BYTES
@@ -272,9 +303,8 @@ def intervals(text: np.ndarray, sizes: np.ndarray, depth: int = WINDOW) -> tuple
         transforms.append(transform(symbols, order))
         orders.append(where[order])
         ends.append(len(own))
-    source, block = merged(transforms, ends, depth)
-    place = np.empty(len(source), np.int64)
-    place[np.argsort(source, kind="stable")] = np.concatenate(orders)
+    at, block = merged(transforms, ends, depth, singles)
+    place = np.concatenate(orders)[at]
     stop = np.repeat(starts + sizes, sizes)
     long = np.flatnonzero(place >= 0)
     long = long[stop[place[long]] - place[long] >= depth]
@@ -284,26 +314,29 @@ def intervals(text: np.ndarray, sizes: np.ndarray, depth: int = WINDOW) -> tuple
 def least_ids(table: pa.Table) -> pa.Table:
     """For every context a batch sent, the least id for each of its windows, where that matters."""
     batch, mark, _, one, size, first_id, several = sent_contexts(table)
+    full = X.unpacked(table, ["full"])[1].astype(bool)
     text = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8)
-    start = np.cumsum(size) - size
-    order = np.lexsort((one, mark))
+    start = np.cumsum(np.where(full, size, 0)) - size  # of those that came with their bytes
+    order = np.lexsort((~full, one, mark))
     heads = heads_of(mark[order], one[order])
     context = np.empty(len(order), np.int64)
     context[order] = np.repeat(np.arange(len(heads)), np.diff(heads, append=len(order)))
-    own = order[heads]  # a sender of each distinct context
+    own = order[heads]  # the sender of each distinct context's bytes
     least = np.minimum.reduceat(first_id[order], heads)
     sizes = size[own]
     windows = sizes - WINDOW + 1
     base = np.cumsum(windows) - windows
-    window_least = np.empty(int(windows.sum()), np.int64)
+    window_least = np.repeat(least, windows)
     marks = heads_of(mark[own])
     part = (np.cumsum(sizes) - sizes)[marks] // MERGE_BYTES
     bounds = marks[heads_of(part)]
     for a, b in zip(bounds, np.append(bounds[1:], len(own))):
         inside = sizes[a:b]
-        place, block = intervals(text[A.spread(start[own[a:b]], inside)], inside)
+        place, block = intervals(text[A.spread(start[own[a:b]], inside)], inside, singles=False)
         which = np.repeat(np.arange(b - a), inside)[place]
         inner = place - (np.cumsum(inside) - inside)[which]
+        if not len(block):
+            continue
         cuts = heads_of(block)
         window_least[base[a:b][which] + inner] = np.repeat(np.minimum.reduceat(least[a:b][which], cuts), np.diff(cuts, append=len(block)))
     # runs of windows with one least id
@@ -332,7 +365,7 @@ def drop_repeats(texts: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     gone = np.repeat(copy & (np.diff(offsets) >= WINDOW), np.diff(offsets))
     found = answers.filter(answers.column("mark").is_valid())
     _, mark, single, one, start, stop, least = X.unpacked(found, ["mark", "single", "one", "start", "stop", "least_id"])
-    use = np.flatnonzero(stop != SEND_BYTES)
+    use = np.flatnonzero(stop >= 0)
     if len(use):
         order = use[np.argsort(one.view(A.U64)[use], kind="stable")]
         mark, one = mark.view(A.U64)[order], one.view(A.U64)[order]
@@ -364,20 +397,21 @@ def result_table(doc_id, n_bytes, removed, kept, spans) -> pa.Table:
     return pa.table(columns, names=["doc_id", "n_bytes", "n_removed", "kept", "spans"])
 
 
-def drop_repeated_bytes(docs: DataFrame, ingests: int = INGESTS, common: int = COMMON) -> DataFrame:
+def drop_repeated_bytes(docs: DataFrame, common: int = COMMON, part_bytes: int = PART_BYTES) -> DataFrame:
     """For each document: byte counts, the kept bytes, and the removed spans of bytes.
 
     A byte goes if a string of 50 bytes over it, within its text, also starts in a document of smaller doc_id. A null
     text is empty. Documents of one id, or both without an id, are never earlier than each other; a document
-    without an id is later than all with one. Other columns are not carried; an empty table gives no rows.
+    without an id is later than all with one. Other columns are not carried; an empty table gives no rows. ``common``
+    and ``part_bytes`` change how the work is spread, not the result.
     """
-    texts, batches, buckets = X.batched(docs, BATCH_BYTES, ingests, text_one=F.xxhash64("text"), text_two=F.xxhash64(F.lit(1), "text"))
+    texts, _, buckets = X.batched(docs, BATCH_BYTES, text_one=F.xxhash64("text"), text_two=F.xxhash64(F.lit(1), "text"))
     same = written(copies(texts), "copies")
     sent = X.meet(texts, same, partial(send_original_marks, buckets=buckets), MARKS)
-    flagged = X.grouped(sent, "bucket", partial(flag_marks, batches=batches, many=common), FLAGGED)
+    flagged = X.grouped(sent, "bucket", partial(flag_marks, many=common), FLAGGED)
     flagged = flagged.unionByName(same, allowMissingColumns=True)
     asked = X.meet(texts, flagged, partial(send_contexts, buckets=buckets, with_bytes=False), SENT)
-    found = X.grouped(asked, "bucket", settle, FOUND)
+    found = X.grouped(asked, "bucket", partial(settle, part_bytes=part_bytes), FOUND)
     answers = found.unionByName(same, allowMissingColumns=True)
     asked = X.meet(texts, answers, partial(send_contexts, buckets=buckets, with_bytes=True), SENT_BYTES)
     return X.meet(texts, answers.unionByName(X.grouped(asked, "bucket", least_ids, FOUND), allowMissingColumns=True), partial(drop_repeats, buckets=buckets), RESULT)

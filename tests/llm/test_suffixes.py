@@ -34,10 +34,15 @@ def test_merged_transforms_sort_and_bound_prefixes(depth, monkeypatch):
         text = rng.integers(97, 99, sizes.sum()).astype(np.uint8)
         monkeypatch.setattr(suffixes, "SHARD_BYTES", int(rng.integers(20, 200)))
         place, block = suffixes.intervals(text, sizes, depth)
+        shared, part = suffixes.intervals(text, sizes, depth, singles=False)
         want = {i: bytes(text[i : i + depth]) for s, z in zip(np.cumsum(sizes) - sizes, sizes) for i in range(s, s + z - depth + 1)}
         found = [want[p] for p in place.tolist()]
         assert sorted(place.tolist()) == sorted(want) and found == sorted(found)
         assert (np.diff(block) != 0).tolist() == [a != b for a, b in zip(found, found[1:])]
+        # without those that are alone
+        again = [want[p] for p in shared.tolist()]
+        assert again == [x for x in found if found.count(x) > 1] and len(set(shared.tolist())) == len(shared)
+        assert (np.diff(part) != 0).tolist() == [a != b for a, b in zip(again, again[1:])]
 
 
 def corpus():
@@ -54,11 +59,11 @@ def corpus():
     return docs + [(700, "a" * 400), (701, "a" * 60), (702, "a" * 49), (703, "ab" * 100), (704, "xab" + "ab" * 60)]
 
 
-@pytest.mark.parametrize("common", [suffixes.COMMON, 1])
-def test_against_brute_force(spark, common):
+@pytest.mark.parametrize(("common", "part_bytes"), [(suffixes.COMMON, suffixes.PART_BYTES), (1, suffixes.PART_BYTES), (10**6, 300)])
+def test_against_brute_force(spark, common, part_bytes):
     docs = corpus()
     frame = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, mark string")
-    rows = suffixes.drop_repeated_bytes(frame, ingests=2, common=common).collect()
+    rows = suffixes.drop_repeated_bytes(frame, common=common, part_bytes=part_bytes).collect()
     key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
     found = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["kept"])) for r in rows), key=key)
     assert found == sorted(brute(docs), key=key)
