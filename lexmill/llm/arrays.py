@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 2 << 20
+PIECE_BYTES = 256 << 10
 
 U64 = np.uint64
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -114,7 +115,15 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    return span_hash(byte_sums(data, which), starts, ends, which)
+    """Hash of each word, made piece by piece: a hash does not depend on the place, and long tables cost memory."""
+    out = np.empty(len(starts), U64)
+    at = 0
+    while at < len(starts):
+        base = starts[at]
+        to = max(at + 1, int(np.searchsorted(ends, base + PIECE_BYTES, "right")))
+        out[at:to] = span_hash(byte_sums(data[base : ends[to - 1]], which), starts[at:to] - base, ends[at:to] - base, which)
+        at = to
+    return out
 
 
 def gram_hashes(values: np.ndarray, k: int, which: int = 0) -> np.ndarray:
