@@ -15,16 +15,24 @@ SLOTS = 32
 CHUNKS = "source string, page_id long, art_pos int, chapter string, section string, label string, body string, chunk_id string, slot int"
 
 
-def page_chunks(pages: DataFrame) -> DataFrame:
-    """(source, page_id, art_pos, chapter, section, label, body, chunk_id) of each page: the articles of its paragraphs,
-    or its whole text where there are none. The source is the host."""
+def page_texts(pages: DataFrame) -> DataFrame:
+    """(page_id, source, text): the host of each page, and its paragraphs as lines."""
     text = F.array_join(page_paragraphs(F.col("html")), "\n")
-    docs = pages.select("page_id", F.regexp_extract("url", r"^[a-z]+://([^/:?#]+)", 1).alias("source"), text.alias("text"))
+    return pages.select("page_id", F.regexp_extract("url", r"^[a-z]+://([^/:?#]+)", 1).alias("source"), text.alias("text"))
+
+
+def text_chunks(docs: DataFrame) -> DataFrame:
+    """(source, page_id, art_pos, chapter, section, label, body, chunk_id): the articles of each text, or the whole text
+    where there are none."""
     chunks = split_or_fulltext(docs, "page_id", "text").join(docs.select("page_id", "source"), "page_id")
     name = F.concat("source", F.lit("/"), F.col("page_id").cast("string"), F.lit("::"), F.coalesce("label", F.lit("全文")))
     return chunks.select("source", "page_id", "art_pos", "chapter", "section", "label", "body", name.alias("chunk_id"))
 
 
+def page_chunks(pages: DataFrame) -> DataFrame:
+    return text_chunks(page_texts(pages))
+
+
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CHUNKS).parquet(path)
 
@@ -39,11 +47,12 @@ def stream_ingest(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: st
 
     def merge(batch: DataFrame, number: int) -> None:
         slot = F.pmod(F.xxhash64("page_id"), F.lit(SLOTS)).cast("int").alias("slot")
-        pages = written(distinct_by_key(batch, "page_id", [F.col("arrived").desc(), F.xxhash64("html")]).drop("arrived"), "arrived")
-        slots = [r["slot"] for r in pages.select(slot).distinct().collect()]  # SLOTS at most
+        newest = distinct_by_key(batch, "page_id", [F.col("arrived").desc(), F.xxhash64("html")])
+        docs = written(page_texts(newest), "arrived")
+        slots = [r["slot"] for r in docs.select(slot).distinct().collect()]  # SLOTS at most
         if not slots:
             return
-        new = page_chunks(pages).select("*", slot)
+        new = text_chunks(docs).select("*", slot)
         if exists(spark, out_dir):
             # all chunks of a page are replaced, those that its new version no longer has too
             store = read_store(spark, out_dir).where(F.col("slot").isin(slots))
