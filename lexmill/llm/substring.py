@@ -117,7 +117,7 @@ def rows_of(kind: int, bucket: int, names: Sequence[str], batch: bool, **lists:
     n = min(1, len(next(iter(lists.values()))))
     columns = {"kind": pa.array([kind] * n, pa.int32()), "bucket": pa.array([bucket] * n, pa.int32())}
     if batch:
-        columns["batch"] = pa.array([NOBODY] * n, pa.int64())
+        columns["batch"] = pa.array([NOBODY - 1 - bucket] * n, pa.int64())  # of no batch, and spread as its buckets are
     return pa.table(columns | {c: A.list_array(v, np.array([len(v)] * n)) for c, v in lists.items()}).select(names)
 
 
@@ -395,6 +395,15 @@ def entries_of(spark: SparkSession, path: str) -> int:
     return spark.read.schema(STORED).parquet(path).where(F.col("kind") == MARKS_RUN).agg(F.sum(F.size("keys"))).first()[0] or 0
 
 
+def of_kind(rows: DataFrame, kind: int) -> DataFrame:
+    """Rows of one kind. The test adds a 0 that is not deterministic for Spark and depends on every column: else the
+    filter, or a choice of columns, would move below the shuffle of the rows, which would be made anew for each kind."""
+    share = F.lit(1)
+    for column in rows.columns:
+        share = share + F.col(column).isNull().cast("int")
+    return rows.where(F.col("kind") + F.floor(F.rand(0) / share).cast("int") == kind)
+
+
 def ingest(batch: DataFrame, index: str, history: DataFrame | None = None, carry: Sequence[str] = (), finish: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Deduplicate a batch of documents against an index and itself, and add it to the index.
 
@@ -418,20 +427,20 @@ def ingest(batch: DataFrame, index: str, history: DataFrame | None = None, carry
     old_windows = stored(spark, runs, WINDOWS_RUN, "least_id", buckets) if runs else empty("bucket int, age long, keys array<long>, check array<int>, least_id array<long>")
 
     sent = X.grouped(texts, "batch", partial(send_marks, buckets=buckets), SENT)
-    met = X.joined(sent, old_marks, "bucket", join_marks, MET)
-    asked = X.meet(texts, met.where(F.col("kind") == REPLY).select("batch", "keys"), partial(answer_windows, buckets=buckets), ASKED)
+    met = X.joined(sent, old_marks, "bucket", join_marks, MET).repartition("batch")
+    asked = X.meet(texts, of_kind(met, REPLY).select("batch", "keys"), partial(answer_windows, buckets=buckets), ASKED)
     if runs and history is not None:
-        calls = met.where(F.col("kind") == CALL).select(F.inline(F.arrays_zip(F.col("owners").alias("row"), F.col("keys").alias("key"))))
+        calls = of_kind(met, CALL).select(F.inline(F.arrays_zip(F.col("owners").alias("row"), F.col("keys").alias("key"))))
         asked = asked.unionByName(earlier_windows(history, calls, buckets))
-    found = X.joined(asked, old_windows, "bucket", least_ids, FOUND)
+    found = X.joined(asked, old_windows, "bucket", least_ids, FOUND).repartition("batch")
     carried = [f"_carry_{i} {batch.schema[c].dataType.simpleString()}" for i, c in enumerate(carry)]
-    result = X.meet(texts, found.where(F.col("kind") == REPLY).select("batch", "keys", "check", "least_id"), drop_repeats, ", ".join([RESULT, *carried]))
+    result = X.meet(texts, of_kind(found, REPLY).select("batch", "keys", "check", "least_id"), drop_repeats, ", ".join([RESULT, *carried]))
     result = finish(result) if finish else result
 
     # one job writes result and run, so that each shuffle is made once
     rows = result.select(F.lit(RESULT_ROW).alias("kind"), F.struct("*").alias("row"))
-    new_marks = met.where(F.col("kind") == RUN).select(F.lit(MARKS_RUN).alias("kind"), "bucket", "keys", "owners")
-    new_windows = found.where(F.col("kind") == RUN).select(F.lit(WINDOWS_RUN).alias("kind"), "bucket", "keys", "check", "least_id")
+    new_marks = of_kind(met, RUN).select(F.lit(MARKS_RUN).alias("kind"), "bucket", "keys", "owners")
+    new_windows = of_kind(found, RUN).select(F.lit(WINDOWS_RUN).alias("kind"), "bucket", "keys", "check", "least_id")
     every = rows.unionByName(new_marks, allowMissingColumns=True).unionByName(new_windows, allowMissingColumns=True)
     path = f"{index}/run-{uuid.uuid4().hex}"
     every.write.parquet(path)
