@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, and their SQL where SQL can express them."""
+"""The registered queries of the operators, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, jaccard, licenses, lm, packing, rules, sharding, substring, suffixes
+from . import bpe, fim, fingerprints, jaccard, licenses, lm, merkle, packing, ppm, rules, sharding, substring, suffixes
 from .runtime import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 SHARDS = 8
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +78,25 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
+    return merkle.verified_manifest(docs, tampered, F.translate("text", UPPER, UPPER.lower()))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fim.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return found.select(
+        "doc_id", "_fim.n", "_fim.form", "_fim.prefix_chars", "_fim.middle_chars",
+        digest(F.col("_fim.output")).alias("output_sha256"), digest(fim.restored(F.col("_fim.output"), F.col("_fim.form"))).alias("restored_sha256"),
+    )
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.identified(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_license_scan": op2_license_scan,
@@ -88,10 +108,23 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_fingerprints": op10_fingerprints,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_language_id": op13_language_id,
 }
 
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+CRC_SQL = "SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc"
+#: Rows of documents as fields: - for null, else byte count, colon, value.
+FIELD = lambda c: f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR), '-')"
+LEAF = lambda text: f"sha256({' || '.join(map(FIELD, ['doc_id', 'source', 'lang', 'n_chars', text]))})"
+#: All levels of the trees over (tree, i, n, h): i is the place in the level, n the level's nodes.
+LEVELS = lambda name, base: f"""{name}(tree, lvl, i, n, h) AS (SELECT tree, 0, i, n, h FROM {base} UNION ALL
+  SELECT tree, lvl + 1, i // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM {name} WHERE n > 1 GROUP BY tree, lvl, i // 16, n)"""
+#: The way up of each leaf of base: siblings before and after, with # for the node between them.
+UPS = lambda base, levels: f"""SELECT b.tree, b.i, list(x ORDER BY lvl) AS ups FROM (SELECT b.tree, b.i, t.lvl,
+  coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (t.i < b.i >> (4 * t.lvl)), '') || '#' || coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (t.i > b.i >> (4 * t.lvl)), '') AS x
+  FROM {base} b JOIN {levels} t ON t.tree = b.tree AND t.n > 1 AND t.i >> 4 = b.i >> (4 * (t.lvl + 1)) GROUP BY 1, 2, 3) b GROUP BY 1, 2"""
 
 ORACLE_SQL = {
     "op1_substring_dedup": f"""
@@ -131,4 +164,29 @@ kept AS (SELECT doc_id, string_agg(x, '' ORDER BY p) AS t FROM (SELECT doc_id, p
 SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n, 0) AS n_removed, coalesce(spans, 0) AS n_spans,
   sha256(unhex(CASE WHEN n IS NULL THEN h ELSE coalesce(t, '') END)) AS kept_sha256
 FROM d LEFT JOIN spans USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op11_merkle_manifest": f"""
+WITH RECURSIVE crc AS ({CRC_SQL}),
+a AS (SELECT doc_id, coalesce('+' || source, '') AS tree, {LEAF('text')} AS h, {LEAF(f"translate(text, '{UPPER}', '{UPPER.lower()}')")} AS other,
+  list_transform(regexp_extract_all(hex(encode(coalesce(CAST(doc_id AS VARCHAR), ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS b FROM documents),
+l AS (SELECT doc_id, tree, h, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n,
+  CASE WHEN xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1])), 4294967295) % 5 = 0 THEN other ELSE h END AS told FROM a, crc),
+{LEVELS('t', 'l')},
+s AS (SELECT '' AS tree, tree AS own, h, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+{LEVELS('u', 's')},
+p AS ({UPS('l', 't')}), q AS ({UPS('s', 'u')}),
+w AS (SELECT l.doc_id, l.h AS leaf, s.h AS subroot, (SELECT h FROM u WHERE n = 1) AS root, l.told, list_concat(coalesce(p.ups, []), coalesce(q.ups, [])) AS ups
+  FROM l JOIN s ON s.own = l.tree LEFT JOIN p ON p.tree = l.tree AND p.i = l.i LEFT JOIN q ON q.i = s.i),
+f AS (SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(ups, ''), '#', '')) AS proof_sha256,
+  list_reduce(list_prepend(told, ups), lambda acc, x: sha256(replace(x, '#', acc))) AS folded_root FROM w)
+SELECT *, folded_root = root AS verified FROM f""",
+    "op12_fill_in_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w,
+  sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+r AS (SELECT doc_id, text, w, len(w) AS n, list_transform([1, 9, 17, 25], lambda k: CAST('0x' || substring(h, k, 8) AS BIGINT)) AS h FROM d),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+  CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM r),
+x AS (SELECT *, array_to_string(w[1 : a], '') AS p, array_to_string(w[a + 1 : b], '') AS m, array_to_string(w[b + 1 : n], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM x""",
 }

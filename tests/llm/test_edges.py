@@ -8,7 +8,7 @@ import pytest
 import corpus_pipeline
 from lexmill.llm import queries
 
-NAMES = ["batch", "bucket", "keys", "row", "key", "shard", "slot", "_range", "text_key", "component", "group", "level", "salt", "path", "_carry_0", "_gone", "kind"]
+NAMES = ["batch", "bucket", "keys", "row", "key", "shard", "slot", "_range", "text_key", "component", "group", "level", "salt", "path", "_carry_0", "_gone", "kind", "tree", "digest", "carry", "n", "own", "index", "lettered"]
 
 
 def documents():
