@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Mapping
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@cache
+def local_dir() -> str:
+    return tempfile.mkdtemp(prefix="lexmill-")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the cluster shares, as spark.checkpoint.dir names it. Where none is set, a local
     session gets a temporary one; on a cluster that is an error, as executors could not see it."""
@@ -21,8 +27,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        shared = tempfile.mkdtemp(prefix="lexmill-")
-        spark.conf.set("spark.checkpoint.dir", shared)
+        shared = local_dir()
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
