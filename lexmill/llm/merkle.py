@@ -136,7 +136,7 @@ def descend(front: DataFrame, trees: Forest, requests: DataFrame | None = None)
         below = here.select(
             *names, "digest", F.concat("path", F.array(others(F.col("_digit")))).alias("path"), F.lit(level - 1).alias("_depth"), (F.col("_place") * FANOUT + F.col("_digit")).alias("_place")
         )
-        front = front.where(F.col("_depth") < level).select(below.columns).unionByName(asked(below, level - 1, "_place"))
+        front = written(front.where(F.col("_depth") < level).select(below.columns).unionByName(asked(below, level - 1, "_place")), "front")
     runs = trees.wants.withColumnRenamed("run", "_place")
     lone = front.where("_depth = 0").withColumn("children", F.array("digest"))
     ends = opened(front.where("_depth = 1"), 1).unionByName(lone.select(*front.columns, "children"), allowMissingColumns=True) if trees.levels else lone
