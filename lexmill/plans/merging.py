@@ -49,7 +49,7 @@ def d1(spark, sf_dir):
     raw = lambda *c: F.concat(*c)
     rows = table(spark, sf_dir, "part").select(
         "p_partkey",
-        name_key(raw("p_name", F.lit("（试行）"), "p_brand", F.lit("(2024)")), "brackets").alias("k1"),
+        name_key(raw("p_name", F.lit("（试行)"), "p_brand", F.lit("(2024）")), "brackets").alias("k1"),
         name_key(raw("p_name", F.lit("（x-"), F.lit("x"), "p_brand"), "span").alias("k2"),
         name_key(raw(F.lit("《"), "p_name", F.lit("》a·b")), "quotes").alias("k3"),
     )

@@ -87,13 +87,13 @@ def r8(spark, sf_dir):
     return sparse(spark, sf_dir, cases, 5).select("query", "doc_id", F.col("rank").cast("long").alias("rank"))
 
 
-TAGS = ["the", "der", "les", "que", "license", "version", "idiot", "scum"]
-TAG_SQL = f"t AS (SELECT DISTINCT doc_id, term AS tag FROM ({TOKEN_ROWS}) WHERE term IN ({', '.join(repr(t) for t in TAGS)}))"
+TAGS = ["the", "der", "les", "que", "license", "version", "idiot", "scum", "of the", "that and", "und der", "de la", "version 2", "not a term of any text"]
+TAG_SQL = f"""v AS (SELECT doc_id, concat(' ', array_to_string({TOKENS}, ' '), ' ') AS x FROM documents), g AS (SELECT unnest({TAGS!r}) AS tag),
+t AS (SELECT doc_id, tag FROM v, g WHERE contains(x, concat(' ', tag, ' ')))"""
 
 
 def tags(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", retrieve.tokenize("text").alias("tokens"))
-    return graph.tag_vocabulary(docs, "doc_id", "tokens", spark.createDataFrame([(t,) for t in TAGS], "tag string"))
+    return graph.tag_vocabulary(table(spark, sf_dir, "documents"), "doc_id", "text", spark.createDataFrame([(t,) for t in TAGS], "tag string"))
 
 
 @plan("k2_tag_vocabulary", f"WITH {TAG_SQL} SELECT doc_id, tag FROM t")
@@ -106,12 +106,12 @@ def k3(spark, sf_dir):
     return graph.shared_tag_edges(tags(spark, sf_dir), "doc_id")
 
 
-@plan("k3_rows_sharing_a_tag", f"WITH {TAG_SQL} SELECT CAST(a.doc_id AS VARCHAR) AS src, CAST(b.doc_id AS VARCHAR) AS dst FROM t a JOIN t b ON a.tag = b.tag AND a.doc_id <> b.doc_id WHERE a.doc_id % 500 = 0 GROUP BY 1, 2")
+@plan("k3_rows_sharing_a_tag", f"WITH {TAG_SQL} SELECT CAST(a.doc_id AS VARCHAR) AS src, CAST(b.doc_id AS VARCHAR) AS dst FROM t a JOIN t b ON a.tag = b.tag AND a.doc_id <> b.doc_id WHERE a.doc_id % 100 = 0 GROUP BY 1, 2")
 def k3_pairs(spark, sf_dir):
-    """What the tag nodes tie together: two steps from every seed, the stated query set being ids divisible by 500."""
+    """What the tag nodes tie together: two steps from every seed, the stated query set being ids divisible by 100."""
     out = graph.shared_tag_edges(tags(spark, sf_dir), "doc_id").select("src", "dst", F.lit(1.0).alias("weight"))
     back = out.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    seeds = out.select(F.col("src").alias("seed")).where("try_cast(seed AS long) % 500 = 0").distinct()
+    seeds = out.select(F.col("src").alias("seed")).where("try_cast(seed AS long) % 100 = 0").distinct()
     found = graph.expand_hops(seeds, out.unionByName(back), 2, 0.5 ** 0.5).where("hop = 2")
     return found.where("node <> seed").select(F.col("seed").alias("src"), F.col("node").alias("dst"))
 
@@ -140,7 +140,29 @@ def k4(spark, sf_dir):
 def k6(spark, sf_dir):
     rows = edges(spark, sf_dir).withColumn("weight", F.lit(0.8))
     seeds = rows.where("src LIKE 'c%'").select(F.col("src").alias("seed"))
-    return graph.expand_hops(seeds, rows, 3, 0.5)
+    return graph.expand_hops(seeds, rows, 3, 0.5).select("seed", "node", "hop", "score")
+
+
+#: A nation ties to all its customers, and customers and regions to segments, so that a supplier has several ways to one.
+WAYS = """SELECT concat('s', s_suppkey) AS src, concat('n', s_nationkey) AS dst, 'seat' AS kind, 0.9 AS weight FROM {supplier}
+ UNION ALL SELECT concat('n', c_nationkey), concat('c', c_custkey), 'client', 0.5 + 0.1 * (c_custkey % 5) FROM {customer}
+ UNION ALL SELECT concat('c', c_custkey), concat('m', c_mktsegment), 'segment', 0.75 FROM {customer}
+ UNION ALL SELECT concat('n', n_nationkey), concat('r', n_regionkey), 'part', 0.8 FROM {nation}
+ UNION ALL SELECT DISTINCT concat('r', n_regionkey), concat('m', c_mktsegment), 'market', 0.05 * (1 + n_regionkey) * length(c_mktsegment) / 4 FROM {nation}, (SELECT DISTINCT c_mktsegment FROM {customer})"""
+PATHS_SQL = f"""WITH RECURSIVE e AS (SELECT src, dst, kind, CAST(weight AS DOUBLE) AS weight FROM ({WAYS.format(supplier="supplier", customer="customer", nation="nation")})),
+w(seed, node, hop, score, path, kinds) AS (SELECT DISTINCT src, src, 0, CAST(1 AS DOUBLE), src, '' FROM e WHERE src LIKE 's%' UNION ALL
+  SELECT seed, dst, hop + 1, round(score * 0.5 * weight, 9), concat(path, '>', dst), concat(kinds, '>', kind) FROM w JOIN e ON src = node WHERE hop < 3)
+SELECT seed, node, hop, score, path, kinds FROM w QUALIFY row_number() OVER (PARTITION BY seed, node ORDER BY score DESC, hop, string_split(path, '>')) = 1"""
+
+
+@plan("k6_best_paths", PATHS_SQL)
+def k6_paths(spark, sf_dir):
+    """Best paths from every supplier, by way of nations with many edges."""
+    tables = {n: table(spark, sf_dir, n) for n in ("supplier", "customer", "nation")}
+    rows = spark.sql(WAYS, **tables).withColumn("weight", F.col("weight").cast("double"))
+    seeds = rows.where("src LIKE 's%'").select(F.col("src").alias("seed"))
+    found = graph.expand_hops(seeds, rows, 3, 0.5, least_edges=20)
+    return found.select("seed", "node", "hop", "score", F.array_join("path", ">").alias("path"), F.concat(F.when(F.size("kinds") > 0, ">").otherwise(""), F.array_join("kinds", ">")).alias("kinds"))
 
 
 I1_SQL = f"""WITH {MARKED_SQL} SELECT CASE WHEN doc_id % 2 = 0 THEN 'even.org' ELSE 'odd.org' END AS source, doc_id AS page_id, CASE WHEN doc_id % 3 = 0 THEN '第一条' END AS label,

@@ -155,16 +155,50 @@ def k1(spark, sf_dir):
     return graph.citation_edges(chunks(spark, sf_dir), laws(spark, sf_dir), "chunk_id", "doc_id", "body")
 
 
+#: Laws with a country prefix, or with brackets that do not match, and how a chunk names one; for both engines.
+CORE = "concat('law', o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '无人机条例' WHEN 1 THEN '管理办法' ELSE '实施细则' END)"
+NAMED_LAWS = f"""o_orderkey AS law, {CORE} AS core, CASE WHEN o_orderkey % 2 = 0 THEN concat('law', o_orderkey, '号令') END AS short,
+  CASE o_orderkey % 3 WHEN 0 THEN concat('中华人民共和国law', o_orderkey, ' 无人机条例') WHEN 1 THEN concat({CORE}, '（试行)') ELSE concat({CORE}, '(2020年修正）') END AS name"""
+CITING = """concat(l_orderkey, '-', i) AS src, l_orderkey AS own, CASE l_partkey % 6 WHEN 0 THEN concat('依照《', name, '》第一条') WHEN 1 THEN concat('见《', core, '》第二条、第三条。')
+  WHEN 2 THEN concat('《', core, '（修订）》第四条') WHEN 3 THEN concat('违反', core, '第五条的') WHEN 4 THEN concat('按law', l_suppkey, '号令第六条') ELSE concat('《', core, '实施办法》第七条，本法第八条') END AS body"""
+
+
+@plan(
+    "k1_citations_by_name",
+    f"""WITH {NUMBERED_SQL}, laws AS (SELECT {NAMED_LAWS} FROM orders), c AS (SELECT concat(l_orderkey, '-', i) AS src, l_orderkey AS own, law, short, l_partkey % 6 AS v FROM m JOIN laws ON law = l_suppkey)
+SELECT src, CASE WHEN v = 5 OR v = 4 AND short IS NULL THEN own ELSE law END AS dst_law, unnest(CASE v WHEN 0 THEN ['第一条'] WHEN 1 THEN ['第二条', '第三条'] WHEN 2 THEN ['第四条'] WHEN 3 THEN ['第五条'] WHEN 4 THEN ['第六条'] ELSE ['第八条'] END) AS dst_article FROM c""",
+)
+def k1_names(spark, sf_dir):
+    """Citations by full name, by key with and without a suffix, unquoted, by short name, and of an unregistered law whose
+    name begins like a registered one's."""
+    named = spark.sql(f"SELECT {NAMED_LAWS} FROM {{orders}}", orders=table(spark, sf_dir, "orders"))
+    citing = numbered(spark, sf_dir).join(named, F.col("law") == F.col("l_suppkey"))
+    citing = spark.sql(f"SELECT {CITING} FROM {{rows}}", rows=citing)
+    return graph.citation_edges(citing, named.withColumnRenamed("law", "own"), "src", "own", "body", short="short")
+
+
 @plan("k7_supersedes_edges", f"WITH {ARTICLES_SQL} SELECT DISTINCT a.doc_id AS new, a.l_suppkey AS old FROM articles a JOIN orders ON l_suppkey = o_orderkey WHERE l_partkey % 11 = 0")
 def k7(spark, sf_dir):
     return graph.supersedes_edges(chunks(spark, sf_dir), laws(spark, sf_dir), "doc_id", "body")
 
 
-@plan("r7_cite_context", f"WITH {ARTICLES_SQL} SELECT 'law' || doc_id || '::' || label AS chunk_id, '《law' || doc_id || '》' || label AS citation, i = 1 AS primary_hit FROM articles WHERE i <= 2")
+@plan(
+    "r7_cite_context",
+    f"""WITH {ARTICLES_SQL}, c AS (SELECT doc_id, i, 'law' || doc_id || '::' || label AS chunk_id, '《law' || doc_id || '》' || label AS citation, o_orderstatus AS status, body, l_suppkey, l_partkey % 7 = 0 AS cites FROM articles JOIN orders ON doc_id = o_orderkey),
+e AS (SELECT DISTINCT a.doc_id AS query, b.chunk_id, b.citation, b.status, b.body, a.chunk_id AS via FROM c a JOIN c b ON b.doc_id = a.l_suppkey AND b.i = 1 WHERE a.i <= 2 AND a.cites AND NOT (b.doc_id = a.doc_id))
+SELECT doc_id AS query, chunk_id, citation, status, md5(body) AS text_md5, true AS primary, CAST(NULL AS VARCHAR) AS path FROM c WHERE i <= 2
+UNION ALL SELECT query, chunk_id, any_value(citation), any_value(status), md5(any_value(body)), false, min(via) || '>' || chunk_id FROM e GROUP BY query, chunk_id""",
+)
 def r7(spark, sf_dir):
+    """The first two articles of each law as hits, and the articles that they cite as what the graph adds."""
     rows = chunks(spark, sf_dir)
-    hits = rows.where("label IN ('第一条', '第二条')").select("chunk_id", (F.col("label") == "第一条").alias("primary_hit"))
-    return cite_context(hits, rows, "chunk_id", "name", "label").select("chunk_id", "citation", "primary_hit")
+    hits = rows.where("label IN ('第一条', '第二条')").select(F.col("doc_id").alias("query"), "chunk_id")
+    cited = graph.citation_edges(rows.join(hits, "chunk_id", "left_semi"), laws(spark, sf_dir), "chunk_id", "doc_id", "body")
+    edges = cited.select("src", F.concat(F.lit(LAWS), F.col("dst_law").cast("string"), F.lit("::"), "dst_article").alias("dst"), F.lit("cites").alias("kind"), F.lit(1.0).alias("weight"))
+    reached = graph.expand_hops(hits.select(F.col("chunk_id").alias("seed")), edges, 1, 0.5).where("hop > 0")
+    reached = reached.join(hits.withColumnRenamed("chunk_id", "seed"), "seed").select("query", F.col("node").alias("chunk_id"), "path")
+    found = cite_context(hits, rows, "chunk_id", "name", "label", "status", "body", reached)
+    return found.select("query", "chunk_id", "citation", "status", F.md5("text").alias("text_md5"), "primary", F.array_join("path", ">").alias("path"))
 
 
 @plan("t15_repair_numbers", f"WITH {NUMBERED_SQL} SELECT l_orderkey AS doc_id, sum(length('weight ' || l_suppkey || ' and more') + length(c || '.' || i || ' part ' || l_partkey) + 2) + (SELECT sum(length(q.c || ' flag ' || q.l_returnflag) + 1) FROM (SELECT DISTINCT l_orderkey, c, l_returnflag FROM m) q WHERE q.l_orderkey = m.l_orderkey) - 1 AS n_chars FROM m GROUP BY 1")
