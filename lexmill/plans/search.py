@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import graph, retrieve
 from ..operators.classify import current_only
 from ..sources.tables import scratch, table
-from ..streaming.ingest import page_chunks, read_store, stream_ingest
+from ..streaming.ingest import page_chunks, stream_ingest
+from ..streaming.store import read_store
 from .catalog import plan
 from .fixtures import MARKED_SQL, marked_up
 

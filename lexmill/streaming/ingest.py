@@ -5,20 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.merge import distinct_by_key, upsert_by_source
+from ..operators.merge import distinct_by_key
 from ..operators.segment import split_or_fulltext
 from ..sources.html import page_paragraphs
 from ..sources.tables import written
-
-#: The store's folders; a batch rewrites those of its pages.
-SLOTS = 32
-CHUNKS = "source string, page_id long, art_pos int, chapter string, section string, label string, body string, chunk_id string, slot int"
+from . import store
 
 
 def page_texts(pages: DataFrame) -> DataFrame:
-    """(page_id, source, text): the host of each page, and its paragraphs as lines."""
+    """(page_id, source, text, gone): the host of each page, its paragraphs as lines, and whether it has no html."""
     text = F.array_join(page_paragraphs(F.col("html")), "\n")
-    return pages.select("page_id", F.regexp_extract("url", r"^[a-z]+://([^/:?#]+)", 1).alias("source"), text.alias("text"))
+    return pages.select("page_id", F.regexp_extract("url", r"^[a-z]+://([^/:?#]+)", 1).alias("source"), text.alias("text"), F.col("html").isNull().alias("gone"))
 
 
 def text_chunks(docs: DataFrame) -> DataFrame:
@@ -33,40 +30,25 @@ def page_chunks(pages: DataFrame) -> DataFrame:
     return text_chunks(page_texts(pages))
 
 
-def read_store(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CHUNKS).parquet(path)
-
-
-def stream_ingest(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, schema: str) -> None:
+def stream_ingest(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, schema: str, ratio: int = store.RATIO) -> None:
     """Process the files that have arrived since the last run, then stop.
 
-    The checkpoint keeps finished files from being read again. A batch replaces all chunks of its pages: the folders of
-    their slots are merged, written aside and put in place, so one that is repeated after a failure leaves the same
-    rows. Of several versions of a page in one batch that of the newest file counts.
+    The checkpoint keeps finished files from being read again. Each batch is one run of the store, published at once; one
+    that is repeated after a failure is brought in once. A page that comes again replaces all its chunks, one without
+    html is gone. Of several versions of a page in one batch that of the newest file counts. Runs are merged after a
+    batch where their sizes ask for it.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        slot = F.pmod(F.xxhash64("page_id"), F.lit(SLOTS)).cast("int").alias("slot")
-        newest = distinct_by_key(batch, "page_id", [F.col("arrived").desc(), F.xxhash64("html")])
-        docs = written(page_texts(newest), "arrived")
-        slots = [r["slot"] for r in docs.select(slot).distinct().collect()]  # SLOTS at most
-        if not slots:
-            return
-        new = text_chunks(docs).select("*", slot)
-        if exists(spark, out_dir):
-            # all chunks of a page are replaced, those that its new version no longer has too
-            store = read_store(spark, out_dir).where(F.col("slot").isin(slots))
-            new = upsert_by_source(store, new, "page_id")
-        # read from the store and written aside first, as the store's folders are overwritten
-        merged = written(new, "merged")
-        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slot").parquet(out_dir)
+        def run() -> tuple[DataFrame, DataFrame]:
+            newest = distinct_by_key(batch, "page_id", [F.col("arrived").desc(), F.xxhash64("html")])
+            docs = written(page_texts(newest), "arrived")
+            return docs, text_chunks(docs.where("NOT gone"))
+
+        store.add_run(spark, out_dir, checkpoint, number, run)
+        store.compact(spark, out_dir, ratio)
 
     pages = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(in_dir)
     pages = pages.select("*", F.col("_metadata.file_modification_time").alias("arrived"))
     query = pages.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)

@@ -50,7 +50,8 @@ def test_query_without_sql_runs(spark, name):
 def test_stream_equals_batch(spark, tmp_path):
     """Two arrivals of raw pages, one of them twice, leave what one batch job makes."""
     from lexmill.sources.tables import table
-    from lexmill.streaming.ingest import page_chunks, read_store, stream_ingest
+    from lexmill.streaming.ingest import page_chunks, stream_ingest
+    from lexmill.streaming.store import read_store
 
     pages = table(spark, SF_DIR, "pages")
     inbox, out, checkpoint = (f"{tmp_path}/{n}" for n in ("in", "out", "progress"))
