@@ -327,6 +327,17 @@ def surrogate(hashed: int) -> int:
     return hashed | -(1 << 63)
 
 
+def same_document(sets: DataFrame, members: DataFrame) -> DataFrame:
+    """Links (a, b) from the least to all other classes that have a row of one doc_id."""
+    keys = ["set_one", "set_two"]
+    rows = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    several = rows.groupBy("doc_id").agg(*(F.min(k).alias(f"{k}_min") for k in keys), *(F.max(k).alias(f"{k}_max") for k in keys))
+    several = several.where("set_one_min <> set_one_max OR set_two_min <> set_two_max").select("doc_id")
+    held = rows.join(several, "doc_id", "left_semi").select("doc_id", *keys).distinct().join(members.select(*keys, "class_id"), keys)
+    least = held.groupBy("doc_id").agg(F.min("class_id").alias("a"))
+    return held.join(least, "doc_id").where("a < class_id").select("a", F.col("class_id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id that links lead to) of every document, and ``text_key``
     (a hash of its text) and ``component`` (a number of its component, whether its documents have ids or not).
@@ -359,7 +370,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     star = groups.where((F.col("x.class_id") != F.col("hub.class_id")) & may_match(*(F.col(f"{s}.{c}") for s in ("hub", "x") for c in ("n", "shared"))))
     star = star.select(F.col("hub.class_id").alias("a"), F.col("x.class_id").alias("b")).distinct()
-    links = written(similar(candidates(star, classes), whole), "links")
+    links = written(similar(candidates(star, classes), whole).unionByName(same_document(sets, members)), "links")
     so_far = components(links, "first")
     placed = groups.select(F.col("hub.class_id").alias("hub"), "x.class_id", "x.n").distinct()
     placed = placed.join(so_far, F.col("class_id") == F.col("node"), "left").select("hub", "class_id", "n", F.coalesce("component", "class_id").alias("component"))

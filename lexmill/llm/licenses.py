@@ -101,7 +101,9 @@ STATEMENT = r"(?i)licen[sc]ed\s+under\s|spdx-license-identifier|(released|distri
 UNKNOWN = "unknown"
 LEAST_COSINE = 0.8
 #: Names of files that speak for their directory and all below it.
-LICENCE_FILE = r"(?i)^(licen[cs]e|copying|unlicense|notice)([.\-_].*)?$"
+LICENCE_FILE = r"(?i)(?:^|/)(licen[cs]e|copying|unlicense|notice)([.\-_][^/]*)?$"
+#: What has a word (RE2).
+WORDED = r"[0-9A-Za-z]|[^\x00-\x7f]"
 
 #: Words are runs of ASCII letters and digits and of bytes over 127.
 BREAKS = ~np.isin(np.arange(256), [*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)])
@@ -242,7 +244,8 @@ def scan(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, least: f
 
     files: path and text. ``licence`` is the file's own, else that of the nearest licence file (by name, with a
     statement of its own) in its directory or one above it, the least path of several in one directory;
-    A block counts before a line; a statement that is not recognised makes the licence ``unknown``.
+    A block counts before a line; a statement that is not recognised makes the licence ``unknown``, as do
+    any words of a licence file in which nothing is recognised.
     ``licence_from`` is the path of the file that states it. A null or empty text states nothing; a null path has
     no directories. Repeated paths keep their rows. Of other columns those of ``carry`` come along; an empty table gives
     no rows.
@@ -267,8 +270,9 @@ def scan(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, least: f
             high, block, begin = best_blocks(found, blocks, least)
             for x in np.flatnonzero(block >= 0):
                 score[x], where[x], stated[x], names[x] = high[x], begin[x], True, blocks.names[block[x]]
-            looks = pc.match_substring_regex(batch.column("text"), STATEMENT).to_pylist()
-            names = [UNKNOWN if name is None and look else name for name, look in zip(names, looks)]
+            meets = lambda column, pattern: pc.match_substring_regex(batch.column(column), pattern).to_pylist()
+            looks, is_file, worded = meets("text", STATEMENT), meets("path", LICENCE_FILE), meets("text", WORDED)
+            names = [UNKNOWN if name is None and (look or file and words) else name for name, look, file, words in zip(names, looks, is_file, worded)]
             lines = pa.array([x if s else None for x, s in zip(where.tolist(), stated.tolist())], pa.int64())
             rows = [batch.column("path"), pa.array(names, pa.string()), pa.array(np.round(score, 6)), lines, *(batch.column(x) for x in carried)]
             yield pa.RecordBatch.from_arrays(rows, names_of)
@@ -277,7 +281,7 @@ def scan(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, least: f
     found = written(files.mapInArrow(run, "path string, own_licence string, cosine double, line long" + kinds), "licences")
     folder = F.regexp_replace("path", r"/?[^/]*$", "")
     found = found.withColumn("folder", folder)
-    speakers = found.where(F.col("own_licence").isNotNull() & F.regexp_extract("path", r"([^/]*)$", 1).rlike(LICENCE_FILE))
+    speakers = found.where(F.col("own_licence").isNotNull() & F.col("path").rlike(LICENCE_FILE))
     speakers = speakers.groupBy("folder").agg(F.min(F.struct("path", "own_licence")).alias("speaker"))
 
     # every directory once, with itself and all directories above it; the root is the empty path

@@ -408,7 +408,7 @@ def ingest(batch: DataFrame, index: str, history: DataFrame | None = None, carry
     """Deduplicate a batch of documents against an index and itself, and add it to the index.
 
     index: a folder in shared storage; a new one is an empty index. history: the documents that were ingested before (or
-    any table that has them all), needed from the second ingest on; of these only documents that were the only ones to
+    any table that has them all), needed from the second ingest on, else that is an error; of these only documents that were the only ones to
     have a fingerprint, and no longer are, are read. Returns, for each document of the batch: word counts, the kept words
     joined by spaces (UTF-8), and the removed spans of words. A word goes if a window over it also starts in a document
     of smaller id, in the batch or ingested before; earlier results are not taken back.
@@ -419,7 +419,10 @@ def ingest(batch: DataFrame, index: str, history: DataFrame | None = None, carry
     is kept. Result and run are written together, and the run counts from then on; an ingest that fails changes nothing.
     """
     spark = batch.sparkSession
-    runs = compacted(spark, index, runs_of(spark, index))
+    runs = runs_of(spark, index)
+    if runs and history is None:
+        raise ValueError("history is needed to ingest into an index that has runs")
+    runs = compacted(spark, index, runs)
     texts, _, buckets = X.batched(batch, BATCH_BYTES, row=F.xxhash64("doc_id", "text"), **{f"_carry_{i}": F.col(c) for i, c in enumerate(carry)})
     buckets = max([buckets, *(r.buckets for r in runs)])
     empty = lambda names: spark.createDataFrame([], names)
@@ -429,7 +432,7 @@ def ingest(batch: DataFrame, index: str, history: DataFrame | None = None, carry
     sent = X.grouped(texts, "batch", partial(send_marks, buckets=buckets), SENT)
     met = X.joined(sent, old_marks, "bucket", join_marks, MET).repartition("batch")
     asked = X.meet(texts, of_kind(met, REPLY).select("batch", "keys"), partial(answer_windows, buckets=buckets), ASKED)
-    if runs and history is not None:
+    if runs:
         calls = of_kind(met, CALL).select(F.inline(F.arrays_zip(F.col("owners").alias("row"), F.col("keys").alias("key"))))
         asked = asked.unionByName(earlier_windows(history, calls, buckets))
     found = X.joined(asked, old_windows, "bucket", least_ids, FOUND).repartition("batch")

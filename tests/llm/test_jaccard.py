@@ -69,6 +69,14 @@ def test_null_and_repeated_ids(spark):
     assert sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in rows) == [(-1, -1), (-1, 5), (-1, 5), (2, 2), (5, 5), (5, 5)]
 
 
+def test_rows_of_one_id_with_other_texts(spark):
+    """They are one document: what links to any of its texts is linked to all of them, over several such ids too."""
+    texts = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abcdef"}
+    docs = [(5, "a"), (5, "b"), (3, "a"), (7, "b"), (9, "c"), (9, "d"), (9, "e"), (8, "e"), (8, "f"), (7, "f"), (20, "c"), (None, "d"), (None, "a"), (30, "x")]
+    rows = jaccard.near_duplicates(spark.createDataFrame([(i, texts.get(k, "alone")) for i, k in docs], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or -1, r["component_id"]) for r in rows) == sorted((i or -1, 30 if i == 30 else 3) for i, _ in docs)
+
+
 def test_empty_table(spark):
     assert jaccard.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -49,10 +49,10 @@ def test_scores_and_inheritance(spark):
     for path, row in rows.items():
         score, name = want.get(path or "none", (0, None))
         assert row["cosine"] == pytest.approx(score, abs=1e-5)
-        assert row["own_licence"] == (name if score >= licenses.LEAST_COSINE else None)
+        assert row["own_licence"] == (name if score >= licenses.LEAST_COSINE else "unknown" if path == "a/LICENSE-empty" else None)
     at = lambda p: (rows[p]["licence"], rows[p]["licence_from"])
     assert at("a/c/d/x.py") == ("Apache-2.0", "a/c/COPYING.txt") and at("a/c/own.py") == ("GPL-3.0", "a/c/own.py")
-    assert at("a/LICENSE-empty") == ("MIT", "a/LICENSE") and at("z/q.txt") == (None, None) and at("top.txt") == (None, None)
+    assert at("a/LICENSE-empty") == ("unknown", "a/LICENSE-empty") and at("z/q.txt") == (None, None) and at("top.txt") == (None, None)
     assert rows[None]["licence"] == "MIT"
 
 
@@ -108,7 +108,7 @@ def test_inheritance_against_walking_up(spark):
         path = f"{folder()}/{name}".lstrip("/")
         files.setdefault(path, rng.choice(statements) if name[0] in "LCl" else "code here")
     rows = licenses.scan(spark.createDataFrame([(p, t, i) for i, (p, t) in enumerate(files.items())], "path string, text string, line long"), carry=["line"]).collect()
-    speakers = {p: t for p, t in files.items() if t not in ("nothing", "code here")}
+    speakers = {p: t for p, t in files.items() if t != "code here"}
     for r in rows:
         want = r["path"] if r["path"] in speakers else nearest(r["path"], speakers)
         assert r["licence_from"] == want
@@ -122,3 +122,11 @@ def test_repeats_nulls_and_query_without_ids(spark, tmp_path):
     found = queries.op2_license_scan(spark, str(tmp_path)).collect()
     assert sorted((r["doc_id"] or -1) for r in found) == [-1, -1, 1, 5, 7, 7]
     assert {r["own_licence"] for r in found if r["doc_id"] is None} == {"CC-BY-4.0", None}
+
+
+def test_licence_files_that_are_not_recognised(spark):
+    """A licence file with any words speaks for its folder, though nothing in it is known; one without words does not."""
+    files = [("LICENSE", "Released under the MIT License."), ("b/LICENSE", "All rights reserved. No part of this may be copied."), ("b/c/LICENSE.txt", " \n"), ("b/y.py", "none"), ("b/c/z.py", ""), ("d/copying-notes.txt", "x")]
+    found = {r["path"]: (r["licence"], r["licence_from"]) for r in licenses.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    unknown = ("unknown", "b/LICENSE")
+    assert found == {"LICENSE": ("MIT", "LICENSE"), "b/LICENSE": unknown, "b/c/LICENSE.txt": unknown, "b/y.py": unknown, "b/c/z.py": unknown, "d/copying-notes.txt": ("unknown", "d/copying-notes.txt")}

@@ -92,6 +92,16 @@ def test_runs_of_fewer_buckets(spark, tmp_path, monkeypatch):
     assert found_rows([*first, *second]) == found_rows(substring.drop_repeated_passages(frame, ingests=1).collect())
 
 
+def test_history_is_needed(spark, tmp_path):
+    text = " ".join(f"w{i}" for i in range(80))
+    first, second = (spark.createDataFrame([(i, text)], "doc_id long, text string") for i in (10, 20))
+    index = f"{tmp_path}/index"
+    substring.ingest(first, index).collect()
+    with pytest.raises(ValueError, match="history"):
+        substring.ingest(second, index)
+    assert [r["n_removed"] for r in substring.ingest(second, index, first).collect()] == [80]
+
+
 def test_empty_table(spark):
     assert substring.drop_repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
