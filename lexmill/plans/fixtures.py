@@ -130,19 +130,41 @@ h AS (SELECT o_orderkey AS doc_id, '第' || o_orderkey || '号' || CASE o_orderk
       FROM orders JOIN customer ON o_custkey = c_custkey)"""
 
 
+#: Letters that pages have as named references.
+REFERENCES = {"&": "&amp;", "<": "&lt;", ">": "&gt;", "é": "&eacute;", "ü": "&uuml;", "ß": "&szlig;", "ñ": "&ntilde;", "ç": "&#231;", "è": "&#xE8;"}
+
+
+def referenced(text):
+    for letter, name in REFERENCES.items():
+        text = F.replace(text, F.lit(letter), F.lit(name))
+    return text
+
+
 def marked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """a page for each document, its lines as paragraphs of an article, unclosed ones in every second page, among
-    scripts, comments, a menu and a footer that are no paragraphs."""
-    safe = lambda x: F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    paragraph = lambda x: F.concat(F.lit('<p class="x">'), safe(x), F.when(F.col("doc_id") % 2 == 0, "</p>").otherwise(""))
-    body = F.array_join(F.transform(F.split("text", "\n"), paragraph), "")
+    """a page for each document, its lines as paragraphs of an article, unclosed ones in every second page and the
+    first of them in an article of its own, among scripts, comments, a menu and a footer that are no paragraphs; signs
+    of tags in quoted attributes, letters as references."""
+    paragraph = lambda x: F.concat(F.lit('<p class="x" title="1 > 0 </article>">'), referenced(x), F.when(F.col("doc_id") % 2 == 0, "</p>").otherwise(""))
+    body = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.when(i == 0, F.concat(F.lit("<article id=inner>"), paragraph(x), F.lit("</article>"))).otherwise(paragraph(x))), "")
     page = F.concat(
-        F.lit('<!DOCTYPE html><html><head><title>t</title><style>p{a:b}</style><script>x="<p>no</p>";</script></head><body><NAV>menu</NAV><!-- <p>no</p> --><article>'), body,
+        F.lit('<!DOCTYPE html><html><head><title>t</title><style>p{a:b}</style><script>if(a<b){x="<p>no</p>";}</script></head><body data-a=\'>\'><NAV>menu</NAV><!-- <p>no</p> --><article>'), body,
         F.lit("</article><noscript><p>no</p></noscript><footer>&copy; &#72;&#x65;re</footer></body></html>"),
     )
     return table(spark, sf_dir, "documents").select("doc_id", page.alias("html"))
 
 
+def portal_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a portal's page for each document: its listed title twice, a date, its lines, of every third one the later
+    ones as articles, and notices of the portal; the container is named by its class."""
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.when((F.col("doc_id") % 3 == 0) & (i == 1), "第二条 ").otherwise(""), referenced(x)))
+    title = F.concat(F.lit("华东地区：《规定"), F.col("doc_id").cast("string"), F.lit("》"))
+    page = F.concat(
+        F.lit("<body><div><span>2024-5-6</span> <span> 2024-05-06 </span><span>2024-05-07</span></div><div class='wide view'><div><h1>"), title, F.lit("</h1></div><div>分享</div>"),
+        F.lit("<p>"), F.array_join(lines, "<br>"), F.lit("<p>"), title, F.lit("</p><div>下载：x</div></div><p>footer</body>"),
+    )
+    return table(spark, sf_dir, "documents").select("doc_id", page.alias("html"))
+
+
 _LINES = f"list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(regexp_replace(x, '[{SPACE}]+', ' ', 'g'), '^ +| +$', '', 'g')), lambda x: x <> '')"
 #: F5's lines: ps are an article's paragraphs, ls what the page's paragraphs are.
 MARKED_SQL = f"""

@@ -9,7 +9,7 @@ from ..operators import classify, merge
 from ..sources import html as H
 from ..sources.tables import explode_pages, read_csv_inventory, read_json_records, read_pages, scratch, table, write_inventory
 from .catalog import plan
-from .fixtures import FIELDS, HEADED_SQL, MARKED_SQL, headed, marked_up
+from .fixtures import FIELDS, HEADED_SQL, MARKED_SQL, headed, marked_up, portal_pages
 
 
 
@@ -118,15 +118,19 @@ def t2(spark, sf_dir):
     return paragraphs(H.html_paragraphs(marked_up(spark, sf_dir), "doc_id", "html", "p"))
 
 
-T3_SQL = f"""WITH {MARKED_SQL}, x AS (SELECT doc_id, list_filter(ps, lambda x: NOT regexp_matches(x, '^(?i)(share|subscribe|advert|de )') AND NOT contains(x, 'idiot')) AS xs FROM l WHERE len(ps) > 0)
-SELECT doc_id, count(*) AS n, md5(string_agg(para, chr(10) ORDER BY k)) AS body_md5 FROM (SELECT doc_id, xs[1] AS first, unnest(xs) AS para, unnest(range(0, len(xs))) AS k FROM x) WHERE k = 0 OR para <> first GROUP BY 1"""
+#: A document's lines, without the portal's own and without title lines; from the second one on where that is an article.
+T3_SQL = f"""WITH x AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x, i: (i, CASE WHEN doc_id % 3 = 0 AND i = 2 THEN concat('第二条 ', x) ELSE x END)) AS ls FROM documents),
+r AS (SELECT doc_id, unnest(ls) AS l, doc_id % 3 = 0 AND len(ls) > 1 AS labelled, len(ls) AS n FROM x),
+s AS (SELECT doc_id, labelled, l[1] AS i, regexp_replace(regexp_replace(l[2], '[{X.SPACE}]+', ' ', 'g'), '^ +| +$', '', 'g') AS para FROM r UNION ALL SELECT DISTINCT doc_id, labelled, n + 1, concat('华东地区：《规定', doc_id, '》') FROM r)
+SELECT doc_id, '2024-05-06' AS date, count(*) AS n, md5(string_agg(para, chr(10) ORDER BY i)) AS body_md5 FROM s
+WHERE para <> '' AND NOT contains(para, 'idiot') AND (NOT labelled AND para NOT LIKE '%《%' OR labelled AND i > 1) GROUP BY 1"""
 
 
 @plan("t3_article_body", T3_SQL)
 def t3(spark, sf_dir):
-    found = H.article_body(marked_up(spark, sf_dir), "doc_id", "html", "(?i)^(share|subscribe|advert|de )|^menu$|^© Here$", "idiot")
+    found = H.article_body(portal_pages(spark, sf_dir), "doc_id", "html", "^分享$", "idiot|^下载：", [".view"])
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "para"))), lambda s: s["para"]), "\n")
-    return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.md5(body).alias("body_md5"))
+    return found.groupBy("doc_id", "date").agg(F.count("*").alias("n"), F.md5(body).alias("body_md5"))
 
 
 @plan("t4_strip_tags", f"SELECT page_id, md5(regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '^[{X.SPACE}]+|[{X.SPACE}]+$', '', 'g')) AS text_md5 FROM pages")

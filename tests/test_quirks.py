@@ -103,6 +103,9 @@ LONG = "word " * 60
         ("<body><nav>menu</nav><article><p>short</article><p>after</body>", "auto", ["menu", "short", "after"]),
         (f"<body><main>{LONG}<span>more</span></main></body>", "auto", [LONG.strip(), "more"]),
         (f"<body><article>{LONG}<br>end\nline", "lines", [LONG.strip(), "end", "line"]),
+        (f'<article title="a > b">{LONG}<article>inner<p>in</article>rest &eacute;&notin;&amp;lt; &copy 2</article>after', "lines", [LONG.strip(), "inner", "in", "rest é∉&lt; © 2"]),
+        ("<p title='x > y'>a<p a=\"b>c</p>d\">e</p><p x=it's>f<p a=\"open>g</p>", "p", ["a", "e", "f", "g"]),
+        ("<script>if(a<b){x='</p>'}</script><p>a<!-- > <p>b --><b>c</b> < d<p>e", "p", ["a c < d", "e"]),
         ("<p>unclosed <b>tag", "p", ["unclosed tag"]), ("", "auto", []), (None, "p", []), ("no tags at all", "auto", ["no tags at all"]),
     ],
 )
@@ -110,12 +113,40 @@ def test_pages(spark, html, mode, found):
     assert paragraphs(spark, html, mode) == found
 
 
+@pytest.mark.parametrize(
+    ("selector", "found"),
+    [("#zoom", ["id"]), (".view", ["class", "nested"]), ("div.view", ["class", "nested"]), ("p.view", ["all"]), (".vie", ["all"]), ("section", ["all"]), ("#ZOOM", ["all"])],
+)
+def test_containers_by_selector(spark, selector, found):
+    html = "<body><div id=zoom>id</div><div class='wide view'>class<div>nested</div></div>last</body>"
+    assert paragraphs(spark, html, "auto", [selector]) == ["id", "class", "nested", "last"]  # none has enough text
+    long = html.replace("id<", f"id{LONG}<").replace("nested", f"nested{LONG}")
+    whole = [x.replace("id", f"id{LONG}".strip()).replace("nested", f"nested{LONG}".strip()) for x in (["id", "class", "nested", "last"] if found == ["all"] else found)]
+    assert paragraphs(spark, long, "auto", [selector]) == whole
+
+
+def test_tags_are_read_in_linear_time():
+    import time
+
+    from lexmill.sources.html import Page
+
+    for html in ("<p a='" * 20_000, "<" * 100_000, "<!--" * 50_000, "<script>" * 3000, '<p a="b" c=\'' * 20_000, "<article>" * 20_000):
+        began = time.time()
+        page = Page(html)
+        page.lines(*page.container(["article"], 0))
+        assert time.time() - began < 5
+
+
 def test_article_body(spark):
     from lexmill.sources.html import article_body
 
-    pages = [(1, "<article>Title<p>Share this<p>第一条 a<p>Title<p>all rights reserved"), (2, "<article><h1>Title</h1><p>text<p>Title</p></article><p>out"), (3, None)]
+    pages = [
+        (1, "<i>2024-01-02</i><article>Title<p>Share this<p>第一条 a<p>《Title》<p>all rights reserved"), (2, "<article><h1>华东地区：《Title》</h1><p>text<p>《Title》 again</p><p>《half</article><p>out<i> 2023-10-01\n</i><i>2020-01-01"),
+        (3, None), (4, "<article>on 2024-01-02</article>"),
+    ]
     found = article_body(spark.createDataFrame(pages, "id int, html string"), "id", "html", "(?i)^share", "(?i)all rights reserved")
-    assert [tuple(r)[::2] for r in found.orderBy("id", "pos").collect()] == [(1, "第一条 a"), (1, "Title"), (2, "Title"), (2, "text")]
+    got = [(r["id"], r["date"], r["para"]) for r in found.orderBy("id", "pos").collect()]
+    assert got == [(1, "2024-01-02", "第一条 a"), (1, "2024-01-02", "《Title》"), (2, "2023-10-01", "text"), (2, "2023-10-01", "《half"), (4, None, "on 2024-01-02")]
 
 
 def test_bytes_in_other_encodings(spark):
