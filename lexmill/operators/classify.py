@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import has_any, strip
+from ..functions.text import SPACE, has_any, strip
+
+#: A condition on a line.
+LineTest = Callable[[Column], Column]
+#: Numerals that an attachment may be counted by.
+HAN_DIGITS = "一二三四五六七八九十"
 
 
 def payload_gate(df: DataFrame, status: str, n_bytes: str, starts_ok: Column, min_bytes: int = 3072) -> DataFrame:
@@ -169,7 +174,7 @@ def coalesce_meta(df: DataFrame, fields: Mapping[str, Sequence[Column]]) -> Data
 
 
 def clean_body(
-    df: DataFrame, text: str, anchors: Sequence[str], footers: Sequence[str], noise: str, title: str | None = None, starts: str | None = None, ends: str | None = None
+    df: DataFrame, text: str, anchors: Sequence[str], footers: Sequence[str], noise: LineTest, title: str | None = None, starts: LineTest | None = None, ends: LineTest | None = None
 ) -> DataFrame:
     """Add body: the text after the line of the first anchor present, up to the earliest footer, without noise lines and
     without a non-blank line that equals the one kept before it; blank lines break a run.
@@ -184,7 +189,7 @@ def clean_body(
     out = df.withColumn("_after", after)
     marks = [F.nullif(F.locate(f, F.col("_after")), F.lit(0)) for f in footers]
     cut = F.least(F.length("_after") + 1, *marks)  # nulls do not count
-    lines = F.filter(F.split(F.substring(F.col("_after"), F.lit(1), cut - 1), "\n"), lambda x: ~x.rlike(noise))
+    lines = F.filter(F.split(F.substring(F.col("_after"), F.lit(1), cut - 1), "\n"), lambda x: ~noise(x))
     out = out.withColumn("_lines", lines)
     same = lambda x, i: (strip(x) != "") & (i > 0) & F.coalesce(strip(x) == strip(F.get("_lines", i - 1)), F.lit(False))
     out = out.withColumn("body", strip(F.array_join(F.filter("_lines", lambda x, i: ~same(x, i)), "\n")))
@@ -197,17 +202,49 @@ def clean_body(
     return out.drop("_after", "_lines")
 
 
-def dewrapped(text: Column, starts: str, ends: str) -> Column:
+def head_number(line: Column, numerals: str) -> tuple[Column, Column]:
+    """Whether a line begins with numerals, and the character after them."""
+    rest = F.ltrim(line, F.lit(numerals))
+    return F.length(rest) < F.length(line), F.substring(rest, 1, 1)
+
+
+def starts_paragraph(line: Column, numerals: str, digits: str, units: str, points: str) -> Column:
+    """Whether a line opens a paragraph, by its first characters: it is indented by a wide space, or begins with a label
+    (第, a number, a unit), a number in brackets, a number and 、, or digits and a point."""
+    text = strip(line)
+    rest = F.substring(text, F.lit(2), F.length(text))
+    labelled, unit = head_number(rest, numerals + digits)
+    counted, mark = head_number(text, numerals)
+    numbered, point = head_number(text, digits)
+    return (
+        line.startswith("\u3000")
+        | (text.startswith("第") & labelled & unit.isin(*units))
+        | (F.substring(text, 1, 1).isin("（", "(") & labelled & unit.isin("）", ")"))
+        | (counted & (mark == "、"))
+        | (numbered & point.isin(*points))
+    )
+
+
+def ends_sentence(line: Column, marks: str) -> Column:
+    return F.substring(line, -1, 1).isin(*marks)
+
+
+def dewrapped(text: Column, starts: LineTest, ends: LineTest) -> Column:
     """The text with the lines of each paragraph joined: a line joins the one before unless it starts a paragraph or that
-    one ends a sentence; blank lines go. Only raw neighbours matter, so each line decides for itself, in its row."""
-    lines = F.filter(F.split(text, "\r\n|\r|\n"), lambda x: strip(x) != "")
-    ended = F.transform(lines, lambda x: strip(x).rlike(ends))
-    opens = lambda x, i: (i > 0) & (x["line"].rlike(starts) | F.get(ended, i - 1))
-    pairs = F.arrays_zip(lines.alias("line"))
-    return F.array_join(F.transform(pairs, lambda x, i: F.concat(F.when(opens(x, i), "\n").otherwise(""), strip(x["line"]))), "")
+    one ends a sentence; blank lines go. Only raw neighbours matter, so each line decides for itself, in its row.
+    ``starts`` is asked of lines as they stand, ``ends`` of trimmed ones."""
+    lines = F.filter(F.transform(F.split(text, "\r\n|\r|\n"), lambda x: F.struct(x.alias("line"), strip(x).alias("text"))), lambda s: s["text"] != "")
+    marked = F.transform(lines, lambda s: F.struct(s["text"].alias("text"), starts(s["line"]).alias("starts"), ends(s["text"]).alias("ends")))
+
+    def joined(rows: Column) -> Column:
+        opens = lambda s, i: (i > 0) & (s["starts"] | F.get(rows, i - 1)["ends"])
+        return F.array_join(F.transform(rows, lambda s, i: F.concat(F.when(opens(s, i), "\n").otherwise(""), s["text"])), "")
 
+    # bound to a variable, so that lines are tested once
+    return F.get(F.transform(F.array(marked), joined), F.lit(0))
 
-def dewrap(df: DataFrame, doc: str, text: str, starts: str, ends: str) -> DataFrame:
+
+def dewrap(df: DataFrame, doc: str, text: str, starts: LineTest, ends: LineTest) -> DataFrame:
     """(doc, pos, line): the paragraphs of each text."""
     rows = df.select(doc, F.posexplode(F.split(dewrapped(F.col(text), starts, ends), "\n")).alias("pos", "line"))
     return rows.where("line <> ''")
@@ -226,16 +263,27 @@ def parse_header(df: DataFrame, text: str, fields: Mapping[str, str]) -> DataFra
     return df.withColumns({name: F.nullif(strip(F.regexp_extract(text, pattern, 1)), F.lit("")) for name, pattern in fields.items()})
 
 
-def measure_body(df: DataFrame, text: str, title: str, marks: Sequence[str], attachment: str, files: str) -> DataFrame:
-    """Add body_len (characters before the first metadata label, without the title and white space), has_attachment and
-    attachments (distinct file names in order)."""
+def measure_body(df: DataFrame, text: str, title: str, marks: Sequence[str], fields: Mapping[str, str], signs: Sequence[str], endings: Sequence[str], word: str = "附件", longest: int = 80) -> DataFrame:
+    """Add body_len (characters before the first metadata label, without the title and white space), has_attachment,
+    attachments (distinct file names in order), and what ``fields`` names, as ``parse_header`` does: the record's address
+    and id.
+
+    There is an attachment where one of ``signs`` stands, or ``word`` before a number. A file name is what follows the
+    word, its number and punctuation, on one line, up to the first of ``endings`` after at most ``longest`` characters.
+    A null title is not taken out; a null text has no lengths.
+    """
     ends = [F.coalesce(F.nullif(F.locate(m, F.col(text)), F.lit(0)), F.length(text) + 1) for m in marks]
     body = F.substring(F.col(text), F.lit(1), F.least(*ends, F.length(text) + 1) - 1)
-    core = F.regexp_replace(F.replace(body, F.col(title), F.lit("")), r"(?U)\s+", "")
-    return (
-        df.withColumn("body_len", F.length(core)).withColumn("has_attachment", F.col(text).rlike(attachment))
-        .withColumn("attachments", F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(files), F.lit(1)), strip)))
-    )
+    core = F.regexp_replace(F.replace(body, F.coalesce(title, F.lit("")), F.lit("")), f"[{SPACE}]+", "")
+    after = F.slice(F.split(text, word), 2, 1 << 30)  # what stands after each word
+    blank, digits, points = " \t\r\n\u3000", "0123456789", ":：、."
+    numbered = F.exists(after, lambda x: F.substring(F.ltrim(x, F.lit(blank)), 1, 1).isin(*HAN_DIGITS, *digits))
+    ending = "|".join(sorted(endings, key=len, reverse=True))
+    named = lambda x: F.ltrim(F.ltrim(F.ltrim(x, F.lit(blank)), F.lit(HAN_DIGITS + digits)), F.lit(blank + points))
+    files = F.transform(after, lambda x: strip(F.regexp_extract(named(x), f"(?i)^[^\n]{{0,{longest}}}?[.](?:{ending})", 0)))
+    out = df.withColumn("body_len", F.length(core)).withColumn("has_attachment", has_any(text, signs) | numbered)
+    out = out.withColumn("attachments", F.array_distinct(F.filter(files, lambda x: x != "")))
+    return parse_header(out, text, fields)
 
 
 def collect_links(df: DataFrame, html: str) -> DataFrame:

@@ -10,13 +10,19 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import written
 
-def priority_dedup(df: DataFrame, key: str, order: Sequence[Column | str]) -> tuple[DataFrame, DataFrame]:
-    """First row of each key in the given order, and the others. An empty or null key never repeats another."""
+def priority_dedup(df: DataFrame, key: str, order: Sequence[Column | str], note: str | None = None, prefix: str = "[跨源重复,已在更高优先源] ") -> tuple[DataFrame, DataFrame]:
+    """First row of each key in the given order, and the others. An empty or null key never repeats another.
+
+    With ``note``, a column of remarks, those of the excluded rows begin with ``prefix``; a null remark counts as empty.
+    """
     first = F.row_number().over(Window.partitionBy(key).orderBy(*order))
     keyed = F.coalesce(F.col(key), F.lit("")) != ""
     ranked = df.where(keyed).withColumn("_rank", first)
     kept = ranked.where("_rank = 1").drop("_rank").unionByName(df.where(~keyed))
-    return kept, ranked.where("_rank > 1").drop("_rank")
+    excluded = ranked.where("_rank > 1").drop("_rank")
+    if note is not None:
+        excluded = excluded.withColumn(note, F.concat(F.lit(prefix), F.coalesce(note, F.lit(""))))
+    return kept, excluded
 
 
 def anti_existing(new: DataFrame, existing: DataFrame, key: str, order: Sequence[Column | str], own_prefix: Column | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .merge import distinct_by_key
@@ -15,9 +15,19 @@ def distribution(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(F.coalesce(F.col(column).cast("string"), F.lit("?")).alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value")
 
 
-def totals_by_section(df: DataFrame, column: str) -> DataFrame:
-    """Rows by value and their grand total (value ``total``)."""
-    return df.rollup(column).agg(F.count("*").alias("n"), F.grouping(column).alias("_g")).select(F.when(F.col("_g") == 1, "total").otherwise(F.col(column)).alias("value"), "n")
+def totals_by_section(df: DataFrame, column: str, order: Sequence[str] = (), stored: Column | None = None) -> DataFrame:
+    """(value, n, n_yes, n_no, place): rows by value, and all (value ``total``, last), with how many are stored and how many
+    are not.
+
+    ``order`` fixes the place of its values, those without rows left out; others follow by name, null last. ``stored`` is a
+    condition; a null one is a no, without one all rows are stored. An empty table gives no rows.
+    """
+    yes = F.coalesce(stored, F.lit(False)) if stored is not None else F.lit(True)
+    rows = df.select(F.col(column).cast("string").alias("value"), yes.alias("yes"))
+    sums = rows.rollup("value").agg(F.count("*").alias("n"), F.count_if("yes").alias("n_yes"), F.count_if(~F.col("yes")).alias("n_no"), F.grouping("value").alias("all"))
+    fixed = F.coalesce(F.array_position(F.array(*map(F.lit, order)).cast("array<string>"), F.col("value")), F.lit(0))
+    place = F.row_number().over(Window.orderBy("all", F.when(fixed == 0, len(order) + 1).otherwise(fixed), F.col("value").asc_nulls_last()))  # a row for each value
+    return sums.select(F.when(F.col("all") == 1, "total").otherwise(F.col("value")).alias("value"), "n", "n_yes", "n_no", place.alias("place")).orderBy("place")
 
 
 def chunks_per_doc(docs: DataFrame, chunks: DataFrame, doc: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -67,7 +69,7 @@ def q1(spark, sf_dir):
     return classify.payload_gate(pages, "status", "n_bytes", F.col("html").startswith("<!DOCTYPE") & (F.col("page_id") % 5 != 0)).select("page_id", "ok", "reason")
 
 
-VISIBLE_SQL = f"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>', '', 'g'), '(?s)<[^>]+>', '', 'g'), '[{X.SPACE}]+', '', 'g')"
+VISIBLE_SQL = f"trim(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script *>|<style[^>]*>.*?</style *>|<[^>]+>', ' ', 'g'), '[{X.SPACE}]+', ' ', 'g'))"
 
 
 @plan("q2_visible_text_len", f"SELECT page_id, length({VISIBLE_SQL}) AS n, length({VISIBLE_SQL}) < 200 AS shell FROM pages")
@@ -178,16 +180,26 @@ ANCHORS = ["专题分类：", "法规类别：", "效力位阶："]
 FOOTERS = ["引用本篇的法规", "引用本篇", "©北大法宝", "*注：本文格式", "法宝快讯", "本篇引用的法规"]
 NOISE_LABELS = ["下载日期：", "【法宝引证码】", "扫描二维码", "原文链接："]
 NOISE_LINES = ["附件预览"]
-NUMERALS, UNITS = "一二三四五六七八九十", "条章节款项"
+NUMERALS, DIGITS, UNITS, POINTS = "一二三四五六七八九十百零两", "0123456789", "条章节款项", "、.．"
 SENTENCE_ENDS = "。；：！？；」）】.:!?"
 
-PAGE_NUMBER = "[0-9]+/[0-9]+"
-NOISE_LINE = "^[ \t]*(?:" + "|".join([PAGE_NUMBER, *(f"{label}.*" for label in NOISE_LABELS), *NOISE_LINES]) + ")[ \t]*$"
-PARAGRAPH_START = "|".join(
-    rf"^\s*{sign}"
-    for sign in (f"第[{NUMERALS}百零两0-9]+[{UNITS}]", f"[（(][{NUMERALS}0-9]+[）)]", f"[{NUMERALS}]+、", "[0-9]+[、.．]", "\u3000")
-)
-SENTENCE_END = f"[{SENTENCE_ENDS}]$"
+
+def noise_line(line):
+    """A page's place among all (``3/12``), a line that begins with a label, or one that is a mark."""
+    text = F.trim(line)
+    return has_prefix(text, NOISE_LABELS) | text.isin(*NOISE_LINES) | text.rlike("^[0-9]+/[0-9]+$")
+
+
+def has_prefix(text, labels):
+    return reduce(lambda a, b: a | b, (text.startswith(x) for x in labels))
+
+
+def paragraph_start(line):
+    return classify.starts_paragraph(line, NUMERALS, DIGITS, UNITS, POINTS)
+
+
+def sentence_end(line):
+    return classify.ends_sentence(line, SENTENCE_ENDS)
 
 
 @plan("t11_clean_body", f"WITH {HEADED_SQL} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '' ELSE '人工智能' END || name || chr(10) || '第一条 ' || c_name || '末行' AS body FROM h")
@@ -196,7 +208,7 @@ def t11(spark, sf_dir):
     rows = headed(spark, sf_dir).withColumn("known", F.when(F.col("doc_id") % 2 == 0, F.col("name")))
     block = F.regexp_extract("text", "(?s)^(.*【法宝引证码】[^\n]*\n)", 1)
     rows = rows.withColumn("text", F.concat(block, F.lit("人工智能\n"), "name", F.lit("\n"), F.substring(F.col("text"), F.length(block) + 1, F.length("text"))))
-    return classify.clean_body(rows, "text", ANCHORS, FOOTERS, NOISE_LINE, "known", PARAGRAPH_START, SENTENCE_END).select("doc_id", "body")
+    return classify.clean_body(rows, "text", ANCHORS, FOOTERS, noise_line, "known", paragraph_start, sentence_end).select("doc_id", "body")
 
 
 T12_SQL = """
@@ -209,7 +221,7 @@ GROUP BY doc_id, b"""
 
 @plan("t12_dewrap", f"SELECT doc_id, md5(para) AS para_md5 FROM ({T12_SQL})")
 def t12(spark, sf_dir):
-    return classify.dewrap(table(spark, sf_dir, "documents"), "doc_id", "text", r"^\s*[A-Z]", "[.!?]$").select("doc_id", F.md5("line").alias("para_md5"))
+    return classify.dewrap(table(spark, sf_dir, "documents"), "doc_id", "text", lambda x: x.rlike(r"^\s*[A-Z]"), lambda x: classify.ends_sentence(x, ".!?")).select("doc_id", F.md5("line").alias("para_md5"))
 
 
 @plan("t13_strip_footer", f"SELECT doc_id, md5(regexp_replace(string_split_regex(text, 'Released under|Licensed under')[1], '[{X.SPACE}]+$', '')) AS text_md5 FROM documents")
@@ -226,10 +238,29 @@ def t14(spark, sf_dir):
 MARKS = ["制定机关：", "发文字号：", "【法宝引证码】", "公布日期：", "效力位阶："]
 
 
-@plan("t16_measure_body", f"WITH {HEADED_SQL} SELECT doc_id, length('正文' || c_mktsegment) AS body_len, false AS has_attachment, 0 AS n_attachments FROM h")
+#: What tells of attachments, and endings of files. Fixed values.
+ATTACHMENT_SIGNS = ["附件预览", "附件:", "附件：", "见附件"]
+FILE_ENDINGS = ["pdf", "doc", "docx", "xls", "xlsx", "jpg", "jpeg", "png", "zip", "rar", "txt"]
+
+T16_SQL = f"""WITH {HEADED_SQL} SELECT doc_id, length('正文' || c_mktsegment) AS body_len, doc_id % 5 < 4 AS has_attachment, concat('CLI.', doc_id) AS record_id,
+ CASE WHEN doc_id % 2 = 0 THEN concat('https://x.org/', doc_id) END AS record_url,
+ array_to_string(CASE doc_id % 5 WHEN 0 THEN [concat('申请 表', doc_id, '.PDF')] WHEN 1 THEN ['a.xlsx', 'b.doc'] ELSE [] END, '|') AS attachments FROM h"""
+
+
+@plan("t16_measure_body", T16_SQL)
 def t16(spark, sf_dir):
-    rows = classify.measure_body(headed(spark, sf_dir), "text", "name", MARKS, "附件预览|附件[:：]|见附件", r"附件\s*[0-9]*[\s:：]*([^\n]{0,80}?\.(?:pdf|docx?|xlsx?))")
-    return rows.select("doc_id", F.col("body_len").cast("long").alias("body_len"), "has_attachment", F.size("attachments").alias("n_attachments"))
+    """Some records with files of other numbers and endings, some that only mention attachments, every second one with
+    an address."""
+    key, kind = F.col("doc_id").cast("string"), F.col("doc_id") % 5
+    files = (
+        F.when(kind == 0, F.concat(F.lit("附件1：申请 表"), key, F.lit(".PDF 下载")))
+        .when(kind == 1, "附件一、a.xlsx\n附件 二\n b.doc，附件1 a.xlsx").when(kind == 2, "见附件").when(kind == 3, "附件3").otherwise("附 件 1 c.pdf")
+    )
+    address = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("\n原文链接： https://x.org/"), key, F.lit(" 见")))
+    rows = headed(spark, sf_dir).withColumn("text", F.concat("text", F.lit("\n"), files, F.coalesce(address, F.lit(""))))
+    wanted = {"record_url": FIELDS["url"], "record_id": FIELDS["record_id"]}
+    rows = classify.measure_body(rows, "text", "name", MARKS, wanted, ATTACHMENT_SIGNS, FILE_ENDINGS)
+    return rows.select("doc_id", F.col("body_len").cast("long").alias("body_len"), "has_attachment", "record_id", "record_url", F.array_join("attachments", "|").alias("attachments"))
 
 
 @plan("t17_collect_links", """SELECT page_id, len(list_distinct(l)) AS n_links, len(list_distinct(list_filter(l, lambda x: regexp_matches(x, '(?i)\\.(?:pdf|docx?|xlsx?|zip|rar)|download|attach|file')))) AS n_attachments FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]+)"', 1) AS l FROM pages)""")

@@ -56,11 +56,15 @@ def d1(spark, sf_dir):
     return rows
 
 
-@plan("d2_priority_dedup", "SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY source, doc_id) = 1 AS kept FROM documents")
+D2_SQL = """SELECT doc_id, r = 1 AS kept, CASE WHEN r = 1 THEN remark ELSE concat('[跨源重复,已在更高优先源] ', coalesce(remark, '')) END AS remark
+FROM (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY source, doc_id) AS r, CASE WHEN doc_id % 3 > 0 THEN lang END AS remark FROM documents)"""
+
+
+@plan("d2_priority_dedup", D2_SQL)
 def d2(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2("text", 256).alias("key"))
-    kept, excluded = merge.priority_dedup(docs, "key", ["source", "doc_id"])
-    return kept.select("doc_id", F.lit(True).alias("kept")).unionByName(excluded.select("doc_id", F.lit(False).alias("kept")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2("text", 256).alias("key"), F.when(F.col("doc_id") % 3 > 0, F.col("lang")).alias("remark"))
+    kept, excluded = merge.priority_dedup(docs, "key", ["source", "doc_id"], "remark")
+    return kept.select("doc_id", F.lit(True).alias("kept"), "remark").unionByName(excluded.select("doc_id", F.lit(False).alias("kept"), "remark"))
 
 
 @plan("d3_anti_existing", "SELECT min(doc_id) AS doc_id FROM documents WHERE source >= 'src5' GROUP BY text HAVING text NOT IN (SELECT text FROM documents WHERE source < 'src5' AND source <> 'src1')")

@@ -15,9 +15,15 @@ def a1(spark, sf_dir):
     return report.distribution(table(spark, sf_dir, "documents"), "source")
 
 
-@plan("a2_totals_by_section", "SELECT coalesce(p_brand, 'total') AS value, count(*) AS n FROM part GROUP BY ROLLUP (p_brand)")
+SECTIONS = ["Brand#31", "Brand#22", "no such brand", "Brand#13"]
+A2_SQL = f"""WITH s AS (SELECT p_brand AS value, grouping(p_brand) AS g, count(*) AS n, count_if(p_size > 10) AS n_yes, count_if(p_size <= 10) AS n_no FROM part GROUP BY ROLLUP (p_brand))
+SELECT CASE WHEN g = 1 THEN 'total' ELSE value END AS value, n, n_yes, n_no, row_number() OVER (ORDER BY g, coalesce(nullif(coalesce(list_position({SECTIONS!r}, value), 0), 0), 5), value) AS place FROM s"""
+
+
+@plan("a2_totals_by_section", A2_SQL)
 def a2(spark, sf_dir):
-    return report.totals_by_section(table(spark, sf_dir, "part"), "p_brand")
+    found = report.totals_by_section(table(spark, sf_dir, "part"), "p_brand", SECTIONS, F.col("p_size") > 10)
+    return found.withColumn("place", F.col("place").cast("long"))
 
 
 @plan("a4_skip_reasons", f"SELECT coalesce({C4_SQL}, 'admitted') AS reason, count(*) AS n FROM documents GROUP BY 1")

@@ -75,7 +75,7 @@ def test_empty_key_never_repeats(spark):
 
 def test_adjacent_lines(spark):
     text = "效力位阶：x\n甲\n甲\n\n甲\n1/3\n乙 引用本篇 z"
-    body = classify.clean_body(spark.createDataFrame([(text,)], "t string"), "t", ["专题分类：", "效力位阶："], ["法宝快讯", "引用本篇"], r"^\s*[0-9]+/[0-9]+\s*$").first()["body"]
+    body = classify.clean_body(spark.createDataFrame([(text,)], "t string"), "t", ["专题分类：", "效力位阶："], ["法宝快讯", "引用本篇"], lambda x: x.rlike(r"^\s*[0-9]+/[0-9]+\s*$")).first()["body"]
     assert body == "甲\n\n甲\n乙"
 
 
@@ -171,11 +171,11 @@ def test_rows_in_force(spark):
 
 
 def test_title_cut_and_paragraphs(spark):
-    from lexmill.plans.intake import ANCHORS, FOOTERS, NOISE_LINE, PARAGRAPH_START, SENTENCE_END
+    from lexmill.plans.intake import ANCHORS, FOOTERS, noise_line, paragraph_start, sentence_end
 
     text = "效力位阶：x\n人工智能\n某某市人工智能产业条例\n第一条 为了\n促进发展。\n（一）甲\n下载日期：1\n乙\n*注：本文格式 z"
     rows = spark.createDataFrame([(1, text, "某某市人工智能产业条例《x》"), (2, text, None), (3, text, "没有这个"), (4, None, "x")], "id int, t string, title string")
-    found = classify.clean_body(rows, "t", ANCHORS, FOOTERS, NOISE_LINE, "title", PARAGRAPH_START, SENTENCE_END).orderBy("id").collect()
+    found = classify.clean_body(rows, "t", ANCHORS, FOOTERS, noise_line, "title", paragraph_start, sentence_end).orderBy("id").collect()
     rest = "某某市人工智能产业条例\n第一条 为了促进发展。\n（一）甲乙"
     assert [r["body"] for r in found] == [rest, "人工智能" + rest, "人工智能" + rest, None]
 
@@ -223,3 +223,34 @@ def test_vectors_in_blocks(spark, monkeypatch):
         for r in retrieve.dense_topk(frame, frame.where("id < 60 AND id % 7 = 0"), "id", "v", 4).orderBy("query", "rank").collect():
             found.setdefault(r["query"], []).append((r["id"], r["score"]))
         assert {q: [x for x, _ in v] for q, v in found.items()} == {q: [x for x, _ in v] for q, v in whole.items()}
+
+
+@pytest.mark.parametrize(
+    ("line", "starts"),
+    [("第一条 x", True), ("　x", True), (" 第12章", True), ("（三）x", True), ("(12)x", True), ("四、x", True), ("5.x", True), ("5．x", True), ("第x条", False), ("第 一条", False), ("（甲）", False), ("一x", False), ("12x", False), ("第一", False), ("x第一条", False), ("", False)],
+)
+def test_first_characters_of_paragraphs(spark, line, starts):
+    from lexmill.plans.intake import paragraph_start
+
+    assert value(spark, paragraph_start(F.lit(line))) == starts
+
+
+@pytest.mark.parametrize(("html", "text"), [("<p>one two</p><p>three</p>", "one two three"), ("a<script >x</p></script\n>b<style>y</style> ", "a b"), ("　a\n\n<br>b", "a b"), ("", ""), (None, None)])
+def test_visible_text(spark, html, text):
+    assert value(spark, X.visible_text(F.lit(html).cast("string"))) == text
+
+
+def test_notes_of_excluded_rows(spark):
+    rows = spark.createDataFrame([(1, "a", "x"), (2, "a", None), (3, "a", "y"), (4, "", "z")], "id int, key string, note string")
+    kept, excluded = merge.priority_dedup(rows, "key", ["id"], "note", "[again] ")
+    assert {(r["id"], r["note"]) for r in kept.collect()} == {(1, "x"), (4, "z")}
+    assert {(r["id"], r["note"]) for r in excluded.collect()} == {(2, "[again] "), (3, "[again] y")}
+
+
+def test_sections_in_order(spark):
+    from lexmill.operators import report
+
+    rows = spark.createDataFrame([("b", True), ("a", None), ("a", False), (None, True), ("c", True)], "s string, stored boolean")
+    found = [tuple(r) for r in report.totals_by_section(rows, "s", ["c", "none", "b"], F.col("stored")).collect()]
+    assert found == [("c", 1, 1, 0, 1), ("b", 1, 1, 0, 2), ("a", 2, 0, 2, 3), (None, 1, 1, 0, 4), ("total", 5, 3, 2, 5)]
+    assert report.totals_by_section(rows.where("false"), "s").count() == 0
