@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import graph, retrieve
+from ..operators import graph, retrieve, versions
 from ..operators.classify import current_only
 from ..sources.tables import scratch, table
 from ..streaming.ingest import page_chunks, stream_ingest
@@ -166,6 +167,39 @@ def k6_paths(spark, sf_dir):
     return found.select("seed", "node", "hop", "score", F.array_join("path", ">").alias("path"), F.concat(F.when(F.size("kinds") > 0, ">").otherwise(""), F.array_join("kinds", ">")).alias("kinds"))
 
 
+def customer_laws(spark, sf_dir):
+    """Orders as laws: each supersedes the one that the customer made before it; dates of every precision."""
+    orders = table(spark, sf_dir, "orders")
+    day = F.when(F.col("o_orderkey") % 10 == 0, F.date_format("o_orderdate", "yyyy-MM")).otherwise(F.date_format("o_orderdate", "yyyy.M.d"))
+    laws = orders.select("o_orderkey", "o_custkey", day.alias("effective"), "o_orderdate")
+    old = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy(F.expr(LOW), "o_orderkey"))
+    edges = orders.select(F.col("o_orderkey").alias("new"), old.alias("old")).where("old IS NOT NULL")
+    return laws, versions.versions(laws, edges, "o_orderkey", "effective")
+
+
+#: The first day that a law of these may be in force; for both engines.
+LOW = "CASE WHEN o_orderkey % 10 = 0 THEN date_trunc('month', o_orderdate) ELSE date_trunc('day', o_orderdate) END"
+ORDER_LAWS = f"o AS (SELECT o_orderkey, o_custkey, CAST({LOW} AS DATE) AS low FROM orders), n AS (SELECT *, lead(low) OVER w AS until, last_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY low, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS newest FROM o WINDOW w AS (PARTITION BY o_custkey ORDER BY low, o_orderkey))"
+
+
+@plan("k7_status_along_chains", f"WITH {ORDER_LAWS} SELECT o_orderkey AS law, CASE WHEN until <= DATE '1997-07-01' THEN '已废止' WHEN low > DATE '1997-07-01' THEN '未生效' ELSE '现行有效' END AS status, newest FROM n")
+def k7_status(spark, sf_dir):
+    return versions.statuses(customer_laws(spark, sf_dir)[1], "1997-07-01").select("law", "status", "newest")
+
+
+@plan(
+    "k7_version_at_a_date",
+    f"WITH RECURSIVE {ORDER_LAWS}, q AS (SELECT o_orderkey AS law, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 900 AS INTEGER) AS day FROM orders), e AS (SELECT o_orderkey AS old, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY low, o_orderkey) AS new FROM o)"
+    ", w(law, day, now) AS (SELECT law, day, law FROM q UNION ALL SELECT w.law, w.day, e.new FROM w JOIN e ON e.old = w.now JOIN o ON o.o_orderkey = e.new WHERE o.low <= w.day)"
+    " SELECT law, arg_max(now, (low, now)) AS version FROM w JOIN o ON o_orderkey = now GROUP BY law, day",
+)
+def k7_version(spark, sf_dir):
+    """What has become of every law up to 900 days after it came."""
+    laws, found = customer_laws(spark, sf_dir)
+    rows = laws.select(F.col("o_orderkey").alias("law"), F.date_add("o_orderdate", (F.col("o_orderkey") % 900).cast("int")).alias("day"))
+    return versions.version_at(rows, found, "law", "day").select("law", "version")
+
+
 I1_SQL = f"""WITH {MARKED_SQL} SELECT CASE WHEN doc_id % 2 = 0 THEN 'even.org' ELSE 'odd.org' END AS source, doc_id AS page_id, CASE WHEN doc_id % 3 = 0 THEN '第一条' END AS label,
  md5(CASE WHEN doc_id % 3 = 0 THEN 'changed ' || doc_id ELSE array_to_string(ls, chr(10)) END) AS body_md5 FROM l"""
 
