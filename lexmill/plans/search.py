@@ -29,8 +29,9 @@ l AS (SELECT doc_id, len({TOKENS}) AS doc_len FROM documents), st AS (SELECT cou
 
 @plan("r2_bm25_index", f"WITH {INDEX} SELECT term, count(*) AS postings, sum(tf) AS occurrences, max(df) AS df FROM tf JOIN f USING (term) GROUP BY 1")
 def r2(spark, sf_dir):
-    postings, _ = retrieve.bm25_index(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return postings.groupBy("term").agg(F.count("*").alias("postings"), F.sum("tf").alias("occurrences"), F.max("df").alias("df"))
+    index = retrieve.bm25_index(table(spark, sf_dir, "documents"), "doc_id", "text")
+    postings = index.blocks.select("term", F.inline("postings")).groupBy("term").agg(F.count("*").alias("postings"), F.sum("tf").alias("occurrences"))
+    return postings.join(index.terms, "term")
 
 
 def sparse(spark, sf_dir, docs=None, k=10):

@@ -202,29 +202,6 @@ def test_long_runs_of_labels(spark):
     assert [r["para"] for r in segment.presplit_paras(rows, "doc_id", "pos", "para").orderBy("part").collect()] == ["第一条 x第三条 x", "第二条 x第九条 x", "第三条 x", "第四条 x"]
 
 
-def test_vectors_in_blocks(spark, monkeypatch):
-    import numpy as np
-
-    from lexmill.operators import retrieve
-
-    rng = np.random.default_rng(4)
-    vectors = rng.integers(-3, 4, (60, 5)).astype(float)
-    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(100, None), (101, [0.0] * 5), (102, vectors[3].tolist())]
-    frame = spark.createDataFrame(rows, "id long, v array<double>")
-    whole = {}
-    for i in range(0, 60, 7):
-        if vectors[i].any():
-            score = {j: round(float(np.dot(vectors[i], w) / np.linalg.norm(vectors[i]) / np.linalg.norm(w)), 6) for j, w in rows if j != i and w and any(w)}
-            whole[i] = sorted(score.items(), key=lambda x: (-x[1], x[0]))[:4]
-    for blocks in ((2048, 16384), (3, 10)):
-        monkeypatch.setattr(retrieve, "QUERY_BLOCK", blocks[0])
-        monkeypatch.setattr(retrieve, "VECTOR_BLOCK", blocks[1])
-        found = {}
-        for r in retrieve.dense_topk(frame, frame.where("id < 60 AND id % 7 = 0"), "id", "v", 4).orderBy("query", "rank").collect():
-            found.setdefault(r["query"], []).append((r["id"], r["score"]))
-        assert {q: [x for x, _ in v] for q, v in found.items()} == {q: [x for x, _ in v] for q, v in whole.items()}
-
-
 @pytest.mark.parametrize(
     ("line", "starts"),
     [("第一条 x", True), ("　x", True), (" 第12章", True), ("（三）x", True), ("(12)x", True), ("四、x", True), ("5.x", True), ("5．x", True), ("第x条", False), ("第 一条", False), ("（甲）", False), ("一x", False), ("12x", False), ("第一", False), ("x第一条", False), ("", False)],
