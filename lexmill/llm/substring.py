@@ -404,8 +404,8 @@ def of_kind(rows: DataFrame, kind: int) -> DataFrame:
     return rows.where(F.col("kind") + F.floor(F.rand(0) / share).cast("int") == kind)
 
 
-def ingest(batch: DataFrame, index: str, history: DataFrame | None = None, carry: Sequence[str] = (), finish: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Deduplicate a batch of documents against an index and itself, and add it to the index.
+def ingest(batch: DataFrame, index: str, history: DataFrame | None = None, carry: Sequence[str] = (), finish: Callable[[DataFrame], DataFrame] | None = None, add: bool = True) -> DataFrame:
+    """Deduplicate a batch of documents against an index and itself, and add it to the index, unless ``add`` is false.
 
     index: a folder in shared storage; a new one is an empty index. history: the documents that were ingested before (or
     any table that has them all), needed from the second ingest on, else that is an error; of these only documents that were the only ones to
@@ -416,13 +416,14 @@ def ingest(batch: DataFrame, index: str, history: DataFrame | None = None, carry
     Words are runs of bytes other than ASCII white space. A null text has no words. Documents of one id, or both
     without an id, are never earlier than each other; a document without an id is later than all with one. The
     columns of ``carry`` come along as ``_carry_0``, ``_carry_1``, ...; others do not. ``finish`` says what of the result
-    is kept. Result and run are written together, and the run counts from then on; an ingest that fails changes nothing.
+    is kept. Result and run are written together, and the run counts from then on; an ingest that fails changes nothing. A
+    batch that is not added writes nothing, and its result is computed where it is used.
     """
     spark = batch.sparkSession
     runs = runs_of(spark, index)
     if runs and history is None:
         raise ValueError("history is needed to ingest into an index that has runs")
-    runs = compacted(spark, index, runs)
+    runs = compacted(spark, index, runs) if add else runs
     texts, _, buckets = X.batched(batch, BATCH_BYTES, row=F.xxhash64("doc_id", "text"), **{f"_carry_{i}": F.col(c) for i, c in enumerate(carry)})
     buckets = max([buckets, *(r.buckets for r in runs)])
     empty = lambda names: spark.createDataFrame([], names)
@@ -439,6 +440,8 @@ def ingest(batch: DataFrame, index: str, history: DataFrame | None = None, carry
     carried = [f"_carry_{i} {batch.schema[c].dataType.simpleString()}" for i, c in enumerate(carry)]
     result = X.meet(texts, of_kind(found, REPLY).select("batch", "keys", "check", "least_id"), drop_repeats, ", ".join([RESULT, *carried]))
     result = finish(result) if finish else result
+    if not add:
+        return result
 
     # one job writes result and run, so that each shuffle is made once
     rows = result.select(F.lit(RESULT_ROW).alias("kind"), F.struct("*").alias("row"))
@@ -453,8 +456,10 @@ def ingest(batch: DataFrame, index: str, history: DataFrame | None = None, carry
 
 def drop_repeated_passages(docs: DataFrame, ingests: int = INGESTS, carry: Sequence[str] = (), finish: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The results of ``ingest`` for a whole table, ingested into a new index in ranges of ascending doc_id, documents
-    without an id last. An empty table gives no rows."""
+    without an id last; a single ingest leaves no index. An empty table gives no rows."""
     index = f"{shared_dir(docs.sparkSession)}/lexmill-passages-{uuid.uuid4().hex}"
+    if ingests == 1:  # nothing comes after it
+        return ingest(docs, index, None, carry, finish, add=False)
     bounds = range_bounds(docs, "doc_id", ingests)
     number = F.when(F.col("doc_id").isNull(), len(bounds)).otherwise(range_of(F.col("doc_id"), bounds))
     out = None

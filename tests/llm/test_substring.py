@@ -102,6 +102,18 @@ def test_history_is_needed(spark, tmp_path):
     assert [r["n_removed"] for r in substring.ingest(second, index, first).collect()] == [80]
 
 
+def test_a_batch_that_is_not_added(spark, tmp_path):
+    docs = [d for d in corpus() if d[0] is not None]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    index = f"{tmp_path}/index"
+    first, second = frame.where("doc_id < 150"), frame.where("doc_id >= 150")
+    assert found_rows(substring.ingest(first, index, add=False).collect()) == found_rows(substring.ingest(first, index).collect())
+    runs = substring.runs_of(spark, index)
+    tried = found_rows(substring.ingest(second, index, first, add=False).collect())
+    assert substring.runs_of(spark, index) == runs and len(runs) == 1
+    assert tried == found_rows(substring.ingest(second, index, first).collect()) and len(substring.runs_of(spark, index)) == 2
+
+
 def test_empty_table(spark):
     assert substring.drop_repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
