@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, has_any, strip
+from ..sources.tables import written
 
 #: A condition on a line.
 LineTest = Callable[[Column], Column]
@@ -250,12 +251,63 @@ def dewrap(df: DataFrame, doc: str, text: str, starts: LineTest, ends: LineTest)
     return rows.where("line <> ''")
 
 
+#: Lines that are no text wherever they stand: page numbers with dashes or none, Roman ones, and entries of contents.
+PAGE_NUMBER = r"^[-—–\s]*[0-9]{1,4}[-—–\s]*$"
+ROMAN_NUMBER = r"^(?:[ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩⅪⅫ]+|[IVX]+|[ivx]+)$"
+CONTENTS_ENTRY = r"…|[.·]{4,}\s*[0-9]+$"
+BARE_NUMBER = "^[0-9]+$"
+
+
+def masked(line: Column) -> Column:
+    """A line as heads and feet of pages are compared: numbers, Arabic or Roman, as one sign, and spaces left out."""
+    return F.regexp_replace(F.regexp_replace(line, r"[0-9]+|\b[ivxIVX]+\b|[ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩⅪⅫ]+", "#"), f"[{SPACE}]+", "")
+
+
+def running_lines(df: DataFrame, doc: str, page: str, pos: str, line: str, edge: int = 2, share: float = 0.5, least_pages: int = 3) -> DataFrame:
+    """All rows with ``running``: whether a line is a page's running head or foot.
+
+    It is if its masked text stands among the first, or last, ``edge`` non-blank lines on at least ``least_pages`` pages and
+    more than ``share`` of the document's pages, at the same end. Blank lines are not. A document's pages are counted by
+    what they say, so that a task holds no document whole.
+    """
+    blank = F.coalesce(strip(F.col(line)), F.lit("")) == ""
+    of_page = Window.partitionBy(doc, page)
+    rows = df.withColumn("_blank", blank).withColumn("_up", F.count_if(~F.col("_blank")).over(of_page.orderBy(pos))).withColumn("_all", F.count_if(~F.col("_blank")).over(of_page))
+    head, foot = F.col("_up") <= edge, F.col("_up") > F.col("_all") - edge
+    ends = F.when(~F.col("_blank"), F.filter(F.array(F.when(head, "head"), F.when(foot, "foot")), lambda x: x.isNotNull()))
+    rows = written(rows.withColumn("_key", masked(F.col(line))).withColumn("_ends", ends).drop("_blank", "_up", "_all"), "lines")
+    pages = rows.select(doc, page).distinct().groupBy(doc).agg(F.count("*").alias("_pages"))
+    seen = rows.select(doc, page, "_key", F.explode("_ends").alias("_end")).distinct().groupBy(doc, "_end", "_key").agg(F.count("*").alias("_on"))
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    pages = pages.withColumnRenamed(doc, "_doc")
+    seen = seen.join(pages, same(doc, "_doc")).where((F.col("_on") >= least_pages) & (F.col("_on") > share * F.col("_pages")))
+    found = seen.groupBy("_doc", F.col("_key").alias("_mask")).agg(F.collect_set("_end").alias("_at"))
+    rows = rows.join(found, same(doc, "_doc") & (F.col("_key") == F.col("_mask")), "left")
+    return rows.withColumn("running", F.coalesce(F.arrays_overlap("_ends", "_at"), F.lit(False))).drop("_key", "_ends", "_doc", "_mask", "_at")
+
+
+def page_text(df: DataFrame, doc: str, page: str, pos: str, line: str, captions: str | None = None, title: str | None = None, edge: int = 2, trailing: int = 2) -> DataFrame:
+    """The rows that are text: without running heads and feet, bare numbers at a page's end, page numbers, Roman numbers,
+    entries of contents, blank lines, and lines that are the title or match ``captions``.
+
+    After heads and feet are gone, up to ``trailing`` bare numbers at the end of a page go too, of whatever length.
+    """
+    rows = running_lines(df, doc, page, pos, line, edge).where("NOT running").drop("running")
+    rows = rows.where(strip(F.col(line)) != "")
+    up = Window.partitionBy(doc, page).orderBy(F.desc(pos))
+    number = strip(F.col(line)).rlike(BARE_NUMBER)
+    rows = rows.withColumn("_from_end", F.row_number().over(up)).withColumn("_other", F.count_if(~number).over(up))
+    rows = rows.where(~((F.col("_other") == 0) & (F.col("_from_end") <= trailing))).drop("_from_end", "_other")
+    patterns = [PAGE_NUMBER, ROMAN_NUMBER, CONTENTS_ENTRY, *([captions] if captions else [])]
+    return drop_layout_noise(rows, line, patterns, title)
+
+
 def drop_layout_noise(df: DataFrame, line: str, patterns: Sequence[str], title: str | None = None) -> DataFrame:
-    """Lines without page numbers, contents leaders, headers and footers, captions and the repeated title."""
+    """Lines that match none of the patterns, white space at their ends aside, and are not the title."""
     test = F.lit(False)
     for pattern in patterns:
-        test = test | F.col(line).rlike(pattern)
-    return df.where(~test if title is None else ~(test | (F.col(line) == title)))
+        test = test | strip(F.col(line)).rlike(pattern)
+    return df.where(~test if title is None else ~(test | (strip(F.col(line)) == title)))
 
 
 def parse_header(df: DataFrame, text: str, fields: Mapping[str, str]) -> DataFrame:

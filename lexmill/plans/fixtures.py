@@ -165,6 +165,26 @@ def portal_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", page.alias("html"))
 
 
+PAGE_LINES = 12
+
+
+def printed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a document's lines on pages of PAGE_LINES (doc_id, page, pos, line), with a head, a page number under it, and at
+    the foot one or two lines; contents, Roman numbers, captions and the title in between."""
+    number = F.col("page").cast("string")
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    chunk = F.slice("lines", F.col("page") * PAGE_LINES + 1, PAGE_LINES)
+    page = F.concat(
+        F.array(F.concat(F.lit("Standard "), F.col("doc_id").cast("string"), F.lit(" page "), number), F.concat(F.lit("- "), number, F.lit(" -"))),
+        F.when(F.col("page") % 3 == 0, F.array(F.lit("4.1 Scope ........ 2"), F.lit(" The title "), F.lit("Figure 3 x"))).otherwise(F.array().cast("array<string>")),
+        chunk, F.when(F.col("page") % 2 == 0, F.array(F.lit("Ⅻ"))).otherwise(F.array(F.lit(" "))),
+        F.array(F.lit("12345"), F.lit("77")), F.array(F.concat(F.lit("ISSN 2020 "), number), F.concat(number, F.lit(" of all"))),
+    )
+    rows = table(spark, sf_dir, "documents").select("doc_id", lines.alias("lines"))
+    rows = rows.select("doc_id", "lines", F.explode(F.sequence(F.lit(0), F.floor(F.greatest(F.size("lines") - 1, F.lit(0)) / PAGE_LINES).cast("int"))).alias("page"))
+    return rows.select("doc_id", "page", F.posexplode(page).alias("pos", "line"))
+
+
 _LINES = f"list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(regexp_replace(x, '[{SPACE}]+', ' ', 'g'), '^ +| +$', '', 'g')), lambda x: x <> '')"
 #: F5's lines: ps are an article's paragraphs, ls what the page's paragraphs are.
 MARKED_SQL = f"""

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import classify, merge
 from ..sources import html as H
-from ..sources.tables import explode_pages, read_csv_inventory, read_json_records, read_pages, scratch, table, write_inventory
+from ..sources.tables import explode_pages, page_files, read_csv_inventory, read_json_records, read_page_files, read_pages, scratch, table, write_inventory
 from .catalog import plan
-from .fixtures import FIELDS, HEADED_SQL, MARKED_SQL, headed, marked_up, portal_pages
+from .fixtures import FIELDS, HEADED_SQL, MARKED_SQL, headed, marked_up, portal_pages, printed
 
 
 
@@ -28,6 +28,17 @@ def s1(spark, sf_dir):
     return read_pages(manifest, table(spark, sf_dir, "pages"), "page_id").select("page_id", "missing", F.octet_length("html").cast("long").alias("n_bytes"))
 
 
+@plan("s1_read_page_files", "SELECT d.doc_id AS page_id, p.html IS NULL AS missing, octet_length(encode(p.html)) + 1 AS n_bytes, md5(p.html || chr(10)) AS text_md5 FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id AND p.page_id % 10 > 0 WHERE d.doc_id % 2 = 0")
+def s1_files(spark, sf_dir):
+    """Pages saved as a file each, a tenth of them not; the manifest asks for every second one."""
+    path = scratch(spark, "pages")
+    saved = table(spark, sf_dir, "pages").where("page_id % 10 > 0")
+    saved.select("page_id", F.col("html").alias("value")).repartition("page_id").write.partitionBy("page_id").text(path)
+    manifest = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").cast("int").alias("page_id"))
+    found = read_page_files(manifest, page_files(spark, path), "page_id")
+    return found.select(F.col("page_id").cast("long").alias("page_id"), "missing", "n_bytes", F.md5("text").alias("text_md5"))
+
+
 @plan("s2_read_json_records", "SELECT doc_id, md5(text) AS text_md5, lang, source FROM documents")
 def s2(spark, sf_dir):
     """Written as one JSON array a file, as the records come, and read back with a fixed schema."""
@@ -151,6 +162,21 @@ def t6(spark, sf_dir):
     return classify.drop_layout_noise(lines, "line", ["[Ll]icense", "^.{0,20}$"]).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
+#: Documents of three printed pages or more have their lines back; in shorter ones heads and feet are not told apart.
+T6_SQL = """SELECT doc_id, count(*) AS n, md5(string_agg(trim(x), chr(10) ORDER BY k)) AS text_md5 FROM (
+  SELECT doc_id, unnest(ls) AS x, unnest(range(0, len(ls))) AS k, len(ls) AS n FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '') AS ls FROM documents))
+WHERE n > 24 GROUP BY 1"""
+
+
+@plan("t6_printed_pages", T6_SQL)
+def t6_pages(spark, sf_dir):
+    """Documents printed on pages and read back."""
+    found = classify.page_text(printed(spark, sf_dir), "doc_id", "page", "pos", "line", "^Figure [0-9]+ ", "The title")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "pos", F.trim("line").alias("line")))), lambda s: s["line"]), "\n")
+    found = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.md5(body).alias("text_md5"), F.max("page").alias("last"))
+    return found.where("last >= 2").drop("last")
+
+
 @plan("t7_parse_header", f"WITH {HEADED_SQL} SELECT doc_id, c_name AS issuer, CAST(doc_id AS VARCHAR) AS number, published, o_orderpriority AS level, c_mktsegment AS category, 'CLI.' || doc_id AS record_id, CAST(NULL AS VARCHAR) AS url FROM h")
 def t7(spark, sf_dir):
     rows = classify.parse_header(headed(spark, sf_dir), "text", FIELDS)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .html import decode_pages
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -44,6 +46,31 @@ def read_pages(manifest: DataFrame, pages: DataFrame, key: str) -> DataFrame:
     return manifest.join(found, key, "left").withColumn("missing", F.col("_there").isNull()).drop("_there")
 
 
+def page_files(spark: SparkSession, root: str, pattern: str = "*", stream: bool = False) -> DataFrame:
+    """Saved pages as files below a folder: path, name (without folders and ending), n_bytes, saved (when), raw, and a
+    column for each ``column=value`` folder on the way. As a stream, files come once, as they arrive."""
+    reader = (spark.readStream if stream else spark.read).format("binaryFile").option("pathGlobFilter", pattern)
+    if stream:
+        reader = reader.schema("path string, modificationTime timestamp, length long, content binary")
+    files = reader.load(root)
+    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
+    others = [c for c in files.columns if c not in ("path", "modificationTime", "length", "content")]
+    return files.select("path", name.alias("name"), F.col("length").alias("n_bytes"), F.col("modificationTime").alias("saved"), F.col("content").alias("raw"), *others)
+
+
+def read_page_files(manifest: DataFrame, files: DataFrame, key: str, others: Sequence[str] = ("gb18030",)) -> DataFrame:
+    """Manifest rows with what their file holds: path, n_bytes, text, encoding and ``missing``.
+
+    ``key`` is a column of both: the name of a file, or a folder's value, in which case only the folders of the manifest
+    are read. A row without a file is flagged, not dropped; files that no row names are not read; of several files of one
+    key the first by path counts. Bytes that no encoding fits come as ``lossy`` text;
+    an empty file is as good as none, as Spark does not read it.
+    """
+    first = files.groupBy(key).agg(F.min("path").alias("path")).select("path")
+    found = decode_pages(files.join(first, "path", "left_semi").select(key, "path", "n_bytes", "raw"), "raw", others).drop("raw")
+    return manifest.join(found, key, "left").withColumn("missing", F.col("path").isNull())
+
+
 def read_json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
