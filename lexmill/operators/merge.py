@@ -59,31 +59,26 @@ def prefix_match_dedup(new: DataFrame, existing: DataFrame, key: str, min_len: i
     return new.join(begin.unionByName(begun).distinct(), F.col(key) == F.col("_new"), "left_anti")
 
 
-def grams(c: Column | str, n: int) -> Column:
-    """Distinct grams of n characters; none of a shorter text."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.array_distinct(F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: i <= F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n))))
-
-
-def contained_in(short: DataFrame, long: DataFrame, min_len: int) -> DataFrame:
-    """(s, l): the texts of at least ``min_len`` characters that a longer or equal one contains. A short text is looked
-    up by that of its grams which the fewest long texts have, so a gram that most texts share is never a block."""
-    having = long.select("l", F.explode(grams("l", min_len)).alias("g"))
-    counts = having.groupBy("g").agg(F.count("*").alias("n"))
-    own = short.where(F.length("s") >= min_len).select("s", F.explode(grams("s", min_len)).alias("g"))
-    # a gram that no long text has rules its text out
-    rarest = own.join(counts, "g", "left").groupBy("s").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("r")).where("r.n > 0")
-    return rarest.select("s", F.col("r.g").alias("g")).join(having, "g").where(F.col("l").contains(F.col("s"))).select("s", "l")
+def pieces_like(short: DataFrame, long: DataFrame, min_len: int) -> DataFrame:
+    """(l, piece): the distinct pieces of long names (l) that begin like some short one (s) of ``min_len`` characters or
+    more and are as long as it. What short names begin with and how long they are is a small table without the names, so
+    names that only begin alike never meet."""
+    begins = short.where(F.length("s") >= min_len).select(F.substring("s", 1, min_len).alias("g"), F.length("s").alias("n")).distinct()
+    last = F.length("l") - min_len + 1
+    at = F.filter(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: i <= last)
+    places = long.select("l", F.explode(at).alias("i")).withColumn("g", F.substring(F.col("l"), F.col("i"), F.lit(min_len)))
+    found = places.join(begins, "g").where(F.col("i") + F.col("n") - 1 <= F.length("l"))
+    return found.select("l", F.substring(F.col("l"), F.col("i"), F.col("n")).alias("piece")).distinct()
 
 
 def containment_flag(df: DataFrame, names: DataFrame, key: str, min_len: int = 5) -> DataFrame:
     """Add contained: the key equals a name, or one contains the other and the contained one is long enough. A null key
-    is contained in nothing."""
+    is contained in nothing. Only whether there is a match is looked up, by equality of whole pieces; no pairs are made."""
     own = df.select(F.col(key).alias("_key")).where(F.col(key).isNotNull()).distinct()
     known = names.select(F.col(key).alias("_name")).where(F.col(key) != "").distinct()
     equal = own.join(known, F.col("_key") == F.col("_name"), "left_semi")
-    inside = contained_in(known.toDF("s"), own.toDF("l"), min_len).select(F.col("l").alias("_key"))
-    outer = contained_in(own.toDF("s"), known.toDF("l"), min_len).select(F.col("s").alias("_key"))
+    inside = pieces_like(known.toDF("s"), own.toDF("l"), min_len).join(known, F.col("piece") == F.col("_name"), "left_semi").select(F.col("l").alias("_key"))
+    outer = own.join(pieces_like(own.toDF("s"), known.toDF("l"), min_len), F.col("_key") == F.col("piece"), "left_semi")
     hits = equal.unionByName(inside).unionByName(outer).distinct().withColumn("contained", F.lit(True))
     return df.join(hits, F.col(key) == F.col("_key"), "left").drop("_key").withColumn("contained", F.coalesce("contained", F.lit(False)))
 
