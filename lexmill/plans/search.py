@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import graph, retrieve, versions
+from ..operators import graph, retrieve, versions, words
 from ..operators.classify import current_only
 from ..sources.tables import scratch, table
 from ..streaming.ingest import page_chunks, stream_ingest
@@ -23,6 +23,20 @@ def r1(spark, sf_dir):
     return docs.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_terms"))
 
 
+#: Words that flags and states of lines stand for, for both engines.
+WORDING = "concat(CASE l_returnflag WHEN 'A' THEN '无人机' WHEN 'N' THEN '飞行器' ELSE '驾驶员' END, '|', CASE l_linestatus WHEN 'O' THEN '管理' ELSE '登记' END, '|', CASE l_linenumber % 4 WHEN 0 THEN '空域' WHEN 1 THEN '应当' WHEN 2 THEN '民用航空' ELSE '的' END)"
+
+
+@plan("r1_words_of_han_text", f"SELECT l_orderkey, count(*) * 3 AS n_words, md5(string_agg({WORDING}, '|' ORDER BY {WORDING})) AS words_md5 FROM lineitem GROUP BY 1")
+def r1_words(spark, sf_dir):
+    """Texts written without spaces from a few words, cut by a dictionary that is learned from them."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.expr(WORDING).alias("x")).groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list("x")), "|").alias("x"))
+    docs = lines.select("l_orderkey", F.replace("x", F.lit("|"), F.lit("")).alias("text"))
+    known = words.dictionary(words.learned_words(docs, "text", cohesion=2.4))
+    found = docs.select("l_orderkey", words.words_of(F.col("text"), known, spark).alias("w"))
+    return found.select("l_orderkey", F.size("w").cast("long").alias("n_words"), F.md5(F.array_join("w", "|")).alias("words_md5"))
+
+
 INDEX = f"""tf AS (SELECT term, doc_id, count(*) AS tf FROM ({TOKEN_ROWS}) GROUP BY 1, 2), f AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 l AS (SELECT doc_id, len({TOKENS}) AS doc_len FROM documents), st AS (SELECT count(*) AS n_docs, avg(doc_len) AS avg_len FROM l)"""
 
