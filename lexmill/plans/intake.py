@@ -133,7 +133,7 @@ def t2(spark, sf_dir):
 
 #: A document's lines, without the portal's own and without title lines; from the second one on where that is an article.
 T3_SQL = f"""WITH x AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x, i: (i, CASE WHEN doc_id % 3 = 0 AND i = 2 THEN concat('第二条 ', x) ELSE x END)) AS ls FROM documents),
-r AS (SELECT doc_id, unnest(ls) AS l, doc_id % 3 = 0 AND len(ls) > 1 AS labelled, len(ls) AS n FROM x),
+r AS (SELECT doc_id, unnest(ls) AS l, doc_id % 3 = 0 AND len(ls) > 1 AND NOT contains(ls[2][2], 'idiot') AS labelled, len(ls) AS n FROM x),
 s AS (SELECT doc_id, labelled, l[1] AS i, regexp_replace(regexp_replace(l[2], '[{X.SPACE}]+', ' ', 'g'), '^ +| +$', '', 'g') AS para FROM r UNION ALL SELECT DISTINCT doc_id, labelled, n + 1, concat('华东地区：《规定', doc_id, '》') FROM r)
 SELECT doc_id, '2024-05-06' AS date, count(*) AS n, md5(string_agg(para, chr(10) ORDER BY i)) AS body_md5 FROM s
 WHERE para <> '' AND NOT contains(para, 'idiot') AND (NOT labelled AND para NOT LIKE '%《%' OR labelled AND i > 1) GROUP BY 1"""
