@@ -58,7 +58,7 @@ def found_rows(rows):
     return sorted(((r["doc_id"], r["n_words"], r["n_removed"], bytes(r["kept"]).decode()) for r in rows), key=key)
 
 
-@pytest.mark.parametrize("batches", [1, 5])
+@pytest.mark.parametrize("batches", [1, 3, 7])
 def test_ingests_equal_one_call(spark, tmp_path, batches, monkeypatch):
     """Batches of ascending ids, each ingested by a call of its own with the stored runs only, give what one call over
     all gives; the earlier documents are only read for fingerprints that had one owner."""
@@ -73,7 +73,7 @@ def test_ingests_equal_one_call(spark, tmp_path, batches, monkeypatch):
         rows += substring.ingest(part, index, frame.where(f"k < {cut(n)}")).collect()
     assert found_rows(rows) == found_rows(substring.drop_repeated_passages(frame, ingests=1).collect())
     runs = substring.runs_of(spark, index)
-    assert len(runs) == 1 if batches == 1 else 1 < len(runs) < batches
+    assert len(runs) == 1 if batches == 1 else 1 < len(runs) <= 3
     for run in runs:  # sorted, each key once
         for r in spark.read.schema(substring.STORED).parquet(run.path).where("kind > 0").collect():
             keys = [k % 2**64 for k in r["keys"]]
