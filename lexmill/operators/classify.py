@@ -15,6 +15,8 @@ from ..sources.tables import written
 LineTest = Callable[[Column], Column]
 #: Numerals that an attachment may be counted by.
 HAN_DIGITS = "一二三四五六七八九十"
+#: White space that may stand before a line's first sign.
+BLANKS = " \t\r\n\x0b\x0c\xa0\u2002\u2003\u2009\u3000"
 
 
 def payload_gate(df: DataFrame, status: str, n_bytes: str, starts_ok: Column, min_bytes: int = 3072) -> DataFrame:
@@ -212,7 +214,7 @@ def head_number(line: Column, numerals: str) -> tuple[Column, Column]:
 def starts_paragraph(line: Column, numerals: str, digits: str, units: str, points: str) -> Column:
     """Whether a line opens a paragraph, by its first characters: it is indented by a wide space, or begins with a label
     (第, a number, a unit), a number in brackets, a number and 、, or digits and a point."""
-    text = strip(line)
+    text = F.ltrim(line, F.lit(BLANKS))
     rest = F.substring(text, F.lit(2), F.length(text))
     labelled, unit = head_number(rest, numerals + digits)
     counted, mark = head_number(text, numerals)
