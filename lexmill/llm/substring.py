@@ -34,6 +34,8 @@ INGESTS = 2
 FANOUT = 4
 #: Stands for the owner of a fingerprint that several documents have.
 MANY = -1
+#: Bitmaps of called rows, and bits of each: Spark's bitmap functions make them of 4 KB. All together, 16 MB.
+CALL_BITMAPS, BITMAP_BITS = 4096, 32768
 #: The batch of entries that nobody waits for.
 NOBODY = -1
 RESULT_ROW, MARKS_RUN, WINDOWS_RUN = 0, 1, 2
@@ -207,10 +209,27 @@ def answer_windows(texts: pa.Table, replies: pa.Table, buckets: int) -> pa.Table
     return send_windows(texts, keys, texts.column("batch")[0].as_py() if texts.num_rows else NOBODY, buckets)
 
 
+def called(history: DataFrame, calls: DataFrame) -> DataFrame:
+    """Rows (row, doc_id, text) of the history that calls may name, before any shuffle of them.
+
+    A bit is set for each row that is called, by its hash, in at most CALL_BITMAPS bitmaps of 4 KB: what is broadcast is
+    bounded, whatever the numbers of rows and calls. A row whose bit is set by another one stays; the join with the
+    calls leaves it out.
+    """
+    bit = lambda row: F.pmod(row, F.lit(CALL_BITMAPS * BITMAP_BITS))
+    maps = calls.select(bit(F.col("row")).alias("bit")).groupBy(F.expr(f"bit div {BITMAP_BITS}").alias("_map"))
+    maps = maps.agg(F.bitmap_construct_agg((F.col("bit") % BITMAP_BITS).alias("bit")).alias("_bits"))
+    rows = history.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    place = bit(F.col("row"))
+    byte = F.conv(F.hex(F.substring("_bits", ((place % BITMAP_BITS) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.getbit(byte, (place % 8).cast("int")) == 1
+    return rows.join(F.broadcast(maps), (F.floor(place / BITMAP_BITS) == F.col("_map")) & is_set).select("row", "doc_id", "text")
+
+
 def earlier_windows(history: DataFrame, calls: DataFrame, buckets: int) -> DataFrame:
     """Windows of earlier documents, from (row, key) calls."""
     wanted = calls.groupBy("row").agg(F.collect_list("key").alias("wanted"))  # no more than a document has
-    rows = history.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "row").select("doc_id", "text", "wanted")
+    rows = called(history, calls).join(wanted, "row").select("doc_id", "text", "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in A.slices(batches):
@@ -408,8 +427,8 @@ def ingest(batch: DataFrame, index: str, history: DataFrame | None = None, carry
     """Deduplicate a batch of documents against an index and itself, and add it to the index, unless ``add`` is false.
 
     index: a folder in shared storage; a new one is an empty index. history: the documents that were ingested before (or
-    any table that has them all), needed from the second ingest on, else that is an error; of these only documents that were the only ones to
-    have a fingerprint, and no longer are, are read. Returns, for each document of the batch: word counts, the kept words
+    any table that has them all), needed from the second ingest on, else that is an error; it is scanned, but only documents
+    that were the only ones to have a fingerprint, and no longer are, are shuffled. Returns, for each document of the batch: word counts, the kept words
     joined by spaces (UTF-8), and the removed spans of words. A word goes if a window over it also starts in a document
     of smaller id, in the batch or ingested before; earlier results are not taken back.
 

@@ -102,6 +102,21 @@ def test_history_is_needed(spark, tmp_path):
     assert [r["n_removed"] for r in substring.ingest(second, index, first).collect()] == [80]
 
 
+def test_only_called_rows_of_the_history(spark, monkeypatch):
+    """Every row that is called stays; with as many bits as there are, others do not; with few bits, some do."""
+    history = spark.range(2000).selectExpr("IF(id % 50 = 0, NULL, id) AS doc_id", "IF(id % 7 = 0, NULL, concat('text ', id % 900)) AS text")
+    rows = history.selectExpr("xxhash64(doc_id, text) AS row", "doc_id", "text")
+    calls = rows.where("doc_id % 3 = 0").selectExpr("row", "explode(array(1L, 2L)) AS key")
+    key = lambda r: (r["row"], r["doc_id"] or -1, r["text"] or "")
+    wanted = sorted(map(key, rows.where("doc_id % 3 = 0").collect()))
+    assert sorted(map(key, substring.called(history, calls).collect())) == wanted
+    monkeypatch.setattr(substring, "CALL_BITMAPS", 1)
+    monkeypatch.setattr(substring, "BITMAP_BITS", 1024)
+    loose = sorted(map(key, substring.called(history, calls).collect()))
+    assert set(wanted) <= set(loose) and len(wanted) < len(loose) < 2000
+    assert substring.called(history, calls.where("false")).count() == 0
+
+
 def test_a_batch_that_is_not_added(spark, tmp_path):
     docs = [d for d in corpus() if d[0] is not None]
     frame = spark.createDataFrame(docs, "doc_id long, text string")
