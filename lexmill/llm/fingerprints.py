@@ -3,12 +3,14 @@
 With the prefix hashes of a text any span's hash is one subtraction and one product, so two spans are compared
 in constant time and the longest common extension is found by binary search. A fingerprint keeps the prefix
 hashes at cuts, so the same search runs on fingerprints alone. Up to 32 cuts are evenly spaced, for texts that agree in
-place; up to 32 more are chosen by content, at the runs of 16 code points of least hash, so they move along with the
-text when something is put in before them.
+place; the others are chosen by content, where a run of 8 code points has the least hash around, so they move along with
+the text when something is put in before them. There is one for about 25 code points at any length, so that a small change costs
+about as much of a short text as of a long one: a fingerprint has about two fifths as many characters as its text.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -19,10 +21,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .runtime import range_bounds, range_of, shuffle_partitions
+from .substring import sliding_least
 
 PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 1812433253)
-CUTS, WINDOW = 32, 16
+EVEN, WINDOW = 32, 8
+#: A cut by content has the least hash of so many places on either side.
+REACH = 12
+LONGEST = 65_535
 
 
 @lru_cache(maxsize=4)
@@ -87,36 +93,47 @@ def window_hashes(x: np.ndarray) -> np.ndarray:
     return span >> np.uint64(32)
 
 
-def cuts_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the CUTS least distinct window hashes, each where it stands first, in order; and the hashes."""
+def cuts_of(x: np.ndarray) -> np.ndarray:
+    """Places of the cuts by content, in order: where a window's hash is less than those of the REACH places before it and
+    no more than those of the REACH places after it; and places in between, so that no two are over LONGEST apart."""
     hashes = window_hashes(x)
-    at = np.arange(len(hashes))
-    if len(hashes) > 4 * CUTS:
-        at = np.flatnonzero(hashes <= np.partition(hashes, 4 * CUTS)[4 * CUTS])
-    least, first = np.unique(hashes[at], return_index=True)
-    places = at[first[:CUTS]]
-    order = np.argsort(places)
-    return places[order], least[:CUTS][order]
+    around = np.full(len(hashes) + 2 * REACH, 1 << 32, np.uint64)
+    around[REACH:-REACH] = hashes
+    least = sliding_least(around, REACH)
+    at = np.flatnonzero((hashes < least[: len(hashes)]) & (hashes <= least[REACH + 1 :]))
+    gaps = np.diff(at, prepend=0, append=len(x) - 1)
+    if len(gaps) and gaps.max() > LONGEST:
+        edges = np.concatenate([[0], at, [len(x) - 1]])
+        more = [np.arange(edges[k] + LONGEST, edges[k + 1], LONGEST) for k in np.flatnonzero(gaps > LONGEST)]
+        at = np.sort(np.concatenate([at, *more]))
+    return at[at > 0]
 
 
 def fingerprint(text: str | None) -> str:
     """``length.stride.hash.even.cuts``: two hashes of the whole text; the prefix hash after each stride of code points; of
-    each cut by content the hash it was chosen by, the prefix hash before it, and its place."""
+    each cut by content the prefix hash before it, 4 bytes, and how far it is from the one before, 2 bytes (base64)."""
     points = code_points(text)
     n = len(points)
-    stride = 1 << max(0, (max(n, 1) - 1).bit_length() - CUTS.bit_length() + 1)
+    stride = 1 << max(0, (max(n, 1) - 1).bit_length() - EVEN.bit_length() + 1)
     first, second = (prefix_hashes(points, k) for k in (0, 1))
-    places, hashes = cuts_of(first)
-    cuts = "".join(f"{h:08x}{x:08x}{at:08x}" for h, x, at in zip(hashes.tolist(), first[places].tolist(), places.tolist()))
+    places = cuts_of(first)
+    cuts = first[places].astype("<u4").tobytes() + np.diff(places, prepend=0).astype("<u2").tobytes()
     even = "".join(f"{h:08x}" for h in first[stride::stride].tolist())
-    return f"{n:x}.{stride:x}.{int(first[n]):08x}{int(second[n]):08x}.{even}.{cuts}"
+    return f"{n:x}.{stride:x}.{int(first[n]):08x}{int(second[n]):08x}.{even}.{base64.b64encode(cuts).decode()}"
 
 
-def read(text: str) -> tuple[int, list[tuple[int, int, int]], tuple[int, int]]:
-    """Length, (hash, prefix hash, place) of each cut, and prefix hash and place of the end."""
+def read(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the beginning, the cuts and the end; the prefix hashes there; of each span between two of them a key of
+    its length and hash, the same wherever it stands."""
     n, _, whole, _, cuts = text.split(".")
-    rows = [tuple(int(cuts[24 * k + i : 24 * k + i + 8], 16) for i in (0, 8, 16)) for k in range(len(cuts) // 24)]
-    return int(n, 16), rows, (int(whole[:8], 16), int(n, 16))
+    data, n = base64.b64decode(cuts), int(n, 16)
+    count = len(data) // 6
+    at = np.concatenate([[0], np.cumsum(np.frombuffer(data, "<u2", count, 4 * count), dtype=np.int64), [n]])
+    hashes = np.concatenate([[0], np.frombuffer(data, "<u4", count), [int(whole[:8], 16)]]).astype(np.uint64)
+    p = np.uint64(PRIMES[0])
+    down = _inverses(0, 1 << max(12, n.bit_length()))
+    keys = (hashes[1:] + p - hashes[:-1]) % p * down[at[:-1]] % p
+    return at, hashes, keys << np.uint64(32) | np.diff(at).astype(np.uint64)
 
 
 def likeness(a: str, b: str) -> float:
@@ -151,33 +168,38 @@ def in_place(a: str, b: str) -> float:
 
 
 def anywhere(a: str, b: str) -> float:
-    """Share of the longer text that stands anywhere in the other: from each cut by content that both have, the longest
-    common extension over the following cuts is found by binary search."""
-    (n_a, cuts_a, end_a), (n_b, cuts_b, end_b) = read(a), read(b)
-    # a text with more windows has lesser ones: only those that either would have kept are compared
-    full = [max(h for h, _, _ in cuts) for cuts in (cuts_a, cuts_b) if len(cuts) == CUTS]
-    most = min(full, default=1 << 32)
-    keys_a, keys_b = ([None, *(h for h, _, _ in cuts if h <= most), None] for cuts in (cuts_a, cuts_b))
-    x, y = ([(0, 0), *(c[1:] for c in cuts if c[0] <= most), end] for cuts, end in ((cuts_a, end_a), (cuts_b, end_b)))
-    where = {h: k for k, h in enumerate(keys_b) if h is not None}
-    p, base = PRIMES[0], BASES[0]
-    same = i = 0
-    while i < len(x) - 1:
-        j = 0 if i == 0 else where.get(keys_a[i])
-        low = 0
-        if j is not None:
-            up_a, up_b = pow(base, x[i][1], p), pow(base, y[j][1], p)
-            high = min(len(x) - 1 - i, len(y) - 1 - j)
-            while low < high:
-                middle = (low + high + 1) // 2
-                (to_a, at_a), (to_b, at_b) = x[i + middle], y[j + middle]
-                if at_a - x[i][1] == at_b - y[j][1] and ((to_a - x[i][0]) * up_b - (to_b - y[j][0]) * up_a) % p == 0:
-                    low = middle
-                else:
-                    high = middle - 1
-            same += x[i + low][1] - x[i][1]
-        i += max(low, 1)
-    return min(1.0, same / max(n_a, n_b, 1))
+    """Share of the longer text that stands anywhere in the other: from each span that both have, the longest common
+    extension over the following cuts is found by binary search."""
+    (at_a, x, keys_a), (at_b, y, keys_b) = read(a), read(b)
+    distinct, first = np.unique(keys_b, return_index=True)
+    where = np.minimum(np.searchsorted(distinct, keys_a), len(distinct) - 1)
+    found = np.flatnonzero(distinct[where] == keys_a)
+    p, up = PRIMES[0], powers(0, max(int(at_a[-1]), int(at_b[-1])))
+    same = done = 0  # spans before done are counted already
+    for i, j in zip(found.tolist(), first[where[found]].tolist()):
+        if i < done:
+            continue
+        from_a, from_b, x_i, y_j = int(at_a[i]), int(at_b[j]), int(x[i]), int(y[j])
+        up_a, up_b = int(up[from_a]), int(up[from_b])
+
+        def agree(m: int) -> bool:
+            if int(at_a[i + m]) - from_a != int(at_b[j + m]) - from_b:
+                return False
+            return ((int(x[i + m]) - x_i) * up_b - (int(y[j + m]) - y_j) * up_a) % p == 0
+
+        low, most = 1, min(len(keys_a) - i, len(keys_b) - j)
+        step = 1  # doubled as long as spans agree, so that a search costs the logarithm of what it finds
+        while low < most and agree(min(low + step, most)):
+            low, step = min(low + step, most), 2 * step
+        high = min(low + step, most + 1) - 1
+        while low < high:
+            middle = (low + high + 1) // 2
+            if agree(middle):
+                low = middle
+            else:
+                high = middle - 1
+        same, done = same + int(at_a[i + low]) - from_a, i + low
+    return min(1.0, same / max(int(at_a[-1]), int(at_b[-1]), 1))
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

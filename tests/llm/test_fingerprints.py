@@ -63,11 +63,39 @@ def test_shifted_and_moved_texts():
         moved = text[n // 2 :] + text[: n // 2]
         assert FP.likeness(own, FP.fingerprint(moved)) > 0.7
         assert FP.likeness(own, FP.fingerprint("".join(rng.choices("abcdefgh ", k=n)))) < 0.05
-        assert len(own) < 1200
+        assert len(own) < 600 + n / 3
     junk = FP.fingerprint("a" * 5000)
     assert FP.likeness(junk, FP.fingerprint("a" * 5000)) == 1.0 and len(junk) < 400
 
 
+def test_near_copies_of_any_length():
+    """Texts with a likeness of 0.8 on five-word shingles are found at 0.5, others are not alike."""
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(5000)]
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    found = pairs = 0
+    for n in (100, 300, 1000, 3000, 10_000):
+        for _ in range(20):
+            one = rng.choices(words, k=n)
+            two = list(one)
+            for at in rng.sample(range(n), max(1, n // 55)):
+                two[at : at + 1] = rng.choices(words, k=rng.randint(0, 2))
+            a, b = shingles(one), shingles(two)
+            assert FP.likeness(FP.fingerprint(" ".join(one)), FP.fingerprint(" ".join(rng.choices(words, k=n)))) < 0.05
+            if len(a & b) >= 0.8 * len(a | b):
+                pairs += 1
+                found += FP.likeness(FP.fingerprint(" ".join(one)), FP.fingerprint(" ".join(two))) >= 0.5
+    assert pairs > 60 and found >= 0.98 * pairs
+
+
+def test_long_stretches_without_cuts():
+    junk = "ab" * 200_000
+    one, two = FP.fingerprint(junk), FP.fingerprint("x" + junk)
+    assert FP.likeness(one, two) > 0.6 and len(one) < 600
+    at = FP.read(one)[0]
+    assert max(at[1:] - at[:-1]) <= FP.LONGEST and at[-1] == 400_000 and (at[1:] > at[:-1]).all()
+
+
 def test_clashing_names_ties_and_long_texts(spark):
     rng = random.Random(3)
     text = "".join(rng.choices("abé ", k=1_500_000))
