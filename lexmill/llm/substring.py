@@ -29,7 +29,7 @@ from .runtime import exists, range_bounds, range_of, shared_dir
 WINDOW = 50
 GRAM = 16
 BATCH_BYTES = 2 << 20
-INGESTS = 5
+INGESTS = 2
 #: A run is merged into the one before it when that one is not this many times larger, once there are so many runs.
 FANOUT = 4
 #: Stands for the owner of a fingerprint that several documents have.
