@@ -14,6 +14,8 @@ from lexmill.llm import jaccard, packing, rules, substring
 from lexmill.llm.runtime import table, written
 
 WORD = r"[^\x20\x09-\x0D]"
+#: Ingests of the passage index: the last one finds as many runs as are merged.
+INGESTS = substring.FANOUT + 1
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,12 +52,15 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     spaces, and its n_chars their length. A document of which nothing is left goes.
     """
     names = docs.columns
-    found = substring.drop_repeated_passages(docs, ingests=1, carry=names)  # one batch, so no text is read again
-    kept = found.where("n_removed = 0 OR n_removed < n_words")
-    own = {c: F.col(f"_carry_{i}") for i, c in enumerate(names)}
-    text = F.when(F.col("n_removed") == 0, own["text"]).otherwise(F.decode("kept", "UTF-8"))
-    chars = F.when(F.col("n_removed") == 0, own["n_chars"]).otherwise(F.length(F.decode("kept", "UTF-8")).cast("long"))
-    return kept.select(*({**own, "text": text, "n_chars": chars}[c].alias(c) for c in names))
+
+    def finish(found: DataFrame) -> DataFrame:
+        kept = found.where("n_removed = 0 OR n_removed < n_words")
+        own = {c: F.col(f"_carry_{i}") for i, c in enumerate(names)}
+        text = F.when(F.col("n_removed") == 0, own["text"]).otherwise(F.decode("kept", "UTF-8"))
+        chars = F.when(F.col("n_removed") == 0, own["n_chars"]).otherwise(F.length(F.decode("kept", "UTF-8")).cast("long"))
+        return kept.select(*({**own, "text": text, "n_chars": chars}[c].alias(c) for c in names))
+
+    return substring.drop_repeated_passages(docs, ingests=INGESTS, carry=names, finish=finish)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

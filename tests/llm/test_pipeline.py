@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+from lexmill.llm import substring
 
 
 def test_stages_on_a_small_corpus(spark, tmp_path):
@@ -69,3 +70,40 @@ def test_clashing_names(spark, tmp_path):
     assert sorted(r["doc_id"] for r in found) == [0, 1, 2, 3, 4, 8]
     assert all((r["_gone"], r["_counts"], r["row"], r["key"]) == (r["doc_id"], "x", r["doc_id"], r["doc_id"]) for r in found)
     assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 6
+
+
+def test_passages_go_through_the_index(spark, monkeypatch):
+    """The stage holds each range of ids against the runs of those before, merged ones too, and calls earlier texts;
+    what is left is what one batch against itself leaves."""
+    rng = random.Random(14)
+    words = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    shared = [words(rng.randint(50, 90)) for _ in range(12)]
+    rows = [(i, " ".join([words(rng.randint(0, 40)), *([rng.choice(shared)] if i % 3 else []), words(rng.randint(0, 40))])) for i in range(200)]
+    rows += [(None, words(9) + " " + shared[0]), (None, shared[1]), (300, shared[2]), (40, shared[3]), (41, None), (42, "")]
+    docs = frame(spark, [(i, t, "en", "src", len(t or "")) for i, t in rows]).cache()
+    runs, called_rows, published, called = [], [], substring.publish, substring.earlier_windows
+
+    def publish(spark, index, now):
+        runs.append(len(now))
+        published(spark, index, now)
+
+    def earlier_windows(history, calls, buckets):
+        calls = calls.localCheckpoint()
+        called_rows.append(calls.count())
+        return called(history, calls, buckets)
+
+    monkeypatch.setattr(substring, "publish", publish)
+    monkeypatch.setattr(substring, "earlier_windows", earlier_windows)
+    left = corpus_pipeline.substring_dedup(spark, docs, "").collect()
+    assert runs == [1, 2, 3, 4, 1, 2] and len(called_rows) == 4 and sum(called_rows) > 0
+    monkeypatch.undo()
+
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or "")
+    texts = lambda r: [d[1] for d in rows if d[0] == r["doc_id"]]
+    found = substring.drop_repeated_passages(docs, ingests=1).collect()
+    gone = [r for r in found if r["n_removed"] and r["n_removed"] == r["n_words"]]
+    assert gone and sum(0 < r["n_removed"] < r["n_words"] for r in found) > 50
+    wanted = [(r["doc_id"], bytes(r["kept"]).decode()) for r in found if r not in gone]
+    assert sorted(((r["doc_id"], " ".join((r["text"] or "").split())) for r in left), key=key) == sorted(wanted, key=key)
+    assert all(r["n_chars"] == len(r["text"] or "") for r in left)
+    assert all(r["text"] in texts(r) for r in left if r["doc_id"] is not None and r["doc_id"] < 200 and not r["doc_id"] % 3)
