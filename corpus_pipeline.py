@@ -53,14 +53,12 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     names = docs.columns
 
-    def finish(found: DataFrame) -> DataFrame:
-        kept = found.where("n_removed = 0 OR n_removed < n_words")
-        own = {c: F.col(f"_carry_{i}") for i, c in enumerate(names)}
-        text = F.when(F.col("n_removed") == 0, own["text"]).otherwise(F.decode("kept", "UTF-8"))
-        chars = F.when(F.col("n_removed") == 0, own["n_chars"]).otherwise(F.length(F.decode("kept", "UTF-8")).cast("long"))
-        return kept.select(*({**own, "text": text, "n_chars": chars}[c].alias(c) for c in names))
-
-    return substring.drop_repeated_passages(docs, ingests=INGESTS, carry=names, finish=finish)
+    own = {c: F.col(f"_carry_{i}") for i, c in enumerate(names)}
+    text = F.when(F.col("n_removed") == 0, own["text"]).otherwise(F.decode("kept", "UTF-8"))
+    chars = F.when(F.col("n_removed") == 0, own["n_chars"]).otherwise(F.length(F.decode("kept", "UTF-8")).cast("long"))
+    columns = [{**own, "text": text, "n_chars": chars}[c].alias(c) for c in names]
+    keep = F.expr("n_removed = 0 OR n_removed < n_words")
+    return substring.drop_repeated_passages(docs, ingests=INGESTS, carry=names, keep=keep, columns=columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,8 +15,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    digest = lambda df: df.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
-    return substring.drop_repeated_passages(table(spark, sf_dir, "documents"), finish=digest)
+    digest = [F.col("doc_id"), F.col("n_words"), F.col("n_removed"), F.sha2("kept", 256).alias("kept_sha256")]
+    return substring.drop_repeated_passages(table(spark, sf_dir, "documents"), columns=digest)
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

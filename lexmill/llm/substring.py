@@ -13,13 +13,13 @@ Runs are merged when several have about the same size; in merging, newer entries
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 from functools import partial
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import arrays as A
@@ -46,6 +46,7 @@ REPLY, CALL, RUN = 0, 1, 2
 ASKED = "bucket int, batch long, keys array<long>, check array<int>, first_id array<long>, more array<long>"
 FOUND = "kind int, bucket int, batch long, keys array<long>, check array<int>, least_id array<long>"
 RESULT = "doc_id long, n_words long, n_removed long, kept binary, spans array<struct<start: int, stop: int>>"
+MADE = f"kind int, bucket int, keys array<long>, check array<int>, least_id array<long>, {RESULT}"
 STORED = "kind int, bucket int, keys array<long>, check array<int>, owners array<long>, least_id array<long>"
 MANIFEST = "version long, place int, path string, buckets int, entries long"
 
@@ -322,6 +323,21 @@ def result_table(doc_id, n_words, removed, kept, spans, carried) -> pa.Table:
     return pa.table({n: c if isinstance(c, pa.ChunkedArray) else pa.array(c, t) for n, (c, t) in zip(names, columns)} | carried)
 
 
+def results_and_run(texts: pa.Table, found: pa.Table) -> pa.Table:
+    """Result rows of a batch of texts; entries of the new run, which are of no batch, as they came."""
+    entries = found.select(["bucket", "keys", "check", "least_id"])
+    if texts.num_rows:
+        rows = drop_repeats(texts, found)
+        n, kind = rows.num_rows, RESULT_ROW
+        entries = pa.table([pa.nulls(n, f.type) for f in entries.schema], names=entries.column_names)
+    else:
+        n, kind = found.num_rows, WINDOWS_RUN
+        rows = drop_repeats(texts, found)  # none, for the types
+        rows = pa.table([pa.nulls(n, f.type) for f in rows.schema], names=rows.column_names)
+    names = ["kind", *entries.column_names, *rows.column_names]
+    return pa.table([pa.array(np.full(n, kind, np.int32)), *entries.columns, *rows.columns], names=names)
+
+
 class Run(NamedTuple):
     """A sorted immutable run: its folder, how many buckets it is dealt into, and how many fingerprints it has."""
 
@@ -423,7 +439,7 @@ def of_kind(rows: DataFrame, kind: int) -> DataFrame:
     return rows.where(F.col("kind") + F.floor(F.rand(0) / share).cast("int") == kind)
 
 
-def ingest(batch: DataFrame, index: str, history: DataFrame | None = None, carry: Sequence[str] = (), finish: Callable[[DataFrame], DataFrame] | None = None, add: bool = True) -> DataFrame:
+def ingest(batch: DataFrame, index: str, history: DataFrame | None = None, carry: Sequence[str] = (), keep: Column | None = None, columns: Sequence[Column] = (), add: bool = True) -> DataFrame:
     """Deduplicate a batch of documents against an index and itself, and add it to the index, unless ``add`` is false.
 
     index: a folder in shared storage; a new one is an empty index. history: the documents that were ingested before (or
@@ -434,8 +450,8 @@ def ingest(batch: DataFrame, index: str, history: DataFrame | None = None, carry
 
     Words are runs of bytes other than ASCII white space. A null text has no words. Documents of one id, or both
     without an id, are never earlier than each other; a document without an id is later than all with one. The
-    columns of ``carry`` come along as ``_carry_0``, ``_carry_1``, ...; others do not. ``finish`` says what of the result
-    is kept. Result and run are written together, and the run counts from then on; an ingest that fails changes nothing. A
+    columns of ``carry`` come along as ``_carry_0``, ``_carry_1``, ...; others do not. ``keep`` says which rows of
+    the result stay, ``columns`` what is returned of them. Result and run are written together, and the run counts from then on; an ingest that fails changes nothing. A
     batch that is not added writes nothing, and its result is computed where it is used.
     """
     spark = batch.sparkSession
@@ -457,32 +473,34 @@ def ingest(batch: DataFrame, index: str, history: DataFrame | None = None, carry
         asked = asked.unionByName(earlier_windows(history, calls, buckets))
     found = X.joined(asked, old_windows, "bucket", least_ids, FOUND).repartition("batch")
     carried = [f"_carry_{i} {batch.schema[c].dataType.simpleString()}" for i, c in enumerate(carry)]
-    result = X.meet(texts, of_kind(found, REPLY).select("batch", "keys", "check", "least_id"), drop_repeats, ", ".join([RESULT, *carried]))
-    result = finish(result) if finish else result
+    # the run's windows come along: a second branch of the plan would hold all of it again
+    made = X.meet(texts, found if add else found.where(F.col("kind") == REPLY), results_and_run, ", ".join([MADE, *carried]))
+    is_result = F.col("kind") == RESULT_ROW
+    made = made if keep is None else made.where(~is_result | keep)
+    columns = columns or [F.col(c) for c in made.columns if c not in ("kind", "bucket", "keys", "check", "least_id")]
     if not add:
-        return result
+        return made.where(is_result).select(*columns)
 
     # one job writes result and run, so that each shuffle is made once
-    rows = result.select(F.lit(RESULT_ROW).alias("kind"), F.struct("*").alias("row"))
+    every = made.select("kind", F.when(is_result, F.struct(*columns)).alias("row"), "bucket", "keys", "check", "least_id")
     new_marks = of_kind(met, RUN).select(F.lit(MARKS_RUN).alias("kind"), "bucket", "keys", "owners")
-    new_windows = of_kind(found, RUN).select(F.lit(WINDOWS_RUN).alias("kind"), "bucket", "keys", "check", "least_id")
-    every = rows.unionByName(new_marks, allowMissingColumns=True).unionByName(new_windows, allowMissingColumns=True)
+    every = every.unionByName(new_marks, allowMissingColumns=True)
     path = f"{index}/run-{uuid.uuid4().hex}"
     every.write.parquet(path)
     publish(spark, index, [*runs, Run(path, buckets, entries_of(spark, path))])
     return spark.read.schema(every.schema).parquet(path).where(F.col("kind") == RESULT_ROW).select("row.*")
 
 
-def drop_repeated_passages(docs: DataFrame, ingests: int = INGESTS, carry: Sequence[str] = (), finish: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def drop_repeated_passages(docs: DataFrame, ingests: int = INGESTS, carry: Sequence[str] = (), keep: Column | None = None, columns: Sequence[Column] = ()) -> DataFrame:
     """The results of ``ingest`` for a whole table, ingested into a new index in ranges of ascending doc_id, documents
     without an id last; a single ingest leaves no index. An empty table gives no rows."""
     index = f"{shared_dir(docs.sparkSession)}/lexmill-passages-{uuid.uuid4().hex}"
     if ingests == 1:  # nothing comes after it
-        return ingest(docs, index, None, carry, finish, add=False)
+        return ingest(docs, index, None, carry, keep, columns, add=False)
     bounds = range_bounds(docs, "doc_id", ingests)
     number = F.when(F.col("doc_id").isNull(), len(bounds)).otherwise(range_of(F.col("doc_id"), bounds))
     out = None
     for k in range(len(bounds) + 1):
-        part = ingest(docs.where(number == k), index, docs.where(number < k), carry, finish)
+        part = ingest(docs.where(number == k), index, docs.where(number < k), carry, keep, columns)
         out = part if out is None else out.unionByName(part)
     return out

@@ -137,3 +137,28 @@ def test_one_short_document(spark):
     text = "one two three four five six seven eight nine ten"
     row = substring.drop_repeated_passages(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert (row["n_words"], row["n_removed"], bytes(row["kept"]).decode()) == (10, 0, text)
+
+
+def test_the_plan_of_an_ingest_holds_each_step_few_times(spark, tmp_path, monkeypatch):
+    """A plan with many copies of its steps fills the driver: each stage that ends, the whole plan is planned and told anew."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    plans, write = {}, DataFrameWriter.parquet
+
+    def parquet(self, path, *args, **kwargs):
+        plans[path] = self._df._jdf.queryExecution().executedPlan().toString()
+        return write(self, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    docs = [d for d in corpus() if d[0] is not None]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    index = f"{tmp_path}/index"
+    first, second = frame.where("doc_id < 150"), frame.where("doc_id >= 150")
+    rows = [*substring.ingest(first, index).collect(), *substring.ingest(second, index, first).collect()]
+    assert found_rows(rows) == found_rows(brute_rows(docs))
+    one, two = (plans[run.path] for run in substring.runs_of(spark, index))
+    assert one.count("CoGroup") <= 7 and two.count("CoGroup") <= 7, two
+
+
+def brute_rows(docs):
+    return [{"doc_id": i, "n_words": n, "n_removed": gone, "kept": kept.encode()} for i, n, gone, kept in brute(docs)]
