@@ -50,9 +50,12 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Scramble 64-bit values one to one."""
-    x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
-    return x ^ (x >> U64(31))
+    x = x ^ (x >> U64(30))
+    x *= U64(0xBF58476D1CE4E5B9)
+    x ^= x >> U64(27)
+    x *= U64(0x94D049BB133111EB)
+    x ^= x >> U64(31)
+    return x
 
 
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -131,8 +134,12 @@ def gram_hashes(values: np.ndarray, k: int, which: int = 0) -> np.ndarray:
     n = len(values) - k + 1
     if n <= 0:
         return np.zeros(0, U64)
-    at = np.arange(n)
-    return span_hash(prefix_sums(values, which), at, at + k, which)
+    sums = prefix_sums(values, which)
+    _, down = powers(which, len(sums))
+    out = sums[k:] - sums[:-k]  # as span_hash, whose places are all here
+    out *= down[:n]
+    out += U64(k)
+    return mix(out)
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:

@@ -22,13 +22,15 @@ from pyspark.sql import functions as F
 from . import arrays as A
 from . import exchange as X
 from .runtime import written
-from .substring import distinct_marks, flag_shared, member, window_marks
+from .substring import flag_shared, member, sliding_least
 
 WINDOW = 50
 GRAM = 28
 #: Windows of a context at most.
 LONGEST = WINDOW - GRAM + 1
 BATCH_BYTES = 1 << 20
+#: Windows that are hashed at a time, so that the tables stay in the cache.
+PIECE = 32 << 10
 SHARD_BYTES = 128 << 10
 #: Contexts of different fingerprints have no window in common, so a bucket merges about so many bytes at a time.
 MERGE_BYTES = 512 << 10
@@ -48,10 +50,41 @@ PART_BYTES = 1 << 20
 RESULT = "doc_id long, n_bytes long, n_removed long, kept binary, spans array<struct<start: int, stop: int>>"
 
 
-def byte_marks(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Fingerprints of all windows, in short; those that meet by chance are told apart by their contexts."""
-    marks, inside = window_marks(A.letters(data), offsets, WINDOW, GRAM)
-    return X.short(marks, buckets), inside, A.owners(offsets)
+def byte_marks(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of neighbouring windows with one fingerprint: the first window, how many, the fingerprint, and the text.
+
+    Fingerprints are in short; those that meet by chance are told apart by their contexts. Windows are hashed piece by
+    piece: a hash does not depend on the place.
+    """
+    n = max(0, len(data) - WINDOW + 1)
+    edge = np.zeros(n + 1, bool)  # runs end with their text, and where its last window begins
+    edge[np.minimum(offsets[:-1], n)] = True
+    edge[np.minimum(np.maximum(offsets[:-1], offsets[1:] - WINDOW + 1), n)] = True
+    heads, marks, last = [np.zeros(0, np.int64)], [np.zeros(0, A.U64)], None
+    for a in range(0, n, PIECE):
+        own = sliding_least(A.gram_hashes(A.letters(data[a : a + PIECE + WINDOW - 1]), GRAM), LONGEST)
+        new = edge[a : a + len(own)].copy()
+        new[1:] |= own[1:] != own[:-1]
+        new[0] |= last is None or own[0] != last
+        at = np.flatnonzero(new)
+        heads.append(at + a)
+        marks.append(own[at])
+        last = own[-1]
+    heads, marks = np.concatenate(heads), np.concatenate(marks)
+    size = np.diff(heads, append=n)
+    owner = np.searchsorted(offsets, heads, "right") - 1
+    inside = np.flatnonzero(heads + WINDOW <= offsets[owner + 1]) if len(heads) else heads
+    return heads[inside], size[inside], X.short(marks[inside], buckets), owner[inside]
+
+
+def distinct_marks(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct fingerprints of a batch's runs, and whether two of its texts have them."""
+    order = np.argsort(keys, kind="stable")
+    keys, owner = keys[order], owner[order]
+    heads = heads_of(keys) if len(keys) else np.zeros(0, np.int64)
+    # a text's runs come one after another, so owners of one key ascend
+    tails = np.append(heads[1:], len(keys)) - 1 if len(heads) else heads
+    return keys[heads], owner[heads] != owner[tails]
 
 
 def flag_marks(table: pa.Table, many: int) -> pa.Table:
@@ -69,23 +102,15 @@ def contexts(data: np.ndarray, offsets: np.ndarray, buckets: int, common: np.nda
     wanted: keep runs of these fingerprints only. A context is known by its fingerprint and 64 bits of hash over all
     its bytes.
     """
-    marks, inside, owner = byte_marks(data, offsets, buckets)
-    at = np.flatnonzero(inside)
-    marks = marks[at]
-    head = np.ones(len(at), bool)
-    head[1:] = (marks[1:] != marks[:-1]) | (at[1:] != at[:-1] + 1)
-    heads = np.flatnonzero(head)
-    size = np.diff(heads, append=len(at))
-    use = member(marks[heads], wanted)[0]
-    heads, size = heads[use], size[use]
-    step = np.where(member(marks[heads], common)[0], 1, LONGEST)
+    heads, size, marks, owner = byte_marks(data, offsets, buckets)
+    use = member(marks, wanted)[0]
+    heads, size, marks, owner = heads[use], size[use], marks[use], owner[use]
+    step = np.where(member(marks, common)[0], 1, LONGEST)
     parts = -(-size // step)
-    first = np.repeat(heads, parts) + A.spread(np.zeros(len(heads), np.int64), parts) * np.repeat(step, parts)
-    count = np.minimum(np.repeat(step, parts), np.repeat(heads + size, parts) - first)
-    start = at[first]
-    end = start + count + WINDOW - 1
-    one = A.span_hash(A.byte_sums(data, 1), start, end, 1)
-    return {"start": start, "count": count, "mark": marks[first], "one": one, "owner": owner[start]}
+    start = np.repeat(heads, parts) + A.spread(np.zeros(len(heads), np.int64), parts) * np.repeat(step, parts)
+    count = np.minimum(np.repeat(step, parts), np.repeat(heads + size, parts) - start)
+    one = A.word_hashes(data, start, start + count + WINDOW - 1, 1)
+    return {"start": start, "count": count, "mark": np.repeat(marks, parts), "one": one, "owner": np.repeat(owner, parts)}
 
 
 def copies(texts: DataFrame) -> DataFrame:
@@ -115,7 +140,8 @@ def send_original_marks(texts: pa.Table, answers: pa.Table, buckets: int) -> pa.
     own = originals(texts, answers)
     keys, many = np.zeros(0, A.U64), np.zeros(0, bool)
     if own.num_rows:
-        keys, many = distinct_marks(*byte_marks(*X.texts_of(own), buckets))
+        _, _, marks, owner = byte_marks(*X.texts_of(own), buckets)
+        keys, many = distinct_marks(marks, owner)
     return X.packed_short(texts.column("batch")[0].as_py() if texts.num_rows else 0, keys, many)
 
 
@@ -265,8 +291,7 @@ def merged(transforms: list[np.ndarray], ends: list[int], depth: int, singles: b
     block = np.zeros(len(place), np.int32)  # all have the same prefix of no symbols
     for _ in range(depth):
         symbol = whole[place]
-        moving = np.flatnonzero(symbol)
-        order = moving[np.argsort(symbol[moving], kind="stable")]
+        order = np.argsort(symbol, kind="stable")[len(symbol) - np.count_nonzero(symbol) :]
         moved, from_block = symbol[order], block[order]
         new = np.ones(len(order) + 1, bool)
         new[1:-1] = (moved[1:] != moved[:-1]) | (from_block[1:] != from_block[:-1])
