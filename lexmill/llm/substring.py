@@ -30,6 +30,8 @@ WINDOW = 50
 GRAM = 16
 BATCH_BYTES = 2 << 20
 INGESTS = 2
+#: A run has at most so many files for each batch of texts; one that is merged has a file for so many fingerprints.
+BATCH_FILES, FILE_ENTRIES = 2, 1 << 16
 #: A run is merged into the one before it when that one is not this many times larger, once there are so many runs.
 FANOUT = 4
 #: Stands for the owner of a fingerprint that several documents have.
@@ -420,7 +422,8 @@ def compacted(spark: SparkSession, index: str, runs: list[Run]) -> list[Run]:
     buckets = max(r.buckets for r in merging)
     parts = [X.grouped(stored(spark, merging, kind, column, buckets), "bucket", partial(merge_runs, kind=kind), STORED) for kind, column in ((MARKS_RUN, "owners"), (WINDOWS_RUN, "least_id"))]
     path = f"{index}/run-{uuid.uuid4().hex}"
-    parts[0].unionByName(parts[1]).write.parquet(path)
+    files = -(-sum(r.entries for r in merging) // FILE_ENTRIES)
+    parts[0].unionByName(parts[1]).coalesce(max(1, files)).write.parquet(path)
     runs = [*runs[:keep], Run(path, buckets, entries_of(spark, path))]
     publish(spark, index, runs)
     return runs
@@ -459,7 +462,7 @@ def ingest(batch: DataFrame, index: str, history: DataFrame | None = None, carry
     if runs and history is None:
         raise ValueError("history is needed to ingest into an index that has runs")
     runs = compacted(spark, index, runs) if add else runs
-    texts, _, buckets = X.batched(batch, BATCH_BYTES, row=F.xxhash64("doc_id", "text"), **{f"_carry_{i}": F.col(c) for i, c in enumerate(carry)})
+    texts, batches, buckets = X.batched(batch, BATCH_BYTES, row=F.xxhash64("doc_id", "text"), **{f"_carry_{i}": F.col(c) for i, c in enumerate(carry)})
     buckets = max([buckets, *(r.buckets for r in runs)])
     empty = lambda names: spark.createDataFrame([], names)
     old_marks = stored(spark, runs, MARKS_RUN, "owners", buckets) if runs else empty("bucket int, age long, keys array<long>, owners array<long>")
@@ -486,7 +489,7 @@ def ingest(batch: DataFrame, index: str, history: DataFrame | None = None, carry
     new_marks = of_kind(met, RUN).select(F.lit(MARKS_RUN).alias("kind"), "bucket", "keys", "owners")
     every = every.unionByName(new_marks, allowMissingColumns=True)
     path = f"{index}/run-{uuid.uuid4().hex}"
-    every.write.parquet(path)
+    every.coalesce(BATCH_FILES * batches).write.parquet(path)
     publish(spark, index, [*runs, Run(path, buckets, entries_of(spark, path))])
     return spark.read.schema(every.schema).parquet(path).where(F.col("kind") == RESULT_ROW).select("row.*")
 

@@ -162,3 +162,23 @@ def test_the_plan_of_an_ingest_holds_each_step_few_times(spark, tmp_path, monkey
 
 def brute_rows(docs):
     return [{"doc_id": i, "n_words": n, "n_removed": gone, "kept": kept.encode()} for i, n, gone, kept in brute(docs)]
+
+
+def test_files_of_a_run_grow_with_the_texts_not_with_the_partitions(spark, tmp_path):
+    """At 64 shuffle partitions, which are not coalesced, a run had a file for each of most of them."""
+    rng = random.Random(8)
+    passages = [[f"w{rng.randrange(9000)}" for _ in range(80)] for _ in range(30)]
+    docs = [(k, " ".join(rng.choice(passages) + [f"v{rng.randrange(9000)}" for _ in range(60)] + rng.choice(passages))) for k in range(200)]
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        table = spark.createDataFrame(docs, "doc_id long, text string")
+        found = substring.ingest(table, str(tmp_path / "index"))
+        out = [(r["doc_id"], r["n_words"], r["n_removed"], bytes(r["kept"]).decode()) for r in found.collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(out) == sorted(brute(docs))
+    assert len(list((tmp_path / "index").glob("run-*/part-*"))) <= 2  # one batch of texts
