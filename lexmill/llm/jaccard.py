@@ -33,6 +33,8 @@ from .suffixes import FLAGGED, MARKS, flag_marks
 
 SHINGLE = 5
 BATCH_BYTES = 1 << 20
+#: Batches for each file of what is written between steps, at least.
+FILE_BATCHES = 8
 ORDERS = 3
 #: Counters of the table of token counts, 4 bytes each: what the driver holds and sends to each task.
 COUNTERS = 1 << 20
@@ -216,12 +218,13 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
 
-def components(links: DataFrame, name: str) -> DataFrame:
+def components(links: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """node, component: the least node that links lead to, for all nodes with links.
 
-    Large-star and small-star steps in turn, each a group-by on slim rows, until nothing changes.
+    Large-star and small-star steps in turn, each a group-by on slim rows, until nothing changes. A step writes at most
+    ``files`` files.
     """
-    edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
+    edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name, files)
     while True:
         # every node links its larger neighbours to its least one, itself included
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -230,7 +233,7 @@ def components(links: DataFrame, name: str) -> DataFrame:
         # every node links its smaller neighbours and itself to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
-        after = written(small, name)
+        after = written(small, name, files)
         if not after.join(edges, ["u", "v"], "left_anti").limit(1).count() and not edges.join(after, ["u", "v"], "left_anti").limit(1).count():
             break
         edges = after
@@ -350,6 +353,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     common = spark.sparkContext.broadcast(np.log2(token_counts(docs) + 1).astype(np.int8))  # COUNTERS bytes
     texts, batches, buckets = X.batched(docs, BATCH_BYTES, text_key=F.xxhash64("text"))
+    files = -(-batches // FILE_BATCHES)  # grows with the bytes of text
     sent = X.grouped(texts, "batch", partial(send_tokens, buckets=buckets), MARKS)
     shared = X.grouped(sent, "bucket", partial(flag_marks, many=batches + 1), FLAGGED)
     sets = written(X.meet(texts, shared, partial(keep_sets, buckets=buckets, common=common), SETS), "prefixes")
@@ -360,27 +364,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = members.withColumn("class_id", F.coalesce("least_id", F.col("set_one").bitwiseOR(F.lit(-(2**63)))))
     found = sets.where("prefixes IS NOT NULL").join(members, keys).where(F.col("doc_id").eqNullSafe(F.col("least_id")))
     classes = found.dropDuplicates(["class_id", *keys]).select("class_id", "set_one", F.col("n_shingles").alias("n"), F.col("n_shared").alias("shared"), "prefixes")
-    classes = written(classes, "classes")
+    classes = written(classes, "classes", files)
 
     entries = classes.select(F.struct("class_id", "n", "shared").alias("x"), F.explode(F.get("prefixes", F.lit(0))).alias("token"))
     hubs = entries.groupBy("token").agg(F.min("x").alias("hub"), F.max("x").alias("last")).where("hub.class_id < last.class_id").drop("last")
-    groups = written(entries.join(hubs, "token").select("hub", "x").distinct(), "groups")
+    groups = written(entries.join(hubs, "token").select("hub", "x").distinct(), "groups", files)
     sets_wanted = groups.select(F.col("x.class_id").alias("class_id"))
-    whole = written(sets_of(docs, sets_wanted), "sets")
+    whole = written(sets_of(docs, sets_wanted), "sets", files)
 
     star = groups.where((F.col("x.class_id") != F.col("hub.class_id")) & may_match(*(F.col(f"{s}.{c}") for s in ("hub", "x") for c in ("n", "shared"))))
     star = star.select(F.col("hub.class_id").alias("a"), F.col("x.class_id").alias("b")).distinct()
-    links = written(similar(candidates(star, classes), whole).unionByName(same_document(sets, members)), "links")
-    so_far = components(links, "first")
+    links = written(similar(candidates(star, classes), whole).unionByName(same_document(sets, members)), "links", files)
+    so_far = components(links, "first", files)
     placed = groups.select(F.col("hub.class_id").alias("hub"), "x.class_id", "x.n").distinct()
     placed = placed.join(so_far, F.col("class_id") == F.col("node"), "left").select("hub", "class_id", "n", F.coalesce("component", "class_id").alias("component"))
     profiles = classes.join(whole, ["class_id", "set_one"]).select("class_id", "n", "shared", "prefixes", "shingles")
     more = cells(placed, profiles)
 
-    final = written(components(links.union(more), "second"), "components")
+    final = components(links.union(more), "second", files)
     least = members.join(final, F.col("class_id") == F.col("node"), "left").select(*keys, "least_id", F.coalesce("component", "class_id").alias("component"))
     named = least.groupBy("component").agg(F.min("least_id").alias("component_id"))
     place = least.join(named, "component").select(*keys, "component_id", "component")
     out = sets.select("doc_id", "n_shingles", "text_key", *keys)
     alone = out.where("n_shingles = 0").withColumn("component_id", F.col("doc_id")).withColumn("component", F.lit(None).cast("long"))
-    return out.where("n_shingles > 0").join(place, keys).unionByName(alone).select("doc_id", "n_shingles", "component_id", "text_key", "component")
+    out = out.where("n_shingles > 0").join(place, keys).unionByName(alone).select("doc_id", "n_shingles", "component_id", "text_key", "component")
+    return out.coalesce(files)

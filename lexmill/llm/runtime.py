@@ -30,11 +30,15 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write the rows to the shared folder and read them back."""
+def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """Cut the lineage: write the rows to the shared folder and read them back.
+
+    files: at most so many, where the rows are slim and their number is known: not one for each shuffle partition. On a
+    local folder each file costs about six child processes (Hadoop calls chmod and the like).
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexmill-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,10 +1,12 @@
 import random
 import re
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 
 from lexmill.llm import jaccard
+from lexmill.llm.runtime import shared_dir
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -130,3 +132,24 @@ def test_many_repeats_of_one_row(spark):
     frame = spark.range(50_000).selectExpr("cast(3 as long) as doc_id", f"'{text}' as text").unionByName(spark.createDataFrame([(2, text)], "doc_id long, text string"))
     rows = jaccard.near_duplicates(frame).groupBy("doc_id", "component_id").count().collect()
     assert sorted(map(tuple, rows)) == [(2, 2, 1), (3, 2, 50_000)]
+
+
+def test_files_between_steps_grow_with_the_texts_not_with_the_partitions(spark):
+    """At 64 shuffle partitions, which are not coalesced, small steps wrote a file for each: some 300 files in all, and
+    each costs child processes of an executor."""
+    rng = random.Random(5)
+    base = [[f"w{rng.randrange(9000)}" for _ in range(60)] for _ in range(60)]
+    docs = [(k, " ".join(edited(rng, base[k % 60], 0.01))) for k in range(300)]
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    parts = lambda: set(Path(shared_dir(spark)).glob("lexmill-*/part-*"))
+    old = parts()
+    try:
+        found = jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4))
+        assert sorted(tuple(r)[:3] for r in found.collect()) == brute(docs)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(parts() - old) <= 30
