@@ -144,7 +144,7 @@ def keep_sets(texts: pa.Table, answers: pa.Table, buckets: int, common) -> pa.Ta
 
 
 def id_filter(ids: DataFrame) -> np.ndarray:
-    """A fixed-size bit table of the ids' hashes, to leave out most rows of other ids before a shuffle."""
+    """A fixed-size bit table (packed) of the ids' hashes, to leave out most rows of other ids before a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(FILTER_BITS, bool)
@@ -157,13 +157,18 @@ def id_filter(ids: DataFrame) -> np.ndarray:
         return pa.table({"k": pa.array([0], pa.int32()), "bits": pa.array([total.tobytes()], pa.binary())})
 
     rows = X.grouped(ids.toDF("id").mapInArrow(run, "k int, bits binary"), "k", either, "k int, bits binary").collect()
-    return np.unpackbits(np.frombuffer(rows[0]["bits"], np.uint8)) if rows else np.zeros(FILTER_BITS, np.uint8)
+    return np.frombuffer(rows[0]["bits"], np.uint8) if rows else np.zeros(FILTER_BITS // 8, np.uint8)
 
 
 def bit_of(ids: np.ndarray) -> np.ndarray:
     return (A.mix(ids.astype(np.int64).view(A.U64)) & A.U64(FILTER_BITS - 1)).astype(np.int64)
 
 
+def is_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the bits at some places of a packed table are set."""
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
 def set_hashes(tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two hashes of each set, whatever the order of its tokens."""
     sizes = np.diff(first).astype(A.U64)
@@ -181,13 +186,13 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     wanted = wanted.distinct()
     rows, bits = docs.select("doc_id", "text"), None
     if wanted.count() <= FILTER_BITS // 8:
-        bits = docs.sparkSession.sparkContext.broadcast(id_filter(wanted))  # FILTER_BITS bytes
+        bits = docs.sparkSession.sparkContext.broadcast(id_filter(wanted))  # FILTER_BITS / 8 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if bits is not None:
                 own = batch.column("doc_id")
-                keep = bits.value[bit_of(own.fill_null(0).to_numpy())].astype(bool) | own.is_null().to_numpy(zero_copy_only=False)
+                keep = is_set(bits.value, bit_of(own.fill_null(0).to_numpy())) | own.is_null().to_numpy(zero_copy_only=False)
                 batch = batch.filter(pa.array(keep))
             for part in A.slices([batch]):
                 tokens, first = shingle_sets(*A.utf8(part.column("text")))
@@ -234,7 +239,9 @@ def components(links: DataFrame, name: str, files: int | None = None) -> DataFra
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
         after = written(small, name, files)
-        if not after.join(edges, ["u", "v"], "left_anti").limit(1).count() and not edges.join(after, ["u", "v"], "left_anti").limit(1).count():
+        # both are sets; one shuffle without a join, as each shuffle and broadcast starts threads of the driver
+        sides = edges.select("u", "v", F.lit(1).alias("side")).union(after.select("u", "v", F.lit(2).alias("side")))
+        if not sides.groupBy("u", "v").agg(F.sum("side").alias("sides")).where("sides <> 3").head(1):
             break
         edges = after
     return after.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -19,7 +19,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from . import arrays as A
@@ -348,20 +348,27 @@ class Run(NamedTuple):
     entries: int
 
 
-def runs_of(spark: SparkSession, index: str) -> list[Run]:
-    """The index's runs, oldest first; as many as the logarithm of its size."""
+def last_version(spark: SparkSession, index: str) -> int:
+    """Number of the manifest's last version, -1 if there is none."""
     if not exists(spark, f"{index}/manifest"):
+        return -1
+    version = spark.read.schema(MANIFEST).parquet(f"{index}/manifest").agg(F.max("version")).first()[0]
+    return -1 if version is None else version
+
+
+def runs_of(spark: SparkSession, index: str) -> list[Run]:
+    """The index's runs, oldest first; as many as the logarithm of its size. They are read without a join or a sort:
+    each shuffle and each broadcast of a plan starts threads of the driver, which stay a minute."""
+    version = last_version(spark, index)
+    if version < 0:
         return []
-    rows = spark.read.schema(MANIFEST).parquet(f"{index}/manifest")
-    latest = rows.join(F.broadcast(rows.agg(F.max("version").alias("version"))), "version")  # one row
-    return [Run(r["path"], r["buckets"], r["entries"]) for r in latest.orderBy("place").collect()]
+    latest = spark.read.schema(MANIFEST).parquet(f"{index}/manifest").where(F.col("version") == version).collect()
+    return [Run(r["path"], r["buckets"], r["entries"]) for r in sorted(latest, key=lambda r: r["place"])]
 
 
 def publish(spark: SparkSession, index: str, runs: Sequence[Run]) -> None:
     """Make these the index's runs. Until then an ingest that failed has changed nothing."""
-    version = 0
-    if exists(spark, f"{index}/manifest"):
-        version = spark.read.schema(MANIFEST).parquet(f"{index}/manifest").agg(F.max("version")).first()[0] + 1
+    version = last_version(spark, index) + 1
     rows = [(version, place, *run) for place, run in enumerate(runs)]
     spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").parquet(f"{index}/manifest")
 
@@ -421,16 +428,19 @@ def compacted(spark: SparkSession, index: str, runs: list[Run]) -> list[Run]:
     merging = runs[keep:]
     buckets = max(r.buckets for r in merging)
     parts = [X.grouped(stored(spark, merging, kind, column, buckets), "bucket", partial(merge_runs, kind=kind), STORED) for kind, column in ((MARKS_RUN, "owners"), (WINDOWS_RUN, "least_id"))]
-    path = f"{index}/run-{uuid.uuid4().hex}"
     files = -(-sum(r.entries for r in merging) // FILE_ENTRIES)
-    parts[0].unionByName(parts[1]).coalesce(max(1, files)).write.parquet(path)
-    runs = [*runs[:keep], Run(path, buckets, entries_of(spark, path))]
+    runs = [*runs[:keep], write_run(parts[0].unionByName(parts[1]), index, buckets, max(1, files))]
     publish(spark, index, runs)
     return runs
 
 
-def entries_of(spark: SparkSession, path: str) -> int:
-    return spark.read.schema(STORED).parquet(path).where(F.col("kind") == MARKS_RUN).agg(F.sum(F.size("keys"))).first()[0] or 0
+def write_run(rows: DataFrame, index: str, buckets: int, files: int) -> Run:
+    """Write a run of at most so many files; its fingerprints are counted as they are written."""
+    path = f"{index}/run-{uuid.uuid4().hex}"
+    counted = Observation()
+    marks = F.when(F.col("kind") == MARKS_RUN, F.size("keys"))
+    rows.observe(counted, F.sum(marks).alias("entries")).coalesce(files).write.parquet(path)
+    return Run(path, buckets, counted.get["entries"] or 0)
 
 
 def of_kind(rows: DataFrame, kind: int) -> DataFrame:
@@ -488,10 +498,9 @@ def ingest(batch: DataFrame, index: str, history: DataFrame | None = None, carry
     every = made.select("kind", F.when(is_result, F.struct(*columns)).alias("row"), "bucket", "keys", "check", "least_id")
     new_marks = of_kind(met, RUN).select(F.lit(MARKS_RUN).alias("kind"), "bucket", "keys", "owners")
     every = every.unionByName(new_marks, allowMissingColumns=True)
-    path = f"{index}/run-{uuid.uuid4().hex}"
-    every.coalesce(BATCH_FILES * batches).write.parquet(path)
-    publish(spark, index, [*runs, Run(path, buckets, entries_of(spark, path))])
-    return spark.read.schema(every.schema).parquet(path).where(F.col("kind") == RESULT_ROW).select("row.*")
+    run = write_run(every, index, buckets, BATCH_FILES * batches)
+    publish(spark, index, [*runs, run])
+    return spark.read.schema(every.schema).parquet(run.path).where(F.col("kind") == RESULT_ROW).select("row.*")
 
 
 def drop_repeated_passages(docs: DataFrame, ingests: int = INGESTS, carry: Sequence[str] = (), keep: Column | None = None, columns: Sequence[Column] = ()) -> DataFrame:

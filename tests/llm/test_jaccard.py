@@ -153,3 +153,22 @@ def test_files_between_steps_grow_with_the_texts_not_with_the_partitions(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert len(parts() - old) <= 30
+
+
+def test_bit_table_is_packed_where_it_is_broadcast(spark):
+    ids = [0, 1, 5, 10**12, -3]
+    bits = jaccard.id_filter(spark.createDataFrame([(i,) for i in ids], "id long"))
+    assert bits.nbytes == jaccard.FILTER_BITS // 8
+    found = jaccard.is_set(bits, jaccard.bit_of(np.array([*ids, *range(100, 1100)])))
+    assert found[: len(ids)].all() and not found[len(ids) :].any()
+
+
+def test_a_step_of_components_is_compared_without_a_join(spark):
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    links = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (10, 11)], "a long, b long")
+    found = jaccard.components(links, "test", 2)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    plans = [store.executionsList(before, 100).apply(k).physicalPlanDescription() for k in range(store.executionsCount() - before)]
+    assert plans and not any("LeftAnti" in p for p in plans)
+    assert sorted(tuple(r) for r in found.collect()) == [(2, 1), (3, 1), (4, 1), (11, 10)]

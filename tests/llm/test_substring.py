@@ -182,3 +182,17 @@ def test_files_of_a_run_grow_with_the_texts_not_with_the_partitions(spark, tmp_p
             spark.conf.set(k, v)
     assert sorted(out) == sorted(brute(docs))
     assert len(list((tmp_path / "index").glob("run-*/part-*"))) <= 2  # one batch of texts
+
+
+def test_manifest_is_read_without_join_or_sort(spark, tmp_path):
+    index = f"{tmp_path}/index"
+    runs = [substring.Run(f"{index}/run-{k}", 64, k) for k in (3, 1, 2)]
+    substring.publish(spark, index, runs[:1])
+    substring.publish(spark, index, runs)
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    before = store.executionsCount()
+    assert substring.runs_of(spark, index) == runs
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    plans = [store.executionsList(before, 100).apply(k).physicalPlanDescription() for k in range(store.executionsCount() - before)]
+    assert plans and not any("Join" in p or "Sort" in p for p in plans)
