@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import article_number, repair_numbers
 from ..operators import classify, graph, report, segment
 from ..operators.retrieve import cite_context
-from ..sources.tables import scratch, table, write_chunks
+from ..sources.tables import scratch, table, write_chunks, written
 from .catalog import plan
 from .fixtures import ARTICLES_SQL, NUMBERED_SQL, SQL_NUMERALS, clauses, cn, numbered, regulations
 
@@ -191,11 +191,12 @@ UNION ALL SELECT query, chunk_id, any_value(citation), any_value(status), md5(an
 )
 def r7(spark, sf_dir):
     """The first two articles of each law as hits, and the articles that they cite as what the graph adds."""
-    rows = chunks(spark, sf_dir)
+    rows = written(chunks(spark, sf_dir).select("doc_id", "chunk_id", "name", "label", "status", "body"), "chunks")
     hits = rows.where("label IN ('第一条', '第二条')").select(F.col("doc_id").alias("query"), "chunk_id")
     cited = graph.citation_edges(rows.join(hits, "chunk_id", "left_semi"), laws(spark, sf_dir), "chunk_id", "doc_id", "body")
     edges = cited.select("src", F.concat(F.lit(LAWS), F.col("dst_law").cast("string"), F.lit("::"), "dst_article").alias("dst"), F.lit("cites").alias("kind"), F.lit(1.0).alias("weight"))
-    reached = graph.expand_hops(hits.select(F.col("chunk_id").alias("seed")), edges, 1, 0.5).where("hop > 0")
+    edges = written(edges, "cited")
+    reached = graph.expand_hops(edges.select(F.col("src").alias("seed")), edges, 1, 0.5).where("hop > 0")
     reached = reached.join(hits.withColumnRenamed("chunk_id", "seed"), "seed").select("query", F.col("node").alias("chunk_id"), "path")
     found = cite_context(hits, rows, "chunk_id", "name", "label", "status", "body", reached)
     return found.select("query", "chunk_id", "citation", "status", F.md5("text").alias("text_md5"), "primary", F.array_join("path", ">").alias("path"))
